@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, token_files
+from loomline.llm import bpe, minhash, token_files
 from loomline.llm.common import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(starts, ["part", "segment"]).select("doc_id", (F.col("of_segment") + F.col("position")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates by three-word shingles at a similarity of 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     tokenizer = public_tokenizers.path(TOKENIZER)
@@ -36,7 +41,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op5_bpe": op5_bpe}
+    return {"op1_token_files": op1_token_files, "op2_minhash": op2_minhash, "op5_bpe": op5_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

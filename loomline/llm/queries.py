@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, minhash, token_files
+from loomline.llm import bpe, line_dedup, minhash, token_files, url_filter
 from loomline.llm.common import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,17 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+#: Rules on host and path, and hosts known for spam, whose pages are blocked where no rule fits.
+RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+LISTED = ["spam-farm.example.org", "cheap-pills.example.com"]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.entries(spark, RULES, LISTED)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     tokenizer = public_tokenizers.path(TOKENIZER)
@@ -40,8 +51,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more are dropped everywhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup(docs, min_docs=10, min_chars=1, keep="none")
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_minhash": op2_minhash, "op5_bpe": op5_bpe}
+    return {"op1_token_files": op1_token_files, "op2_minhash": op2_minhash, "op3_url_filter": op3_url_filter, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, line_dedup, minhash, token_files, url_filter
+from loomline.llm import bpe, line_dedup, minhash, quality_rules, token_files, url_filter
 from loomline.llm.common import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,8 +58,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and outlier verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules.judged(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_minhash": op2_minhash, "op3_url_filter": op3_url_filter, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup}
+    return {"op1_token_files": op1_token_files, "op2_minhash": op2_minhash, "op3_url_filter": op3_url_filter, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

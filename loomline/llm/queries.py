@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, line_dedup, minhash, quality_rules, token_files, url_filter
+from loomline.llm import bpe, line_dedup, minhash, mixing, quality_rules, secrets, token_files, url_filter
 from loomline.llm.common import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,14 +58,42 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found")
+    known = [F.expr(f"cast(size(filter(found, s -> s.kind = '{kind}')) as bigint) as n_{kind}") for kind in ("assign", "access", "hex")]
+    base = F.expr("filter(found, s -> s.kind <> 'random')")
+    return found.select("doc_id", *known, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and outlier verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judged(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in a mixture with square-root weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"))
+    return mixing.mix(docs, F.col("size")).select("doc_id", "source", "size", "start", "block", "slot")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_minhash": op2_minhash, "op3_url_filter": op3_url_filter, "op5_bpe": op5_bpe, "op6_line_dedup": op6_line_dedup, "op8_quality_rules": op8_quality_rules}
+    named = [
+        op1_token_files,
+        op2_minhash,
+        op3_url_filter,
+        op5_bpe,
+        op6_line_dedup,
+        op7_secrets,
+        op8_quality_rules,
+        op10_mixing,
+    ]
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

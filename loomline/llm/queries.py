@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, line_dedup, minhash, mixing, quality_rules, secrets, token_files, url_filter
+from loomline.llm import bpe, line_dedup, minhash, mixing, quality_classifier, quality_rules, secrets, token_files, url_filter
 from loomline.llm.common import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,6 +76,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranking = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, ranking)
+    return scored.select("doc_id", F.coalesce(quality_classifier.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot of every document in a mixture with square-root weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"))
@@ -91,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_line_dedup,
         op7_secrets,
         op8_quality_rules,
+        op9_quality_classifier,
         op10_mixing,
     ]
     return {f.__name__: f for f in named}

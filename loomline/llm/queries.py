@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, line_dedup, minhash, mixing, quality_classifier, quality_rules, secrets, token_files, url_filter
+from loomline.llm import bpe, embedding_dedup, line_dedup, minhash, mixing, quality_classifier, quality_rules, secrets, token_files, url_filter
 from loomline.llm.common import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.entries(spark, RULES, LISTED)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal labels at a cosine of 0.93."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     tokenizer = public_tokenizers.path(TOKENIZER)
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_token_files,
         op2_minhash,
         op3_url_filter,
+        op4_embedding_dedup,
         op5_bpe,
         op6_line_dedup,
         op7_secrets,

@@ -62,7 +62,7 @@ class BytePairCoder:
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.cut = re.compile("|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.pieces = Memo(self._piece, room)
-        self.texts = ChunkEncoder(self._whole, list(self.added), room)
+        self.texts = ChunkEncoder(self._whole, self._many, list(self.added), room)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.merged(piece.encode())
@@ -111,9 +111,15 @@ class BytePairCoder:
         out += map(self.pieces.__getitem__, self._split(text[at:]))
         return b"".join(out)
 
+    def _many(self, chunks: list[str]) -> list[bytes]:
+        return [b"".join(map(self.pieces.__getitem__, self._split(f" {c}"))) for c in chunks]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return self.texts.encode_all(texts)
+
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self.texts.encode(text) if text else b""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes | None) -> str:
         """The text of such ids; byte sequences that are not UTF-8 become replacement characters."""
@@ -164,8 +170,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
     content = _file(df, tokenizer)
 
     def work(texts: list) -> tuple:
-        coder = coder_of(content)
-        made = [coder.encode(t) for t in texts]
+        made = coder_of(content).encode_all(texts)
         return made, [len(b) // 4 for b in made]
 
     fields = [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())]

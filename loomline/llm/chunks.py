@@ -1,17 +1,18 @@
 """Cutting texts where byte-level tokenizers always cut, so that equal chunks are encoded once per task.
 
-The byte-level split pattern starts a new piece at every single space that stands before a
-non-space character, and nothing after that point depends on what came before. A text can
-therefore be cut at such spaces and each chunk looked up by itself.
+The byte-level split pattern starts a new piece at every space that stands before a non-space
+character, and nothing after that point depends on what came before. A text can therefore be cut
+at such spaces and each chunk looked up by itself. Chunks that are not known yet are encoded many
+at a time.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-
-class Uncut(Exception):
-    """A chunk that starts with white space or is empty: the text has no safe cut there."""
+#: A space that no chunk begins with, as white space or the end follows it.
+INNER = re.compile(r" (?=\s|\Z)")
 
 
 class Memo(dict):
@@ -29,31 +30,55 @@ class Memo(dict):
         return value
 
 
+def cut(text: str) -> list[str]:
+    """The chunks of a text without the space that each but the first begins with."""
+    parts = text.split(" ")
+    if not INNER.search(text):
+        return parts
+    out = parts[:1]
+    for p in parts[1:]:
+        if not p or p[0].isspace():
+            out[-1] += f" {p}"
+        else:
+            out.append(p)
+    return out
+
+
 class ChunkEncoder:
-    """Ids of whole texts as little-endian bytes, from an encoder of pieces of text.
+    """Ids of whole texts as little-endian bytes.
 
-    ``whole`` encodes any text. ``special`` lists strings that the tokenizer cuts out before
-    anything else; a text that holds one goes to ``whole`` at once.
+    ``whole`` encodes any text. ``many`` encodes chunks, each with a space before it. ``special``
+    lists strings that the tokenizer cuts out before anything else; a text that holds one goes to
+    ``whole`` at once. At most ``room`` chunks are remembered, none longer than ``longest``.
     """
 
-    def __init__(self, whole: Callable[[str], bytes], special: list[str], room: int = 400_000, longest: int = 200):
-        self.whole, self.special, self.longest = whole, special, longest
-        self.chunks = Memo(self._chunk, room)
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace():
-            raise Uncut
-        return self.whole(f" {chunk}")
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        if not rest:
-            return self.whole(text)
-        if not first or max(map(len, rest)) > self.longest:
-            return self.whole(text)
-        try:
-            return self.whole(first) + b"".join(map(self.chunks.__getitem__, rest))
-        except Uncut:
-            return self.whole(text)
+    def __init__(self, whole: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]], special: list[str], room: int = 400_000, longest: int = 200):
+        self.whole, self.many, self.special, self.longest, self.room = whole, many, special, longest, room
+        self.heads, self.chunks = Memo(whole, room // 8), {}
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; a null text has none."""
+        known = self.chunks
+        if len(known) >= self.room:
+            known.clear()
+        cuts = [None if not t or any(s in t for s in self.special) else cut(t) for t in texts]
+        unknown: set[str] = set()
+        for parts in cuts:
+            if parts:
+                unknown.update(set(parts[1:]).difference(known))
+        fresh = sorted(unknown)
+        found = dict(zip(fresh, self.many(fresh), strict=True)) if fresh else {}
+        known.update(found)
+        out = []
+        for t, parts in zip(texts, cuts, strict=True):
+            if not t:
+                out.append(b"")
+            elif parts is None:
+                out.append(self.whole(t))
+            else:
+                head = self.heads[parts[0]] if len(parts[0]) <= self.longest else self.whole(parts[0])
+                out.append(head + b"".join(map(known.__getitem__, parts[1:])))
+        for chunk in fresh:
+            if len(chunk) > self.longest:
+                del known[chunk]
+        return out

@@ -127,7 +127,11 @@ def decode_block(block: bytes, table: Table, first: int = 0, last: int | None =
 def pack_segment(part: int, number: int, documents: list[tuple[int | None, np.ndarray]]) -> bytes:
     """A segment's bytes: frame, header, table, directory, block index, blocks."""
     stream = np.concatenate([ids for _, ids in documents])
-    present, symbols, counts = np.unique(stream, return_inverse=True, return_counts=True)
+    seen = np.bincount(stream)
+    present = np.flatnonzero(seen)
+    symbol_of = np.zeros(len(seen), np.int64)
+    symbol_of[present] = np.arange(len(present))
+    symbols, counts = symbol_of[stream], seen[present]
     table = Table(present, frequencies(counts))
     blocks = [encode_block(symbols[at : at + BLOCK], table) for at in range(0, len(stream), BLOCK)]
     directory = zlib.compress(
@@ -197,18 +201,45 @@ def segments_of(content: bytes) -> Iterator[Segment]:
         at += size + 1  # the writer ends every record with a line feed
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
+_encoders: dict[int, ChunkEncoder] = {}
+#: Chunks in one call of the library.
+LOT = 2000
 
 
 def library_encoder(content: str) -> ChunkEncoder:
-    """Ids of texts by the tokenizers library; equal chunks of texts are encoded once."""
+    """Ids of texts by the tokenizers library; equal chunks of texts are encoded once.
+
+    New chunks are joined and encoded in one call. The ids fall to the chunks by their lengths in
+    bytes, which the vocabulary's strings give; should they not meet the joints (a tokenizer of
+    another kind), every chunk is encoded by itself.
+    """
     if (key := hash(content)) not in _encoders:
         tokenizer = Tokenizer.from_str(content)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        sizes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            sizes[i] = len(token)
+
+        def whole(text: str) -> bytes:
+            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+        def lot(chunks: list[str]) -> list[bytes]:
+            data = whole(" " + " ".join(chunks))
+            ends = np.cumsum(sizes[np.frombuffer(data, "<u4")])
+            joints = np.cumsum([1 + len(c.encode()) for c in chunks])
+            at = np.searchsorted(ends, joints)
+            if len(ends) == 0 or at[-1] != len(ends) - 1 or not np.array_equal(ends[at], joints):
+                return [whole(f" {c}") for c in chunks]
+            stops = (4 * (at + 1)).tolist()
+            return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+        def many(chunks: list[str]) -> list[bytes]:
+            return [ids for i in range(0, len(chunks), LOT) for ids in lot(chunks[i : i + LOT])]
+
         _encoders.clear()
-        _encoders[key] = ChunkEncoder(lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), special, 600_000)
+        _encoders[key] = ChunkEncoder(whole, many, special, 600_000)
     return _encoders[key]
 
 
@@ -220,10 +251,10 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_
     end = np.array([end_id], "<u4").tobytes()
 
     def coded(rows: Iterable[tuple]) -> Iterator[bytes]:
-        encoder, part, number = library_encoder(content.value), TaskContext.get().partitionId(), 0
+        part, number = TaskContext.get().partitionId(), 0
         held, size = [], 0
-        for i, t in rows:
-            ids = np.frombuffer((encoder.encode(t) if t else b"") + end, "<u4")
+        for i, data in rows:
+            ids = np.frombuffer(data + end, "<u4")
             held.append((i, ids))
             size += len(ids)
             if size >= SEGMENT:
@@ -233,7 +264,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_
             yield pack_segment(part, number, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in slices(batches, ROWS) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        encoder = library_encoder(content.value)
+        rows = (r for b in slices(batches, ROWS) for r in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True))
         for segment in coded(rows):
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.binary())], names=["segment"])
 

@@ -5,11 +5,14 @@ one, shifted by k along the circle, gives signature coordinate k. So a shingle's
 coordinates are one run of the second permutation, and a signature is the minimum over such runs.
 
 The candidates of a band's bucket are never multiplied out. Documents with equal shingle sets are
-one class, which its smallest id represents. Then every bucket compares all members with its
-smallest one, and components of the confirmed links are formed. In further rounds, only members
-outside a bucket's largest component become pivots, compared with those members that no chain of
-links reaches yet, until every such pair has been compared. Links inside a component cannot change
-the result, so none is lost.
+one class, which its smallest id represents. A class's ``own`` shingles occur in no other compared
+class, so they can be in no intersection; with the sizes they bound the similarity of a pair from
+above, and pairs (or whole classes) that cannot reach the threshold are left out without a loss.
+Every bucket compares all members with its leader, the member with the smallest share of own
+shingles, which is the text that others derive from. Components of the confirmed links are formed;
+in further rounds only members outside a bucket's largest component become pivots, compared with
+those members that no chain of links reaches yet, until every such pair has been compared. Links
+inside a component cannot change the result, so none is lost.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing; a text with
 fewer words than a shingle is one shingle; rows with a null id are kept and have no component;
@@ -35,7 +38,7 @@ CIRCLE = 1 << 20
 BANDS, ROWS_PER_BAND = 32, 5
 SEED = 20240607
 ROWS = 200
-PIVOTS = 8
+PIVOTS = 64
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -126,42 +129,51 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
     classes = stored(able.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
 
     entries = classes.select(F.explode("bands").alias("key"), "rep", "n")
-    shared = stored(entries.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1").drop("size"), "shared")
-    members = stored(entries.join(shared, "key"), "members")
-    compared = members.select(F.col("rep").alias("doc_id")).distinct()
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    shared = stored(entries.join(sizes, "key"), "shared")
+    compared = shared.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(shingle_sets(docs.join(compared, "doc_id"), words), "sets")
-
-    near = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"  # else the sets' sizes alone rule a link out
-    leaders = members.where("rep = leader").select("key", F.col("n").alias("pn"))
-    first = members.where("rep <> leader").join(leaders, "key").where(near).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    # An id with several texts has several sets; a shingle of its own is then counted once more, which only loosens the bound.
+    alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("sets"), F.min("doc_id").alias("rep")).where("sets = 1")
+    own = stored(alone.groupBy("rep").agg(F.count("*").alias("own")), "own")
+    members = shared.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    able_to_link = f"100 * (n - own) >= {percent} * n"  # else its own shingles alone rule every link out
+    members = stored(members.where(able_to_link).select("key", "rep", "n", "own", F.struct(F.floor(1000 * F.col("own") / F.col("n")).alias("share"), "rep").alias("rank")), "members")
+    # An upper bound of the intersection in place of it: 100 c >= percent (n + pn - c).
+    near = f"{100 + percent} * least(n - own, pn - pown) >= {percent} * (n + pn)"
+    leaders = stored(members.groupBy("key").agg(F.min(F.struct("rank", "n", "own")).alias("l"), F.min("n").alias("least")).select("key", F.col("l.rank.rep").alias("leader"), F.col("l.n").alias("pn"), F.col("l.own").alias("pown"), "least"), "leaders")
+    first = members.join(leaders, "key").where(near).where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     # An id that comes with several texts is one document: the classes of its texts are linked.
     named = able.select("doc_id", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep").distinct()
     several = named.groupBy("doc_id").agg(F.count("*").alias("texts"), F.min("rep").alias("a")).where("texts > 1")
     same_id = named.join(stored(several, "several"), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
     links = stored(confirmed(first, sets, percent).unionByName(same_id), "confirmed")
     found = components(links)
-    members = members.select("key", "rep", "n")
-    done, pivots = leaders.select("key").join(shared, "key").select("key", F.col("leader").alias("rep")), PIVOTS
+    done, pivots = leaders.select("key", F.col("leader").alias("rep")), PIVOTS
+    # The largest partner that a member's own shingles allow must not be smaller than the bucket's smallest.
+    partner = f"floor({100 + percent} * (n - own) / {percent}) - n >= least"
     while True:
         named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = named.groupBy("key", "component").agg(F.count("*").alias("size"))
         largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")).where("parts > 1").drop("parts")
-        mixed = stored(named.join(stored(largest, "largest"), "key"), "mixed")
+        mixed = stored(named.join(largest.join(leaders.select("key", "least"), "key"), "key").where(partner), "mixed")
         rest = mixed.where("component <> main").join(done, ["key", "rep"], "left_anti")
         lot = F.pmod(F.xxhash64("rep"), F.lit(pivots))
-        chosen = stored(rest.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("rep", "n", "component")).alias("p")).select("key", "p.*"), "pivots")
+        chosen = stored(rest.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("rank", "rep", "n", "own", "component")).alias("p")).select("key", "p.*"), "pivots")
         if not chosen.take(1):
             break
-        facing = chosen.select("key", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+        facing = chosen.select("key", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("own").alias("pown"), F.col("component").alias("pc"))
         pairs = mixed.join(facing, "key").where(f"component <> pc and {near}").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        more = stored(links.unionByName(confirmed(pairs, sets, percent)), "confirmed")
-        dropped(found)
-        links, done = more, done.unionByName(chosen.select("key", "rep"))
-        found, pivots = components(links), 2 * pivots
+        fresh = stored(confirmed(pairs, sets, percent), "confirmed")
+        done, pivots = done.unionByName(chosen.select("key", "rep")), 4 * pivots
+        if fresh.take(1):
+            links = stored(links.unionByName(fresh), "confirmed")
+            dropped(found)
+            found = components(links)
     homes = classes.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     homes = stored(homes.select("f1", "f2", F.coalesce("component", "rep").alias("component_id")), "homes")
     dropped(sets)
     # A document without shingles is its own component; one whose id has several texts takes the smallest of theirs.
-    alone = F.coalesce("component_id", "doc_id")
-    joined = signed.drop("bands").join(homes, ["f1", "f2"], "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    own_id = F.coalesce("component_id", "doc_id")
+    joined = signed.drop("bands").join(homes, ["f1", "f2"], "left").select("doc_id", "n_shingles", own_id.alias("component_id"))
     return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

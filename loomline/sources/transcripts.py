@@ -2,15 +2,18 @@
 
 Files are read as lines with Spark's text source, so a long session is split over tasks like any
 other file; line numbers come from the order of lines in their file. A line is parsed to VARIANT
-once, and each dialect is a set of column expressions over it. Lines that are not JSON objects go
+once, and each dialect is a set of column expressions over it. Only the text, which can nest to any
+depth, is gathered by an Arrow UDF. Lines that are not JSON objects go
 to ``bad_lines``; their sessions are left out by ``parsed``, as a broken file must not half-load.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,28 +39,46 @@ def first_string(v: Column, *paths: str) -> Column:
     return F.coalesce(*(string_at(v, p) for p in paths))
 
 
-def text_of(v: Column, depth: int = 3) -> Column:
-    """The text of a JSON value: a string, the texts of an array, or of an object its text, content, message or body.
+REDACTED = ("[redacted]", "<redacted>", "redacted")
 
-    Nesting is unrolled ``depth`` times, more than any dialect nests.
-    """
-    plain = filled(F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string")))
-    if depth == 0:
-        return plain
-    items = v.try_cast("array<variant>")
-    many = F.filter(F.transform(items, lambda x: text_of(x, depth - 1)), lambda t: t.isNotNull())
-    own = filled(string_at(v, "text"))
-    nested = F.coalesce(*(text_of(F.try_variant_get(v, f"$.{k}", "variant"), depth - 1) for k in ("content", "message", "body")))
-    return F.when(items.isNotNull(), F.when(F.size(many) > 0, F.array_join(many, "\n\n"))).otherwise(F.coalesce(plain, own, nested))
 
+def flat_text(value, between: str = "\n\n") -> str | None:
+    """The text of a JSON value: a string, the texts of an array, or of an object its text, else content, message or body."""
+    if isinstance(value, str):
+        return value.strip() or None
+    if isinstance(value, list):
+        return between.join(t for t in map(flat_text, value) if t) or None
+    if isinstance(value, dict):
+        own = value.get("text")
+        if isinstance(own, str) and own.strip():
+            return own.strip()
+        return next((t for t in (flat_text(value.get(k)) for k in ("content", "message", "body")) if t), None)
+    return None
 
-def unredacted(t: Column) -> Column:
-    return F.when(~F.lower(trimmed(t)).isin("[redacted]", "<redacted>", "redacted"), t)
 
+def said(raw: Column, kind: Column, paths: dict[str, list[str]], between: str = "\n\n") -> Column:
+    """The first text, other than a redaction mark, at the paths of a record's kind ("" for kinds without their own)."""
+    steps = {k: [p.split(".") for p in v] for k, v in paths.items()}
 
-def text_at(v: Column, *paths: str) -> Column:
-    """The first path with a text that is not the redaction mark."""
-    return F.coalesce(*(unredacted(text_of(F.try_variant_get(v, f"$.{p}", "variant"))) for p in paths))
+    @F.pandas_udf("string")
+    def gathered(lines: pd.Series, kinds: pd.Series) -> pd.Series:
+        def one(line: str, name: str) -> str | None:
+            try:
+                whole = json.loads(line)
+            except ValueError:
+                return None
+            for path in steps.get(name, steps[""]):
+                value = whole
+                for step in path:
+                    value = value.get(step) if isinstance(value, dict) else None
+                text = flat_text(value, between)
+                if text and text.lower() not in REDACTED:
+                    return text
+            return None
+
+        return pd.Series([one(x, k) for x, k in zip(lines, kinds, strict=True)], dtype=object)
+
+    return gathered(raw, kind)
 
 
 def tool_input(v: Column, prefix: str = "") -> Column:
@@ -72,8 +93,8 @@ def _when(c: Column, cases: list[tuple[Column, str]]) -> Column:
     return out.otherwise(EVENT)
 
 
-def _said(kind: Column, v: Column, spoken: list[str], other: list[str]) -> Column:
-    return F.when(kind.isin(USER, ASSISTANT), text_at(v, *spoken)).otherwise(text_at(v, *other))
+def _paths(spoken: list[str], other: list[str]) -> dict[str, list[str]]:
+    return {USER: spoken, ASSISTANT: spoken, "": other}
 
 
 def cursor_text(c: Column, kind: Column) -> Column:
@@ -93,6 +114,9 @@ class Dialect:
     tool: str
     glob: str
     path: str
+    #: Where the text is, by kind of record, and what stands between the texts of an array.
+    texts: dict[str, list[str]]
+    between: str = "\n\n"
 
     def fields(self, v: Column) -> dict[str, Column]:
         raise NotImplementedError
@@ -117,11 +141,9 @@ class Cursor(Dialect):
                 (name.rlike("user|human"), USER),
             ],
         )
-        text = _said(kind, v, ["text", "message.content", "message.text", "content", "body", "prompt"], ["summary", "message", "text", "content"])
         return {
             "raw_type": raw,
             "kind": kind,
-            "text": cursor_text(text, kind),
             "input_text": tool_input(v),
             "call_id": first_string(v, "id", "callId", "toolCallId"),
             "tool_name": first_string(v, "name", "toolName", "tool.name"),
@@ -149,7 +171,6 @@ class ClaudeCode(Dialect):
         return {
             "raw_type": raw,
             "kind": kind,
-            "text": _said(kind, v, ["message.content", "message.text", "content", "text"], ["summary", "message", "text", "content"]),
             "input_text": tool_input(v),
             "call_id": first_string(v, "id", "callId", "toolUseID"),
             "tool_name": first_string(v, "name", "toolName"),
@@ -178,7 +199,6 @@ class Codex(Dialect):
         return {
             "raw_type": F.concat_ws("/", top, inner),
             "kind": kind,
-            "text": _said(kind, v, ["payload.content", "payload.message", "payload.text"], ["payload.message", "payload.text", "payload.content", "payload.summary"]),
             "input_text": F.coalesce(tool_input(v, "payload."), filled(string_at(v, "payload.output"))),
             "call_id": first_string(v, "payload.call_id", "payload.id"),
             "tool_name": string_at(v, "payload.name"),
@@ -192,23 +212,15 @@ class Kimi(Dialect):
     def fields(self, v: Column) -> dict[str, Column]:
         name = string_at(v, "message.type")
         kind = _when(name, [(name == "TurnBegin", USER), (name == "ContentPart", ASSISTANT), (name == "ToolCall", TOOL_USE), (name == "ToolResult", TOOL_RESULT)])
-        parts = F.try_variant_get(v, "$.message.payload.user_input", "array<variant>")
-        listed = F.filter(F.transform(parts, lambda p: unredacted(filled(string_at(p, "text")))), lambda t: t.isNotNull())
-        asked = F.when(parts.isNotNull(), F.when(F.size(listed) > 0, F.array_join(listed, "\n"))).otherwise(unredacted(filled(string_at(v, "message.payload.user_input"))))
-        part = string_at(v, "message.payload.type")
-        thought = F.when(part == "think", unredacted(filled(string_at(v, "message.payload.think"))))
-        told = F.coalesce(thought, text_at(v, "message.payload"))
-        result = F.coalesce(text_at(v, "message.payload.return_value.output"), text_at(v, "message.payload.return_value.message"), text_at(v, "message.payload.return_value"))
         raw_args = filled(string_at(v, "message.payload.function.arguments"))
         args = F.try_parse_json(raw_args)
-        given = F.when(args.isNull(), raw_args).otherwise(F.coalesce(filled(first_string(args, "command", "input", "path")), text_of(args)))
+        given = F.when(args.isNull(), raw_args).otherwise(filled(first_string(args, "command", "input", "path", "text", "content")))
         seconds = F.try_variant_get(v, "$.timestamp", "double")
         iso = F.date_format(F.timestamp_millis((seconds * 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
         return {
             "raw_type": name,
             "kind": kind,
-            "text": F.when(kind == USER, asked).when(kind == ASSISTANT, told).when(kind == TOOL_RESULT, result).otherwise(text_at(v, "message.payload")),
-            "input_text": F.coalesce(given, tool_input(v, "message."), text_of(F.try_variant_get(v, "$.message.payload", "variant"))),
+            "input_text": F.coalesce(given, tool_input(v, "message."), F.when(kind == TOOL_RESULT, filled(string_at(v, "message.payload.return_value.output")))),
             "call_id": first_string(v, "message.payload.tool_call_id", "message.payload.id"),
             "tool_name": first_string(v, "message.payload.function.name", "message.payload.name"),
             "status": F.lit(None).cast("string"),
@@ -224,12 +236,10 @@ class Pi(Dialect):
         top, role = string_at(v, "type"), string_at(v, "message.role")
         message = top == "message"
         kind = _when(top, [(message & (role == "user"), USER), (message & (role == "assistant"), ASSISTANT), (message & (role == "toolResult"), TOOL_RESULT)])
-        told = text_at(v, "message.content", "message.text")
         return {
             "raw_type": F.when(message, F.concat_ws("/", top, role)).otherwise(top),
             "kind": kind,
-            "text": F.when(kind == EVENT, text_at(v, "content", "text", "message")).otherwise(told),
-            "input_text": F.coalesce(tool_input(v, "message."), text_of(F.try_variant_get(v, "$.message.content", "variant"))),
+            "input_text": tool_input(v, "message."),
             "call_id": first_string(v, "message.toolCallId", "message.id"),
             "tool_name": first_string(v, "message.toolName", "message.name"),
             "status": first_string(v, "message.status", "message.state"),
@@ -244,11 +254,27 @@ class Pi(Dialect):
 DIALECTS = {
     d.tool: d
     for d in (
-        Cursor("cursor", "*.{jsonl,txt}", r"/agent-transcripts/(?:.*/)?[^/]+\.(?:jsonl|txt)$"),
-        ClaudeCode("claude-code", "*.jsonl", r"/[^/]+/[^./][^/]*\.jsonl$"),
-        Codex("codex-cli", "rollout-*.jsonl", r"/(?:sessions/\d{4}/\d{2}/\d{2}|archived_sessions)/rollout-[^/]+\.jsonl$"),
-        Kimi("kimi", "wire.jsonl", r"/[0-9a-f]{32}/[^/]+/wire\.jsonl$"),
-        Pi("pi", "*.jsonl", r"/[^/]+/[^/]+_[^/]+\.jsonl$"),
+        Cursor("cursor", "*.{jsonl,txt}", r"/agent-transcripts/(?:.*/)?[^/]+\.(?:jsonl|txt)$", _paths(["text", "message.content", "message.text", "content", "body", "prompt"], ["summary", "message", "text", "content"])),
+        ClaudeCode("claude-code", "*.jsonl", r"/[^/]+/[^./][^/]*\.jsonl$", _paths(["message.content", "message.text", "content", "text"], ["summary", "message", "text", "content"])),
+        Codex(
+            "codex-cli",
+            "rollout-*.jsonl",
+            r"/(?:sessions/\d{4}/\d{2}/\d{2}|archived_sessions)/rollout-[^/]+\.jsonl$",
+            _paths(["payload.content", "payload.message", "payload.text"], ["payload.message", "payload.text", "payload.content", "payload.summary"]),
+        ),
+        Kimi(
+            "kimi",
+            "wire.jsonl",
+            r"/[0-9a-f]{32}/[^/]+/wire\.jsonl$",
+            {
+                USER: ["message.payload.user_input"],
+                ASSISTANT: ["message.payload.think", "message.payload"],
+                TOOL_RESULT: ["message.payload.return_value.output", "message.payload.return_value.message", "message.payload.return_value"],
+                "": ["message.payload"],
+            },
+            "\n",
+        ),
+        Pi("pi", "*.jsonl", r"/[^/]+/[^/]+_[^/]+\.jsonl$", _paths(["message.content", "message.text"], ["content", "text", "message"]) | {TOOL_RESULT: ["message.content", "message.text"]}),
     )
 }
 
@@ -320,6 +346,11 @@ def records(rows: DataFrame, tool: str) -> DataFrame:
     fields = d.fields(v)
     hidden = F.coalesce(at(v, "isRedacted", "boolean"), F.lit(False)) | F.col("raw").rlike(REDACTED_LEAF)
     out = whole.withColumn("redacted", hidden).withColumns({**fields, "cwd": fields.get("cwd", string_at(v, "cwd"))})
+    out = out.withColumn("text", said(F.col("raw"), F.col("kind"), d.texts, d.between))
+    if tool == "cursor":
+        out = out.withColumn("text", cursor_text(F.col("text"), F.col("kind")))
+    if tool == "pi":
+        out = out.withColumn("input_text", F.coalesce("input_text", "text"))
     tool_kind = F.col("kind").isin(TOOL_USE, TOOL_RESULT)
     out = out.withColumns({"text": F.when(~F.col("redacted"), F.col("text")), **{c: F.when(tool_kind, F.col(c)) for c in ("input_text", "call_id", "tool_name", "status")}})
     places = [string_at(v, p) for p in ("arguments.path", "arguments.cwd", "metadata.path", "metadata.cwd", "path", "cwd")]

@@ -13,7 +13,11 @@ def one(spark, column, value="x"):
     return spark.createDataFrame([(value,)], "t string").select(column.alias("o")).first().o
 
 
-t = F.col("t")
+@pytest.fixture(autouse=True)
+def column(spark):
+    """The tested column, which only exists while a session does."""
+    global t
+    t = F.col("t")
 
 
 @pytest.mark.parametrize(
@@ -94,7 +98,7 @@ def test_resolutions(spark):
 
 
 def test_commands(spark):
-    for said, want in (("`npm test`.", "npm test"), ("git", None), ("GIT", None), ("td-1a2b3c", None), ("td add x", "td add x"), ("ls", "ls"), ("make all\nmore", "make all"), ("hello", None), ("./run.sh  a", "./run.sh a")):
+    for said, want in (("`npm test.`", "npm test"), ("git", None), ("GIT", None), ("td-1a2b3c", None), ("td add x", "td add x"), ("ls", "ls"), ("make all\nmore", "make all"), ("hello", None), ("./run.sh  a", "./run.sh a")):
         assert one(spark, commands.normal(t), said) == want, said
     assert one(spark, commands.paths_in(F.array(t)), "see /home/a/b.py and C:\\x\\y") == ["/home/a/b.py", "C:\\x\\y"]
 

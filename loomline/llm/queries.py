@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, embedding_dedup, line_dedup, minhash, mixing, quality_classifier, quality_rules, secrets, token_files, url_filter
-from loomline.llm.common import new_path
+from loomline.llm.common import LOWER, UPPER, new_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -111,5 +111,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+_ENTRIES = ", ".join(f"('{e}', '{v}', true)" for e, v in RULES.items()) + "".join(f", ('{e}', 'block', false)" for e in LISTED)
+_LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
+
+OP3_SQL = f"""
+with entry(entry, verdict, is_rule) as (values {_ENTRIES}),
+  listing as (select *, regexp_extract(entry, '^[^/]*') as h, regexp_extract(entry, '^[^/]*(.*)$', 1) as p from entry),
+  address as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+  page as (select page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from address),
+  fit as (select page_id, entry, verdict, is_rule, row_number() over (partition by page_id order by is_rule desc, length(entry) desc, length(h) desc) as n
+    from page join listing on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select page.page_id, host, path, case when is_rule then entry end as rule, coalesce(verdict, 'allow') as verdict
+from page left join fit on fit.page_id = page.page_id and n = 1
+"""
+
+OP6_SQL = f"""
+with doc as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+  line as (select doc_id, lines[pos] as line, pos, {_LOWER.format("trim(lines[pos], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))")} as key
+    from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as pos from doc)),
+  often as (select key from line where key <> '' group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(*) filter (often.key is not null) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (often.key is null), '')) as kept_sha256
+from line left join often on often.key = line.key group by doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express; tests hold the others against brute force."""
+    return {"op3_url_filter": OP3_SQL, "op6_line_dedup": OP6_SQL}

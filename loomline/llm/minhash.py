@@ -9,10 +9,12 @@ one class, which its smallest id represents. A class's ``own`` shingles occur in
 class, so they can be in no intersection; with the sizes they bound the similarity of a pair from
 above, and pairs (or whole classes) that cannot reach the threshold are left out without a loss.
 Every bucket compares all members with its leader, the member with the smallest share of own
-shingles, which is the text that others derive from. Components of the confirmed links are formed;
-in further rounds only members outside a bucket's largest component become pivots, compared with
-those members that no chain of links reaches yet, until every such pair has been compared. Links
-inside a component cannot change the result, so none is lost.
+shingles, which is the text that others derive from, and notes which of the leader's shingles each
+member has. Components of the confirmed links are formed. Members outside a bucket's largest
+component then meet all members that no chain of links reaches yet, in blocks of bounded size: the
+notes give their common part within the leader exactly, and what lies outside it bounds the rest.
+Pairs that this decides are links at once, and those that can still reach the threshold are
+compared in full. Links inside a component cannot change the result, so none is lost.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing; a text with
 fewer words than a shingle is one shingle; rows with a null id are kept and have no component;
@@ -25,10 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import dropped, slices, stored
@@ -38,7 +41,8 @@ CIRCLE = 1 << 20
 BANDS, ROWS_PER_BAND = 32, 5
 SEED = 20240607
 ROWS = 200
-PIVOTS = 64
+#: Members of a bucket in one block.
+BLOCK = 256
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -112,13 +116,77 @@ def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have a Jaccard similarity of ``percent`` / 100 or more."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked, common and bits of pairs: whether their full sets reach the threshold, and which of a's shingles b has."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).alias("common")
-    counted = pairs.join(right, "b").join(left, "a").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), common)
-    return counted.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ROWS):
+            has = [np.isin(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            common = [int(h.sum()) for h in has]
+            linked = [100 * c >= percent * (len(x) + len(y) - c) for c, x, y in zip(common, batch.column(2), batch.column(3), strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()), pa.array([np.packbits(h).tobytes() for h in has], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "common", "bits"])
+
+    return both.mapInArrow(run, "a long, b long, linked boolean, common long, bits binary")
+
+
+def _open_pairs(percent: int):
+    """For a block of askers and one of members of the same bucket: pairs of different components that may link.
+
+    A pair whose common part lies within the leader is decided here; of such links, those that
+    join components still apart are given as sure. The others are given for a full comparison.
+    """
+
+    def run(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "sure": pd.Series(dtype="bool")})
+        if ask.empty or have.empty:
+            return empty
+
+        def both(name: str) -> tuple[np.ndarray, np.ndarray]:
+            return ask[name].to_numpy()[:, None], have[name].to_numpy()[None, :]
+
+        width = max(1, *map(len, ask["bits"]), *map(len, have["bits"]))
+
+        def inside(rows: pd.DataFrame) -> np.ndarray:
+            packed = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows["bits"]), np.uint8).reshape(len(rows), width)
+            return np.unpackbits(packed, axis=1).astype(np.float32)
+
+        extra, most, noted = np.minimum(*both("extra")), np.minimum(*both("most")), np.logical_and(*both("noted"))
+        within = np.rint(inside(ask) @ inside(have).T).astype(np.int64)
+        bound = np.where(noted, np.minimum(within + extra, most), most)
+        (n, m), (rep, other), (mine, theirs) = both("n"), both("rep"), both("component")
+        once = ~have["asks"].to_numpy()[None, :] | (rep < other)  # two that both ask meet once
+        i, j = np.nonzero((mine != theirs) & once & (100 * bound >= percent * (n + m - bound)))
+        if len(i):
+            left, right = np.stack(ask["bands"].to_list()), np.stack(have["bands"].to_list())
+            first = (left[i] == right[j]).argmax(axis=1) == int(ask["band"].iloc[0])  # in other buckets they meet again
+            i, j = i[first], j[first]
+        if not len(i):
+            return empty
+        decided = (noted & (extra == 0))[i, j]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = root[y]
+                x = root[y]
+            return x
+
+        a, b = ask["rep"].to_numpy()[i].tolist(), have["rep"].to_numpy()[j].tolist()
+        ca, cb = ask["component"].to_numpy()[i].tolist(), have["component"].to_numpy()[j].tolist()
+        out = []
+        for k in np.flatnonzero(decided).tolist():
+            p, q = find(ca[k]), find(cb[k])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((a[k], b[k], True))
+        out += [(a[k], b[k], False) for k in np.flatnonzero(~decided).tolist() if find(ca[k]) != find(cb[k])]
+        return pd.DataFrame(out, columns=["a", "b", "sure"]) if out else empty
+
+    return run
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,48 +196,68 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
     able = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stored(able.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
 
-    entries = classes.select(F.explode("bands").alias("key"), "rep", "n")
+    entries = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "n")
     sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
     shared = stored(entries.join(sizes, "key"), "shared")
-    compared = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.join(compared, "doc_id"), words), "sets")
-    # An id with several texts has several sets; a shingle of its own is then counted once more, which only loosens the bound.
+    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
+    sets = stored(shingle_sets(docs.join(wanted, "doc_id"), words), "sets")
+    # An id that comes with several texts is one document: the classes of its texts are linked, and it has no bounds.
+    named = able.select("doc_id", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep").distinct()
+    several = stored(named.groupBy("doc_id").agg(F.count("*").alias("texts"), F.min("rep").alias("a")).where("texts > 1"), "several")
     alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("sets"), F.min("doc_id").alias("rep")).where("sets = 1")
-    own = stored(alone.groupBy("rep").agg(F.count("*").alias("own")), "own")
+    own = stored(alone.groupBy("rep").agg(F.count("*").alias("own")).join(several.select(F.col("doc_id").alias("rep")), "rep", "left_anti"), "own")
     members = shared.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     able_to_link = f"100 * (n - own) >= {percent} * n"  # else its own shingles alone rule every link out
-    members = stored(members.where(able_to_link).select("key", "rep", "n", "own", F.struct(F.floor(1000 * F.col("own") / F.col("n")).alias("share"), "rep").alias("rank")), "members")
+    rank = F.struct(F.floor(1000 * F.col("own") / F.col("n")).alias("share"), "rep")
+    members = stored(members.where(able_to_link).select("key", "band", "rep", "n", "own", rank.alias("rank")), "members")
+    leaders = members.groupBy("key").agg(F.min(F.struct("rank", "n", "own")).alias("l"), F.min("n").alias("least"))
+    leaders = stored(leaders.select("key", F.col("l.rank.rep").alias("leader"), F.col("l.n").alias("pn"), F.col("l.own").alias("pown"), "least"), "leaders")
     # An upper bound of the intersection in place of it: 100 c >= percent (n + pn - c).
     near = f"{100 + percent} * least(n - own, pn - pown) >= {percent} * (n + pn)"
-    leaders = stored(members.groupBy("key").agg(F.min(F.struct("rank", "n", "own")).alias("l"), F.min("n").alias("least")).select("key", F.col("l.rank.rep").alias("leader"), F.col("l.n").alias("pn"), F.col("l.own").alias("pown"), "least"), "leaders")
-    first = members.join(leaders, "key").where(near).where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
-    # An id that comes with several texts is one document: the classes of its texts are linked.
-    named = able.select("doc_id", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep").distinct()
-    several = named.groupBy("doc_id").agg(F.count("*").alias("texts"), F.min("rep").alias("a")).where("texts > 1")
-    same_id = named.join(stored(several, "several"), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
-    links = stored(confirmed(first, sets, percent).unionByName(same_id), "confirmed")
+    first = members.join(leaders, "key").where(near).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    against = stored(compared(first, sets, percent), "against-leaders")
+    same_id = named.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    links = stored(against.where("linked").select("a", "b").unionByName(same_id), "confirmed")
     found = components(links)
-    done, pivots = leaders.select("key", F.col("leader").alias("rep")), PIVOTS
+
     # The largest partner that a member's own shingles allow must not be smaller than the bucket's smallest.
     partner = f"floor({100 + percent} * (n - own) / {percent}) - n >= least"
-    while True:
-        named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        parts = named.groupBy("key", "component").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")).where("parts > 1").drop("parts")
-        mixed = stored(named.join(largest.join(leaders.select("key", "least"), "key"), "key").where(partner), "mixed")
-        rest = mixed.where("component <> main").join(done, ["key", "rep"], "left_anti")
-        lot = F.pmod(F.xxhash64("rep"), F.lit(pivots))
-        chosen = stored(rest.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("rank", "rep", "n", "own", "component")).alias("p")).select("key", "p.*"), "pivots")
-        if not chosen.take(1):
-            break
-        facing = chosen.select("key", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("own").alias("pown"), F.col("component").alias("pc"))
-        pairs = mixed.join(facing, "key").where(f"component <> pc and {near}").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        fresh = stored(confirmed(pairs, sets, percent), "confirmed")
-        done, pivots = done.unionByName(chosen.select("key", "rep")), 4 * pivots
-        if fresh.take(1):
-            links = stored(links.unionByName(fresh), "confirmed")
-            dropped(found)
-            found = components(links)
+    named = members.drop("rank").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")).where("parts > 1").drop("parts")
+    mixed = named.join(largest.join(leaders.select("key", "leader", "least"), "key"), "key").where(partner).drop("least")
+    mixed = stored(mixed.withColumn("asks", F.col("component") != F.col("main")).drop("main"), "mixed")
+    # What was compared with the leader is settled, so the leader meets nobody again.
+    mixed = mixed.where("rep <> leader")
+    counts = mixed.groupBy("key").agg(F.count("*").alias("all"), F.count_if("asks").alias("asking")).where("asking > 0 and `all` > 1")
+
+    def blocks(c: str) -> Column:
+        return F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+
+    counts = stored(counts.select("key", blocks("all").alias("blocks"), blocks("asking").alias("lots")), "counts")
+    noted = against.groupBy(F.col("a").alias("leader"), F.col("b").alias("rep")).agg(F.count("*").alias("times"), F.first("common").alias("common"), F.first("bits").alias("bits"))
+    noted = noted.where("times = 1").drop("times")  # more for an id with several sets
+    full = mixed.join(counts, "key").join(noted, ["leader", "rep"], "left").join(classes.select("rep", "bands"), "rep")
+    place = F.xxhash64("rep")
+    full = full.select(
+        *("key", "band", "rep", "n", "component", "asks", "bands", "blocks", "lots"),
+        F.col("bits").isNotNull().alias("noted"),
+        F.coalesce("bits", F.lit(b"")).alias("bits"),
+        (F.col("n") - F.coalesce("common", F.lit(0)) - F.col("own")).alias("extra"),
+        (F.col("n") - F.col("own")).alias("most"),
+        F.pmod(place, "blocks").cast("int").alias("block"),
+        F.pmod(F.xxhash64(place), "lots").cast("int").alias("lot"),
+    )
+    full = stored(full, "full")
+    asking = full.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    facing = full.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    meet = ["key", "block", "lot"]
+    open_pairs = stored(asking.groupBy(*meet).cogroup(facing.groupBy(*meet)).applyInPandas(_open_pairs(percent), "a long, b long, sure boolean"), "open")
+    checked = compared(open_pairs.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
+    more = stored(open_pairs.where("sure").select("a", "b").unionByName(checked.where("linked").select("a", "b")), "more")
+    if more.take(1):
+        dropped(found)
+        found = components(links.unionByName(more))
     homes = classes.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     homes = stored(homes.select("f1", "f2", F.coalesce("component", "rep").alias("component_id")), "homes")
     dropped(sets)

@@ -66,7 +66,7 @@ class ChunkEncoder:
         for parts in cuts:
             if parts:
                 unknown.update(set(parts[1:]).difference(known))
-        fresh = sorted(unknown)
+        fresh = list(unknown)
         found = dict(zip(fresh, self.many(fresh), strict=True)) if fresh else {}
         known.update(found)
         out = []

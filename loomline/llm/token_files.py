@@ -34,7 +34,7 @@ from loomline.llm.common import slices
 MAGIC = b"LLTS"
 PRECISION = 20  # frequencies sum to 2 ** PRECISION
 LOW = 31  # a lane's state stays in [2 ** LOW, 2 ** (LOW + 32))
-LANES, BLOCK, SEGMENT, CHECKPOINT = 512, 1 << 18, 1 << 22, 256
+LANES, BLOCK, SEGMENT, CHECKPOINT = 2048, 1 << 18, 1 << 22, 64
 SEGMENTS_PER_FILE = 8
 ROWS = 500
 

@@ -7,16 +7,18 @@ met, so at any slot a source has had within one block of its share.
 
 With whole-number weights the schedule repeats after as many slots as they sum to. So one period,
 whose length the resolution bounds, is planned on the driver from the number of blocks of each
-source, and every block finds its slot by arithmetic and a join. Target weights hold for as many
-whole periods as all weighted sources can fill; what then remains is mixed in proportion to what
-is left, in phases planned the same way. No row is dropped or repeated.
+source, and every block finds its slot by arithmetic and a join. A phase is made of whole periods
+and a part of one, and ends with the slot in which some weighted source runs out. The next phase
+holds the weights of the remaining sources, so there are as many phases as weighted sources, and
+each plans two periods at most. Sources without a weight come last, in proportion to their blocks.
+No row is dropped or repeated.
 
 Running sizes are summed in two levels (buckets of a source, then rows of a bucket), so that a
 source with a third of all rows never meets in one task.
 
 Defined cases: a null source is a source of its own; a null size counts as 0, and a block starts
 where the size before a row says, so a row longer than a block takes up the blocks it covers; rows
-that agree in id and size may swap places; sources without a weight wait for the later phases; an
+that agree in id and size may swap places; sources without a weight wait for the last phases; an
 empty table gives an empty table; other columns are passed through, and the columns block, slot
 and start of the result replace columns of those names.
 """
@@ -24,6 +26,7 @@ and start of the result replace columns of those names.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,20 +64,38 @@ def whole_weights(shares: dict, resolution: int) -> dict:
 
 
 def phases(blocks: dict, shares: dict, resolution: int = RESOLUTION) -> list[dict]:
-    """first (block of each source), weights, periods and slot (the first one) of each phase."""
+    """first (block of each source), weights, periods, slot (the first one) and order (of a period) of each phase.
+
+    The part of a period before a source runs out is a phase of its own, with that part's counts as weights.
+    """
     left, done, out, slot = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), [], 0
-    weights = whole_weights({s: shares.get(s, 0) for s in left}, resolution) if sum(shares.get(s, 0) for s in left) else {}
+
+    def add(order: list, periods: int) -> None:
+        nonlocal slot
+        weights = dict(Counter(order))
+        out.append({"first": {s: done[s] for s in weights}, "weights": weights, "periods": periods, "slot": slot, "order": order})
+        slot += periods * len(order)
+        for s, w in weights.items():
+            done[s] += periods * w
+            left[s] -= periods * w
+            if not left[s]:
+                del left[s]
+
+    while weights := whole_weights({s: shares.get(s, 0) for s in left}, resolution):
+        order = period(weights)
+        # Every source keeps a block, so that one of them runs out within the period that follows.
+        if periods := min((left[s] - 1) // w for s, w in weights.items()):
+            add(order, periods)
+        had: Counter = Counter()
+        for at, s in enumerate(order, 1):
+            had[s] += 1
+            if had[s] == left[s]:
+                add(order[:at], 1)
+                break
     while left:
-        periods = min((left[s] // w for s, w in weights.items()), default=0)
-        if periods:
-            out.append({"first": {s: done[s] for s in weights}, "weights": weights, "periods": periods, "slot": slot})
-            slot += periods * sum(weights.values())
-            for s, w in weights.items():
-                done[s] += periods * w
-                left[s] -= periods * w
-        left = {s: n for s, n in left.items() if n}
         total = sum(left.values())
         weights = dict(left) if total <= resolution + len(left) else {s: max(1, n * resolution // total) for s, n in left.items()}
+        add(period(weights), min(left[s] // w for s, w in weights.items()))
     return out
 
 
@@ -111,17 +132,21 @@ def mix(documents: DataFrame, size: Column, shares: dict | None = None, block_si
         length = sum(p["weights"].values())
         ranges += [(s, k, p["first"][s], p["first"][s] + p["periods"] * w, w, p["slot"], length) for s, w in p["weights"].items()]
         turn = dict.fromkeys(p["weights"], 0)
-        for at, s in enumerate(period(p["weights"])):
+        for at, s in enumerate(p["order"]):
             slots.append((s, k, turn[s], at))
             turn[s] += 1
     of_phase = spark.createDataFrame(ranges, "_source string, _phase int, _first long, _last long, _weight long, _slot long, _length long")
     of_slot = spark.createDataFrame(slots, "_source string, _phase int, _turn long, _at long")
-    if len(slots) <= MAX_PLANNED:
-        of_phase, of_slot = F.broadcast(of_phase), F.broadcast(of_slot)
-    at_block = placed(rows, block_size).join(of_phase, "_source").where("block >= _first and block < _last")
-    turned = at_block.withColumn("_turn", F.pmod(F.col("block") - F.col("_first"), F.col("_weight")))
+    turn = F.pmod(F.col("block") - F.col("_first"), F.col("_weight"))
     slot = F.col("_slot") + F.floor((F.col("block") - F.col("_first")) / F.col("_weight")).cast("long") * F.col("_length") + F.col("_at")
-    return turned.join(of_slot, ["_source", "_phase", "_turn"]).select(*(f"`{c}`" for c in kept.columns), "start", "block", slot.alias("slot"))
+    if len(slots) <= MAX_PLANNED:
+        at_block = placed(rows, block_size).join(F.broadcast(of_phase), "_source").where("block >= _first and block < _last")
+        found = at_block.withColumn("_turn", turn).join(F.broadcast(of_slot), ["_source", "_phase", "_turn"]).withColumn("slot", slot)
+    else:  # by block, since many rows share a source
+        planned = of_phase.withColumn("block", F.explode(F.expr("sequence(_first, _last - 1)"))).withColumn("_turn", turn)
+        planned = planned.join(of_slot, ["_source", "_phase", "_turn"]).select("_source", "block", slot.alias("slot"))
+        found = placed(rows, block_size).join(planned, ["_source", "block"])
+    return found.select(*(f"`{c}`" for c in kept.columns), "start", "block", "slot")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

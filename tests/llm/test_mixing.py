@@ -60,3 +60,45 @@ def test_edge_cases(spark):
     assert made.count() == 5 and made.columns == ["doc_id", "text", "source", "start", "block", "slot"]
     assert mixing.in_order(made).count() == 5
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string"), F.length("text")).count() == 0
+
+
+def test_phases_hold_targets_until_a_source_runs_out():
+    blocks, shares = {"a": 2, "b": 30, "c": 57, "d": 4000, "e": 5}, {"a": 1.0, "b": 1.0, "c": 3.0, "d": 5.0}
+    slots = [s for p in mixing.phases(blocks, shares) for _ in range(p["periods"]) for s in p["order"]]
+    assert Counter(slots) == Counter(blocks)
+    left, at = Counter(blocks), 0
+    while weighted := {s: w for s, w in shares.items() if left[s]}:
+        had, total = Counter(), sum(weighted.values())
+        while all(left[s] for s in weighted):
+            had[slots[at]] += 1
+            left[slots[at]] -= 1
+            at += 1
+            assert all(abs(had[s] - sum(had.values()) * w / total) < 1.2 for s, w in weighted.items())
+    assert slots[at:] == ["e"] * 5
+
+
+def test_query_holds_square_root_weights(spark):
+    made = op10_mixing(spark, "/root/testdata/sf0.1").collect()
+    size, slot_source = Counter(), {}
+    for r in made:
+        size[r.source] += r.size or 0
+    for s, n in size.items():  # a row takes up all blocks it covers, also those in which no row starts
+        assert {r.block for r in made if r.source == s} <= set(range(n // mixing.BLOCK + 1))
+    shares = {s: max(n, 1) ** 0.5 for s, n in size.items()}
+    left, had = {s: n // mixing.BLOCK + 1 for s, n in size.items()}, Counter()
+    for p in mixing.phases(left, shares):
+        for s in p["order"] * p["periods"]:
+            slot_source[len(slot_source)] = s
+    assert all(slot_source[r.slot] == r.source for r in made)
+    for at in range(len(slot_source)):
+        had[slot_source[at]] += 1
+        assert all(abs(had[s] - (at + 1) * w / sum(shares.values())) < 1.2 for s, w in shares.items())
+        if had[slot_source[at]] == left[slot_source[at]]:
+            break
+
+
+def test_many_planned_slots_join_by_block(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, "x" * (i % 90), f"s{i % 7 * (i % 3)}") for i in range(2_000)], "doc_id long, text string, source string")
+    broadcast = sorted(mixing.mix(frame, F.length("text"), block_size=500).collect())
+    monkeypatch.setattr(mixing, "MAX_PLANNED", 0)
+    assert sorted(mixing.mix(frame, F.length("text"), block_size=500).collect()) == broadcast and len(broadcast) == 2_000

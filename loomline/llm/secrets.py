@@ -7,11 +7,16 @@ three tests check: chi-squared for uniform use of the alphabet, runs above and b
 and serial correlation of neighbours. Fisher's method combines the three p-values.
 
 Short strings give the tests little to go by, so ordinary words can pass. Passing is therefore
-judged against decoys: for each candidate, as many letters and digits of the running text around
-it. For each encoding and class of lengths, the share of decoys that reach a score estimates the
-false discoveries among the candidates that reach it; the lowest score whose estimate stays within
-``FALSE_DISCOVERIES`` is that class's threshold, and a class without one reports nothing. Counts
-are summed over all documents in a table of bounded size (encodings x lengths x score bins).
+judged against decoys: for each candidate, as many characters of its alphabet from the running text
+around it, other candidates left out. Decoys keep their own statistics and pass through the same
+steps as candidates, so only those count that would be candidates of that encoding. For each encoding
+and class of lengths, the share of decoys that reach a score estimates the false discoveries among
+the candidates that reach it; the lowest score whose estimate stays within ``FALSE_DISCOVERIES`` is
+that class's threshold, and a class whose decoys allow none reports nothing. A class with too few
+decoys to show that rate takes the threshold of the nearest length that has enough, or else
+``LEAST_P``, which is also the least p-value that any class reports: of random keys it loses that
+share. Counts are of distinct candidates and distinct decoys, summed in a table of bounded size
+(encodings x lengths x score bins).
 
 Defined cases: a null text is empty and has no spans; spans are in code points, end exclusive;
 equal spans of several kinds are all listed; repeated rows are scanned alike; an empty table gives
@@ -20,6 +25,7 @@ an empty table; other columns are passed through, columns named like the results
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -51,10 +57,14 @@ ALPHABETS = {
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
+NOT_IN = {name: re.compile(f"[^{re.escape(a)}]+") for name, a in ALPHABETS.items()}
 PLACES = {name: np.array([{c: i for i, c in enumerate(a)}.get(chr(b), -1) for b in range(128)], np.int64) for name, a in ALPHABETS.items()}
 SIZES = {name: min(64, len(a)) for name, a in ALPHABETS.items()}
 LENGTHS = [20, 24, 28, 32, 40, 48, 64, 96, 1 << 30]
 FALSE_DISCOVERIES = 0.02
+LEAST_P = 0.01
+#: Running text searched on each side of a candidate for its decoy, in candidates' lengths.
+NEAR = 16
 BINS = 40
 ROWS = 500
 
@@ -158,42 +168,52 @@ def candidates(text: str) -> list[tuple[int, int, str, int, int]]:
     return out
 
 
-def decoy(text: str, start: int, end: int) -> str:
-    """As many ASCII letters and digits of the running text after (or before) a candidate as it has characters."""
+def decoy(text: str, start: int, end: int, name: str) -> str:
+    """As many characters of an alphabet, in its case, from the text after (or before) a candidate as it has characters."""
     need = end - start
-    after = "".join(c for c in text[end : end + 3 * need] if c.isascii() and c.isalnum())
-    before = "".join(c for c in text[max(0, start - 3 * need) : start] if c.isascii() and c.isalnum())
-    return (after + before)[:need]
 
+    def fitting(part: str) -> str:
+        part = part.encode("ascii", "ignore").decode()
+        return NOT_IN[name].sub("", part.upper() if name in ("HEX", "base32", "BASE36") else part.lower() if name in ("hex", "base36") else part)
 
-def _decoy_bin(run: str, name: str) -> int:
-    """A decoy's score in the candidate's encoding; characters outside it are taken to the nearest case or folded in."""
-    shaped = run.upper() if name in ("HEX", "base32", "BASE36") else run.lower() if name in ("hex", "base36") else run
-    places = PLACES[name][np.frombuffer(shaped.encode(), np.uint8)]
-    alphabet = ALPHABETS[name]
-    codes = np.frombuffer(shaped.encode(), np.uint8)
-    folded = "".join(alphabet[p if p >= 0 else c % SIZES[name]] for p, c in zip(places.tolist(), codes.tolist(), strict=True))
-    return _bin(randomness(folded, name))
+    after = fitting(text[end : end + NEAR * need])
+    return (after if len(after) >= need else after + fitting(text[max(0, start - NEAR * need) : start]))[:need]
+
+
+def _without(text: str, spans: list) -> str:
+    """The text with blanks for the spans."""
+    parts, at = [], 0
+    for start, end, *_ in spans:
+        parts += [text[at:start], " " * (end - start)]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def _digest(name: str, run: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{name} {run}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
 def counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """encoding, length, score, decoy and n: how many candidates and decoys got each score."""
-    schema = "encoding string, length int, score int, decoy boolean"
+    """encoding, length, score, decoy and n: how many distinct candidates and decoys got each score."""
+    schema = "encoding string, length int, score int, decoy boolean, run long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             rows = []
             for t in batch.column(0).to_pylist():
-                for start, end, name, length, score in candidates(t or ""):
-                    rows.append((name, length, score, False))
-                    other = decoy(t, start, end)
-                    if len(other) >= SHORTEST:
-                        rows.append((name, length, _decoy_bin(other, name), True))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["encoding", "length", "score", "decoy"])
+                spans = candidates(t or "")
+                rest = _without(t, spans) if spans else ""
+                for start, end, name, length, score in spans:
+                    rows.append((name, length, score, False, _digest(name, t[start:end])))
+                    other = decoy(rest, start, end, name)
+                    # Of the candidate's length: shorter ones pass more easily.
+                    if len(other) == end - start and encoding(other) == name:
+                        rows.append((name, length, _bin(randomness(other, name)), True, _digest(name, other)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], names=["encoding", "length", "score", "decoy", "run"])
 
     scored = documents.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
-    return scored.groupBy("encoding", "length", "score", "decoy").agg(F.count("*").alias("n"))
+    return scored.distinct().groupBy("encoding", "length", "score", "decoy").agg(F.count("*").alias("n"))
 
 
 def thresholds(table: list[tuple[str, int, int, bool, int]], rate: float = FALSE_DISCOVERIES) -> dict[tuple[str, int], int]:
@@ -215,9 +235,23 @@ def thresholds(table: list[tuple[str, int, int, bool, int]], rate: float = FALSE
     return found
 
 
+def limits(table: list[tuple[str, int, int, bool, int]], rate: float = FALSE_DISCOVERIES) -> dict[tuple[str, int], int]:
+    """The lowest score that each encoding and length reports: by its decoys, or by what stands in where they are too few."""
+    least, own = _bin(LEAST_P) + 1, thresholds(table, rate)
+    decoys: dict[tuple[str, int], int] = {}
+    for e, n, _, is_decoy, count in table:
+        decoys[e, n] = decoys.get((e, n), 0) + is_decoy * count
+    found = {}
+    for e, n in decoys:
+        enough = [m for f, m in decoys if f == e and decoys[f, m] * rate >= 1]
+        nearest = min(enough, key=lambda m: (abs(m - n), m), default=None)
+        found[e, n] = least if nearest is None else max(least, own.get((e, nearest), BINS))
+    return found
+
+
 def scan(documents: DataFrame, rate: float = FALSE_DISCOVERIES, text: str = "text") -> DataFrame:
     """``documents`` with found: an array of (kind, start, end) ordered by start, then by kind."""
-    limits = thresholds([tuple(r) for r in counts(documents, text).collect()], rate)  # of bounded size
+    lowest = limits([tuple(r) for r in counts(documents, text).collect()], rate)  # of bounded size
     passed = [f for f in documents.schema.fields if f.name.lower() != "found"]
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([*passed, T.StructField("found", T.ArrayType(span))])
@@ -227,7 +261,7 @@ def scan(documents: DataFrame, rate: float = FALSE_DISCOVERIES, text: str = "tex
     def of(t: str | None) -> list[dict]:
         t = t or ""
         spans = known(t)
-        spans += [(start, end, "random") for start, end, name, length, score in candidates(t) if score >= limits.get((name, length), BINS)]
+        spans += [(start, end, "random") for start, end, name, length, score in candidates(t) if score >= lowest.get((name, length), BINS)]
         spans.sort(key=lambda s: (s[0], rank[s[2]]))
         return [{"kind": k, "start": a, "end": b} for a, b, k in spans]
 

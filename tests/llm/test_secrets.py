@@ -55,3 +55,37 @@ def test_edge_cases(spark):
     assert by[1] == by[2] == by[4] == [] and by[3] == [("assign", 0, 13)] and by[5] == [("access", 2, 2 + len(key))] and by[6] == [("hex", 0, 24)]
     assert len(by[7]) == 3_000 and by[7][0] == ("assign", 2, 16) and len(made) == 8
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_planted_keys_of_every_encoding_and_length_are_found(spark):
+    rng = random.Random(11)
+    words = "The report says that every harbour office Keeps its own book of ships and 12 crews since 1987 and Nobody reads them now".split()
+    rows, planted = [], {}
+    for name, alphabet in secrets.ALPHABETS.items():
+        for length in secrets.LENGTHS[:-1]:
+            for i in range(30):
+                key = "".join(rng.choice(alphabet) for _ in range(length))
+                before = " ".join(rng.choices(words, k=40)) + " " if i % 2 else ""  # every other document is only a key
+                planted[len(rows)] = (name, length, len(before), len(before) + length)
+                rows.append((len(rows), before + key + (" " + " ".join(rng.choices(words, k=40)) if before else "")))
+    plain = range(len(rows), len(rows) + 200)
+    rows += [(i, " ".join(rng.choices(words, k=80))) for i in plain]
+    made = {r.doc_id: {(s.start, s.end) for s in r.found if s.kind == "random"} for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = {}
+    for i, (name, length, start, end) in planted.items():
+        share.setdefault((name, length), []).append((start, end) in made[i])
+    assert {k: sum(v) / len(v) for k, v in share.items() if sum(v) / len(v) < 0.75} == {}
+    assert not any(made[i] for i in plain)
+
+
+def test_decoys_keep_their_own_statistics():
+    assert secrets.decoy("x" * 20 + " Efface a bad decade, 7 faced; zzz", 0, 20, "hex") == "effaceabaddecade7fac"
+    spans = secrets.candidates(f"{'a1' * 10} and {'b2' * 10} end")
+    assert [s[:2] for s in spans] == [(0, 20), (25, 45)] and secrets._without(f"{'a1' * 10} and {'b2' * 10} end", spans) == " " * 20 + " and " + " " * 20 + " end"
+
+
+def test_too_few_decoys_take_what_stands_in():
+    fixed = secrets._bin(secrets.LEAST_P) + 1
+    table = [("hex", 0, 39, False, 5), ("hex", 3, 39, False, 100), ("hex", 3, 39, True, 1), ("hex", 3, 33, True, 99), ("HEX", 0, 39, False, 5), ("HEX", 0, 39, True, 1)]
+    assert secrets.limits(table, 0.02) == {("hex", 0): 34, ("hex", 3): 34, ("HEX", 0): fixed}
+    assert secrets.limits([("hex", 0, 39, False, 10), ("hex", 0, 39, True, 100)], 0.02) == {("hex", 0): secrets.BINS}

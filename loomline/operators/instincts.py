@@ -1,8 +1,8 @@
 """Long-lived records ("instincts"): folding deltas, confidence and maturity, promotion, rollups.
 
 Observations are rows (instinct columns, ``at`` timestamp, ``ord``, ``reinforcing``); state is an
-aggregate over them. Only deltas that merge, deprecate or revive need their order replayed, and
-only for the projects that hold such deltas.
+aggregate over them. Only deltas that merge, deprecate or revive need their order replayed, by
+groups of the ids that merges connect.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import confidence as conf
 from loomline.functions.identity import record_id
+from loomline.operators.components import components
 
 # Fixed values.
 LEVELS = {"high": 0.7, "medium": 0.55, "low": 0.4}
@@ -155,6 +156,14 @@ def rollup_pages(instincts: DataFrame, page_lines: int = PAGE_LINES, header_line
 FOLDED = "project_id string, instinct_id string, trigger string, finding string, domain string, confidence_floor double, deprecated boolean, observations array<struct<session: string, reinforcing: boolean, at: timestamp>>, updated_at timestamp"
 
 
+def connected(deltas: DataFrame) -> DataFrame:
+    """``deltas`` with _group: the ids of a project that merges tie together, directly or through others, share one."""
+    own, into = (F.to_json(F.struct("project_id", c)) for c in (F.col("instinct_id"), F.col("into").alias("instinct_id")))
+    links = deltas.where("op = 'merge' and into is not null").select(own.alias("a"), into.alias("b"))
+    tied = components(links).select(F.col("node").alias("_node"), "component")
+    return deltas.withColumn("_node", own).join(tied, "_node", "left").withColumn("_group", F.coalesce("component", "_node")).drop("_node", "component")
+
+
 def fold(deltas: DataFrame) -> DataFrame:
     """Records of each project after replaying its deltas in the order of (at, pos).
 
@@ -166,13 +175,7 @@ def fold(deltas: DataFrame) -> DataFrame:
     The replay runs per connected group of ids: deltas that never merge replay by id, so a project
     however large never meets in one task unless merges tie it together.
     """
-    group = Window.partitionBy("project_id", "instinct_id")
-    merges = F.bool_or(F.col("op") == "merge")
-    targets = deltas.where("op = 'merge'").select("project_id", F.col("into").alias("instinct_id")).distinct().withColumn("_target", F.lit(True))
-    marked = deltas.join(targets, ["project_id", "instinct_id"], "left")
-    tied = F.coalesce(F.max(F.coalesce("_target", F.lit(False))).over(group), F.lit(False)) | merges.over(group)
-    keyed = marked.withColumn("_group", F.when(tied, F.lit("")).otherwise(F.col("instinct_id"))).drop("_target")
-    return keyed.groupBy("project_id", "_group").applyInPandas(_replayed, FOLDED)
+    return connected(deltas).groupBy("project_id", "_group").applyInPandas(_replayed, FOLDED)
 
 
 def _value(row: dict, now: pd.Timestamp) -> float:

@@ -60,6 +60,22 @@ def test_fold_of_all_operations(spark):
     assert made == want
 
 
+def test_fold_groups_only_what_merges_connect(spark):
+    at = [f"2024-01-01 00:00:{s:02d}" for s in range(30)]
+    ids = ["a", "b", "c", "d", "e", "f", "g"]
+    made = [("p", "create", i, None) for i in ids] + [("q", "create", i, None) for i in ids]
+    merges = [("p", "merge", "a", "b"), ("p", "merge", "b", "c"), ("p", "merge", "d", "e"), ("p", "merge", "f", None), ("q", "merge", "a", "g"), ("p", "merge", "g", "g")]
+    rows = [(p, "s", at[k], k, op, i, "t", "f", "workflow", 0.5, None, into) for k, (p, op, i, into) in enumerate(made + merges)]
+    schema = "project_id string, session_id string, at string, pos long, op string, instinct_id string, trigger string, finding string, domain string, initial_confidence double, correction string, into string"
+    frame = spark.createDataFrame(rows, schema).withColumn("at", F.col("at").cast("timestamp"))
+    groups = {}
+    for r in instincts.connected(frame).collect():
+        groups.setdefault((r.project_id, r._group), set()).add(r.instinct_id)
+    assert sorted((p, "".join(sorted(g))) for (p, _), g in groups.items()) == [("p", "abc"), ("p", "de"), ("p", "f"), ("p", "g"), ("q", "ag"), *(("q", i) for i in "bcdef")]
+    left = sorted((r.project_id, r.instinct_id, len(r.observations)) for r in instincts.fold(frame).collect())
+    assert left == [("p", "c", 3), ("p", "e", 2), *(("q", i, 1) for i in "bcdef"), ("q", "g", 2)]
+
+
 def test_eligibility_after_a_contradiction(spark):
     rows = [("a", f"2024-01-{d:02d} 00:00:00", d, ok) for d, ok in ((1, True), (2, False), (3, True), (4, True), (20, True))]
     frame = spark.createDataFrame(rows, "k string, at string, ord int, reinforcing boolean").withColumn("at", F.col("at").cast("timestamp"))

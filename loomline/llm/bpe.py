@@ -14,25 +14,17 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import pre_tokenizers
 
-from loomline.llm.chunks import ChunkEncoder, Memo
-from loomline.llm.common import slices
+from loomline.llm.chunks import ChunkEncoder, gathered, steps
 
-#: Fixed value: the split pattern of byte-level tokenizer files of this kind.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Code points on whose classes all Unicode versions agree; other texts are split by the library's own tables.
-SETTLED = re.compile("[^\u0000-ԯ -⁯]")
-ROWS = 500
+ROWS = 2000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,31 +34,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class BytePairCoder:
-    """Encoder and decoder of one tokenizer file, with memos of bounded size."""
+class BytePairEncoder:
+    """Ids of texts by the merges of one tokenizer file, with memos of bounded size."""
 
-    def __init__(self, content: str, room: int = 600_000):
+    def __init__(self, content: str):
         spec = json.loads(content)
-        model, added = spec["model"], spec.get("added_tokens", [])
-        alphabet = byte_alphabet()
-        ids = model["vocab"]
-        self.strings = {i: bytes(alphabet[c] for c in token) for token, i in ids.items()}
-        self.added = {a["content"]: a["id"] for a in added}
-        self.strings |= {i: s.encode() for s, i in self.added.items()}
+        alphabet, ids = byte_alphabet(), spec["model"]["vocab"]
         self.of_byte = {alphabet[c]: i for c, i in ids.items() if len(c) == 1}
-        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
         #: By rank: the two symbols that merge, and what they become.
         self.merge_of = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
         self.rank_of = {(a, b): rank for rank, (a, b, _) in enumerate(self.merge_of)}
-        self.pattern = regex.compile(PATTERN)
-        self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.cut = re.compile("|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) or r"(?!)")
-        self.pieces = Memo(self._piece, room)
-        self.texts = ChunkEncoder(self._whole, self._many, list(self.added), room)
+        self.texts = ChunkEncoder(self._many, {a["content"]: a["id"] for a in spec.get("added_tokens", [])})
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.merged(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (self.merged(p.encode()) for p in pieces)]
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of one piece: the lowest rank first, the leftmost of equal ranks.
@@ -97,46 +79,56 @@ class BytePairCoder:
                 heapq.heappush(queue, rank * n + h)
         return [s for s in symbols if s >= 0]
 
-    def _split(self, text: str) -> list[str]:
-        if not SETTLED.search(text):
-            return self.pattern.findall(text)
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
-
-    def _whole(self, text: str) -> bytes:
-        out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += map(self.pieces.__getitem__, self._split(text[at : m.start()]))
-            out.append(np.array([self.added[m[0]]], "<u4").tobytes())
-            at = m.end()
-        out += map(self.pieces.__getitem__, self._split(text[at:]))
-        return b"".join(out)
-
-    def _many(self, chunks: list[str]) -> list[bytes]:
-        return [b"".join(map(self.pieces.__getitem__, self._split(f" {c}"))) for c in chunks]
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
         return self.texts.encode_all(texts)
 
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+    def encode(self, text: str | None) -> list[int]:
+        return self.texts.encode(text)
 
-    def decode(self, ids: bytes | None) -> str:
-        """The text of such ids; byte sequences that are not UTF-8 become replacement characters."""
-        numbers = np.frombuffer(ids or b"", "<u4").tolist()
-        return b"".join([self.strings.get(i, b"") for i in numbers]).decode("utf-8", "replace")
 
+class BytePairDecoder:
+    """Texts of ids: the vocabulary's byte strings in one array, gathered by id."""
 
-_coders: dict[int, BytePairCoder] = {}
+    def __init__(self, content: str):
+        spec, alphabet = json.loads(content), byte_alphabet()
+        strings = {i: bytes(alphabet[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+        strings |= {a["id"]: a["content"].encode() for a in spec.get("added_tokens", [])}
+        self.room = max(strings, default=-1) + 1
+        row = [strings.get(i, b"") for i in range(self.room + 1)]  # the last one stands for ids outside
+        self.bytes = np.frombuffer(b"".join(row), np.uint8)
+        self.sizes = np.fromiter(map(len, row), np.int64, len(row))
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The text of each run of ``counts`` ids; byte sequences that are not UTF-8 become replacement characters."""
+        known = np.minimum(ids, self.room)
+        sizes = self.sizes[known]
+        data = gathered(self.bytes, self.starts[known], sizes)
+        upto, ends = np.concatenate([[0], np.cumsum(sizes)]), np.cumsum(counts)
+        offsets = np.concatenate([[0], upto[ends]]).astype(np.int64)
+        made = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+        try:
+            made.validate(full=True)
+        except pa.ArrowInvalid:
+            whole = data.tobytes()
+            made = pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], pa.large_string())
+        return made
 
-def coder_of(content) -> BytePairCoder:
-    """The coder of a broadcast tokenizer file; built once per Python worker."""
-    key = hash(content.value)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = BytePairCoder(content.value)
-    return _coders[key]
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_all(np.array(ids, "<u4"), np.array([len(ids)]))[0].as_py()
+
+
+_made: dict[tuple[type, int], object] = {}
+
+
+def made_of(kind: type, content):
+    """The encoder or decoder of a broadcast tokenizer file; built once per Python worker."""
+    key = (kind, hash(content.value))
+    if key not in _made:
+        _made.clear()
+        _made[key] = kind(content.value)
+    return _made[key]
 
 
 def _file(df: DataFrame, tokenizer: str):
@@ -145,44 +137,39 @@ def _file(df: DataFrame, tokenizer: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _added(df: DataFrame, fields: list[T.StructField]) -> tuple[list[str], T.StructType]:
+def _mapped(df: DataFrame, column: str, fields: list[T.StructField], work: Callable) -> DataFrame:
+    """``df`` with new last columns: what ``work`` makes of ``column``, some rows at a time."""
     names = {f.name.lower() for f in fields}
-    keep = [f for f in df.schema.fields if f.name.lower() not in names]
-    return [f.name for f in keep], T.StructType(keep + fields)
-
-
-def _mapped(df: DataFrame, column: str, fields: list[T.StructField], types: list[pa.DataType], work) -> DataFrame:
-    """``df`` with new last columns: what ``work`` makes of the values of ``column``, some rows at a time."""
-    passed, schema = _added(df, fields)
+    passed = [f for f in df.schema.fields if f.name.lower() not in names]
+    schema = T.StructType([*passed, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, ROWS):
-            made = work(batch.column(len(passed)).to_pylist())
-            columns = [batch.column(i) for i in range(len(passed))] + [pa.array(c, t) for c, t in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for batch in steps(batches, len(passed), ROWS):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *work(batch.column(len(passed)))], names=schema.names)
 
-    quoted = [f"`{c}`" for c in passed]
-    return df.select(*quoted, df[f"`{column}`"].alias("_in")).mapInArrow(run, schema)
+    return df.select(*(f"`{f.name}`" for f in passed), df[f"`{column}`"].alias("_in")).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
     """``df`` with ``ids`` (binary: little-endian unsigned 32-bit) and ``count`` of every whole text."""
     content = _file(df, tokenizer)
 
-    def work(texts: list) -> tuple:
-        made = coder_of(content).encode_all(texts)
-        return made, [len(b) // 4 for b in made]
+    def work(texts: pa.Array) -> tuple:
+        made, counts = made_of(BytePairEncoder, content).encode_all(texts)
+        offsets = (4 * np.concatenate([[0], np.cumsum(counts)])).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(made)]), pa.array(counts, pa.int64())
 
-    fields = [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())]
-    return _mapped(df, text, fields, [pa.binary(), pa.int64()], work)
+    return _mapped(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], work)
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the ``text`` of the ids that ``encode`` made."""
     content = _file(df, tokenizer)
 
-    def work(values: list) -> tuple:
-        coder = coder_of(content)
-        return ([coder.decode(b) for b in values],)
+    def work(values: pa.Array) -> tuple:
+        held = [v or b"" for v in values.to_pylist()]
+        counts = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        whole = np.frombuffer(b"".join(v[: 4 * n] for v, n in zip(held, counts.tolist(), strict=True)), "<u4")
+        return (made_of(BytePairDecoder, content).decode_all(whole, counts).cast(pa.string()),)
 
-    return _mapped(df, ids, [T.StructField(text, T.StringType())], [pa.string()], work)
+    return _mapped(df, ids, [T.StructField(text, T.StringType())], work)

@@ -1,6 +1,6 @@
 """Token ids in binary shards coded by static range asymmetric numeral systems.
 
-A shard file is a row of *segments*. A segment holds whole documents in order, one frequency
+A shard file holds *segments*, a record each. A segment holds whole documents in order, one frequency
 table that all its blocks share, a directory of document ids and lengths, and blocks of up to
 ``BLOCK`` ids. A block is coded by itself on interleaved lanes: lane i takes ids i, i + lanes, ...
 Every block has a checksum and checkpoints (word position and lane states at some steps), so
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomline.llm.chunks import ChunkEncoder
+from loomline.llm.chunks import ChunkEncoder, steps
 from loomline.llm.common import slices
 
 MAGIC = b"LLTS"
@@ -36,7 +36,7 @@ PRECISION = 20  # frequencies sum to 2 ** PRECISION
 LOW = 31  # a lane's state stays in [2 ** LOW, 2 ** (LOW + 32))
 LANES, BLOCK, SEGMENT, CHECKPOINT = 2048, 1 << 18, 1 << 22, 64
 SEGMENTS_PER_FILE = 8
-ROWS = 500
+ROWS = 2000
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -191,33 +191,33 @@ class Segment:
 
 
 def segments_of(content: bytes) -> Iterator[Segment]:
-    """The segments of a shard file's bytes."""
+    """The segments of a shard's bytes."""
     data, at = memoryview(content), 0
     while at < len(data):
         if bytes(data[at : at + 4]) != MAGIC:
             raise ValueError(f"no segment at byte {at}")
         size = 16 + struct.unpack_from("<Q", data, at + 4)[0]
         yield Segment(data[at : at + size])
-        at += size + 1  # the writer ends every record with a line feed
+        at += size
 
 
 _encoders: dict[int, ChunkEncoder] = {}
-#: Chunks in one call of the library.
+#: Pieces in one call of the library.
 LOT = 2000
 
 
 def library_encoder(content: str) -> ChunkEncoder:
-    """Ids of texts by the tokenizers library; equal chunks of texts are encoded once.
+    """Ids of texts by the tokenizers library; equal pieces are encoded once.
 
-    New chunks are joined and encoded in one call. The ids fall to the chunks by their lengths in
-    bytes, which the vocabulary's strings give; should they not meet the joints (a tokenizer of
-    another kind), every chunk is encoded by itself.
+    New pieces are joined and encoded in one call: those that begin with a space as they are, others
+    with a line feed before each. The ids fall to the pieces by their lengths in bytes, which the
+    vocabulary's strings give; should they not meet the joints, every piece is encoded by itself.
     """
     if (key := hash(content)) not in _encoders:
         tokenizer = Tokenizer.from_str(content)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         sizes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
         for token, i in tokenizer.get_vocab().items():
             sizes[i] = len(token)
@@ -225,21 +225,28 @@ def library_encoder(content: str) -> ChunkEncoder:
         def whole(text: str) -> bytes:
             return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-        def lot(chunks: list[str]) -> list[bytes]:
-            data = whole(" " + " ".join(chunks))
+        def lot(pieces: list[str], mark: str) -> list[bytes]:
+            data = whole("".join([mark + p for p in pieces]))
             ends = np.cumsum(sizes[np.frombuffer(data, "<u4")])
-            joints = np.cumsum([1 + len(c.encode()) for c in chunks])
-            at = np.searchsorted(ends, joints)
-            if len(ends) == 0 or at[-1] != len(ends) - 1 or not np.array_equal(ends[at], joints):
-                return [whole(f" {c}") for c in chunks]
-            stops = (4 * (at + 1)).tolist()
-            return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-
-        def many(chunks: list[str]) -> list[bytes]:
-            return [ids for i in range(0, len(chunks), LOT) for ids in lot(chunks[i : i + LOT])]
+            lengths = np.array([len(p.encode()) for p in pieces])
+            stops = np.cumsum(lengths + len(mark))
+            last = np.searchsorted(ends, stops)
+            first = np.searchsorted(ends, stops - lengths, "right")
+            if last[-1] != len(ends) - 1 or not np.array_equal(ends[last], stops) or (mark and not np.array_equal(ends[first - 1], stops - lengths)):
+                return [whole(p) for p in pieces]
+            return [data[i:j] for i, j in zip((4 * first).tolist(), (4 * (last + 1)).tolist(), strict=True)]
+
+        def many(pieces: list[str]) -> list[bytes]:
+            found = {}
+            blank = [p for p in pieces if p.isspace()]  # these would merge with a mark
+            found |= zip(blank, map(whole, blank), strict=True)
+            for mark, own in (("", [p for p in pieces if p[0] == " " and p not in found]), ("\n", [p for p in pieces if p[0] != " " and p not in found])):
+                for at in range(0, len(own), LOT):
+                    found |= zip(own[at : at + LOT], lot(own[at : at + LOT], mark), strict=True)
+            return [found[p] for p in pieces]
 
         _encoders.clear()
-        _encoders[key] = ChunkEncoder(whole, many, special, 600_000)
+        _encoders[key] = ChunkEncoder(many, special)
     return _encoders[key]
 
 
@@ -248,13 +255,11 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_
     spark = documents.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())  # a vocabulary, whose size no data changes
-    end = np.array([end_id], "<u4").tobytes()
 
     def coded(rows: Iterable[tuple]) -> Iterator[bytes]:
         part, number = TaskContext.get().partitionId(), 0
         held, size = [], 0
-        for i, data in rows:
-            ids = np.frombuffer(data + end, "<u4")
+        for i, ids in rows:
             held.append((i, ids))
             size += len(ids)
             if size >= SEGMENT:
@@ -265,20 +270,25 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(content.value)
-        rows = (r for b in slices(batches, ROWS) for r in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True))
-        for segment in coded(rows):
+
+        def rows() -> Iterator[tuple]:
+            for batch in steps(batches, 1, ROWS):
+                ids, counts = encoder.encode_all(batch.column(1), end_id)
+                yield from zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True)
+
+        for segment in coded(rows()):
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.binary())], names=["segment"])
 
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).withColumn("h", F.xxhash64("t"))
     order = [F.asc_nulls_first("i"), F.asc("h")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.asc("t")).select("i", "t")
     segments = ordered.mapInArrow(run, "segment binary")
-    # The text writer puts down the bytes as they are; a record is a segment.
-    segments.select(F.col("segment").cast("string")).write.option("maxRecordsPerFile", SEGMENTS_PER_FILE).text(path)
+    # A record of a Parquet file is a segment, so that Spark commits shards and takes back those of lost tasks.
+    segments.write.option("maxRecordsPerFile", SEGMENTS_PER_FILE).option("compression", "uncompressed").parquet(path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("segment binary").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -291,7 +301,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
             if columns:
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "segment", "n_docs", "n_tokens"])
 
-    found = _files(spark, path).mapInArrow(run, "part long, segment long, n_docs long, n_tokens long")
+    found = _segments(spark, path).mapInArrow(run, "part long, segment long, n_docs long, n_tokens long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     parts = found.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("of_part"))
     within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -314,4 +324,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 columns = [[s.part] * s.n_docs, [s.number] * s.n_docs, (ends - lengths).tolist(), numbers, lengths.tolist(), cut]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return _files(spark, path).mapInArrow(run, "part long, segment long, position long, doc_id long, n_tokens long, ids binary")
+    return _segments(spark, path).mapInArrow(run, "part long, segment long, position long, doc_id long, n_tokens long, ids binary")

@@ -7,15 +7,15 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from loomline.llm import bpe
-from loomline.llm.chunks import cut
+from loomline.llm import bpe, chunks
 from loomline.llm.queries import TOKENIZER, op5_bpe
 
 SF = "/root/testdata/sf0.001"
 PATH = str(public_tokenizers.path(TOKENIZER))
-ODD = [None, "", " ", "  ", "a ", " a", "a  b", "\n", " \n a", "a \nb\n\n c", "é ñ  ü", "日本語 テスト", "👍🏽 ok", "it's  we'll 12 3  !!", "\x1c a \x85 b", "<|endoftext|> x <|endoftext|>", "x" * 3_000, "ab " * 30_000]
+ODD = [None, "", " ", "  ", "a ", " a", "a  b", "\n", " \n a", "a \nb\n\n c", "é ñ  ü", "日本語 テスト", "👍🏽 ok", "it's  we'll 12 3  !!", "\x1c a \x85 b", "x\ny.\nz\n", "x.\n\ny\n\n\nz\n\n", "\n\nx", "x\n\t\ny", "\ta\n b", "12.\n13,|)$ it's. 'll, (a). é! ъ. --. ٣.", "<|endoftext|> x <|endoftext|>", "x" * 3_000, "ab " * 30_000]
 
 
 def library():
@@ -45,16 +45,36 @@ def test_query_equals_the_library(spark):
 
 def test_odd_and_random_texts():
     rng = random.Random(7)
-    texts = ODD + ["".join(rng.choice(" \n\ta1é!'日 👍sß") for _ in range(rng.randrange(60))) for _ in range(1_500)]
+    texts = ODD + ["".join(rng.choice(" \n\ta1é!'日 👍sß\x85\x1c.,|") for _ in range(rng.randrange(60))) for _ in range(1_500)]
+    texts += ["".join(rng.choice(["\n", "\n", "a", ".", "é", " "]) for _ in range(rng.randrange(12))) for _ in range(1_500)]
     with open(PATH, encoding="utf-8") as f:
-        coder = bpe.BytePairCoder(f.read(), room=500)
-    made = coder.encode_all(texts)
-    assert [(len(b) // 4, digest(b), digest(coder.decode(b).encode())) for b in made] == expected(texts)
-
-
-def test_chunks_join_to_the_text():
-    for text in ["", " ", "a b", "a  b ", " \n a", "a \t b"]:
-        assert " ".join(cut(text)) == text
+        content = f.read()
+    coder, decoder = bpe.BytePairEncoder(content), bpe.BytePairDecoder(content)
+    coder.texts.tails.room = coder.texts.chunks.room = 20_000  # so that memos turn over
+    want = expected(texts)
+    for lot in (1, 7, len(texts)):
+        made = []
+        for at in range(0, len(texts), lot):
+            ids, counts = coder.encode_all(pa.array(texts[at : at + lot], pa.string()))
+            shown = decoder.decode_all(ids, counts).to_pylist()
+            made += [(len(own), digest(own.tobytes()), digest(t.encode())) for own, t in zip(np.split(ids, np.cumsum(counts)[:-1]), shown, strict=True)]
+        assert made == want
+    assert decoder.decode([0xFFFFFFFF, *coder.encode("a b"), coder.of_byte[0xC3]]) == "a b\ufffd"
+
+
+def test_memos_stay_within_their_bytes():
+    memo = chunks.Memo(20_000)
+
+    def make(keys):
+        return np.arange(len(keys), dtype=np.uint32) + 7, np.ones(len(keys), np.int64)
+
+    for at in range(0, 5_000, 50):
+        keys = [*(f"word {i}" for i in range(at, at + 50)), "often"]
+        table, starts, sizes = memo.find(pa.array(keys, pa.large_string()), np.array([*[1] * 50, 9]), make)
+        assert table[starts].tolist()[:50] == list(range(7, 57)) and set(sizes) == {1}
+        assert sum(map(len, memo.keys.to_pylist())) + 4 * len(memo.ids) + chunks.ENTRY * len(memo.keys) <= memo.room
+    table, starts, _ = memo.find(pa.array(["often"], pa.large_string()), np.array([1]), lambda own: 1 / 0)
+    assert table[starts].tolist() == [57]
 
 
 def test_tables(spark):

@@ -119,16 +119,15 @@ class BytePairDecoder:
         return self.decode_all(np.array(ids, "<u4"), np.array([len(ids)]))[0].as_py()
 
 
-_made: dict[tuple[type, int], object] = {}
+_made: dict[type, tuple[int, object]] = {}
 
 
 def made_of(kind: type, content):
     """The encoder or decoder of a broadcast tokenizer file; built once per Python worker."""
-    key = (kind, hash(content.value))
-    if key not in _made:
-        _made.clear()
-        _made[key] = kind(content.value)
-    return _made[key]
+    key = hash(content.value)
+    if kind not in _made or _made[kind][0] != key:
+        _made[kind] = (key, kind(content.value))
+    return _made[kind][1]
 
 
 def _file(df: DataFrame, tokenizer: str):
@@ -150,14 +149,18 @@ def _mapped(df: DataFrame, column: str, fields: list[T.StructField], work: Calla
     return df.select(*(f"`{f.name}`" for f in passed), df[f"`{column}`"].alias("_in")).mapInArrow(run, schema)
 
 
+def _as_binary(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = (4 * np.concatenate([[0], np.cumsum(counts)])).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
     """``df`` with ``ids`` (binary: little-endian unsigned 32-bit) and ``count`` of every whole text."""
     content = _file(df, tokenizer)
 
     def work(texts: pa.Array) -> tuple:
         made, counts = made_of(BytePairEncoder, content).encode_all(texts)
-        offsets = (4 * np.concatenate([[0], np.cumsum(counts)])).astype(np.int32)
-        return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(made)]), pa.array(counts, pa.int64())
+        return _as_binary(made, counts), pa.array(counts, pa.int64())
 
     return _mapped(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], work)
 
@@ -173,3 +176,16 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
         return (made_of(BytePairDecoder, content).decode_all(whole, counts).cast(pa.string()),)
 
     return _mapped(df, ids, [T.StructField(text, T.StringType())], work)
+
+
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass, so that a task needs one Python worker and sends its rows once."""
+    content = _file(df, tokenizer)
+
+    def work(texts: pa.Array) -> tuple:
+        made, counts = made_of(BytePairEncoder, content).encode_all(texts)
+        shown = made_of(BytePairDecoder, content).decode_all(made, counts)
+        return _as_binary(made, counts), pa.array(counts, pa.int64()), shown.cast(pa.string())
+
+    fields = [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType()), T.StructField(decoded, T.StringType())]
+    return _mapped(df, text, fields, work)

@@ -81,4 +81,6 @@ def test_tables(spark):
     frame = spark.createDataFrame([(1, "a b", "kept"), (2, None, None), (2, None, None)], "doc_id long, text string, n_tokens string")
     both = bpe.decode(bpe.encode(frame, PATH), PATH)
     assert sorted((r.doc_id, r.n_tokens, r.decoded) for r in both.collect()) == [(1, 2, "a b"), (2, 0, ""), (2, 0, "")]
-    assert bpe.encode(frame.limit(0), PATH).count() == 0
+    at_once = bpe.round_trip(frame, PATH)
+    assert at_once.columns == ["doc_id", "text", "ids", "n_tokens", "decoded"] and sorted(map(str, at_once.collect())) == sorted(map(str, both.collect()))
+    assert bpe.encode(frame.limit(0), PATH).count() == 0 == bpe.round_trip(frame.limit(0), PATH).count()

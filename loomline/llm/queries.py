@@ -32,9 +32,9 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-#: Rules on host and path, and hosts known for spam, whose pages are blocked where no rule fits.
+#: Rules on host and path, and names of sites listed under every ending, whose pages are blocked where no rule fits.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
-LISTED = ["spam-farm.example.org", "cheap-pills.example.com"]
+LISTED = [f"{name}.example.{ending}" for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track") for ending in ("com", "net", "org")]
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     tokenizer = public_tokenizers.path(TOKENIZER)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, tokenizer).select("doc_id", "n_tokens", "ids"), tokenizer)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, tokenizer).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +118,9 @@ with entry(entry, verdict, is_rule) as (values {_ENTRIES}),
   listing as (select *, regexp_extract(entry, '^[^/]*') as h, regexp_extract(entry, '^[^/]*(.*)$', 1) as p from entry),
   address as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
   page as (select page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from address),
+  canonical as (select *, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') as bare from page),
   fit as (select page_id, entry, verdict, is_rule, row_number() over (partition by page_id order by is_rule desc, length(entry) desc, length(h) desc) as n
-    from page join listing on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+    from canonical join listing on case when is_rule then (host = h or ends_with(host, '.' || h)) and starts_with(path, p) else bare = h or ends_with(bare, '.' || h) end)
 select page.page_id, host, path, case when is_rule then entry end as rule, coalesce(verdict, 'allow') as verdict
 from page left join fit on fit.page_id = page.page_id and n = 1
 """

@@ -4,8 +4,9 @@ Shingles are hashed into a circle of 2 ** 20 places. One permutation scatters th
 one, shifted by k along the circle, gives signature coordinate k. So a shingle's values in all
 coordinates are one run of the second permutation, and a signature is the minimum over such runs.
 
-The candidates of a band's bucket are never multiplied out. Documents with equal shingle sets are
-one class, which its smallest id represents. A class's ``own`` shingles occur in no other compared
+The candidates of a band's bucket are never multiplied out. Texts with equal shingle sets are one
+class, a node of the graph with a number of its own; links and bounds are between classes, and the
+classes of an id that comes with several texts are linked. A class's ``own`` shingles occur in no other compared
 class, so they can be in no intersection; with the sizes they bound the similarity of a pair from
 above, and pairs (or whole classes) that cannot reach the threshold are left out without a loss.
 Every bucket compares all members with its leader, the member with the smallest share of own
@@ -80,22 +81,28 @@ def circle(coordinates: int) -> Circulant:
     return _circles[coordinates]
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
+    whole = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return _signed(whole >> 64), _signed(whole & (1 << 64) - 1)
+
+
 def signatures(documents: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, f1 and f2 (128-bit fingerprint of the set), bands (array of bucket keys)."""
     names = ["doc_id", "n_shingles", "f1", "f2", "bands"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
-    def signed(value: int) -> int:
-        return value - (1 << 64) if value >> 63 else value
-
     def of(text: str | None) -> tuple:
         hashes = shingle_hashes(text, words)
         if not len(hashes):
             return 0, None, None, []
-        whole = xxhash.xxh3_128_intdigest(hashes.tobytes())
         signature = circle(bands * rows).signature(hashes)
-        keys = [signed(xxhash.xxh3_64_intdigest(signature[b * rows : (b + 1) * rows].tobytes(), b)) for b in range(bands)]
-        return len(hashes), signed(whole >> 64), signed(whole & (1 << 64) - 1), keys
+        keys = [_signed(xxhash.xxh3_64_intdigest(signature[b * rows : (b + 1) * rows].tobytes(), b)) for b in range(bands)]
+        return len(hashes), *_fingerprint(hashes), keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
@@ -105,21 +112,23 @@ def signatures(documents: DataFrame, words: int, bands: int = BANDS, rows: int =
     return documents.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
-def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles (array of hashes) of documents that are compared in full."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node, again, shingles (array of hashes) of the rows of node, again, f1, f2, text whose text has that fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
-            sets = [shingle_hashes(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [shingle_hashes(t, words) for t in batch.column(4).to_pylist()]
+            same = [len(s) > 0 and _fingerprint(s) == key for s, key in zip(sets, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), strict=True)]
+            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "again", "shingles"])
+            yield made.filter(pa.array(same, pa.bool_()))
 
-    return documents.mapInArrow(run, "doc_id long, shingles array<long>")
+    return texts.select("node", "again", "f1", "f2", "text").mapInArrow(run, "node long, again boolean, shingles array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked, common and bits of pairs: whether their full sets reach the threshold, and which of a's shingles b has."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +166,8 @@ def _open_pairs(percent: int):
         extra, most, noted = np.minimum(*both("extra")), np.minimum(*both("most")), np.logical_and(*both("noted"))
         within = np.rint(inside(ask) @ inside(have).T).astype(np.int64)
         bound = np.where(noted, np.minimum(within + extra, most), most)
-        (n, m), (rep, other), (mine, theirs) = both("n"), both("rep"), both("component")
-        once = ~have["asks"].to_numpy()[None, :] | (rep < other)  # two that both ask meet once
+        (n, m), (node, other), (mine, theirs) = both("n"), both("node"), both("component")
+        once = ~have["asks"].to_numpy()[None, :] | (node < other)  # two that both ask meet once
         i, j = np.nonzero((mine != theirs) & once & (100 * bound >= percent * (n + m - bound)))
         if len(i):
             left, right = np.stack(ask["bands"].to_list()), np.stack(have["bands"].to_list())
@@ -175,7 +184,7 @@ def _open_pairs(percent: int):
                 x = root[y]
             return x
 
-        a, b = ask["rep"].to_numpy()[i].tolist(), have["rep"].to_numpy()[j].tolist()
+        a, b = ask["node"].to_numpy()[i].tolist(), have["node"].to_numpy()[j].tolist()
         ca, cb = ask["component"].to_numpy()[i].tolist(), have["component"].to_numpy()[j].tolist()
         out = []
         for k in np.flatnonzero(decided).tolist():
@@ -192,55 +201,67 @@ def _open_pairs(percent: int):
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked id), kept (whether that is the row's own id)."""
     docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    scratch = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(stored(df, name))
+        return scratch[-1]
+
     signed = stored(signatures(docs, words), "signatures")
     able = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(able.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
+    classes = able.groupBy("f1", "f2").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    # The numbers are unique, and the stored table keeps them.
+    classes = held(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    again = held(able.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "again")
 
-    entries = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "n")
+    entries = classes.select(F.posexplode("bands").alias("band", "key"), "node", "n")
     sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    shared = stored(entries.join(sizes, "key"), "shared")
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.join(wanted, "doc_id"), words), "sets")
-    # An id that comes with several texts is one document: the classes of its texts are linked, and it has no bounds.
-    named = able.select("doc_id", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep").distinct()
-    several = stored(named.groupBy("doc_id").agg(F.count("*").alias("texts"), F.min("rep").alias("a")).where("texts > 1"), "several")
-    alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("sets"), F.min("doc_id").alias("rep")).where("sets = 1")
-    own = stored(alone.groupBy("rep").agg(F.count("*").alias("own")).join(several.select(F.col("doc_id").alias("rep")), "rep", "left_anti"), "own")
-    members = shared.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    shared = held(entries.join(sizes, "key"), "shared")
+    wanted = classes.join(shared.select("node").distinct(), "node").select("node", "f1", "f2", F.col("least_id").alias("doc_id"))
+    wanted = wanted.join(again.withColumn("again", F.lit(True)), "doc_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    sets = held(shingle_sets(docs.join(wanted, "doc_id"), words), "sets")
+    repeated = sets.where("again")
+    if repeated.take(1):  # rows that repeat an id and text give a set each
+        once = repeated.groupBy("node").agg(F.first("again").alias("again"), F.first("shingles").alias("shingles"))
+        sets = held(sets.where("not again").unionByName(once), "sets")
+    alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("sets"), F.min("node").alias("node")).where("sets = 1")
+    own = held(alone.groupBy("node").agg(F.count("*").alias("own")), "own")
+    members = shared.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     able_to_link = f"100 * (n - own) >= {percent} * n"  # else its own shingles alone rule every link out
-    rank = F.struct(F.floor(1000 * F.col("own") / F.col("n")).alias("share"), "rep")
-    members = stored(members.where(able_to_link).select("key", "band", "rep", "n", "own", rank.alias("rank")), "members")
+    rank = F.struct(F.floor(1000 * F.col("own") / F.col("n")).alias("share"), "node")
+    members = held(members.where(able_to_link).select("key", "band", "node", "n", "own", rank.alias("rank")), "members")
     leaders = members.groupBy("key").agg(F.min(F.struct("rank", "n", "own")).alias("l"), F.min("n").alias("least"))
-    leaders = stored(leaders.select("key", F.col("l.rank.rep").alias("leader"), F.col("l.n").alias("pn"), F.col("l.own").alias("pown"), "least"), "leaders")
+    leaders = held(leaders.select("key", F.col("l.rank.node").alias("leader"), F.col("l.n").alias("pn"), F.col("l.own").alias("pown"), "least"), "leaders")
     # An upper bound of the intersection in place of it: 100 c >= percent (n + pn - c).
     near = f"{100 + percent} * least(n - own, pn - pown) >= {percent} * (n + pn)"
-    first = members.join(leaders, "key").where(near).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    against = stored(compared(first, sets, percent), "against-leaders")
-    same_id = named.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
-    links = stored(against.where("linked").select("a", "b").unionByName(same_id), "confirmed")
+    first = members.join(leaders, "key").where(near).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    against = held(compared(first, sets, percent), "against-leaders")
+    of_id = able.join(again, "doc_id").join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select("doc_id", "node").distinct()
+    first_of_id = of_id.groupBy("doc_id").agg(F.min("node").alias("a"))
+    same_id = of_id.join(first_of_id, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+    links = held(against.where("linked").select("a", "b").unionByName(same_id), "confirmed")
     found = components(links)
 
     # The largest partner that a member's own shingles allow must not be smaller than the bucket's smallest.
     partner = f"floor({100 + percent} * (n - own) / {percent}) - n >= least"
-    named = members.drop("rank").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = members.drop("rank").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = named.groupBy("key", "component").agg(F.count("*").alias("size"))
     largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")).where("parts > 1").drop("parts")
     mixed = named.join(largest.join(leaders.select("key", "leader", "least"), "key"), "key").where(partner).drop("least")
-    mixed = stored(mixed.withColumn("asks", F.col("component") != F.col("main")).drop("main"), "mixed")
+    mixed = held(mixed.withColumn("asks", F.col("component") != F.col("main")).drop("main"), "mixed")
     # What was compared with the leader is settled, so the leader meets nobody again.
-    mixed = mixed.where("rep <> leader")
+    mixed = mixed.where("node <> leader")
     counts = mixed.groupBy("key").agg(F.count("*").alias("all"), F.count_if("asks").alias("asking")).where("asking > 0 and `all` > 1")
 
     def blocks(c: str) -> Column:
         return F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
 
-    counts = stored(counts.select("key", blocks("all").alias("blocks"), blocks("asking").alias("lots")), "counts")
-    noted = against.groupBy(F.col("a").alias("leader"), F.col("b").alias("rep")).agg(F.count("*").alias("times"), F.first("common").alias("common"), F.first("bits").alias("bits"))
-    noted = noted.where("times = 1").drop("times")  # more for an id with several sets
-    full = mixed.join(counts, "key").join(noted, ["leader", "rep"], "left").join(classes.select("rep", "bands"), "rep")
-    place = F.xxhash64("rep")
+    counts = held(counts.select("key", blocks("all").alias("blocks"), blocks("asking").alias("lots")), "counts")
+    noted = against.select(F.col("a").alias("leader"), F.col("b").alias("node"), "common", "bits")
+    full = mixed.join(counts, "key").join(noted, ["leader", "node"], "left").join(classes.select("node", "bands"), "node")
+    place = F.xxhash64("node")
     full = full.select(
-        *("key", "band", "rep", "n", "component", "asks", "bands", "blocks", "lots"),
+        *("key", "band", "node", "n", "component", "asks", "bands", "blocks", "lots"),
         F.col("bits").isNotNull().alias("noted"),
         F.coalesce("bits", F.lit(b"")).alias("bits"),
         (F.col("n") - F.coalesce("common", F.lit(0)) - F.col("own")).alias("extra"),
@@ -248,20 +269,23 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
         F.pmod(place, "blocks").cast("int").alias("block"),
         F.pmod(F.xxhash64(place), "lots").cast("int").alias("lot"),
     )
-    full = stored(full, "full")
+    full = held(full, "full")
     asking = full.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     facing = full.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
     meet = ["key", "block", "lot"]
-    open_pairs = stored(asking.groupBy(*meet).cogroup(facing.groupBy(*meet)).applyInPandas(_open_pairs(percent), "a long, b long, sure boolean"), "open")
+    open_pairs = held(asking.groupBy(*meet).cogroup(facing.groupBy(*meet)).applyInPandas(_open_pairs(percent), "a long, b long, sure boolean"), "open")
     checked = compared(open_pairs.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
-    more = stored(open_pairs.where("sure").select("a", "b").unionByName(checked.where("linked").select("a", "b")), "more")
+    more = held(open_pairs.where("sure").select("a", "b").unionByName(checked.where("linked").select("a", "b")), "more")
     if more.take(1):
         dropped(found)
         found = components(links.unionByName(more))
-    homes = classes.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    homes = stored(homes.select("f1", "f2", F.coalesce("component", "rep").alias("component_id")), "homes")
-    dropped(sets)
-    # A document without shingles is its own component; one whose id has several texts takes the smallest of theirs.
-    own_id = F.coalesce("component_id", "doc_id")
-    joined = signed.drop("bands").join(homes, ["f1", "f2"], "left").select("doc_id", "n_shingles", own_id.alias("component_id"))
+    scratch.append(found)
+    named = classes.select("f1", "f2", "node", "least_id").join(found, "node", "left")
+    least = named.where("component is not null").groupBy("component").agg(F.min("least_id").alias("smallest"))
+    homes = stored(named.join(least, "component", "left").select("f1", "f2", F.coalesce("smallest", "least_id").alias("component_id")), "homes")
+    for table in scratch:
+        dropped(table)
+    # A document without shingles is its own component.
+    component = F.coalesce("component_id", "doc_id")
+    joined = signed.drop("bands").join(homes, ["f1", "f2"], "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -74,6 +74,7 @@ def test_edge_cases(spark):
 
 
 def test_repeated_id_links_its_texts(spark):
+    """Ids with several texts of different lengths, and rows that repeat both."""
     rows = [(1, "a b c d e"), (1, "p q r s t"), (2, "p q r s t"), (3, "a b c d e")]
     made = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85)
     assert {r.component_id for r in made.collect()} == {1}
@@ -84,6 +85,22 @@ def test_repeated_id_links_its_texts(spark):
     assert {(r.doc_id, r.component_id) for r in made.collect()} == {(i, c) for i, _, c in brute(rows, 3, 80)}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ids_with_several_texts_of_different_lengths(spark, seed):
+    rng = random.Random(seed)
+    bases = [[f"{b}w{i}" for i in range(rng.randrange(8, 90))] for b in range(12)]
+    rows = []
+    for _ in range(90):
+        base = rng.choice(bases)
+        text = [w if rng.random() > 0.03 else f"y{rng.randrange(9_999)}" for w in base[: rng.randrange(len(base) * 3 // 4, len(base) + 1)]]
+        rows.append((rng.randrange(55), " ".join(text)))
+    rows += rows[:20] + [rows[0]] * 5
+    made = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=80).collect()
+    lengths = sorted((i, len(shingles(t, 3))) for i, t in rows)
+    assert sorted((r.doc_id, r.n_shingles) for r in made) == lengths
+    assert {(r.doc_id, r.component_id) for r in made} == {(i, c) for i, _, c in brute(rows, 3, 80)}
+
+
 def test_empty_table(spark):
     made = minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert made.count() == 0 and made.columns == ["doc_id", "n_shingles", "component_id", "kept"]

@@ -1,15 +1,17 @@
 """Quality rules on whole texts, and robust outlier rejection by minimum-covariance-determinant estimates.
 
 Every document gets a few counts and from them a vector of transformed shares. For each language
-and source (small groups share their language's estimate, small languages share one for all), the
-centre and covariance of the three quarters of documents that lie closest together are estimated:
-a start from medians and quartile ranges, then concentration steps that re-estimate from the rows
-with the smallest Mahalanobis distances. Documents far from their group's centre are rejected.
-
-All steps aggregate with partial sums and histograms of fixed bins, so no group, however large,
-meets in one task, and a repeated run gives the same verdicts. A floor under every variance keeps
-shares that are almost always zero from making small deviations count. Everything is DataFrame
-functions.
+and source (small groups share their language's estimate, small languages share one for all; sizes
+count the rows that the estimates see), the centre and covariance of the three quarters of documents
+with the smallest determinant of the covariance are sought: from several starts (medians and quartile
+ranges, mean and covariance, medians alone), concentration steps re-estimate from the rows with the
+smallest Mahalanobis distances until no determinant changes, and the start that ends with the
+smallest one gives the estimate. Documents far from their group's centre are rejected.
+
+A step is one aggregation: moments are summed by group and bin of distance, and the bins up to the
+quantile added. So no group, however large, meets in one task, and a repeated run gives the same
+verdicts. A floor under every variance keeps shares that are almost always zero from making small
+deviations count. Everything is DataFrame functions.
 
 Defined cases: a null, empty or blank text has no words and fails the base rules; fewer than 8
 words have no windows; a null language or source is a group of its own; repeated rows count and
@@ -24,14 +26,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import NOT_WHITE, UPPER, WHITE, WHITE_CHARS, stored
+from loomline.llm.common import NOT_WHITE, WHITE, dropped, stored
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SMALLEST_GROUP = 60
-CLOSEST, STEPS = 0.75, 3
+CLOSEST, MOST_STEPS, SETTLED = 0.75, 30, 1e-6
 #: Mean of the shares' prior, its weight in words or characters, and the floor of the deviation, for each transformed share.
 SHARES = ["word_length", "symbols", "capitals", "repeats", "dup_lines"]
 FLOOR = {"word_length": 0.05, "symbols": 0.045, "capitals": 0.07, "repeats": 0.12, "dup_lines": 0.12}
@@ -40,8 +42,13 @@ CHI_MEDIAN, CHI_CUT = 4.3515, 30.8562
 BINS = 40
 
 
-def _without(c: Column, characters: str) -> Column:
-    return F.translate(c, characters, "")
+def _without(c: Column, pattern: str) -> Column:
+    return F.regexp_replace(c, pattern, "")
+
+
+def _doubled(hashes: str, by: int) -> Column:
+    """From hashes of runs of ``by`` words those of twice as many; the last ones lack words."""
+    return F.zip_with(hashes, F.slice(hashes, by + 1, F.size(hashes)), lambda x, y: F.xxhash64(x, y))
 
 
 def counted(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -51,22 +58,22 @@ def counted(documents: DataFrame, text: str = "text") -> DataFrame:
         {
             "_words": F.filter(F.split(body, WHITE + "+"), lambda w: w != ""),
             "_full": F.filter(F.split(body, "\n", -1), lambda line: line.rlike(NOT_WHITE)),
-            "word_chars": F.length(_without(body, WHITE_CHARS)).cast("long"),
             "n_symbols": (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
-            "n_capitals": (F.length(body) - F.length(_without(body, UPPER))).cast("long"),
+            "n_capitals": (F.length(body) - F.length(_without(body, "[A-Z]+"))).cast("long"),
         }
     )
     rows = rows.withColumns(
         {
             "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_words": F.size("_words").cast("long"),
             "n_lines": F.size("_full").cast("long"),
             "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
         }
     ).drop("_words", "_full")
-    starts = F.sequence(F.lit(0), F.size("_hashes") - WINDOW)
-    windows = F.when(F.size("_hashes") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*(F.get("_hashes", i + k) for k in range(WINDOW)))))
-    rows = rows.withColumn("_windows", F.coalesce(windows, F.array().cast("array<bigint>")))
+    for by in (1, 2, 4):  # WINDOW is 8
+        rows = rows.withColumn("_hashes", _doubled("_hashes", by))
+    rows = rows.withColumn("_windows", F.slice("_hashes", 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0))))
     # Sorting windows with their places is left to the few texts in which a window repeats at all.
     placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -102,7 +109,7 @@ def shares() -> list[Column]:
 def grouped(rows: DataFrame, lang: str, source: str) -> DataFrame:
     """``rows`` with the columns g1, g2 of the group whose estimate holds for them."""
     rows = rows.withColumns({"g1": F.coalesce(F.concat(F.lit("="), F.col(f"`{lang}`").cast("string")), F.lit("-")), "g2": F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("-"))})
-    sizes = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("g1", "g2").agg(F.count_if(~F.col("base_failed")).alias("n"))
     small = F.col("n") < SMALLEST_GROUP
     of_lang = sizes.where(small).groupBy("g1").agg(F.sum("n").alias("pooled"))
     homes = sizes.join(of_lang, "g1", "left").select(
@@ -128,32 +135,53 @@ def quantiles(rows: DataFrame, values: dict[str, Column], at: list[float]) -> Da
     return run.groupBy("g1", "g2").agg(*out)
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """Group estimates from medians and quartile ranges: centre c_i and lower triangle l_i_j of the covariance's root."""
-    found = quantiles(rows, {s: F.col(s) for s in SHARES}, [0.25, 0.5, 0.75])
-    out = []
-    for i, s in enumerate(SHARES):
-        spread = (F.col(f"{s}_2") - F.col(f"{s}_0")) / 1.349
-        out.append(F.col(f"{s}_1").alias(f"c_{i}"))
-        out += [(F.sqrt(spread * spread + FLOOR[s] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for j in range(i + 1)]
-    return found.select("g1", "g2", *out)
+P = range(len(SHARES))
+LOWER = [(i, j) for i in P for j in range(i + 1)]
+
+
+def _solved(sums: DataFrame, *key: str) -> DataFrame:
+    """From n and sums s_i, s_i_j: the centre c_i, the Cholesky factor l_i_j of the floored covariance, and log_det."""
+    out = sums.withColumns({f"c_{i}": F.col(f"s_{i}") / F.col("n") for i in P})
+    for i, j in LOWER:
+        covariance = F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"c_{i}") * F.col(f"c_{j}") + (FLOOR[SHARES[i]] ** 2 if i == j else 0.0)
+        rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), covariance)
+        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
+    det = 2 * reduce(lambda a, b: a + b, [F.log(f"l_{i}_{i}") for i in P])
+    return out.select(*key, *(f"c_{i}" for i in P), *(f"l_{i}_{j}" for i, j in LOWER), det.alias("log_det"))
+
+
+def _moments() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(s).alias(f"s_{i}") for i, s in enumerate(SHARES)), *(F.sum(F.col(SHARES[i]) * F.col(SHARES[j])).alias(f"s_{i}_{j}") for i, j in LOWER)]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """g1, g2, start (a number), c_i, l_i_j, log_det of each group's starts."""
+    found = stored(quantiles(rows, {s: F.col(s) for s in SHARES}, [0.25, 0.5, 0.75]), "quartiles")
+    centre = [F.col(f"{s}_1").alias(f"c_{i}") for i, s in enumerate(SHARES)]
+
+    def diagonal(number: int, spread: list[Column]) -> DataFrame:
+        root = [(F.sqrt(spread[i] * spread[i] + FLOOR[SHARES[i]] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in LOWER]
+        return found.select("g1", "g2", F.lit(number).alias("start"), *centre, *root, F.lit(float("inf")).alias("log_det"))
+
+    quartiles = diagonal(0, [(F.col(f"{s}_2") - F.col(f"{s}_0")) / 1.349 for s in SHARES])
+    mean = _solved(rows.groupBy("g1", "g2").agg(*_moments()).withColumn("start", F.lit(1)), "g1", "g2", "start")
+    return quartiles.unionByName(mean).unionByName(diagonal(2, [F.lit(0.0)] * len(SHARES)))
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """Group centres and the Cholesky factor of their floored covariances."""
-    p = range(len(SHARES))
-    moments = [F.covar_pop(SHARES[i], SHARES[j]).alias(f"s_{i}_{j}") for i in p for j in range(i + 1)]
-    out = rows.groupBy("g1", "g2").agg(*(F.avg(s).alias(f"c_{i}") for i, s in enumerate(SHARES)), *moments)
-    for i in p:
-        for j in range(i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"s_{i}_{j}") + (FLOOR[SHARES[i]] ** 2 if i == j else 0.0))
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return out.drop(*(f"s_{i}_{j}" for i in p for j in range(i + 1)))
+def concentrated(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """One concentration step: the estimates from the rows closest to ``found``, by g1, g2 and start."""
+    key = ["g1", "g2", "start"]
+    bins = F.floor(F.log(F.col("d2") + 1e-6) * BINS).cast("long")
+    sums = distances(rows, found).groupBy(*key, bins.alias("bin")).agg(*_moments())
+    group = Window.partitionBy(*key)
+    nearer = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = sums.withColumns({"nearer": nearer, "all": F.sum("n").over(group)}).where(F.col("nearer") < CLOSEST * F.col("all"))
+    return _solved(kept.groupBy(*key).agg(*(F.sum(c).alias(c) for c in ["n", *(f"s_{i}" for i in P), *(f"s_{i}_{j}" for i, j in LOWER)])), *key)
 
 
 def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``rows`` with d2, the squared Mahalanobis distance to their group's centre."""
-    out = rows.join(estimates, ["g1", "g2"], "left")
+    """``rows`` with d2, the squared Mahalanobis distance to their group's centre (for each start, if estimates have several)."""
+    out = rows.join(estimates.drop("log_det"), ["g1", "g2"], "left")
     for i, s in enumerate(SHARES):
         rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"y_{k}"), range(i), F.col(s) - F.col(f"c_{i}"))
         out = out.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
@@ -164,15 +192,23 @@ def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Estimates of each group, and the factor by which its distances are wider than normal ones."""
-    found = stored(start(rows), "estimates")
+    found = stored(starts(rows), "starts")
+    for _ in range(MOST_STEPS):
+        after = stored(concentrated(rows, found), "estimates")
+        old = found.select("g1", "g2", "start", F.col("log_det").alias("old"))
+        moved = after.join(old, ["g1", "g2", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
+        dropped(found)
+        found = after
+        if moved is None or moved < SETTLED:
+            break
+    values = [c for c in found.columns if c not in ("g1", "g2", "log_det", "start")]
+    least = found.groupBy("g1", "g2").agg(F.min(F.struct("log_det", "start", *values)).alias("e"))
+    best = stored(least.select("g1", "g2", *(f"e.{c}" for c in ["log_det", *values])), "best")
+    dropped(found)
     size = {"d": F.log(F.col("d2") + 1e-6)}
-    for _ in range(STEPS):
-        far = distances(rows, found)
-        edge = stored(quantiles(far, size, [CLOSEST]), "edges")
-        found = stored(estimate(far.join(edge, ["g1", "g2"]).where(size["d"] <= F.col("d_0"))), "estimates")
-    middle = quantiles(distances(rows, found), size, [0.5])
+    middle = quantiles(distances(rows, best), size, [0.5])
     wider = F.greatest(F.lit(1.0), F.exp("d_0") / CHI_MEDIAN)
-    return found, stored(middle.select("g1", "g2", wider.alias("wider")), "wider")
+    return best, stored(middle.select("g1", "g2", wider.alias("wider")), "wider")
 
 
 def judged(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from loomline.llm import quality_rules
 from loomline.llm.queries import op8_quality_rules
 
@@ -53,3 +57,36 @@ def test_edge_cases(spark):
     made = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int")).collect()
     assert len(made) == 6 and all(r.base_failed and not r.kept for r in made)
     assert quality_rules.judged(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def floored(x):
+    return np.cov(x.T, bias=True) + np.diag([quality_rules.FLOOR[s] ** 2 for s in quality_rules.SHARES])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_smallest_determinant_of_small_groups(spark, seed, monkeypatch):
+    """Of all subsets of three quarters of a group, the estimate's has (but for the bins' width) the smallest determinant."""
+    monkeypatch.setattr(quality_rules, "BINS", 4_000)
+    rng = np.random.default_rng(seed)
+    groups = {}
+    for g in "abc":
+        x = rng.normal(scale=rng.uniform(0.05, 0.4, 5), size=(12, 5)) @ np.linalg.qr(rng.normal(size=(5, 5)))[0]
+        x[:3] += rng.normal(scale=1.5, size=5)  # a cluster of outliers
+        groups[g] = x
+    rows = [(g, "*", *map(float, v)) for g, x in groups.items() for v in x]
+    frame = spark.createDataFrame(rows, ["g1", "g2", *quality_rules.SHARES])
+    best, _ = quality_rules.fit(frame)
+    for r in best.collect():
+        x = groups[r.g1]
+        least = min(np.linalg.slogdet(floored(x[list(s)]))[1] for s in itertools.combinations(range(12), 9))
+        assert r.log_det == pytest.approx(least, abs=1e-6)
+        centre = np.array([r[f"c_{i}"] for i in range(5)])
+        assert np.abs(centre - x[3:].mean(axis=0)).max() < 1e-6
+
+
+def test_groups_are_sized_by_the_rows_that_are_fitted(spark):
+    rng = random.Random(2)
+    rows = [(i, clean(rng, 6) if i < 5 else "too short", "en", "a") for i in range(80)] + [(100 + i, clean(rng, 6), "en", "b") for i in range(80)]
+    frame = quality_rules.counted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).withColumn("base_failed", quality_rules.base_failed())
+    homes = {(r.source, r.g1, r.g2) for r in quality_rules.grouped(frame, "lang", "source").collect()}
+    assert homes == {("a", "*", "*"), ("b", "=en", "=b")}

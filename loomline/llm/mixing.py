@@ -30,6 +30,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm.common import stored
 
@@ -102,7 +103,8 @@ def phases(blocks: dict, shares: dict, resolution: int = RESOLUTION) -> list[dic
 def placed(rows: DataFrame, block_size: int) -> DataFrame:
     """``rows`` (with _source, _id, _size) with start (size before a row in its source) and block."""
     counts = rows.groupBy("_source").agg(F.ceil(F.count("*") / F.lit(ROWS_PER_BUCKET)).alias("_buckets"))
-    order = F.xxhash64("_id")
+    # The whole row decides the place, so that rows that share an id, or have none, spread as well.
+    order = F.xxhash64("_id", *(f"`{f.name}`" for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))
     dealt = rows.join(stored(counts, "counts"), "_source").withColumn("_bucket", F.pmod(order, "_buckets")).drop("_buckets")
     sums = dealt.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

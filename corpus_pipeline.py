@@ -54,7 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the ids of its text, checked by decoding them again."""
     tokenizer = public_tokenizers.path(TOKENIZER)
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), tokenizer), tokenizer, text="decoded")
+    coded = bpe.round_trip(docs.select(*COLUMNS), tokenizer)
     return coded.select("*", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")).drop("decoded")
 
 

@@ -85,6 +85,10 @@ def _erased(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, rule(pattern), " ")
 
 
+def without_tags(c: Column) -> Column:
+    return _erased(c, ANY_TAG)
+
+
 def cleaned_prompt(c: Column) -> Column:
     """A prompt without wrapper blocks and tags; a user_query section stands for the whole."""
     t = F.translate(c, "\r", "\n")
@@ -93,7 +97,7 @@ def cleaned_prompt(c: Column) -> Column:
     t = _erased(_erased(t, SKILL_BLOCK), SKILL_FILE)
     t = _erased(t, rf"<({'|'.join(WRAPPER_TAGS)})\b[^>]*>[\s\S]*?</\1>")
     t = let(t, lambda x: F.coalesce(filled(F.regexp_extract(x, r"(?i)<user_query>([\s\S]*?)</user_query>", 1)), x))
-    t = _erased(t, ANY_TAG)
+    t = without_tags(t)
     return trimmed(F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
 
 

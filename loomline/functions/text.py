@@ -35,11 +35,23 @@ def matches_any(c: Column, patterns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [matches(c, p) for p in patterns])
 
 
-def first_rule(c: Column, patterns: Sequence[str]) -> Column:
-    """Number (from 0) of the first pattern found in ``c``; null if none is."""
+def contains_one(c: Column, parts: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
+
+
+def guarded(c: Column, lower: Column, pattern: str, needed: Sequence[str]) -> Column:
+    """``matches(c, pattern)``, looked for only where ``lower`` (c in lower case) has one of the parts that every match has.
+
+    A search for fixed parts is many times cheaper than a pattern with look-arounds.
+    """
+    return contains_one(lower, needed) & matches(c, pattern) if needed else matches(c, pattern)
+
+
+def first_rule(c: Column, patterns: Sequence[str], lower: Column | None = None, needed: dict[str, Sequence[str]] | None = None) -> Column:
+    """Number (from 0) of the first pattern found in ``c``; null if none is. ``needed`` gives parts for ``guarded``."""
     found = F.when(F.lit(False), F.lit(0))
     for i, p in enumerate(patterns):
-        found = found.when(matches(c, p), F.lit(i))
+        found = found.when(matches(c, p) if lower is None else guarded(c, lower, p, (needed or {}).get(p, ())), F.lit(i))
     return found
 
 

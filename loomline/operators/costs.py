@@ -60,13 +60,13 @@ def per_session(calls: DataFrame) -> DataFrame:
     return sums.agg(F.count("*").alias("sessions"), *(F.round(F.coalesce(v, F.lit(0.0)), DIGITS).alias(k) for k, v in spread.items()))
 
 
-def trailing(uses: DataFrame, spec: str, at: str, amount: Column | None = None, by: list[str] | None = None) -> DataFrame:
+def trailing(uses: DataFrame, spec: str, at: str, by: list[str], amount: Column | None = None) -> DataFrame:
     """``uses`` with used (count, or sum of a known ``amount``) over the window that ends at each row, and whether another is allowed.
 
-    Give ``by`` (account, project, ...) wherever there is one: a window over everything is one task.
+    ``by`` (account, project, ...) is needed, as a window over everything would be one task.
     """
     most, seconds = parse_window(spec)
-    back = Window.partitionBy(*(by or [])).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
+    back = Window.partitionBy(*by).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
     used = F.count("*").over(back).cast("double") if amount is None else F.coalesce(F.sum(amount).over(back), F.lit(0.0))
     return uses.withColumn("used", used).withColumns({"remaining": F.greatest(F.lit(0.0), F.lit(most) - F.col("used")), "allowed": F.col("used") < most})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.prompts import completed
 from loomline.functions.statements import markdown_marks
-from loomline.functions.text import excerpt_around, filled, first_rule, head_and_tail, head_excerpt, matches, matches_any, rule, shortened, squeezed
+from loomline.functions.text import excerpt_around, filled, first_rule, guarded, head_and_tail, head_excerpt, matches, matches_any, rule, shortened, squeezed
 from loomline.operators.turns import ASSISTANT, TOOL_RESULT, TOOL_USE
 
 # Patterns of each event type, in the order in which the first match is taken.
@@ -65,6 +65,21 @@ PATTERNS = {
     ],
     "verification": [r"\bverified\b", r"\bconfirmed\b", r"\btests? pass(?:ed)?\b", r"\bbuild succeeded\b", r"\ball checks passed\b"],
 }
+#: Parts in lower case of which every match of a pattern has one.
+NEEDED = {
+    p: needed
+    for name, parts in {
+        "failure": [["failed"], ["error"], ["error"], ["exception"], ["timed out"], ["unable to"], ["no such"], ["enoent"], ["eacces"]],
+        "fix": [["fixed"], ["resolved"], ["patched"], ["corrected"], ["updated"], ["changed"], ["root cause was"]],
+        "decision": [
+            ["decided to"], ["chose to"], ["going with"], ["opted to"], ["for now"], ["recommend"], ["best "], ["top "], ["winner", "preferred", "favored"], ["chose", "selected", "picked"], ["go with"], ["should use", "prefer"],
+            ["architecture decision"], ["we "], ["the approach"], ["epic", "roadmap", "milestone", "plan"], ["spec"], ["design", "approach"], ["conclusion"], ["verdict", "outcome", "result"], ["ranking", "comparison", "versus", "vs"],
+        ],
+        "next_step": [["next step"], ["next i"], ["still need to"], ["remaining"], ["left to do"], ["follow"]],
+        "verification": [["verified"], ["confirmed"], ["pass"], ["build succeeded"], ["all checks passed"]],
+    }.items()
+    for p, needed in zip(PATTERNS[name], parts, strict=True)
+}
 VERIFYING_COMMAND = (
     r"^(?:\./[\w./-]+|npm(?: run)? build|npm test|pnpm(?: run)? build|pnpm test|yarn build|yarn test|bun test|cargo test|go test|python(?:3)? -m pytest"
     r"|uv run pytest|just (?:test|check|build|lint|ci|qa|verify)[\w-]*|script/(?:test|cibuild)\b|qa)\b"
@@ -86,6 +101,23 @@ def verifying_command(kind: Column, input_text: Column, commands: Column) -> Col
     return F.when((kind == TOOL_USE) & matches(said, VERIFYING_COMMAND), said)
 
 
+def noisy(text: Column) -> Column:
+    """Whether a message quotes attachments or forms."""
+    return F.coalesce(F.contains(text, F.lit("<")) & matches_any(text, NOISE), F.lit(False))
+
+
+def verifies(kind: Column, text: Column, input_text: Column, commands: Column) -> Column:
+    """Whether a record is a verification: a message that says so, or a tool call that checks the work. ``tagged`` finds the same."""
+
+    def said(t: Column) -> Column:
+        found = F.lit(False)
+        for p in PATTERNS["verification"]:
+            found = found | guarded(t, F.lower(t), p, NEEDED[p])
+        return found & ~noisy(t)
+
+    return F.coalesce((kind == ASSISTANT) & said(filled(text)), F.lit(False)) | verifying_command(kind, input_text, commands).isNotNull()
+
+
 def tagged(turns: DataFrame) -> DataFrame:
     """Events of grouped records (columns of ``turns.grouped`` and input_text), one per finding.
 
@@ -93,7 +125,7 @@ def tagged(turns: DataFrame) -> DataFrame:
     equal types with equal summaries (in any case) count once, at their first line.
     """
     kind, text = F.col("kind"), filled(F.col("text"))
-    quiet = turns.withColumns({"_text": text, "_noise": F.coalesce(matches_any(text, NOISE), F.lit(False))})
+    quiet = turns.withColumn("_text", text).withColumns({"_noise": noisy(F.col("_text")), "_lower": F.lower("_text")})
     speaks = {"failure": kind.isin(ASSISTANT, TOOL_RESULT, TOOL_USE)}
     found = []
     for order, (name, patterns) in enumerate(PATTERNS.items()):
@@ -101,7 +133,7 @@ def tagged(turns: DataFrame) -> DataFrame:
         allowed = speaks.get(name, kind == ASSISTANT) & ~F.col("_noise")
         if name == "next_step":
             allowed = allowed & ~completed(t)
-        quiet = quiet.withColumn(f"_{name}", F.when(allowed, first_rule(t, patterns)))
+        quiet = quiet.withColumn(f"_{name}", F.when(allowed, first_rule(t, patterns, F.col("_lower"), NEEDED)))
         excerpt = _by_rule(t, patterns, at)
         if name == "fix":
             excerpt = F.when(markdown_marks(t) >= 3, head_excerpt(t, EXCERPT)).otherwise(excerpt)

@@ -178,13 +178,16 @@ def fold(deltas: DataFrame) -> DataFrame:
     return connected(deltas).groupBy("project_id", "_group").applyInPandas(_replayed, FOLDED)
 
 
-def _value(row: dict, now: pd.Timestamp) -> float:
-    total = row["confidence_floor"]
-    for o in row["observations"]:
-        days = (now - o["at"]) / pd.Timedelta(days=1)
-        aged = 1.0 if days <= 0 else 0.5 ** (days / conf.HALF_LIFE_DAYS)
-        total += (conf.GAIN if o["reinforcing"] else -conf.LOSS) * aged
-    return min(conf.HIGHEST, max(conf.LOWEST, total))
+def _aged(row: dict, now: pd.Timestamp) -> float:
+    """The sum of a record's contributions aged to ``now``, which one multiplication carries on from the last time."""
+    days = max(0.0, (now - row["_at"]) / pd.Timedelta(days=1))
+    return row["_sum"] * 0.5 ** (days / conf.HALF_LIFE_DAYS)
+
+
+def _move(row: dict, now: pd.Timestamp, more: float) -> None:
+    """Age a record to ``now``, add ``more``, and see whether it falls to the lowest confidence."""
+    row |= {"_sum": _aged(row, now) + more, "_at": now, "updated_at": now}
+    row["deprecated"] = max(conf.LOWEST, row["confidence_floor"] + row["_sum"]) < conf.LOWEST + 0.001
 
 
 def _replayed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,7 +199,7 @@ def _replayed(pdf: pd.DataFrame) -> pd.DataFrame:
         if row is None or row["deprecated"]:
             return
         row["observations"].append({"session": d.session_id, "reinforcing": reinforcing, "at": d.at})
-        row |= {"updated_at": d.at, "deprecated": _value(row, d.at) < conf.LOWEST + 0.001}
+        _move(row, d.at, conf.GAIN if reinforcing else -conf.LOSS)
         if not reinforcing:
             row["finding"] = d.correction
 
@@ -204,7 +207,7 @@ def _replayed(pdf: pd.DataFrame) -> pd.DataFrame:
         name, row = d.instinct_id, held.get(d.instinct_id)
         if d.op == "create" and row is None:
             floor = min(conf.HIGHEST, max(conf.LOWEST, d.initial_confidence))
-            held[name] = {"trigger": d.trigger, "finding": d.finding, "domain": d.domain, "confidence_floor": floor, "deprecated": False, "updated_at": d.at, "observations": [{"session": d.session_id, "reinforcing": True, "at": d.at}]}
+            held[name] = {"trigger": d.trigger, "finding": d.finding, "domain": d.domain, "confidence_floor": floor, "deprecated": False, "updated_at": d.at, "observations": [{"session": d.session_id, "reinforcing": True, "at": d.at}], "_sum": conf.GAIN, "_at": d.at}
         elif d.op in ("create", "reinforce"):
             observe(name, d, True)
         elif d.op == "correct":
@@ -214,9 +217,9 @@ def _replayed(pdf: pd.DataFrame) -> pd.DataFrame:
         elif d.op == "merge":
             target = held.get(d.into)
             if row is not None and target is not None and not target["deprecated"]:
-                target["observations"] = target["observations"] + row["observations"]
-                target |= {"confidence_floor": max(target["confidence_floor"], row["confidence_floor"]), "updated_at": d.at}
-                target["deprecated"] = _value(target, d.at) < conf.LOWEST + 0.001
+                target["observations"] += row["observations"]
+                target["confidence_floor"] = max(target["confidence_floor"], row["confidence_floor"])
+                _move(target, d.at, _aged(row, d.at))
             held.pop(name, None)
     rows = [{"project_id": pdf["project_id"].iloc[0], "instinct_id": k, **v} for k, v in held.items()]
     return pd.DataFrame(rows, columns=["project_id", "instinct_id", "trigger", "finding", "domain", "confidence_floor", "deprecated", "observations", "updated_at"])

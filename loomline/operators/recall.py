@@ -73,9 +73,10 @@ def for_files(refs: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
         keys = F.array(F.concat(F.lit("d"), F.regexp_extract(p, r"^(.*)/[^/]*$", 1)), F.concat(F.lit("n"), F.substring_index(p, "/", -1)))
         return df.withColumn("key", F.explode(F.array_distinct(keys)))
 
-    pairs = keyed(refs.select(*by, "path").distinct(), "path").join(keyed(targets.select("target").distinct(), "target"), "key")
-    scored = pairs.withColumn("score", proximity(F.col("target"), F.col("path"))).where("score > 0")
-    best = scored.groupBy("target", *by).agg(F.max("score").alias("score"))
+    # Paths meet once, however many records name them; Spark splits a folder that is too large for a task.
+    pairs = keyed(refs.select("path").distinct(), "path").join(keyed(targets.select("target").distinct(), "target"), "key")
+    scored = pairs.select("target", "path", proximity(F.col("target"), F.col("path")).alias("score")).where("score > 0").distinct()
+    best = scored.join(refs.select(*by, "path").distinct(), "path").groupBy("target", *by).agg(F.max("score").alias("score"))
     return best.withColumn("kind", F.when(F.col("score") == 1.0, "exact").otherwise("proximal"))
 
 

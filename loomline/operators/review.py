@@ -103,7 +103,7 @@ def merged(learnings: DataFrame, key: Column, by: list[str], newest: list[str],
 
 
 def kept_first(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key; rows of an empty key all stay."""
+    """The first row of each key; the empty key counts like others."""
     place = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
     return rows.withColumn("_key", key).withColumn("_n", place).where("_n = 1").drop("_key", "_n")
 

@@ -49,8 +49,8 @@ def in_order(value: Column, keep: Column | None = None) -> Column:
     return F.filter(F.transform(pairs, lambda p: p.v), lambda v: v.isNotNull())
 
 
-def rolled_up(turns: DataFrame) -> DataFrame:
-    """A row for each turn of ``grouped`` records."""
+def rolled_up(turns: DataFrame, **flags: Column) -> DataFrame:
+    """A row for each turn of ``grouped`` records; each of ``flags`` says whether it holds for any record of the turn."""
     kind = F.col("kind")
     dated = F.col("ts").isNotNull()
     return with_defaults(turns).groupBy("session_id", "turn_index", "turn_id").agg(
@@ -64,6 +64,7 @@ def rolled_up(turns: DataFrame) -> DataFrame:
         F.min("line").alias("first_line"),
         F.max("line").alias("last_line"),
         F.count("*").alias("n_records"),
+        *(F.bool_or(F.coalesce(f, F.lit(False))).alias(name) for name, f in flags.items()),
     )
 
 

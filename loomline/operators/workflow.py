@@ -88,11 +88,18 @@ def undecided(rows: DataFrame, decisions: DataFrame) -> DataFrame:
 def already_encoded(rows: DataFrame, known: DataFrame, row_id: str, tokens: str) -> DataFrame:
     """For each row the first known record that has at least 60 % of its tokens.
 
-    Both sides have arrays of distinct tokens; ``known`` has known_id and ord. Rows meet records
-    on shared tokens, so none is compared with all.
+    Both sides have arrays of distinct tokens; ``known`` has known_id and ord. A record with 60 % of
+    a row's tokens lacks at most the other 40 %, so it has one of the row's rarest tokens, one more
+    than that: rows meet records on these alone, and common tokens gather no bucket. Full arrays
+    then decide.
     """
-    asked = rows.select(row_id, F.size(tokens).alias("size"), F.explode(tokens).alias("token"))
-    held = known.select("known_id", "ord", F.explode(tokens).alias("token"))
-    shared = asked.join(held, "token").groupBy(row_id, "size", "known_id", "ord").agg(F.count("*").alias("common"))
-    enough = shared.where(F.col("common") >= OVERLAP * F.col("size"))
+    held = known.select("known_id", F.explode(tokens).alias("token"))
+    often = held.groupBy("token").agg(F.count("*").alias("n"))
+    asked = rows.where(F.size(tokens) > 0).select(row_id, F.explode(tokens).alias("token")).join(often, "token", "left")
+    ranked = asked.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("all"))
+    size = F.size("all")
+    rarest = ranked.select(row_id, F.explode(F.slice("all", F.lit(1), size - F.ceil(size * OVERLAP).cast("int") + 1)).alias("t")).select(row_id, "t.token").where("t.n > 0")
+    pairs = rarest.join(held, "token").select(row_id, "known_id").distinct()
+    both = pairs.join(rows.select(row_id, F.col(tokens).alias("_a")), row_id).join(known.select("known_id", "ord", F.col(tokens).alias("_b")), "known_id")
+    enough = both.where(F.size(F.array_intersect("_a", "_b")) >= OVERLAP * F.size("_a"))
     return enough.groupBy(row_id).agg(F.min_by("known_id", "ord").alias("encoded_in"))

@@ -10,7 +10,7 @@ from loomline.operators import instincts, recall, review, workflow
 from loomline.plans import overlay
 from loomline.plans.registry import Tables, query
 from loomline.plans.sessions import _quoted
-from loomline.plans.texts import slug_sql
+from loomline.plans.texts import slug_of, words_sql
 
 NOW = "timestamp '2024-04-01 00:00:00'"
 #: Observations: a user is a record, an event type a project, an error a correction.
@@ -52,10 +52,10 @@ def f37_maturity(t: Tables) -> DataFrame:
       p as (select a.user_id, a.event_type, a.n, a.ts, least(0.9, greatest(0.3, 0.7 + sum(case when b.reinforcing then 0.04 else -0.16 end * pow(0.5, greatest((epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0, 0) / 90.0)))) as value,
         max((epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0) as days, count(*) filter (b.reinforcing) as gains
         from o a join o b on a.user_id = b.user_id and a.event_type = b.event_type and b.n <= a.n group by a.user_id, a.event_type, a.n, a.ts)
-    select user_id, event_type, epoch_us(min(ts)) as eligible_us from p where value >= 0.6 and days >= 7 and gains >= 2 and event_type <> 'error' group by user_id, event_type"""
+    select user_id, event_type, epoch_us(min(ts)) as eligible_us from p where value >= 0.6 and days >= 7 and gains >= 2 group by user_id, event_type"""
 )
 def w12_eligibility(t: Tables) -> DataFrame:
-    out = instincts.reached(observations(t).where("event_type <> 'error'"), ["user_id", "event_type"], F.lit(0.7))
+    out = instincts.reached(observations(t), ["user_id", "event_type"], F.lit(0.7))
     return out.select("user_id", "event_type", F.unix_micros("eligible_at").alias("eligible_us"))
 
 
@@ -120,7 +120,8 @@ def w16_rollup_split(t: Tables) -> DataFrame:
 @query(
     f"""with l as (select doc_id, case lang when 'en' then 'failure_mode' when 'de' then 'pattern' when 'fr' then 'preference' else 'workflow' end as kind, concat('when ', source) as t, trim(text) as f,
         case when n_chars > 2000 then 'high' when n_chars > 500 then 'medium' else 'low' end as level from documents where text is not null),
-      w as (select *, {slug_sql("f")} as slug, left(sha256(concat(t, '|', f)), 8) as digest from l where length(f) > 0),
+      v as (select *, {words_sql("f")} as words from l where length(f) > 0),
+      w as (select *, {slug_of("words")} as slug, left(sha256(concat(t, '|', f)), 8) as digest from v),
       i as (select *, concat(case when slug = '' then 'instinct' else slug end, '-', digest) as id from w)
     select doc_id, case when length(id) <= 80 then id else concat(left(id, 72), '-', digest) end as instinct_id,
       case kind when 'failure_mode' then 'debugging' when 'pattern' then 'code-style' when 'preference' then 'tooling' else 'workflow' end as domain,
@@ -135,18 +136,17 @@ def l12_learning_to_delta(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with d as (select user_id, event_type, ts, event_id, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type <> 'signup'),
-      live as (select * from d) select user_id, count(*) as n_observations from live group by user_id"""
+    "select user_id, count(*) as n_observations, epoch_us(max(ts)) as updated_us from events group by user_id"
 )
 def l10_fold_observations(t: Tables) -> DataFrame:
     """Every user's events as deltas that create and reinforce one record, replayed."""
     c = F.col
-    rows = t.events.where("event_type <> 'signup'").select(
+    rows = t.events.select(
         F.lit("p").alias("project_id"), F.concat(F.lit("s"), c("event_id").cast("string")).alias("session_id"), c("ts").cast("timestamp").alias("at"), c("event_id").alias("pos"),
         F.lit("create").alias("op"), c("user_id").cast("string").alias("instinct_id"), F.lit("t").alias("trigger"), F.lit("f").alias("finding"), F.lit("workflow").alias("domain"),
         F.lit(0.5).alias("initial_confidence"), F.lit(None).cast("string").alias("correction"), F.lit(None).cast("string").alias("into"),
     )
-    return instincts.fold(rows).select(c("instinct_id").cast("long").alias("user_id"), F.size("observations").cast("long").alias("n_observations"))
+    return instincts.fold(rows).select(c("instinct_id").cast("long").alias("user_id"), F.size("observations").cast("long").alias("n_observations"), F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query()
@@ -179,14 +179,14 @@ def o1_search(t: Tables) -> DataFrame:
 
 
 @query(
-    """with p as (select page_id, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) as path from pages where url is not null), t as (select distinct path as target from p where page_id % 50 = 0),
+    """with p as (select page_id, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) as path from pages where url is not null), t as (select distinct path as target from p where page_id % 100 = 0),
       s as (select target, page_id, case when path = target then 1.0 when length(regexp_extract(target, '^(.*)/[^/]*$', 1)) > 0 and regexp_extract(target, '^(.*)/[^/]*$', 1) = regexp_extract(path, '^(.*)/[^/]*$', 1) then 0.75
         when length(regexp_extract(target, '([^/]*)$', 1)) > 0 and regexp_extract(target, '([^/]*)$', 1) = regexp_extract(path, '([^/]*)$', 1) then 0.6 else 0 end as score from p, t)
     select target, page_id, cast(max(score) as double) as score from s where score > 0 group by target, page_id"""
 )
 def j14_for_file(t: Tables) -> DataFrame:
     rows = _pages(t)
-    out = recall.for_files(rows, rows.where("instinct_id % 50 = 0").select(F.col("path").alias("target")), ["instinct_id"])
+    out = recall.for_files(rows, rows.where("instinct_id % 100 = 0").select(F.col("path").alias("target")), ["instinct_id"])
     return out.select("target", F.col("instinct_id").alias("page_id"), "score")
 
 
@@ -199,10 +199,10 @@ def w10_recent(t: Tables) -> DataFrame:
     return recall.recent(rows, 7, 50).select(F.col("instinct_id").alias("event_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("select source, doc_id, used_bytes from (select source, doc_id, cast(sum(strlen(coalesce(lang, '')) + 40 + 1) over (partition by source order by doc_id rows unbounded preceding) as bigint) as used_bytes from documents) where used_bytes <= 1000")
+@query("select source, doc_id, used_bytes from (select source, doc_id, cast(sum(strlen(coalesce(text, '')) + 1) over (partition by source order by doc_id rows unbounded preceding) as bigint) as used_bytes from documents) where used_bytes <= 50000")
 def w17_byte_budget(t: Tables) -> DataFrame:
-    lines = t.documents.select("source", "doc_id", F.rpad(F.lit("x"), 40, "x").alias("pad"), F.coalesce("lang", F.lit("")).alias("l")).withColumn("bullet", F.concat("pad", "l"))
-    return recall.within_bytes(lines, ["source"], "doc_id", "bullet", 1000).select("source", "doc_id", F.col("used_bytes").cast("long").alias("used_bytes"))
+    lines = t.documents.select("source", "doc_id", F.coalesce("text", F.lit("")).alias("bullet"))
+    return recall.within_bytes(lines, ["source"], "doc_id", "bullet", 50_000).select("source", "doc_id", F.col("used_bytes").cast("long").alias("used_bytes"))
 
 
 _MARKS = " union all ".join(f"select session_id, {_quoted(r)} as rule_id, {_quoted(c)} as cluster, {_quoted(k)} as kind from s where regexp_matches(text, {_quoted(p)}, 'i')" for r, c, k, p in workflow.MARKERS)
@@ -237,11 +237,11 @@ def o5_evidence(t: Tables) -> DataFrame:
 
 
 @query(
-    """with d as (select user_id as candidate_id, event_type as decision, event_id, row_number() over (partition by user_id order by event_id desc) as rn from events where event_type <> 'view')
+    """with d as (select user_id as candidate_id, event_type as decision, event_id, row_number() over (partition by user_id order by event_id desc) as rn from events)
     select candidate_id, decision from d where rn = 1"""
 )
 def j9_latest_decision(t: Tables) -> DataFrame:
-    rows = t.events.where("event_type <> 'view'").select(F.col("user_id").alias("candidate_id"), F.col("event_type").alias("decision"), F.lit("").alias("note"), F.col("ts").alias("decided_at"), F.col("event_id").alias("ord"))
+    rows = t.events.select(F.col("user_id").alias("candidate_id"), F.col("event_type").alias("decision"), F.lit("").alias("note"), F.col("ts").alias("decided_at"), F.col("event_id").alias("ord"))
     return workflow.latest_decisions(rows).select("candidate_id", "decision")
 
 

@@ -21,7 +21,7 @@ SAID = {
     ],
     "purchase": ["Fixed the parser in the core module", "Resolved the timeout and all checks passed", "Verified with `npm test` twice", "Root cause was a missing index", "Build succeeded; the failure in the logs is gone"],
     "tool_use_stub": ["npm test", "git status", "git", "./scripts/qa", "cargo test   --lib", "td-1a2b3c", "python3 -m pytest tests/unit", "ls", "just decide"],
-    "tool_result_stub": ["Build failed with ENOENT", "ok", "TypeError: x is undefined", "process ended with exit code", "request timed out", "EXPECTED value found"],
+    "tool_result_stub": ["Build failed with ENOENT", "EXPECTED EPIPE, then EACCES", "TypeError: x is undefined", "process ended with exit code", "request timed out", "EXPECTED value found"],
 }
 KINDS = {"signup": "user_message", "view": "assistant_message", "purchase": "assistant_message", "click": "tool_use_stub", "error": "tool_result_stub"}
 SAYS = {"signup": "user_message", "view": "view", "purchase": "purchase", "click": "tool_use_stub", "error": "tool_result_stub"}

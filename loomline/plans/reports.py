@@ -292,14 +292,14 @@ def a10_calls_by_source(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with c as ({_CALLS}), s as (select c_custkey as session_id, c_mktsegment as source_tool, 1 as pl from customer where c_custkey <= 100), k as (select s.source_tool, c.* from c join s on s.session_id = c.user_id),
+    f"""with c as ({_CALLS}), s as (select c_custkey as session_id, c_mktsegment as source_tool, 1 as pl from customer), k as (select s.source_tool, c.* from c join s on s.session_id = c.user_id),
       own as (select source_tool, count(*) as sessions, cast(sum(pl) as bigint) as project_learnings from s group by 1 union all select 'all', count(*), cast(sum(pl) as bigint) from s),
       tel as (select source_tool, count(*) as calls, count(*) filter (not hit) as real_calls, count(*) filter (hit) as cache_hits, count(*) filter (not hit and not known) as unknown_cost_calls, round(sum(case when known then cost end), 2) as total_cost from k group by 1
         union all select 'all', count(*), count(*) filter (not hit), count(*) filter (hit), count(*) filter (not hit and not known), round(sum(case when known then cost end), 2) from c)
     select own.*, coalesce(calls, 0) as calls, coalesce(real_calls, 0) as real_calls, coalesce(cache_hits, 0) as cache_hits, coalesce(unknown_cost_calls, 0) as unknown_cost_calls, coalesce(total_cost, 0) as total_cost from own left join tel using (source_tool)"""
 )
 def a9_harness_breakdown(t: Tables) -> DataFrame:
-    sessions = t.customer.where("c_custkey <= 100").select(c("c_custkey").alias("session_id"), c("c_mktsegment").alias("source_tool"), F.lit(1).cast("long").alias("project_learnings"))
+    sessions = t.customer.select(c("c_custkey").alias("session_id"), c("c_mktsegment").alias("source_tool"), F.lit(1).cast("long").alias("project_learnings"))
     return audit.by_tool(sessions, _calls(t)).withColumn("total_cost", F.round("total_cost", 2))
 
 
@@ -376,16 +376,20 @@ def w15_beyond_newest(t: Tables) -> DataFrame:
     return storage.beyond_newest(t.documents, ["source"], [F.desc("n_chars"), c("doc_id")], 5).select("doc_id")
 
 
-@query("select doc_id as path, 'pending' as origin from documents where doc_id % 4 = 0 union all select doc_id, 'ordinary' from documents where doc_id % 6 = 0 and doc_id % 4 <> 0")
+@query("select doc_id as path, case when lang in ('en', 'fr') then 'pending' else 'ordinary' end as origin from documents")
 def o14_merged_candidates(t: Tables) -> DataFrame:
-    pending = t.documents.where("doc_id % 4 = 0").select(c("doc_id").alias("path"), F.lit("pending").alias("origin"))
-    ordinary = t.documents.where("doc_id % 6 = 0").select(c("doc_id").alias("path"), F.lit("ordinary").alias("origin"))
+    pending = t.documents.where("lang in ('en', 'fr')").select(c("doc_id").alias("path"), F.lit("pending").alias("origin"))
+    ordinary = t.documents.where("lang is null or lang <> 'fr'").select(c("doc_id").alias("path"), F.lit("ordinary").alias("origin"))
     return storage.merged_candidates(pending, ordinary)
 
 
 @query(
-    """select count(*) filter (event_type = 'error') as blocking, 0::bigint as stale, count(*) filter (event_type = 'view') as pending_reviews, 'integrity,pending_reviews,reclaimable_storage' as reasons, 'check' as next_action, false as healthy from events"""
+    """with f as (select user_id, count(*) filter (event_type = 'error' and value > 60) as blocking, count(*) filter (event_type = 'view' and value > 60) as pending_reviews, count(*) filter (event_type = 'click' and value > 60) as stale, sum(case when event_type = 'signup' and value > 60 then 1 else 0 end) as bytes from events group by user_id)
+    select user_id, blocking, stale, pending_reviews, array_to_string(list_filter([case when blocking > 0 then 'integrity' end, case when pending_reviews > 0 then 'pending_reviews' end, case when stale > 0 then 'stale_sessions' end, case when bytes > 0 then 'reclaimable_storage' end], lambda x: x is not null), ',') as reasons,
+      case when blocking > 0 then 'check' when stale > 0 then 'ingest sync' when pending_reviews > 0 then 'quality review-learnings' when bytes > 0 then 'storage cleanup-parsed' else 'none' end as next_action, blocking = 0 and stale = 0 and pending_reviews = 0 and bytes = 0 as healthy from f"""
 )
 def a27_health(t: Tables) -> DataFrame:
-    facts = t.events.agg(F.count_if(c("event_type") == "error").alias("blocking"), F.count_if(c("event_type") == "view").alias("pending_reviews"), F.lit(0).cast("long").alias("stale"), F.sum("event_id").alias("reclaimable_bytes"))
-    return audit.health(facts).select("blocking", "stale", "pending_reviews", F.array_join("reasons", ",").alias("reasons"), "next_action", "healthy")
+    """Every user's large events stand for what a check of their sessions counts."""
+    large = c("value") > 60
+    facts = t.events.groupBy("user_id").agg(*(F.count_if((c("event_type") == e) & large).alias(n) for e, n in (("error", "blocking"), ("view", "pending_reviews"), ("click", "stale"), ("signup", "reclaimable_bytes"))))
+    return audit.health(facts).select("user_id", "blocking", "stale", "pending_reviews", F.array_join("reasons", ",").alias("reasons"), "next_action", "healthy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.statements import error_signature
+from loomline.functions.statements import ERRNO, error_signature
 from loomline.operators import candidates, commands, events, summaries, turns
 from loomline.plans import overlay
 from loomline.plans.registry import Tables, query
@@ -22,6 +22,8 @@ select *, concat(session_id, ':turn-', lpad(cast(turn_index as varchar), 4, '0')
   ) as counted where asked > 0
 ) as numbered
 """
+WHITE = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+VERIFIED = r"\b(verified|confirmed|tests? pass(ed)?|build succeeded|all checks passed)\b"
 TAG_ORDER = ["failure", "fix", "decision", "next_step", "verification"]
 
 
@@ -66,13 +68,14 @@ def w1_turn_grouping(t: Tables) -> DataFrame:
 @query(
     f"""select session_id, turn_id, cast(sum(case when kind in ('tool_use_stub', 'tool_result_stub') then 1 else 0 end) as bigint) as tool_stub_count,
       cast(min(line) as bigint) as first_line, cast(max(line) as bigint) as last_line, count(*) as n_records, count(distinct case when kind = 'assistant_message' then text end) as n_messages,
-      false as verification_seen from ({GROUPED_SQL}) group by session_id, turn_id"""
+      sha256(coalesce(arg_min(case when kind = 'user_message' then trim(text, {WHITE}) end, case when kind = 'user_message' then line end), '')) as prompt_sha256,
+      coalesce(string_agg(distinct case when kind = 'assistant_message' then sha256(text) end, ',' order by case when kind = 'assistant_message' then sha256(text) end), '') as messages_sha256,
+      coalesce(bool_or(kind = 'assistant_message' and regexp_matches(text, '{VERIFIED}', 'i')), false) as verification_seen from ({GROUPED_SQL}) group by session_id, turn_id"""
 )
 def a19_turn_rollup(t: Tables) -> DataFrame:
     grouped = turns.with_defaults(turns.grouped(of_conversations(t.conversations))).withColumn("input_text", F.lit(None).cast("string"))
-    rolled = turns.rolled_up(grouped)
-    seen = events.tagged(grouped).where("type = 'verification'").select("turn_id", F.lit(True).alias("seen")).distinct()
-    return rolled.join(seen, "turn_id", "left").select(
+    rolled = turns.rolled_up(grouped, seen=events.verifies(F.col("kind"), F.col("text"), F.col("input_text"), F.col("commands")))
+    return rolled.select(
         "session_id",
         "turn_id",
         F.col("tool_stub_count").cast("long").alias("tool_stub_count"),
@@ -80,7 +83,9 @@ def a19_turn_rollup(t: Tables) -> DataFrame:
         F.col("last_line").cast("long").alias("last_line"),
         "n_records",
         F.size("assistant_messages").cast("long").alias("n_messages"),
-        F.coalesce("seen", F.lit(False)).alias("verification_seen"),
+        F.sha2("user_prompt", 256).alias("prompt_sha256"),
+        F.array_join(F.array_sort(F.transform("assistant_messages", lambda m: F.sha2(m, 256))), ",").alias("messages_sha256"),
+        F.col("seen").alias("verification_seen"),
     )
 
 
@@ -91,12 +96,12 @@ def p4_record_kind_counts(t: Tables) -> DataFrame:
 
 @query(
     f"""select session_id, count(distinct turn_id) as turn_count, min(turn_id) as first_turn_id, max(turn_id) as last_turn_id, cast(min(line) as bigint) as line_start,
-      cast(max(line) as bigint) as line_end from ({overlay.TURNS_SQL}) group by session_id"""
+      cast(max(line) as bigint) as line_end, (select count(*) from ({TAG_SQL}) e where e.session_id = t.session_id) as event_count from ({overlay.TURNS_SQL}) t group by session_id"""
 )
 def a21_manifest_span(t: Tables) -> DataFrame:
     rows = overlaid(t)
     out = turns.span(turns.rolled_up(rows), events.tagged(rows))
-    return out.select("session_id", "turn_count", "first_turn_id", "last_turn_id", "line_start", "line_end")
+    return out.select("session_id", "turn_count", "first_turn_id", "last_turn_id", "line_start", "line_end", "event_count")
 
 
 @query(f"select concat(turn_id, ':', type, ':', lpad(cast(line as varchar), 6, '0')) as event_id, type, cast(line as bigint) as line, summary from ({TAG_SQL})")
@@ -151,7 +156,7 @@ def j13_resolutions(t: Tables) -> DataFrame:
 
 @query(
     f"""select event_id, case
-      when len(list_filter(regexp_extract_all(text, '\\b(E[A-Z]{{2,}})\\b', 1), lambda x: x in ('ENOENT', 'EACCES', 'ETIMEDOUT'))) > 0 then 'ENOENT'
+      when len(list_filter(regexp_extract_all(text, '\\b(E[A-Z]{{2,}})\\b', 1), lambda x: x in ({", ".join(_quoted(e) for e in ERRNO)}))) > 0 then list_filter(regexp_extract_all(text, '\\b(E[A-Z]{{2,}})\\b', 1), lambda x: x in ({", ".join(_quoted(e) for e in ERRNO)}))[1]
       when regexp_matches(text, '\\b[A-Z][A-Za-z0-9]*(?:Error|Exception)\\b') then regexp_extract(text, '\\b([A-Z][A-Za-z0-9]*(?:Error|Exception))\\b', 1)
       when regexp_matches(text, '(?i)\\bexit(?:ed with)?(?:\\s+status)?\\s+code\\s+(\\d+)\\b') then concat('exit code ', regexp_extract(text, '(?i)\\bexit(?:ed with)?(?:\\s+status)?\\s+code\\s+(\\d+)\\b', 1)) end as signature
     from ({overlay.SQL}) where kind = 'tool_result_stub'"""

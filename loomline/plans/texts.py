@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import identity
-from loomline.functions.prompts import atomic, cleaned_statement, no_signal, statement_flags
-from loomline.functions.text import capped_bytes, excerpt_around, shortened
+from loomline.functions.prompts import atomic, cleaned_statement, no_signal, statement_flags, without_tags
+from loomline.functions.text import capped_bytes, excerpt_around, shortened, squeezed
 from loomline.operators import review, skills, workflow
 from loomline.operators.summaries import low_signal_topic
 from loomline.plans.registry import Tables, query
@@ -28,9 +28,9 @@ def key_sql(text: str) -> str:
     return f"array_to_string(list_sort(list_distinct(list_filter(list_transform({words_sql(text)}, {STEM_SQL}), lambda w: w <> '' and w not in {STOP}))), '-')"
 
 
-def slug_sql(text: str) -> str:
-    w = words_sql(text)
-    return f"array_to_string(list_filter({w}, lambda x, i: i = 1 or x <> ({w})[i - 1])[1:8], '-')"
+def slug_of(words: str) -> str:
+    """A slug from a column of words, which is worth a step of its own: computed within, it would be made anew for each word."""
+    return f"array_to_string(list_filter({words}, lambda x, i: i = 1 or x <> {words}[i - 1])[1:8], '-')"
 
 
 @query(f"select doc_id, case when length({_SQUEEZED}) <= 120 then {_SQUEEZED} else concat(rtrim(left({_SQUEEZED}, 117)), '...') end as short from documents")
@@ -55,8 +55,7 @@ def f9_excerpt(t: Tables) -> DataFrame:
 
 @query("select page_id, trim(regexp_replace(regexp_replace(html, '(?i)</?[a-z_:-]+(?:\\s+[^>]*)?>', ' ', 'g'), '\\s+', ' ', 'g')) as plain from pages")
 def f12_tag_strip(t: Tables) -> DataFrame:
-    tags = F.regexp_replace("html", r"(?i)</?[a-z_:-]+(?:\s+[^>]*)?>", " ")
-    return t.pages.select("page_id", F.trim(F.regexp_replace(tags, r"\s+", " ")).alias("plain"))
+    return t.pages.select("page_id", squeezed(without_tags(F.col("html"))).alias("plain"))
 
 
 @query("select item_id, len(regexp_extract_all(text, '[.!?]+(?:\\s|$)')) <= 1 as atomic from benchmark")
@@ -71,7 +70,7 @@ def f14_no_signal(t: Tables) -> DataFrame:
 
 @query()
 def f32_low_signal_topic(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", low_signal_topic(F.substring_index("text", "\n", 1)).alias("low_signal"))
+    return t.documents.select("doc_id", low_signal_topic(F.col("text")).alias("low_signal"))
 
 
 @query("select doc_id, regexp_replace(regexp_replace(text, '\\b(?:[A-Za-z]:)?/?(?:Users|home)/[^\\s]+', '[local-path]', 'g'), '(?i)\\b[A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|API_KEY)\\b\\s*[=:]\\s*\\S+', '[secret-ref]', 'g') as redacted from documents")
@@ -80,13 +79,11 @@ def f40_redacted(t: Tables) -> DataFrame:
 
 
 @query(
-    """with s as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents)
-    select doc_id, strlen(t) > 512 as cut, case when strlen(t) <= 512 then t else left(t, 100) end as head from s"""
+    """with s as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents), cut as (select doc_id, t, list_aggregate(list_filter(range(1, 510), lambda k: strlen(left(t, k)) <= 509), 'max') as k from s)
+    select doc_id, case when strlen(t) <= 512 then t else concat(rtrim(left(t, k)), '…') end as capped from cut"""
 )
 def f15_capped_bytes(t: Tables) -> DataFrame:
-    capped = capped_bytes(F.col("text"))
-    cut = F.endswith(capped, F.lit("…")) & (F.octet_length(capped) >= 505)
-    return t.documents.select("doc_id", cut.alias("cut"), F.when(cut, F.substring(capped, 1, 100)).otherwise(capped).alias("head"))
+    return t.documents.select("doc_id", capped_bytes(F.col("text")).alias("capped"))
 
 
 @query()
@@ -108,7 +105,7 @@ def f34_canonical_key(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with s as (select item_id, {slug_sql("text")} as slug, left(sha256(concat('when ', item_id, '|', text)), 8) as digest from benchmark),
+    f"""with v as (select *, {words_sql("text")} as words from benchmark), s as (select item_id, {slug_of("words")} as slug, left(sha256(concat('when ', item_id, '|', text)), 8) as digest from v),
       w as (select item_id, concat(case when slug = '' then 'instinct' else slug end, '-', digest) as id, digest from s)
     select item_id, case when length(id) <= 80 then id else concat(left(id, 72), '-', digest) end as id from w"""
 )
@@ -172,16 +169,15 @@ def a23_kept_first(t: Tables) -> DataFrame:
 _SKILL_WORDS = "list_filter(string_split_regex(regexp_replace(lower(line), '[^\\w\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 4)"
 _ITEMS_SQL = f"""select skill_id, item, words, case when len(words) > 0 then array_to_string(words[1:6], ' ') else left(lower(line), 40) end as match_key from (
   select 'the' as skill_id, item, line, {_SKILL_WORDS} as words from (
-    select item_id as item, trim(replace(regexp_extract(concat('- ', text), '^- ([^\\n]+)', 1), '`', '')) as line from benchmark) where length(line) >= 8)"""
+    select 1000000 * item_id + pos as item, trim(replace(line, '`', '')) as line from (select item_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from benchmark)) where length(line) >= 8)"""
 _HIT = "(contains(lower(text), match_key) or (len(words) > 0 and len(list_filter(words, lambda w: contains(lower(text), w))) >= greatest(2, ceil(len(words) * 0.5))))"
 
 
 def _checklist(t: Tables) -> DataFrame:
-    """Every benchmark item's first line as a bullet of one skill."""
-    bullets = t.benchmark.select(F.lit("the").alias("skill_id"), F.col("item_id"), F.concat(F.lit("- "), F.substring_index("text", "\n", 1)).alias("markdown"))
-    parsed = skills.checklist(bullets.withColumn("skill_id", F.concat_ws("|", "skill_id", F.col("item_id").cast("string"))))
-    parts = F.split("skill_id", r"\|")
-    return parsed.withColumns({"item": parts[1].cast("long"), "skill_id": parts[0]})
+    """All lines of every benchmark item as bullets of one skill, numbered by item and line."""
+    bullets = t.benchmark.select(F.col("item_id").alias("skill_id"), F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("- "), x)), "\n").alias("markdown"))
+    parsed = skills.checklist(bullets)
+    return parsed.withColumns({"item": 1_000_000 * F.col("skill_id") + F.col("item"), "skill_id": F.lit("the")})
 
 
 @query(
@@ -200,14 +196,14 @@ def f41_item_rates(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with q as (select item_id, string_split({key_sql("concat(' ', left(text, 60))")}, '-') as tok from benchmark), q2 as (select item_id, list_distinct(list_filter(tok, lambda x: x <> '')) as tok from q),
-      d as (select doc_id, list_distinct(list_filter(string_split({key_sql("concat(' ', text)")}, '-'), lambda x: x <> '')) as tok from documents where lang = 'en')
+    f"""with q as (select item_id, string_split({key_sql("concat(' ', text)")}, '-') as tok from benchmark), q2 as (select item_id, list_distinct(list_filter(tok, lambda x: x <> '')) as tok from q),
+      d as (select doc_id, list_distinct(list_filter(string_split({key_sql("concat(' ', text)")}, '-'), lambda x: x <> '')) as tok from documents)
     select item_id, min(doc_id) as encoded_in from q2 join d on len(list_intersect(q2.tok, d.tok)) >= 0.6 * len(q2.tok) where len(q2.tok) > 0 group by item_id"""
 )
 def j10_encoded_overlap(t: Tables) -> DataFrame:
     def tokens(c):
         return F.filter(F.array_distinct(F.split(identity.canonical_key(F.lit(""), c), "-")), lambda x: x != "")
 
-    asked = t.benchmark.select("item_id", tokens(F.substring("text", 1, 60)).alias("tokens"))
-    known = t.documents.where("lang = 'en'").select(F.col("doc_id").alias("known_id"), F.col("doc_id").alias("ord"), tokens(F.col("text")).alias("tokens"))
+    asked = t.benchmark.select("item_id", tokens(F.col("text")).alias("tokens"))
+    known = t.documents.select(F.col("doc_id").alias("known_id"), F.col("doc_id").alias("ord"), tokens(F.col("text")).alias("tokens"))
     return workflow.already_encoded(asked, known, "item_id", "tokens")

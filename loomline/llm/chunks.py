@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import pre_tokenizers
 
+from loomline.llm.common import tidy
+
 #: Fixed value: the split pattern of byte-level tokenizer files of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points on whose classes all Unicode versions agree; other texts are split by the library's own tables.
@@ -31,7 +33,7 @@ ODD = rf"( (\n|{_OTHER}|\z)|{_OTHER}\n|\n{_OTHER}|\n\n(\n|\z))"
 #: Punctuation that is cut from the letter or digit before it.
 TAIL, BEFORE_TAIL = ".,;:!?$%&|)", r"[0-9A-Za-zÀ-ÖØ-öø-ÿ]\z"
 #: Bytes of text in one step, and bytes that a memo may take.
-STEP, ROOM = 4 << 20, 32 << 20
+STEP, ROOM = 2 << 20, 24 << 20
 #: What an entry of a memo takes beside its characters and ids, and the longest key kept.
 ENTRY, LONGEST = 32, 200
 
@@ -102,6 +104,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1 << 30) -
             upto = min(max(upto, at + 1), at + rows)
             yield batch.slice(at, upto - at)
             at = upto
+    tidy()
 
 
 class Splitter:

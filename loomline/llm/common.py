@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,18 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def tidy() -> None:
+    """Give memory that is free back to the machine: Spark keeps Python workers, and what they hold counts against later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator, size: int) -> Iterator:
     """Arrow batches in pieces of at most ``size`` rows: bounds what one step holds in Python."""
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+    tidy()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.text import matches
+from loomline.functions.identity import canonical_key
+from loomline.functions.prompts import cleaned_statement, statement_flags
+from loomline.functions.text import let, matches, matches_any, rule, squeezed, trimmed
 
 # Fixed values: (rule, cluster, kind of evidence, pattern).
 VERIFY = "(verify|verification|test|cibuild|ci|proof|passes|green)"
@@ -22,6 +24,28 @@ MARKERS = [
     ("communication-evidence-first", "communication", "explicit_preference", r"\b(concise|terse|brief|evidence|summary|final)\b"),
     ("simplification-smallest-maintainable", "simplification", "accepted_pattern", r"\b(simple|simplify|smallest|refactor|abstraction|over-?engineer)\b"),
 ]
+# What each rule becomes (kind of artifact, guidance, trigger).
+GUIDANCE = {
+    "validation-explicit-verify": ("rule", "Run the relevant verification before claiming behavior works or work is complete.", "Before claiming completion, merge readiness, or CI status."),
+    "validation-scope-correction": ("rule", "Treat user corrections like “not what I asked” as scope failures and realign before continuing.", "When user feedback indicates the agent solved a different problem or kept going in the wrong direction."),
+    "review-independent-closeout": ("skill", "Use an independent review or explicit self-review path before closing review-gated work.", "When work enters a review-gated task, PR, or td issue closeout."),
+    "shipping-concrete-evidence": ("workflow_doc", "Keep shipping evidence tied to concrete commands, commits, PRs, and CI state rather than local claims.", "When preparing a change for review, push, PR, or merge."),
+    "debugging-root-cause-evidence": ("skill", "Debug from root cause and preserve the failing evidence before changing implementation.", "When tests, builds, runtime commands, or user reports expose a failure."),
+    "capture-durable-guidance": ("rule", "Capture durable workflow corrections as skills, rules, docs, or reviewable candidates instead of leaving them only in chat.", "When a session contains reusable agent-behavior guidance."),
+    "delegation-quality-speed-check": ("workflow_doc", "Delegate only when it improves speed, quality, or independent verification; keep deterministic small edits inline.", "When a task can be split across independent research, review, or implementation lanes."),
+    "communication-evidence-first": ("rule", "Keep user-facing updates concise, evidence-first, and focused on decisions, checks, and residual risk.", "When reporting progress, review findings, plans, or final status."),
+    "simplification-smallest-maintainable": ("rule", "Prefer the smallest maintainable change and avoid adding abstractions before the existing pattern requires them.", "When choosing between a direct fix and a broader abstraction."),
+}
+GENERIC = [
+    r"at every handoff and turn end",
+    r"branch/worktree no agent-owned dirt before handoff",
+    r"do not call a persistent REPL in parallel",
+    r"prefer skills and repo evidence over broad prose recall",
+    r"stop when request fulfilled",
+    r"when `?qa`? CLI on PATH",
+]
+SHORTEST_EXCERPT, LONGEST_EXCERPT = 20, 200
+TIERS = {"instinct": 2, "keyword": 1}
 CONTRADICTED, STRONG_SESSIONS, OVERLAP = 0.2, 3, 0.6
 RANK = {"strong": 4, "medium": 3, "weak": 2, "contradicted": 1}
 ADVICE = {"strong": "adopt", "medium": "consider", "contradicted": "ask", "weak": "dismiss"}
@@ -37,44 +61,128 @@ def redacted(c: Column) -> Column:
 def seeds(sessions: DataFrame, text: str = "text") -> DataFrame:
     """session_id, rule_id, cluster, kind of every marker that a session's text has."""
     t = redacted(F.col(text))
-    hits = [F.when(matches(t, p), F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("cluster"), F.lit(k).alias("kind"))) for r, c, k, p in MARKERS]
+
+    def hit(rule_id: str, cluster: str, kind: str, pattern: str) -> Column:
+        artifact, guidance, trigger = GUIDANCE[rule_id]
+        fields = {"rule_id": rule_id, "cluster": cluster, "kind": kind, "source_tier": "keyword", "artifact_kind": artifact, "guidance": guidance, "trigger": trigger}
+        return F.when(matches(t, pattern), F.struct(*(F.lit(v).alias(n) for n, v in fields.items()), F.lit(None).cast("string").alias("level")))
+
+    hits = [hit(*m) for m in MARKERS]
     return sessions.select("session_id", F.explode(F.array_compact(F.array(*hits))).alias("s")).select("session_id", "s.*")
 
 
+def record_seeds(records: DataFrame, observations: DataFrame) -> DataFrame:
+    """Seeds of general workflow records that are established or proven: every observation is evidence.
+
+    ``records``: instinct_id, scope, domain, maturity, trigger, finding. ``observations``: instinct_id,
+    session_id, reinforcing.
+    """
+    own = records.where("scope = 'global' and domain = 'workflow' and maturity in ('established', 'proven')")
+    named = own.select(
+        "instinct_id", F.concat(F.lit("instinct-"), canonical_key(F.col("trigger"), F.col("finding"))).alias("rule_id"), F.lit("capture").alias("cluster"), F.lit("instinct").alias("source_tier"),
+        F.lit("skill").alias("artifact_kind"), F.col("finding").alias("guidance"), "trigger", F.when(F.col("maturity") == "proven", "strong").otherwise("medium").alias("level"),
+    )
+    kind = F.when(F.col("reinforcing"), "accepted_pattern").otherwise("contradiction")
+    return observations.select("instinct_id", "session_id", kind.alias("kind")).join(named, "instinct_id").select("session_id", "rule_id", "cluster", "kind", "source_tier", "artifact_kind", "guidance", "trigger", "level")
+
+
+def in_window(sessions: DataFrame, days: int, now: Column, source: str | None = None, updated_at: str = "updated_at") -> DataFrame:
+    """Sessions updated in the last ``days`` before ``now``, of a tool if one is given; times that are none are left out."""
+    at = F.try_to_timestamp(F.col(updated_at).cast("string"))
+    out = sessions.where(F.coalesce(at >= now - F.make_dt_interval(days=F.lit(days)), F.lit(False)))
+    return out if source is None else out.where(F.col("source_tool") == source)
+
+
+def sentence(text: Column, pattern: str) -> Column:
+    """The sentence or line of the first match of a pattern; null without one."""
+
+    def around(t: Column) -> Column:
+        at = F.regexp_instr(t, F.lit(rule(pattern)))
+        head = F.regexp_extract(F.substring(t, F.lit(1), at - 1), r"[^.!?\n]*\z", 0)
+        return F.when(at > 0, trimmed(F.concat(head, F.regexp_extract(F.substring(t, at, F.length(t)), r"\A[^.?!\n]*[.?!\n]?", 0))))
+
+    return let(text, around)
+
+
+def excerpt(parts: Column, pattern: str) -> Column:
+    """The first useful sentence with a match in an array of texts, or else in all of them joined; empty if there is none."""
+
+    def useful(t: Column) -> Column:
+        return (F.length(t) >= SHORTEST_EXCERPT) & ~matches_any(t, GENERIC)
+
+    found = F.transform(F.concat(parts, F.array(F.array_join(parts, " "))), lambda t: cleaned_statement(redacted(sentence(redacted(t), pattern))))
+    first = F.get(F.filter(found, lambda t: F.coalesce(useful(t), F.lit(False))), F.lit(0))
+    cut = F.when(F.length(first) <= LONGEST_EXCERPT, first).otherwise(F.concat(F.rtrim(F.substring(first, 1, LONGEST_EXCERPT - 1)), F.lit("…")))
+    return F.coalesce(cut, F.lit(""))
+
+
 def candidates(found: DataFrame) -> DataFrame:
-    """Per rule: sessions with evidence, supporting and contradicting ones, confidence and recommendation.
+    """Per rule: sessions with evidence, supporting and contradicting ones, confidence, recommendation, risk and guidance.
 
     A session that contradicts does not support. More than a fifth of contradicting sessions make
-    a contradicted candidate.
+    a contradicted candidate. Records bring their own confidence.
     """
+    what = [F.max(n).alias(n) for n in ("source_tier", "artifact_kind", "guidance", "trigger", "level")]
     sides = found.groupBy("cluster", "rule_id", "session_id").agg(
-        F.bool_or(F.col("kind") == "contradiction").alias("against"), F.bool_or(F.col("kind").isin("correction", "explicit_preference")).alias("said")
+        F.bool_or(F.col("kind") == "contradiction").alias("against"), F.bool_or(F.col("kind").isin("correction", "explicit_preference")).alias("said"), *what
     )
     sums = sides.groupBy("cluster", "rule_id").agg(
-        F.count("*").alias("evidence_count"), F.count_if("against").alias("contradicting_count"), F.count_if(~F.col("against")).alias("supporting_count"), F.bool_or("said").alias("said")
+        F.count("*").alias("evidence_count"), F.count_if("against").alias("contradicting_count"), F.count_if(~F.col("against")).alias("supporting_count"), F.bool_or("said").alias("said"), *what
     )
     share = F.col("contradicting_count") / F.greatest(F.lit(1), F.col("evidence_count"))
     level = (
-        F.when(share > CONTRADICTED, "contradicted")
+        F.when(F.col("level").isNotNull(), F.col("level"))
+        .when(share > CONTRADICTED, "contradicted")
         .when(F.col("said") | (F.col("evidence_count") >= STRONG_SESSIONS), "strong")
         .when(F.col("evidence_count") >= 2, "medium")
         .otherwise("weak")
     )
     advice = F.element_at(F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv]), F.col("confidence"))
-    digest = F.substring(F.sha2(F.concat("cluster", F.decode(F.lit(b"\x00"), "UTF-8"), "rule_id").cast("binary"), 256), 1, 10)
-    return sums.withColumn("confidence", level).drop("said").withColumns({"recommendation": advice, "candidate_id": F.concat(F.lit("wf_"), digest)})
+    zero = F.decode(F.lit(b"\x00"), "UTF-8")
+    own = F.concat(F.lit("instinct"), zero, F.regexp_replace("rule_id", r"\Ainstinct-", ""))
+    name = F.when(F.col("source_tier") == "instinct", own).otherwise(F.concat("cluster", zero, "rule_id"))
+    digest = F.substring(F.sha2(name.cast("binary"), 256), 1, 10)
+    out = sums.withColumn("confidence", level).drop("said", "level").withColumns({"recommendation": advice, "candidate_id": F.concat(F.lit("wf_"), digest)})
+    risk = F.when(F.col("confidence") == "contradicted", "high").when(F.col("confidence") == "weak", "medium").otherwise("low")
+    return out.withColumns({"risk": risk, "artifact_kind": F.when(F.col("recommendation") == "dismiss", "none").otherwise(F.col("artifact_kind"))})
 
 
 def ranked(rows: DataFrame, limit: int) -> DataFrame:
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), F.col("confidence"))
-    return rows.orderBy(F.desc(rank), F.desc("evidence_count"), "rule_id").limit(limit)
+    tier = F.element_at(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv]), F.col("source_tier"))
+    return rows.orderBy(F.desc(rank), F.desc(tier), F.desc("evidence_count"), "guidance").limit(limit)
 
 
 def evidence(found: DataFrame, sessions: DataFrame, cap: int = 10) -> DataFrame:
-    """The newest ``cap`` sessions of evidence of each rule."""
-    rows = found.select("rule_id", "session_id").distinct().join(sessions.select("session_id", "updated_at"), "session_id")
-    newest = Window.partitionBy("rule_id").orderBy(F.desc("updated_at"), "session_id")
-    return rows.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= cap)
+    """The first ``cap`` sessions of evidence of each rule: those with a useful excerpt, then the newest."""
+    cases = F.when(F.lit(False), F.lit(""))
+    for rule_id in GUIDANCE:
+        own = [F.nullif(excerpt(F.split("text", "\n"), p), F.lit("")) for r, _, _, p in MARKERS if r == rule_id]
+        cases = cases.when(F.col("rule_id") == rule_id, F.coalesce(*own, F.lit("")))
+    rows = found.select("rule_id", "session_id").distinct().join(sessions.select("session_id", "updated_at", "text"), "session_id").withColumn("excerpt", F.coalesce(cases, F.lit(""))).drop("text")
+    first = Window.partitionBy("rule_id").orderBy(F.when(F.col("excerpt") != "", 0).otherwise(1), F.desc("updated_at"), "session_id")
+    return rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= cap)
+
+
+def drafts(rows: DataFrame, shown: DataFrame, target: str) -> DataFrame:
+    """``rows`` with flags (why guidance is not fit) and markdown: a draft of each fit candidate for ``target``.
+
+    ``shown``: rule_id, session_id, place, excerpt of ``evidence``.
+    """
+
+    def tidy(c: Column) -> Column:
+        return squeezed(cleaned_statement(c))
+
+    line = F.concat(F.lit("- "), "session_id", F.lit(" ("), "rule_id", F.lit("): "), tidy(F.col("excerpt")))
+    lists = shown.groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x.l), "\n").alias("_lines"))
+    head = [F.concat(F.lit(f"- {n}: "), F.col(c)) for n, c in (("Candidate", "candidate_id"), ("Rule", "rule_id"), ("Cluster", "cluster"), ("Confidence", "confidence"), ("Recommendation", "recommendation"), ("Risk", "risk"))]
+    counts = F.format_string("Supporting: %d; contradicting: %d; total: %d", "supporting_count", "contradicting_count", "evidence_count")
+    parts = [
+        F.concat(F.lit(f"# Workflow {target} draft: "), "candidate_id"), F.array_join(F.array(*head), "\n"), F.lit("## Trigger"), tidy(F.col("trigger")),
+        F.lit("## Guidance"), tidy(F.col("guidance")), F.lit("## Evidence"), counts, F.coalesce("_lines", F.lit("")),
+    ]
+    flagged = rows.join(lists, "rule_id", "left").withColumn("flags", statement_flags(F.col("guidance")))
+    return flagged.withColumn("markdown", F.when(F.size("flags") == 0, F.concat(F.array_join(F.array(*parts), "\n\n"), F.lit("\n")))).drop("_lines")
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:

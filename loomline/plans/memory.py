@@ -206,6 +206,7 @@ def w17_byte_budget(t: Tables) -> DataFrame:
 
 
 _MARKS = " union all ".join(f"select session_id, {_quoted(r)} as rule_id, {_quoted(c)} as cluster, {_quoted(k)} as kind from s where regexp_matches(text, {_quoted(p)}, 'i')" for r, c, k, p in workflow.MARKERS)
+_GUIDANCE = ", ".join(f"({_quoted(r)}, {_quoted(a)}, {_quoted(g)}, {_quoted(t)})" for r, (a, g, t) in workflow.GUIDANCE.items())
 _SESSIONS = f"s as (select session_id, string_agg(text, E'\\n' order by line) as text, max(ts) as updated_at from ({overlay.SQL}) group by session_id)"
 
 
@@ -219,21 +220,41 @@ def _sessions(t: Tables) -> DataFrame:
     f"""with {_SESSIONS}, m as ({_MARKS}), e as (select cluster, rule_id, session_id, bool_or(kind = 'contradiction') as against, bool_or(kind in ('correction', 'explicit_preference')) as said from m group by all),
       c as (select cluster, rule_id, count(*) as evidence_count, count(*) filter (against) as contradicting_count, count(*) filter (not against) as supporting_count, bool_or(said) as said from e group by all),
       l as (select *, case when contradicting_count / evidence_count > 0.2 then 'contradicted' when said or evidence_count >= 3 then 'strong' when evidence_count >= 2 then 'medium' else 'weak' end as confidence from c)
-    select cluster, rule_id, evidence_count, contradicting_count, supporting_count, confidence,
+    select cluster, rule_id, evidence_count, contradicting_count, supporting_count, confidence, 'keyword' as source_tier, case when confidence = 'weak' then 'none' else g.artifact_kind end as artifact_kind, g.guidance, g.trigger,
+      case confidence when 'contradicted' then 'high' when 'weak' then 'medium' else 'low' end as risk,
       case confidence when 'strong' then 'adopt' when 'medium' then 'consider' when 'contradicted' then 'ask' else 'dismiss' end as recommendation,
-      concat('wf_', left(sha256(concat(cluster, chr(0), rule_id)), 10)) as candidate_id from l"""
+      concat('wf_', left(sha256(concat(cluster, chr(0), rule_id)), 10)) as candidate_id from l join (values {_GUIDANCE}) g(rule_id, artifact_kind, guidance, trigger) using (rule_id)"""
 )
 def a15_workflow_mine(t: Tables) -> DataFrame:
     return workflow.candidates(workflow.seeds(_sessions(t)))
 
 
+def _sentence(text: str, pattern: str) -> str:
+    head = f"regexp_extract({text}, {_quoted(f'(?is)^(.*?)(?:{pattern})')}, 1)"
+    return f"trim(concat(regexp_extract({head}, '[^.!?\\n]*$'), regexp_extract(substr({text}, length({head}) + 1), '^[^.?!\\n]*[.?!\\n]?')))"
+
+
+#: The first sentence with a marker that is long enough, of a session's lines, else of all of them joined.
+_EXCERPTS = "select rule_id, session_id, arg_min(said, (marker, pos)) as excerpt from (" + " union all ".join(
+    f"select {_quoted(r)} as rule_id, session_id, {i} as marker, pos, {_sentence('line', p)} as said from lines where regexp_matches(line, {_quoted(p)}, 'i')" for i, (r, _, _, p) in enumerate(workflow.MARKERS)
+) + ") where length(said) >= 20 group by rule_id, session_id"
+
+
 @query(
-    f"""with {_SESSIONS}, m as (select distinct rule_id, session_id from ({_MARKS})), r as (select m.rule_id, m.session_id, row_number() over (partition by m.rule_id order by s.updated_at desc, m.session_id) as place from m join s using (session_id))
-    select rule_id, session_id, place from r where place <= 10"""
+    f"""with {_SESSIONS}, lines as (select session_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from s union all select session_id, replace(text, chr(10), ' '), 1000000 from s), m as (select distinct rule_id, session_id from ({_MARKS})), x as ({_EXCERPTS}),
+      r as (select m.rule_id, m.session_id, coalesce(x.excerpt, '') as excerpt, row_number() over (partition by m.rule_id order by x.excerpt is null, s.updated_at desc, m.session_id) as place from m join s using (session_id) left join x using (rule_id, session_id))
+    select rule_id, session_id, excerpt, place from r where place <= 10"""
 )
 def o5_evidence(t: Tables) -> DataFrame:
     rows = _sessions(t)
-    return workflow.evidence(workflow.seeds(rows), rows).select("rule_id", "session_id", F.col("place").cast("long").alias("place"))
+    return workflow.evidence(workflow.seeds(rows), rows).select("rule_id", "session_id", "excerpt", F.col("place").cast("long").alias("place"))
+
+
+@query("select event_id from events where event_id % 7 <> 0 and event_type = 'view' and ts >= timestamp '2024-01-20 00:00:00'")
+def w11_window(t: Tables) -> DataFrame:
+    """Views as sessions of a tool, a seventh of them with a time that is none, ten days before a given day."""
+    rows = t.events.select("event_id", F.col("event_type").alias("source_tool"), F.when(F.col("event_id") % 7 == 0, "no time").otherwise(F.col("ts").cast("string")).alias("updated_at"))
+    return workflow.in_window(rows, 10, F.lit("2024-01-30 00:00:00").cast("timestamp"), "view").select("event_id")
 
 
 @query(

@@ -121,17 +121,13 @@ def grouped(rows: DataFrame, lang: str, source: str) -> DataFrame:
     return rows.join(stored(homes, "homes"), ["g1", "g2"]).drop("g1", "g2").withColumnsRenamed({"h1": "g1", "h2": "g2"})
 
 
-def quantiles(rows: DataFrame, values: dict[str, Column], at: list[float]) -> DataFrame:
+def quantiles(rows: DataFrame, values: dict[str, str], at: list[float]) -> DataFrame:
     """For each group and value its quantiles, as upper edges of bins of 1 / BINS; columns name_i."""
-    bins = [F.struct(F.lit(name).alias("name"), F.floor(v * BINS).cast("long").alias("bin")) for name, v in values.items()]
-    counts = rows.select("g1", "g2", F.explode(F.array(*bins)).alias("b")).groupBy("g1", "g2", "b.name", "b.bin").agg(F.count("*").alias("n"))
+    bins = [f"named_struct('name', '{name}', 'bin', cast(floor(({v}) * {BINS}) as bigint))" for name, v in values.items()]
+    counts = rows.selectExpr("g1", "g2", f"explode(array({', '.join(bins)})) as b").groupBy("g1", "g2", "b.name", "b.bin").agg(F.count("*").alias("n"))
     group = Window.partitionBy("g1", "g2", "name")
     run = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
-    out = [
-        F.min(F.when((F.col("name") == name) & (F.col("upto") >= q * F.col("all")), (F.col("bin") + 1) / F.lit(float(BINS)))).alias(f"{name}_{i}")
-        for name in values
-        for i, q in enumerate(at)
-    ]
+    out = [F.expr(f"min(case when name = '{name}' and upto >= {q} * all then (bin + 1) / {BINS}D end) as {name}_{i}") for name in values for i, q in enumerate(at)]
     return run.groupBy("g1", "g2").agg(*out)
 
 
@@ -140,32 +136,44 @@ LOWER = [(i, j) for i in P for j in range(i + 1)]
 
 
 def _solved(sums: DataFrame, *key: str) -> DataFrame:
-    """From n and sums s_i, s_i_j: the centre c_i, the Cholesky factor l_i_j of the floored covariance, and log_det."""
-    out = sums.withColumns({f"c_{i}": F.col(f"s_{i}") / F.col("n") for i in P})
-    for i, j in LOWER:
-        covariance = F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"c_{i}") * F.col(f"c_{j}") + (FLOOR[SHARES[i]] ** 2 if i == j else 0.0)
-        rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), covariance)
-        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    det = 2 * reduce(lambda a, b: a + b, [F.log(f"l_{i}_{i}") for i in P])
-    return out.select(*key, *(f"c_{i}" for i in P), *(f"l_{i}_{j}" for i, j in LOWER), det.alias("log_det"))
+    """From n and sums s_i, s_i_j: the centre c_i, the inverse m_i_j of the floored covariance's Cholesky factor, and log_det.
+
+    Written as SQL text: so many small terms take seconds to build as columns, one by one.
+    """
+    centre = [f"s_{i} / n as c_{i}" for i in P]
+    floored = [f"s_{i}_{j} / n - (s_{i} / n) * (s_{j} / n) + {FLOOR[SHARES[i]] ** 2 if i == j else 0.0}D as s_{i}_{j}" for i, j in LOWER]
+    out = sums.selectExpr(*key, *centre, *floored)
+
+    def less(i: int, j: int) -> str:
+        return " - ".join([f"s_{i}_{j}", *(f"l_{i}_{k} * l_{j}_{k}" for k in range(j))])
+
+    for j in P:  # a column of the factor in each step
+        root = f"sqrt(greatest({less(j, j)}, 1e-9D))"
+        out = out.selectExpr("*", *(f"{root if i == j else f'({less(i, j)}) / {root}'} as l_{i}_{j}" for i in P if i >= j))
+    for i in P:  # a row of its inverse in each step
+        rows = [f"-({' + '.join(f'l_{i}_{k} * m_{k}_{j}' for k in range(j, i))}) / l_{i}_{i} as m_{i}_{j}" for j in range(i)]
+        out = out.selectExpr("*", *rows, f"1 / l_{i}_{i} as m_{i}_{i}")
+    det = " + ".join(f"2 * ln(l_{i}_{i})" for i in P)
+    return out.selectExpr(*key, *(f"c_{i}" for i in P), *(f"m_{i}_{j}" for i, j in LOWER), f"{det} as log_det")
 
 
 def _moments() -> list[Column]:
-    return [F.count("*").alias("n"), *(F.sum(s).alias(f"s_{i}") for i, s in enumerate(SHARES)), *(F.sum(F.col(SHARES[i]) * F.col(SHARES[j])).alias(f"s_{i}_{j}") for i, j in LOWER)]
+    sums = [f"sum({s}) as s_{i}" for i, s in enumerate(SHARES)] + [f"sum({SHARES[i]} * {SHARES[j]}) as s_{i}_{j}" for i, j in LOWER]
+    return [F.expr(x) for x in ["count(*) as n", *sums]]
 
 
 def starts(rows: DataFrame) -> DataFrame:
-    """g1, g2, start (a number), c_i, l_i_j, log_det of each group's starts."""
-    found = stored(quantiles(rows, {s: F.col(s) for s in SHARES}, [0.25, 0.5, 0.75]), "quartiles")
-    centre = [F.col(f"{s}_1").alias(f"c_{i}") for i, s in enumerate(SHARES)]
+    """g1, g2, start (a number), c_i, m_i_j, log_det of each group's starts."""
+    found = stored(quantiles(rows, {s: s for s in SHARES}, [0.25, 0.5, 0.75]), "quartiles")
+    centre = [f"{s}_1 as c_{i}" for i, s in enumerate(SHARES)]
 
-    def diagonal(number: int, spread: list[Column]) -> DataFrame:
-        root = [(F.sqrt(spread[i] * spread[i] + FLOOR[SHARES[i]] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in LOWER]
-        return found.select("g1", "g2", F.lit(number).alias("start"), *centre, *root, F.lit(float("inf")).alias("log_det"))
+    def diagonal(number: int, spread: list[str]) -> DataFrame:
+        inverse = [f"{f'1 / sqrt(pow({spread[i]}, 2) + {FLOOR[SHARES[i]] ** 2}D)' if i == j else '0D'} as m_{i}_{j}" for i, j in LOWER]
+        return found.selectExpr("g1", "g2", f"{number} as start", *centre, *inverse, "0D as log_det")
 
-    quartiles = diagonal(0, [(F.col(f"{s}_2") - F.col(f"{s}_0")) / 1.349 for s in SHARES])
+    quartiles = diagonal(0, [f"({s}_2 - {s}_0) / 1.349D" for s in SHARES])
     mean = _solved(rows.groupBy("g1", "g2").agg(*_moments()).withColumn("start", F.lit(1)), "g1", "g2", "start")
-    return quartiles.unionByName(mean).unionByName(diagonal(2, [F.lit(0.0)] * len(SHARES)))
+    return quartiles.unionByName(mean).unionByName(diagonal(2, ["0D"] * len(SHARES)))
 
 
 def concentrated(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -175,38 +183,35 @@ def concentrated(rows: DataFrame, found: DataFrame) -> DataFrame:
     sums = distances(rows, found).groupBy(*key, bins.alias("bin")).agg(*_moments())
     group = Window.partitionBy(*key)
     nearer = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = sums.withColumns({"nearer": nearer, "all": F.sum("n").over(group)}).where(F.col("nearer") < CLOSEST * F.col("all"))
-    return _solved(kept.groupBy(*key).agg(*(F.sum(c).alias(c) for c in ["n", *(f"s_{i}" for i in P), *(f"s_{i}_{j}" for i, j in LOWER)])), *key)
+    kept = sums.withColumns({"nearer": nearer, "all": F.sum("n").over(group)}).where(f"nearer < {CLOSEST} * all")
+    return _solved(kept.groupBy(*key).agg(*(F.expr(f"sum({c}) as {c}") for c in ["n", *(f"s_{i}" for i in P), *(f"s_{i}_{j}" for i, j in LOWER)])), *key)
 
 
 def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` with d2, the squared Mahalanobis distance to their group's centre (for each start, if estimates have several)."""
-    out = rows.join(estimates.drop("log_det"), ["g1", "g2"], "left")
-    for i, s in enumerate(SHARES):
-        rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"y_{k}"), range(i), F.col(s) - F.col(f"c_{i}"))
-        out = out.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
-    total = reduce(lambda a, b: a + b, [F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(len(SHARES))])
-    extra = [c for c in out.columns if c[:2] in ("y_", "l_", "c_")]
-    return out.withColumn("d2", total).drop(*extra)
+    scaled = [" + ".join(f"m_{i}_{j} * ({SHARES[j]} - c_{j})" for j in range(i + 1)) for i in P]
+    kept = [f"`{c}`" for c in rows.columns] + [c for c in estimates.columns if c == "start"]
+    joined = rows.join(estimates.drop("log_det"), ["g1", "g2"], "left")
+    return joined.selectExpr(*kept, " + ".join(f"pow({y}, 2)" for y in scaled) + " as d2")
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Estimates of each group, and the factor by which its distances are wider than normal ones."""
-    found = stored(starts(rows), "starts")
+    found, total = stored(starts(rows), "starts"), None
     for _ in range(MOST_STEPS):
         after = stored(concentrated(rows, found), "estimates")
-        old = found.select("g1", "g2", "start", F.col("log_det").alias("old"))
-        moved = after.join(old, ["g1", "g2", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
         dropped(found)
         found = after
-        if moved is None or moved < SETTLED:
+        # No step raises a determinant, so where their product stays all of them do.
+        now = found.agg(F.sum("log_det")).first()[0]
+        if now is None or (total is not None and abs(now - total) < SETTLED):
             break
+        total = now
     values = [c for c in found.columns if c not in ("g1", "g2", "log_det", "start")]
     least = found.groupBy("g1", "g2").agg(F.min(F.struct("log_det", "start", *values)).alias("e"))
     best = stored(least.select("g1", "g2", *(f"e.{c}" for c in ["log_det", *values])), "best")
     dropped(found)
-    size = {"d": F.log(F.col("d2") + 1e-6)}
-    middle = quantiles(distances(rows, best), size, [0.5])
+    middle = quantiles(distances(rows, best), {"d": "ln(d2 + 1e-6D)"}, [0.5])
     wider = F.greatest(F.lit(1.0), F.exp("d_0") / CHI_MEDIAN)
     return best, stored(middle.select("g1", "g2", wider.alias("wider")), "wider")
 

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.sources.scratch import spread
+
 Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
+#: Tables of long texts.
+TEXTS = ("documents", "conversations")
 
 
 class Tables:
@@ -19,7 +23,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXTS else table
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -19,6 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, dealt out to all cores where its files make fewer partitions than these.
+
+    Work on texts takes far longer than reading them, and a small table in one file would leave it
+    to one core. Larger tables stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex}"
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.sources.scratch import delete, dropped, new_path, shared_dir, stored  # noqa: F401
+from loomline.sources.scratch import delete, dropped, new_path, shared_dir, spread, stored  # noqa: F401
 
 #: White space of the word rules, as a Java regex class and as plain characters.
 WHITE = r"[\x20\x09-\x0D]"

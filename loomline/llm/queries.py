@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, embedding_dedup, line_dedup, minhash, mixing, quality_classifier, quality_rules, secrets, token_files, url_filter
-from loomline.llm.common import LOWER, UPPER, new_path
+from loomline.llm.common import LOWER, UPPER, new_path, spread
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name == "documents" else read
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

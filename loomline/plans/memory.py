@@ -235,9 +235,9 @@ def _sentence(text: str, pattern: str) -> str:
 
 
 #: The first sentence with a marker that is long enough, of a session's lines, else of all of them joined.
-_EXCERPTS = "select rule_id, session_id, arg_min(said, (marker, pos)) as excerpt from (" + " union all ".join(
+_EXCERPTS = "select rule_id, session_id, case when length(said) <= 200 then said else concat(rtrim(left(said, 199)), '…') end as excerpt from (select rule_id, session_id, arg_min(said, (marker, pos)) as said from (" + " union all ".join(
     f"select {_quoted(r)} as rule_id, session_id, {i} as marker, pos, {_sentence('line', p)} as said from lines where regexp_matches(line, {_quoted(p)}, 'i')" for i, (r, _, _, p) in enumerate(workflow.MARKERS)
-) + ") where length(said) >= 20 group by rule_id, session_id"
+) + ") where length(said) >= 20 group by rule_id, session_id)"
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import statements as st
-from loomline.functions.prompts import atomic, cleaned_statement, cleaned_title, skill_leak, without_leaks
+from loomline.functions.prompts import atomic, cleaned_prompt, cleaned_statement, cleaned_title, skill_leak, substantive, without_leaks
 from loomline.functions.text import capped_bytes, let, matches, matches_any, shortened, squeezed
 from loomline.operators.commands import COMMAND_LINE, TICKED, all_of
 
@@ -34,6 +34,9 @@ TRIGGERS = {
     "dead_end": "When tempted to try the same approach in ",
     "workflow": "When running the same workflow in ",
 }
+WORKFLOW_WORDS = r"\b(?:worktree|setup|prune|test|tests|performance|example|fixture|script|plan|strategy)\b"
+DIAGNOSIS = r"\b(?:bun -e|node -e|python3? -c|python3? -m pytest|npm test|bun test)\b"
+SPEC_WORDS = r"\b(?:speckit|spec|architecture|roadmap|design doc|create a .+ wrapper|create a .+ spec)\b"
 CAP, LONGEST, KEY_LEAST = 12, 240, 32
 COLUMNS = ["session_id", "project_key", "turn_id", "line", "learning_id", "kind", "basis", "statement", "title", "trigger", "evidence", "confidence"]
 
@@ -130,6 +133,89 @@ def of_turns(turns: DataFrame, events: DataFrame) -> DataFrame:
     return found.select("session_id", "project_key", "turn_id", line.alias("line"), name_of.alias("learning_id"), "c.*").select(*COLUMNS)
 
 
+def _first(commands: Column, test) -> Column:
+    return F.get(F.filter(commands, test), F.lit(0))
+
+
+def workflow_command(commands: Column, prompt: Column) -> Column:
+    """A project's own or a setup command where a prompt is about such work, or the commit that it asks for; else null."""
+    about = matches(prompt, WORKFLOW_WORDS)
+    own = _first(commands, lambda x: F.startswith(x, F.lit("./")) | F.contains(x, F.lit("worktree")))
+    setup = _first(commands, lambda x: x.rlike(r"(?i)(?:uv sync|pnpm install|npm install|git worktree)"))
+    commit = _first(commands, lambda x: matches(x, r"^git commit\b"))
+    return F.coalesce(F.when(about, own), F.when(about, setup), F.when(matches(prompt, r"\bcommit\b"), commit))
+
+
+def workflow_target(prompt: Column) -> Column:
+    """What such a prompt is about."""
+    tree = matches(prompt, r"\bworktree\b")
+    return (
+        F.when(tree & matches(prompt, r"\bsetup\b"), "worktree setup")
+        .when(tree & matches(prompt, r"\bprune|stale|old\b"), "worktree pruning")
+        .when(matches(prompt, r"\btests?|performance|faster\b"), "test performance work")
+        .when(matches(prompt, r"\bexample|fixture\b"), "fixture/example maintenance")
+        .otherwise("repo workflow")
+    )
+
+
+def review_command(commands: Column, prompt: Column) -> Column:
+    """The command with which a pull request was looked at."""
+    asked = matches(prompt, r"\b(?:review|checkout)\b.*\bpr\b|\bpr\b.*\b(?:review|checkout)\b")
+    tree = _first(commands, lambda x: x.rlike(r"(?i)git worktree (?:add|remove)"))
+    return F.when(asked, F.coalesce(tree, _first(commands, lambda x: matches(x, r"^gh\b"))))
+
+
+def fork_command(commands: Column, prompt: Column) -> Column:
+    """The command that keeps a fork in step."""
+    asked = matches(prompt, r"\b(?:private clone|upstream|fork|sync with upstream)\b")
+    added = _first(commands, lambda x: x.rlike("(?i)git remote add upstream"))
+    return F.when(asked, F.coalesce(added, _first(commands, lambda x: x.rlike("(?i)git fetch upstream"))))
+
+
+def of_prompts(turns: DataFrame) -> DataFrame:
+    """Candidates of what prompts ask for: workflow, pull-request, fork, crash and specification lessons.
+
+    ``turns``: turn_id, session_id, project_key, turn_index, first_line, user_prompt, commands_seen, files_touched.
+    """
+    commands, project = F.col("commands_seen"), F.col("project_key")
+    cleaned = cleaned_prompt(F.col("user_prompt"))
+    rows = turns.withColumn("_asked", F.coalesce(F.nullif(cleaned, F.lit("")), F.col("user_prompt")))
+    rows = rows.withColumn("_line", F.coalesce(F.nullif(F.trim(F.substring_index(substantive(F.col("user_prompt")), "\n", 1)), F.lit("")), F.lit("this project")))
+    asked, line = F.col("_asked"), F.col("_line")
+
+    def said(kind: str, basis: str, title: str, command: Column, statement: Column, evidence: Column) -> Column:
+        return F.when(command.isNotNull(), _candidate(kind, basis, statement, F.concat(F.lit(f"{title}: "), shortened(statement, 60)), F.array_distinct(F.array_compact(evidence)), F.lit("medium")))
+
+    def use(command: Column, purpose: Column) -> Column:
+        return F.concat(F.lit("Use "), st.in_ticks(command), purpose, F.lit(" in "), project, F.lit("."))
+
+    flow, review, fork = workflow_command(commands, asked), review_command(commands, asked), fork_command(commands, asked)
+    trouble = matches(asked, r"\b(?:fix|crash|error):|\b(?:debug|diagnose)\b")
+    tried = F.when(trouble, _first(commands, lambda x: matches(x, DIAGNOSIS)))
+    log = F.when(trouble, _first(F.col("files_touched"), lambda x: x.rlike(r"(?i)\.(?:log|crash|err)\z|crash|error|debug|trace")))
+    crash = (
+        F.when(tried.isNotNull() & log.isNotNull(), F.concat(F.lit("Diagnose crashes with "), st.in_ticks(tried), F.lit("; check "), log, F.lit(" for error details.")))
+        .when(tried.isNotNull(), F.concat(F.lit("Diagnose crashes with "), st.in_ticks(tried), F.lit(" in "), line, F.lit(".")))
+        .when(log.isNotNull(), F.concat(F.lit("Check "), log, F.lit(" for crash diagnostics in "), line, F.lit(".")))
+    )
+    page = F.when(matches(asked, SPEC_WORDS), _first(F.col("files_touched"), lambda x: x.rlike(r"(?i)/(?:specs?|docs?|design)/|\.mdx?\z")))
+    topic = without_leaks(F.substring_index(F.trim(F.regexp_replace(F.regexp_replace(asked, r"(?i)/(?:speckit|speckit-specify)(?![\w])", ""), "['\"]", "")), "\n", 1))
+    spec = F.concat(F.lit("Refer to "), page, F.lit(" for "), shortened(topic, 60), F.lit(" architecture decisions."))
+    spec = F.when((F.length(topic) > 0) & ~skill_leak(topic) & ~skill_leak(spec), spec)
+    parts = F.array_compact(
+        F.array(
+            said("workflow", "workflow", "Workflow", flow, use(flow, F.concat(F.lit(" for "), workflow_target(asked))), F.array(line, flow)),
+            said("workflow", "pr-review", "PR review", review, use(review, F.lit(" for PR review")), F.array(line, review)),
+            said("workflow", "fork-sync", "Fork sync", fork, use(fork, F.lit(" to maintain private fork with upstream")), F.array(line, fork)),
+            said("failure_mode", "crash", "Crash", crash, crash, F.array(tried, log, line)),
+            said("decision", "spec", "Decision", spec, spec, F.array(line, page)),
+        )
+    )
+    found = rows.select("*", F.explode(parts).alias("c"))
+    name_of = F.concat("session_id", F.lit(":project:"), F.col("c.basis"), F.lit(":"), F.col("turn_index").cast("string"))
+    return found.select("session_id", "project_key", "turn_id", F.col("first_line").alias("line"), name_of.alias("learning_id"), "c.*").select(*COLUMNS)
+
+
 _TYPE = "struct<kind:string,basis:string,statement:string,title:string,trigger:string,evidence:array<string>,confidence:string>"
 
 

@@ -27,7 +27,10 @@ def sources(lines: DataFrame) -> DataFrame:
 
 def learned(own: DataFrame, found: DataFrame) -> DataFrame:
     """Lessons of projects and preferences of users from canonical turns and events, with their time and place."""
-    offered = candidates.of_events(found).unionByName(candidates.of_turns(own, found))
+    of_turns = candidates.of_turns(own, found)
+    fixed = of_turns.where("basis = 'verified-fix'").select("turn_id", F.lit("workflow").alias("basis")).distinct()
+    asked = candidates.of_prompts(own).join(fixed, ["turn_id", "basis"], "left_anti").select(*candidates.COLUMNS)
+    offered = candidates.of_events(found).unionByName(of_turns).unionByName(asked)
     lessons = candidates.kept(candidates.finalized(offered)).withColumn("scope", F.lit("project"))
     when = own.select("turn_id", F.try_to_timestamp("started_at").alias("at"))
     lessons = lessons.join(when, "turn_id", "left").withColumn("pos", F.col("place").cast("int"))

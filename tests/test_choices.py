@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import answers
-from loomline.operators import judges, selection, snapshots, workflow
+from loomline.operators import candidates, judges, selection, snapshots, workflow
 from loomline.sources import artifacts
 from loomline.sources.scratch import shared_dir
 
@@ -164,3 +164,25 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session)
+
+
+def test_candidates_of_prompts(spark):
+    rows = [
+        ("please prune the old worktree", ["git status", "git worktree remove x"], []),
+        ("commit it", ["git commit -m x"], []),
+        ("Review PR 12", ["gh pr view 12"], []),
+        ("sync with upstream", ["git fetch upstream"], []),
+        ("debug the parser", ["python3 -m pytest tests/a"], ["/w/crash.log"]),
+        ("Write the roadmap for search", [], ["/w/docs/roadmap.md"]),
+        ("hello there", ["git commit -m x"], ["/w/docs/a.md"]),
+    ]
+    frame = spark.createDataFrame([(f"s:{i}", "s", "p", i, 1, *r) for i, r in enumerate(rows)], "turn_id string, session_id string, project_key string, turn_index int, first_line int, user_prompt string, commands_seen array<string>, files_touched array<string>")
+    made = {(r.turn_id, r.basis): r.statement for r in candidates.of_prompts(frame).collect()}
+    assert made == {
+        ("s:0", "workflow"): "Use `git worktree remove x` for worktree pruning in p.",
+        ("s:1", "workflow"): "Use `git commit -m x` for repo workflow in p.",
+        ("s:2", "pr-review"): "Use `gh pr view 12` for PR review in p.",
+        ("s:3", "fork-sync"): "Use `git fetch upstream` to maintain private fork with upstream in p.",
+        ("s:4", "crash"): "Diagnose crashes with `python3 -m pytest tests/a`; check /w/crash.log for error details.",
+        ("s:5", "spec"): "Refer to /w/docs/roadmap.md for Write the roadmap for search architecture decisions.",
+    }

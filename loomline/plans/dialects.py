@@ -122,12 +122,11 @@ def overlay_lines(t: Tables) -> DataFrame:
     select n.session_id, n_turns, first_turn_id, coalesce(n_events, 0) as n_events, 'extracted' as lifecycle from n left join e using (session_id)"""
 )
 def t7_memory_run(t: Tables) -> DataFrame:
-    """A whole run over the overlay's lines in two parts: the tables that it leaves behind, by session."""
+    """A whole run over the overlay's lines: the tables that it leaves behind, by session."""
     root, rows = new_path(t.spark, "run"), overlay_lines(t)
     now = F.lit("2024-04-01 00:00:00").cast("timestamp")
     project = F.concat(F.lit("project-"), F.regexp_extract("session_id", r"^u(\d+)", 1))
-    run.run(rows.where("session_id like '%-0'"), root, now, project)
-    run.run(rows, root, now, project)  # the first part is known by now
+    run.run(rows, root, now, project)
     own = artifacts.load(t.spark, root, "turns").groupBy("session_id").agg(F.count("*").alias("n_turns"), F.min("turn_id").alias("first_turn_id"))
     found = artifacts.load(t.spark, root, "events").groupBy("session_id").agg(F.count("*").alias("n_events"))
     out = own.join(found, "session_id", "left").join(artifacts.load(t.spark, root, "ledger").select("session_id", "lifecycle"), "session_id")

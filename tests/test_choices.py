@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import answers
-from loomline.operators import candidates, judges, selection, snapshots, workflow
+from loomline.operators import candidates, judges, run, selection, snapshots, workflow
 from loomline.sources import artifacts
 from loomline.sources.scratch import shared_dir
 
@@ -186,3 +186,21 @@ def test_candidates_of_prompts(spark):
         ("s:4", "crash"): "Diagnose crashes with `python3 -m pytest tests/a`; check /w/crash.log for error details.",
         ("s:5", "spec"): "Refer to /w/docs/roadmap.md for Write the roadmap for search architecture decisions.",
     }
+
+
+def test_a_second_run_takes_up_what_is_new(spark, tmp_path):
+    def lines(session, texts):
+        raw = [json.dumps({"type": kind, "timestamp": f"2024-01-0{i + 1}T00:00:00.000Z", "cwd": "/w/p", "message": {"content": t}}) for i, (kind, t) in enumerate(texts)]
+        return [("claude-code", f"/a/b/{session}.jsonl", session, i + 1, r) for i, r in enumerate(raw)]
+
+    schema, root = "source_tool string, source_path string, session_id string, line int, raw string", str(tmp_path / "run")
+    first = lines("s1", [("user", "always run the linter"), ("assistant", "We decided to use parquet for the table")])
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    run.run(spark.createDataFrame(first, schema), root, now)
+    more = first + lines("s2", [("user", "fix the parser"), ("assistant", "Fixed the parser in the core module")])
+    run.run(spark.createDataFrame(more, schema), root, now)
+    assert {(r.session_id, r.project_key, r.content_revision, r.lifecycle) for r in artifacts.load(spark, root, "ledger").collect()} == {("s1", "p", 1, "extracted"), ("s2", "p", 1, "extracted")}
+    assert sorted(r.session_id for r in artifacts.load(spark, root, "turns").collect()) == ["s1", "s2"]
+    known = artifacts.load(spark, root, "learnings").collect()
+    assert {(r.session_id, r.kind) for r in known} >= {("s1", "preference"), ("s1", "decision")}
+    assert artifacts.load(spark, root, "instincts").count() == len({r.learning_id for r in known if r.scope == "project"})

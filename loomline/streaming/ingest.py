@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.operators.turns import USER
+from loomline.sources.artifacts import exists
 
 
 def available_now(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -23,31 +24,30 @@ def available_now(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     query.awaitTermination()
 
 
-def keyed_upsert(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def keyed_upsert(path: str, keys: list[str], content: str | None = None) -> Callable[[DataFrame, int], None]:
     """A batch writer that adds the rows whose keys the Parquet table at ``path`` lacks.
 
-    Each micro-batch writes a folder of its own, named by its number, so a retried batch replaces
-    what its first try left behind.
+    With ``content`` (a hash), a row whose content differs from what stands under its keys is added
+    too, as a newer version; ``latest`` gives the newest of each. Each micro-batch writes a folder
+    of its own, named by its number, so a retried batch replaces what its first try left behind.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        held = _earlier(spark, path, number)
-        if held is not None:
-            fresh = fresh.join(held.select(*keys).distinct(), keys, "left_anti")
+        if exists(spark, path):
+            held = spark.read.parquet(path).where(F.col("batch") < number)
+            held = held.select(*keys).distinct() if content is None else latest(held, keys).select(*keys, content)
+            fresh = fresh.join(held, keys if content is None else [*keys, content], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).where(F.col("batch") < number).drop("batch")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+def latest(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest version of each key in a table with a column batch."""
+    value = F.struct(*(c for c in table.columns if c not in (*keys, "batch")))
+    return table.groupBy(*keys).agg(F.max_by(value, "batch").alias("_v")).select(*keys, "_v.*")
 
 
 def turns_as_they_come(records: DataFrame) -> DataFrame:

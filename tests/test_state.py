@@ -94,6 +94,17 @@ def test_available_now_equals_the_batch(spark, tmp_path):
     assert made.count() == whole.count() and made.exceptAll(whole).count() == 0
 
 
+def test_changed_content_is_a_newer_version(spark, tmp_path):
+    target, schema = str(tmp_path / "out"), "k string, h string"
+    write = ingest.keyed_upsert(target, ["k"], "h")
+    for number, rows in enumerate(([("a", "1"), ("b", "1")], [("a", "1"), ("b", "2")], [("b", "1"), ("c", "1")])):
+        for _ in range(2):  # a batch that is tried again changes nothing
+            write(spark.createDataFrame(rows, schema), number)
+    table = spark.read.parquet(target)
+    assert sorted((r.k, r.h, r.batch) for r in table.collect()) == [("a", "1", 0), ("b", "1", 0), ("b", "1", 2), ("b", "2", 1), ("c", "1", 2)]
+    assert sorted(tuple(r) for r in ingest.latest(table, ["k"]).collect()) == [("a", "1"), ("b", "1"), ("c", "1")]
+
+
 def test_streamed_turns_equal_the_batch(spark, tmp_path):
     rows = [("s", 1, "assistant_message"), ("s", 2, "user_message"), ("s", 3, "assistant_message"), ("t", 1, "user_message"), ("s", 4, "user_message"), ("t", 2, "user_message")]
     frame = spark.createDataFrame(rows, "session_id string, line long, kind string")

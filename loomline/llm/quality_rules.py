@@ -221,7 +221,9 @@ def judged(documents: DataFrame, text: str = "text", lang: str = "lang", source:
     passed = [c for c in documents.columns if c.lower() not in {*COUNTS, "base_failed", "distance", "kept", text.lower()}]
     inner = documents.select(F.struct(*(f"`{c}`" for c in passed)).alias("_row") if passed else F.lit(None).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"))
     rows = counted(inner, "_text").drop("_text").withColumn("base_failed", base_failed())
-    rows = stored(grouped(rows.select("*", *shares()), "_lang", "_source"), "counts")
+    whole = stored(rows.select("*", *shares()), "counted")  # texts are counted once; sizes of groups and all steps read this
+    rows = stored(grouped(whole, "_lang", "_source"), "counts")
+    dropped(whole)
     found, wider = fit(rows.where("not base_failed").select("g1", "g2", *SHARES))
     out = distances(rows, found).join(wider, ["g1", "g2"], "left")
     distance = F.when(~F.col("base_failed"), F.col("d2") / F.col("wider"))

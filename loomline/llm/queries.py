@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, embedding_dedup, line_dedup, minhash, mixing, quality_classifier, quality_rules, secrets, token_files, url_filter
+from loomline.llm import (
+    bpe,
+    divergence,
+    embedding_dedup,
+    fill_in_middle,
+    language_id,
+    line_dedup,
+    minhash,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    token_files,
+    url_filter,
+)
 from loomline.llm.common import LOWER, UPPER, new_path, spread
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -95,6 +109,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.col("size")).select("doc_id", "source", "size", "start", "block", "slot")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the terms that make it stand out."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang", "source")
+    return divergence.audit(docs).withColumn("rank", F.col("rank").cast("int"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    trees = language_id.train(table(spark, sf_dir, "documents"))
+    found = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text"), trees)
+    return found.select("doc_id", F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged between sentinels, and restored from that."""
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    sizes = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    digests = [F.sha2(F.encode(c, "UTF-8"), 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (back, "restored_sha256"))]
+    return made.select("doc_id", "n", "form", *sizes, *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_token_files,
@@ -107,6 +143,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_quality_classifier,
         op10_mixing,
+        op11_divergence,
+        op12_language_id,
+        op13_fill_in_middle,
     ]
     return {f.__name__: f for f in named}
 
@@ -136,7 +175,50 @@ select doc_id, count(*) as n_lines, count(*) filter (often.key is not null) as n
 from line left join often on often.key = line.key group by doc_id
 """
 
+_APART = "({p} - {q}) * ({p} - {q}) // {q}"
+_LEVEL = "1 + 1000000000::hugeint * ({n} + 1) // ({total} + {kept})"
+
+OP11_SQL = f"""
+with doc as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+  each as (select doc_id, lang, source, unnest(regexp_extract_all({_LOWER.format("text")}, '{divergence.TERM}')) as term from doc),
+  kept as (select lang, term, count(*) as n from each group by lang, term having count(distinct doc_id) >= {divergence.LEAST_DOCS}),
+  counted as (select each.lang, source, each.term, count(*) as n from each join kept on kept.lang = each.lang and kept.term = each.term group by all),
+  vocabulary as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+  groups as (select distinct lang, source from doc),
+  size as (select groups.lang, groups.source, coalesce(sum(n), 0) as total from groups left join counted on counted.lang = groups.lang and counted.source = groups.source group by all),
+  level as (select size.lang, size.source, kept.term, coalesce(c.n, 0) as n, {_LEVEL.format(n="coalesce(c.n, 0)", total="size.total", kept="v")} as p,
+      {_LEVEL.format(n="kept.n", total="vocabulary.total", kept="v")} as q
+    from size join vocabulary on vocabulary.lang = size.lang join kept on kept.lang = size.lang
+      left join counted c on c.lang = size.lang and c.source = size.source and c.term = kept.term),
+  summed as (select a.lang, a.source, b.source as item, sum({_APART.format(p="a.p", q="b.p")}) as value
+    from level a join level b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by all),
+  pairs as (select a.lang, a.source, b.source as item, coalesce(value, 0) as value
+    from groups a join groups b on b.lang = a.lang and b.source <> a.source left join summed s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+  terms as (select lang, source, term as item, {_APART.format(p="p", q="q")} as value from level where n > 0 and p > q),
+  part as (select *, 'pair' as part from pairs union all by name select *, 'term' as part from terms),
+  ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from part)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= {divergence.TOP}
+"""
+
+_HASHED = "cast('0x' || substr(h, {at}, 8) as bigint)"
+
+OP13_SQL = f"""
+with doc as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+  split as (select *, regexp_extract_all(text, '{fill_in_middle.UNIT}') as units from doc),
+  numbered as (select *, cast(len(units) as bigint) as n, {_HASHED.format(at=1)} as h1, {_HASHED.format(at=9)} as h2, {_HASHED.format(at=17)} as h3, {_HASHED.format(at=25)} as h4 from split),
+  cut as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from numbered),
+  part as (select *, coalesce(array_to_string(units[1:a], ''), '') as prefix, coalesce(array_to_string(units[a + 1:b], ''), '') as middle, coalesce(array_to_string(units[b + 1:n], ''), '') as suffix from cut),
+  made as (select *, case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else text end as output from part),
+  mark as (select *, strpos(output, '<P>') as p, strpos(output, '<S>') as s, strpos(output, '<M>') as m from made),
+  back as (select *, case form when 'psm' then substr(output, p + 3, s - p - 3) || substr(output, m + 3) || substr(output, s + 3, m - s - 3)
+    when 'spm' then substr(output, p + 3, m - p - 3) || substr(output, m + 3) || substr(output, s + 3, p - s - 3) else output end as restored from mark)
+select doc_id, n, form, case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+  sha256(output) as output_sha256, sha256(restored) as restored_sha256
+from back
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; tests hold the others against brute force."""
-    return {"op3_url_filter": OP3_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op3_url_filter": OP3_SQL, "op6_line_dedup": OP6_SQL, "op11_divergence": OP11_SQL, "op13_fill_in_middle": OP13_SQL}

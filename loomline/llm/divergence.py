@@ -8,8 +8,8 @@ of a group from levels q is the sum of floor((p - q)^2 / q).
 
 Each term becomes one wide vector: the counts of its sources, indexed by the source's number in
 its language, with absent sources left out, as a rare term has few. Higher-order functions turn a
-vector into contributions of pairs of the sources that hold the term, and map-side aggregation
-sums them to a row a pair. What the absent ones add is known without visiting them: with p0 the
+vector into the pairs of the sources that hold the term, and map-side aggregation sums their
+contributions to a row a pair. What the absent ones add is known without visiting them: with p0 the
 level of a count of 0,
 
     sum over all terms of f(p, q) = sum over terms in both of f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)
@@ -39,6 +39,8 @@ from loomline.llm.common import ascii_lower, stored
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 LEAST_DOCS, TOP = 3, 200
+#: Groups (a language and source), in rows of some 50 bytes, up to which their table is broadcast.
+MAX_BROADCAST = 1_000_000
 
 
 def level(count: str, total: str, kept: str) -> str:
@@ -53,84 +55,89 @@ def apart(p: str, q: str) -> str:
     return f"((({p}) - ({q})) * (({p}) - ({q})) div ({q}))"
 
 
-def term_counts(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (rows that hold the term)."""
-
-    def plain(name: str) -> Column:
-        return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
-
-    found = documents.select(plain(lang).alias("lang"), plain(source).alias("source"), F.regexp_extract_all(ascii_lower(plain(text)), F.lit(TERM), F.lit(0)).alias("terms"))
-    # All terms of a row, and its distinct ones: one pass counts occurrences and rows.
-    lists = found.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("distinct", "terms"))
-    each = lists.select("lang", "source", "distinct", F.explode("terms").alias("term"))
-    return each.groupBy("lang", "source", "term").agg(F.sum(F.expr("1L - distinct")).alias("n"), F.sum(F.col("distinct").cast("long")).alias("docs"))
+def _plain(name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
 def groups(documents: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Every language and source that occurs, with the source's number in its language."""
-    names = documents.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source")))).distinct()
-    return names.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
+    """Every language and source that occurs, with the language's number and the source's number in its language."""
+    names = documents.select(_plain(lang).alias("lang"), _plain(source).alias("source")).distinct()
+    numbers = {"l": F.dense_rank().over(Window.orderBy("lang")), "at": F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1}
+    return names.withColumns(numbers)
+
+
+def term_counts(documents: DataFrame, numbered: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """l, at, term, n (occurrences) and docs (rows that hold the term)."""
+    named = documents.select(_plain(lang).alias("lang"), _plain(source).alias("source"), _plain(text).alias("text"))
+    # Texts are joined with a table of names, which is broadcast unless it is very long.
+    known = F.broadcast(numbered) if numbered.count() <= MAX_BROADCAST else numbered
+    found = named.join(known, ["lang", "source"]).select("l", "at", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
+    # All terms of a row, and its distinct ones: one pass counts occurrences and rows.
+    lists = found.select("l", "at", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("distinct", "terms"))
+    each = lists.select("l", "at", "distinct", F.explode("terms").alias("term"))
+    return each.groupBy("l", "at", "term").agg(F.sum(F.expr("1L - distinct")).alias("n"), F.sum(F.col("distinct").cast("long")).alias("docs"))
 
 
-def vectors(counts: DataFrame, numbered: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """lang, term, n and held: the (at, n) of each source that has the term, for kept terms."""
-    of_term = counts.join(numbered, ["lang", "source"]).groupBy("lang", "term")
-    made = of_term.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("held"))
+def vectors(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """l, term, n and held: the (at, n) of each source that has the term, for kept terms."""
+    made = counts.groupBy("l", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("held"))
     return made.where(F.col("docs") >= least_docs).drop("docs")
 
 
 def levels(vector: DataFrame, numbered: DataFrame) -> DataFrame:
     """A row a language: kept and total, and by source number totals, present (kept terms it has) and zero (level of a count of 0)."""
-    of_group = vector.select("lang", F.explode("held").alias("e")).groupBy("lang", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("total"), F.count("*").alias("present"))
-    of_lang = vector.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("total"))
-    rows = numbered.join(of_group, ["lang", "at"], "left").select("lang", F.struct("at", F.expr("coalesce(total, 0L) as total"), F.expr("coalesce(present, 0L) as present")).alias("e"))
-    wide = rows.groupBy("lang").agg(F.sort_array(F.collect_list("e")).alias("e")).selectExpr("lang", "e.total as totals", "e.present as present")
-    out = wide.join(of_lang, "lang", "left").selectExpr("lang", "coalesce(kept, 0L) as kept", "coalesce(total, 0L) as total", "totals", "present")
+    of_group = vector.select("l", F.explode("held").alias("e")).groupBy("l", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("total"), F.count("*").alias("present"))
+    of_lang = vector.groupBy("l").agg(F.count("*").alias("kept"), F.sum("n").alias("total"))
+    rows = numbered.join(of_group, ["l", "at"], "left").select("l", F.struct("at", F.expr("coalesce(total, 0L) as total"), F.expr("coalesce(present, 0L) as present")).alias("e"))
+    wide = rows.groupBy("l").agg(F.sort_array(F.collect_list("e")).alias("e")).selectExpr("l", "e.total as totals", "e.present as present")
+    out = wide.join(of_lang, "l", "left").selectExpr("l", "coalesce(kept, 0L) as kept", "coalesce(total, 0L) as total", "totals", "present")
     return out.withColumn("zero", F.expr(f"transform(totals, t -> {level('0L', 't', 'kept')})"))
 
 
 def pair_sums(vector: DataFrame, level_rows: DataFrame) -> DataFrame:
-    """lang, at, other and value of every pair of sources."""
-    with_levels = vector.join(level_rows.select("lang", "kept", "totals", "zero"), "lang")
-    own = with_levels.select("lang", "zero", F.expr(f"transform(held, e -> struct(e.at as at, {level('e.n', 'totals[e.at]', 'kept')} as p))").alias("held"))
-    one = own.select("lang", "zero", "held", F.explode("held").alias("a"))
-    both = " + ".join(
-        f"{sign}{apart(p, q)}"
-        for sign, p, q in (("", "a.p", "b.p"), ("-", "a.p", "zero[b.at]"), ("-", "zero[a.at]", "b.p"), ("", "zero[a.at]", "zero[b.at]"))
-    )
-    meeting = one.select("lang", F.col("a.at").alias("at"), F.explode(F.expr(f"transform(filter(held, b -> b.at <> a.at), b -> struct(b.at as other, {both} as value))")).alias("c"))
+    """l, at, other and value of every pair of sources."""
+    with_levels = vector.join(level_rows.select("l", "kept", "totals", "zero"), "l")
+    own = with_levels.select("l", F.expr(f"transform(held, e -> struct(e.at as at, {level('e.n', 'totals[e.at]', 'kept')} as p, zero[e.at] as p0))").alias("held"))
+    one = own.select("l", "held", F.posexplode("held").alias("place", "a"))
+    # Each pair once, with the levels of both sides; compiled code makes both directions' values of them.
+    later = "transform(slice(held, place + 2, size(held)), b -> struct(b.at as other, b.p as q, b.p0 as q0))"
+    meeting = one.select("l", "a.at", "a.p", "a.p0", F.explode(F.expr(later)).alias("b")).select("l", "at", "p", "p0", "b.other", "b.q", "b.q0")
+    there = f"{apart('p', 'q')} - {apart('p', 'q0')} - {apart('p0', 'q')} + {apart('p0', 'q0')}"
+    back = f"{apart('q', 'p')} - {apart('q', 'p0')} - {apart('q0', 'p')} + {apart('q0', 'p0')}"
+    met = meeting.groupBy("l", "at", "other").agg(F.sum(F.expr(there)).alias("there"), F.sum(F.expr(back)).alias("back"))
+    both = met.select("l", F.explode(F.expr("array(struct(at, other, there as value), struct(other as at, at as other, back as value))")).alias("c"))
 
     # Terms of one source against the other's level of 0, both ways, by number of terms for each count.
-    shape = vector.select("lang", F.explode("held").alias("e")).groupBy("lang", F.col("e.at").alias("at"), F.col("e.n").alias("n")).agg(F.count("*").alias("m"))
-    shaped = shape.join(level_rows.select("lang", "kept", "totals", "zero"), "lang").withColumn("p", F.expr(level("n", "totals[at]", "kept")))
+    shape = vector.select("l", F.explode("held").alias("e")).groupBy("l", F.col("e.at").alias("at"), F.col("e.n").alias("n")).agg(F.count("*").alias("m"))
+    shaped = shape.join(level_rows.select("l", "kept", "totals", "zero"), "l").withColumn("p", F.expr(level("n", "totals[at]", "kept")))
     sided = f"""flatten(transform(zero, (z, o) -> if(o = at, array(), array(
         struct(at as at, o as other, m * {apart("p", "z")} as value), struct(o as at, at as other, m * {apart("z", "p")} as value)))))"""
-    single = shaped.select("lang", F.explode(F.expr(sided)).alias("c"))
+    single = shaped.select("l", F.explode(F.expr(sided)).alias("c"))
 
-    absent = level_rows.select("lang", "kept", "present", "zero", F.posexplode("zero").alias("at", "p"))
-    rest = f"transform(zero, (z, o) -> struct(o as other, coalesce((kept - present[at] - present[o]) * {apart('p', 'z')}, 0L) as value))"
-    neither = absent.select("lang", "at", F.explode(F.expr(rest)).alias("c")).where("at <> c.other")
+    absent = level_rows.select("l", "kept", "present", "zero", F.posexplode("zero").alias("at", "p"))
+    rest = f"transform(zero, (z, o) -> struct(at as at, o as other, coalesce((kept - present[at] - present[o]) * {apart('p', 'z')}, 0L) as value))"
+    neither = absent.select("l", F.explode(F.expr(rest)).alias("c")).where("c.at <> c.other")
 
-    every = meeting.select("lang", "at", "c.other", "c.value").unionByName(single.select("lang", "c.at", "c.other", "c.value")).unionByName(neither.select("lang", "at", "c.other", "c.value"))
-    return every.groupBy("lang", "at", "other").agg(F.sum("value").alias("value"))
+    every = both.unionByName(single).unionByName(neither).select("l", "c.at", "c.other", "c.value")
+    return every.groupBy("l", "at", "other").agg(F.sum("value").alias("value"))
 
 
 def term_parts(vector: DataFrame, level_rows: DataFrame) -> DataFrame:
-    """lang, at, term and value of the terms that a source has more often than its language."""
-    each = vector.join(level_rows.select("lang", "kept", F.col("total").alias("of_lang"), "totals"), "lang").select("*", F.explode("held").alias("e"))
-    compared = each.select("lang", "term", F.col("e.at").alias("at"), F.expr(level("e.n", "totals[e.at]", "kept")).alias("p"), F.expr(level("n", "of_lang", "kept")).alias("q"))
-    return compared.where("p > q").select("lang", "at", "term", F.expr(apart("p", "q")).alias("value"))
+    """l, at, term and value of the terms that a source has more often than its language."""
+    each = vector.join(level_rows.select("l", "kept", F.col("total").alias("of_lang"), "totals"), "l").select("*", F.explode("held").alias("e"))
+    compared = each.select("l", "term", F.col("e.at").alias("at"), F.expr(level("e.n", "totals[e.at]", "kept")).alias("p"), F.expr(level("n", "of_lang", "kept")).alias("q"))
+    return compared.where("p > q").select("l", "at", "term", F.expr(apart("p", "q")).alias("value"))
 
 
 def audit(documents: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, part ('pair' or 'term'), item (other source, or term), value and rank in the group and part."""
     numbered = stored(groups(documents, lang, source), "groups")
-    vector = stored(vectors(term_counts(documents, text, lang, source), numbered, least_docs), "vectors")
+    vector = stored(vectors(term_counts(documents, numbered, text, lang, source), least_docs), "vectors")
     level_rows = stored(levels(vector, numbered), "levels")
-    best = Window.partitionBy("lang", "at", "part").orderBy(F.desc("value"), "item")
+    best = Window.partitionBy("l", "at", "part").orderBy(F.desc("value"), "item")
 
-    other = numbered.select("lang", F.col("at").alias("other"), F.col("source").alias("item"))
-    pairs = pair_sums(vector, level_rows).join(other, ["lang", "other"]).select("lang", "at", F.lit("pair").alias("part"), "item", "value")
-    terms = term_parts(vector, level_rows).select("lang", "at", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    other = numbered.select("l", F.col("at").alias("other"), F.col("source").alias("item"))
+    pairs = pair_sums(vector, level_rows).join(other, ["l", "other"]).select("l", "at", F.lit("pair").alias("part"), "item", "value")
+    terms = term_parts(vector, level_rows).select("l", "at", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     ranked = pairs.withColumn("rank", F.row_number().over(best)).unionByName(terms.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top))
-    return ranked.join(numbered, ["lang", "at"]).select("lang", "source", "part", "item", "value", "rank")
+    return ranked.join(numbered, ["l", "at"]).select("lang", "source", "part", "item", "value", "rank")

@@ -29,6 +29,14 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, or with underscores after it the first such name that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tidy() -> None:
     """Give memory that is free back to the machine: Spark keeps Python workers, and what they hold counts against later stages."""
     gc.collect()

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import free
+
 UNIT = r"[^\n]*\n|[^\n]+"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 RESULTS = ("n", "form", "prefix", "middle", "suffix", "output")
@@ -48,10 +50,10 @@ def after(text: Column, mark: str) -> Column:
 
 def transform(documents: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with n (units), form, prefix, middle, suffix (null if plain) and output."""
-    passed = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in RESULTS]
+    passed = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c.lower() not in RESULTS), F.lit(0).alias(free("_", documents.columns)))
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).cast("binary"), 256)
     units = F.regexp_extract_all("_text", F.lit(UNIT), F.lit(0))
-    read = documents.select(*passed, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), digest.alias("_digest")).withColumn("_units", units)
+    read = documents.select(passed.alias("_passed"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), digest.alias("_digest")).withColumn("_units", units)
     sized = read.withColumn("n", F.size("_units").cast("long"))
     one, two = number(F.col("_digest"), 0) % (F.col("n") + 1), number(F.col("_digest"), 1) % (F.col("n") + 1)
     cut = sized.withColumns({"_from": F.least(one, two).cast("int"), "_to": F.greatest(one, two).cast("int")})
@@ -73,7 +75,8 @@ def transform(documents: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate
     psm = F.concat(F.lit(PREFIX), "prefix", F.lit(SUFFIX), "suffix", F.lit(MIDDLE), "middle")
     spm = F.concat(F.lit(SUFFIX), "suffix", F.lit(PREFIX), "prefix", F.lit(MIDDLE), "middle")
     output = F.when(F.col("form") == "psm", psm).when(F.col("form") == "spm", spm).otherwise(F.col("_text"))
-    return parts.withColumn("output", output).select(*passed, *RESULTS)
+    own = [F.col(f"_passed.`{c}`") for c in documents.columns if c.lower() not in RESULTS]
+    return parts.withColumn("output", output).select(*own, *RESULTS)
 
 
 def restored(output: Column, form: Column) -> Column:

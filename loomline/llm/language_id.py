@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import slices, stored
+from loomline.llm.common import free, slices, stored
 
 ORDER, ROWS = 3, 1000
 FOLDS, HELD_OUT, UNKNOWN = 4, 2, "und"
@@ -164,8 +164,12 @@ def train(documents: DataFrame, order: int = ORDER, rows: int = ROWS, doc_id: st
         raise ValueError(f"order must be 0 to {MAX_ORDER}")
     learned = documents.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("t"))
     learned = learned.where(F.col("lang").isNotNull() & ~held_out(F.col("i"))).withColumn("h", F.xxhash64("i"))
-    # Hashes of ids first, without texts: the row limit is applied in each task before the shuffle.
-    first = learned.select("lang", "h").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= rows)
+    # Ids first, without texts. Hashes are even, so a threshold by a language's count leaves about
+    # twice the wanted rows, however many there are, and only these are put in order.
+    counts = stored(learned.groupBy("lang").agg(F.count("*").alias("n")), "counts")
+    place = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 11) / F.lit(2.0**53)
+    near = learned.select("lang", "h").join(counts, "lang").where(place * F.col("n") <= 2 * rows)
+    first = near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= rows)
     bounds = stored(first.groupBy("lang").agg(F.max("h").alias("most")), "languages")
     sample = learned.join(bounds, "lang").where("h <= most").select("lang", "t")
 
@@ -179,8 +183,8 @@ def train(documents: DataFrame, order: int = ORDER, rows: int = ROWS, doc_id: st
                     keys, n = grams(data, edges, size)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array([size] * len(keys), pa.int32()), pa.array(keys), pa.array(n)], names=["lang", "size", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # distinct grams of a bounded sample
+    summed = sample.mapInArrow(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    found = summed.toPandas()  # distinct grams of a bounded sample
     languages = sorted({r.lang for r in bounds.collect()})
     if not languages:
         return None
@@ -216,5 +220,5 @@ def identify(documents: DataFrame, trees: Trees | None, text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=schema.names)
 
     # A text without a letter is passed as null: there is nothing in it to score.
-    rows = documents.select(*(f"`{f.name}`" for f in passed), F.when(of_text.rlike(r"\p{L}"), of_text).alias("_text"))
+    rows = documents.select(*(f"`{f.name}`" for f in passed), F.when(of_text.rlike(r"\p{L}"), of_text).alias(free("_text", documents.columns)))
     return rows.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomline.functions.prompts import has_chatter
-from loomline.functions.text import EDGE, let, matches, rule, squeezed, trimmed
+from loomline.functions.text import EDGE, let, matches, matches_any, rule, squeezed, trimmed
 
 # The words and patterns of the rules.
 NARRATION = [
@@ -41,6 +41,45 @@ CHANGE_HEADS = "What changed|Changed|Changes|Implemented|Delivered|Updates|Chang
 DEAD_END = r"\b(?:abandoned|gave up on|dead[- ]ends?|not viable|wasn['’]t viable|won['’]t work|did(?:n['’]t| not) pan out|turned out not to work|was a waste of time)\b"
 TRIED = r"\b(?:tried|attempted|experimented with)\s+(?:to\s+)?(.+?)(?=\s+(?:but|because|then|so|,|;|—)|[.!?]|\z)"
 TECHNOLOGY = r"`([^`\n]+)`"
+BLOCK_HEADS = r"\*\*(?:Done|Verified|Changed|Changes|Implemented|Summary of changes):\*\*"
+BLOCK_SUMMARY = r"summary of what was done"
+CHAT_OPENINGS = r"^(got it|sure thing|sure[,!.]|absolutely[,!.]|of course[,!.]|great question|happy to help|no problem)\b"
+CHAT_STARTS = [
+    "now i have the full picture", "clean.", "created to-dos", "created todos", "here's a summary", "here\u2019s a summary", "here is a summary",
+    "summary:", "summary of what", "summary of every", "it depends on the source",
+]
+CHAT_PARTS = [r"\bgaps\s+vs\b", r"\bsummary of every fix\b"]
+REVIEW_STARTS = ["## pragmatic code review", "pragmatic code review"]
+REVIEW_PARTS = [r"^(?:#{2,3}\s+)?pragmatic code review\b", r"\b(?:must-fix|nice-to-have)\b"]
+DURABLE_DECISION = [
+    r"\b(?:decided|chose) to\b",
+    r"\b(?:keep|use|prefer)\b[\s\S]{0,120}\bbecause\b",
+    r"\bshould use\b[\s\S]{0,120}\bfor\b",
+    r"\bthe rule protects\b",
+    r"\bgeneration should\b",
+    r"\bsingle (?:result )?error channel\b",
+    r"\bcanonical\b",
+    r"\bsource of truth\b",
+]
+EXPLAINED_STARTS = ["here's how ", "here is how ", "here\u2019s how ", "here's what ", "here is what ", "here\u2019s what ", "## diff review", "### diff review", "--- ## "]
+OVERVIEW_STARTS = ["here is a ", "here's a ", "here\u2019s a "]
+OVERVIEW = r"\b(?:plan|summary|overview|guide|tutorial)\b"
+WORKFLOW_DUMP_START = "fixed completed; verified"
+WORKFLOW_DUMP = [r"\*\*(?:delivered|implemented|summary|summary of changes|changes|verified):\*\*", r"\|\s*-{2,}\s*\|"]
+OWN_CHECKS = [r"^Run `?\./scripts/qa`?", r"^Use `\./scripts/qa` for "]
+PATTERN_BLOCKS = [
+    r"\*\*(?:Done|Verified|Changed|Changes|Implemented|Summary of changes|Cause):\*\*",
+    r"\b(?:Summary of what changed|Summary of changes|The four meaningful changes are|perfect alignment)\b",
+]
+PATTERN_TALK = r"\bhere(?:'|\u2019)s what(?:'|\u2019)s going on\b"
+FAILURE_TALK = r"^(?:The log ends right after|The CSS is fine|Now let me check)"
+WORKFLOW_TALK = r"^(?:Completed|Fixed)\s+(?:summary of what|summary of changes|summary of what was fixed|desktop checks are green|cargo failed with)"
+CHANGE_VERB = (
+    r"\b(?:use|add|remove|replace|switch|configure|implement|migrate|upgrade|fix|set|change|move|prefer|avoid|keep|run|pre-?bundle|pre-?load|enable|disable)\b"
+)
+SUMMARY_HEADS = r"\b(?:Summary of changes|Summary of what changed|Implemented|Verification noted)\s*:?\s*"
+SEPARATOR = r"(?<=\S)\s+[-–—]\s+(?=\S)|:\s+"
+CLAUSE_BREAK = r"\s+(?:[-•*]|–|—)\s+"
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -138,3 +177,96 @@ def tried_approach(c: Column) -> Column:
     """What was tried, of a text that says it was abandoned."""
     found = F.regexp_replace(trimmed(F.regexp_extract(c, rule(TRIED), 1)), r"[\s,;:]+\z", "")
     return let(found, lambda t: F.when(F.length(t) >= 4, t))
+
+
+def starts_with_any(c: Column, starts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith(c, F.lit(x)) for x in starts])
+
+
+def completion_block(c: Column) -> Column:
+    """Whether a text is a report of what was done, with its headings."""
+    return matches(c, BLOCK_HEADS) | matches(c, BLOCK_SUMMARY)
+
+
+def explanation(c: Column) -> Column:
+    """Whether a text explains or lays out something rather than decides it."""
+    low = F.lower(trimmed(c))
+    return starts_with_any(low, EXPLAINED_STARTS) | (starts_with_any(low, OVERVIEW_STARTS) & matches(low, OVERVIEW))
+
+
+def passing_summary(c: Column) -> Column:
+    """Whether a text is chat, a review or a list of points, without a decision that lasts."""
+    low = F.lower(trimmed(c))
+    chat = matches(low, CHAT_OPENINGS, False) | starts_with_any(low, CHAT_STARTS) | matches_any(c, CHAT_PARTS)
+    review = starts_with_any(low, REVIEW_STARTS) | matches(trimmed(c), REVIEW_PARTS[0]) | matches(c, REVIEW_PARTS[1])
+    return (chat | review | (markdown_marks(c) >= 3)) & ~matches_any(c, DURABLE_DECISION)
+
+
+def durable(kind: Column, c: Column) -> Column:
+    """Whether a lesson's statement is worth keeping, by its kind."""
+    flow = kind == "workflow"
+    refused = (
+        narration(c)
+        | raw_dump(c)
+        | (~flow & completion_block(c))
+        | ((kind == "verification_rule") & matches(c, OWN_CHECKS[0]))
+        | matches(c, OWN_CHECKS[1])
+        | ((kind == "pattern") & (matches_any(c, PATTERN_BLOCKS) | matches(c, PATTERN_TALK)))
+        | ((kind == "failure_mode") & matches(c, FAILURE_TALK))
+        | (kind.isin("decision", "failure_mode", "pattern") & passing_summary(c))
+        | (flow & (matches(c, WORKFLOW_TALK) | F.startswith(F.lower(trimmed(c)), F.lit(WORKFLOW_DUMP_START)) | matches_any(c, WORKFLOW_DUMP) | (markdown_marks(c) >= 3)))
+    )
+    return ~refused
+
+
+def _action(segment: Column) -> Column:
+    """What a clause says to do: after its first separator that a verb of change follows, without a quoted label."""
+    heads = F.regexp_extract_all(segment, F.lit(rf"[\s\S]*?(?:{SEPARATOR})"), F.lit(0))
+
+    def chosen(h: Column) -> Column:
+        ends = F.transform(h, lambda x, i: F.length(F.array_join(F.slice(h, F.lit(1), i + 1), "")))
+        tails = F.transform(ends, lambda e: trimmed(F.substring(segment, e + 1, F.length(segment))))
+        return F.coalesce(F.get(F.filter(tails, lambda t: matches(t, CHANGE_VERB)), F.lit(0)), segment)
+
+    label = r"\A[\w.]+:\s*['\"][^'\"]+['\"]\s*[-–—]\s*"
+    return let(let(heads, chosen), lambda a: trimmed(F.regexp_replace(F.regexp_replace(a, label, ""), r"\A['\"][^'\"]+['\"]\s*[-–—]\s*", "")))
+
+
+def compressed(c: Column) -> Column:
+    """A summary that is mostly Markdown as a struct of the first file it names and what was done there; null if it has neither.
+
+    The words' places say which part of the text belongs to the first file: from its end to the
+    start of the next one. Of that part, the clauses with a verb of change make up the action.
+    """
+    t = trimmed(c)
+    plain = F.regexp_replace(t, r"\[(.*?)\]\(.*?\)", "$1")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "`", ""), r"\*\*", ""), r"#{1,6}\s+", "")
+    plain = trimmed(F.regexp_replace(plain, rule(SUMMARY_HEADS), ""))
+
+    def placed(x: Column) -> Column:
+        words = F.split(x, r"\s+")
+
+        def found(w: Column) -> Column:
+            bare = F.transform(w, lambda v: repo_path(F.regexp_replace(F.regexp_replace(v, r"\A[(\"']+", ""), r"[.,;:!?()]+\z", "")))
+            starts = F.transform(w, lambda v, i: F.length(F.array_join(F.slice(w, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0))
+            files = F.filter(F.arrays_zip(bare.alias("file"), starts.alias("at")), lambda z: z.file.rlike(r"[\\/]"))
+            return let(files, lambda f: F.when(F.size(f) > 0, F.struct(x.alias("text"), F.get(f, F.lit(0)).alias("first"), F.get(f, F.lit(1)).alias("next"))))
+
+        return let(words, found)
+
+    def told(z: Column) -> Column:
+        begin = z.first.at + F.length(z.first.file)
+        region = trimmed(F.substring(z.text, begin + 1, F.greatest(F.lit(0), F.coalesce(z.next.at, F.length(z.text)) - begin)))
+        clauses = F.filter(F.transform(F.split(region, CLAUSE_BREAK), lambda x: trimmed(F.regexp_replace(x, r"\A\s*[:\-–—]\s*", ""))), lambda x: F.length(x) > 0)
+        named = F.concat(F.lit(rf"(?i){EDGE}\Q"), z.first.file, F.lit(rf"\E{EDGE}"))
+
+        def without_file(a: Column) -> Column:
+            at = F.regexp_instr(a, named)
+            rest = F.concat(F.substring(a, F.lit(1), at - 1), F.substring(a, at + F.length(z.first.file), F.length(a)))
+            return trimmed(F.when(at > 0, rest).otherwise(a))
+
+        actions = F.filter(F.transform(clauses, lambda x: let(_action(x), without_file)), lambda a: (F.length(a) >= 5) & matches(a, CHANGE_VERB))
+        whole = squeezed(F.array_join(actions, "; "))
+        return let(whole, lambda w: F.when(F.length(w).between(10, 160), F.struct(z.first.file.alias("file"), lower_first(w).alias("action"))))
+
+    return let(plain, lambda x: F.when(markdown_marks(t) >= 3, let(placed(x), lambda z: F.when(z.isNotNull(), told(z)))))

@@ -2,7 +2,8 @@
 
 Candidates are rows (session_id, kind, basis, statement, title, trigger, evidence, confidence,
 line, learning_id). ``finalized`` tidies and filters them, ``kept`` drops repeats and redundant
-ones greedily by priority within a session and caps the list that a session shows.
+ones greedily by priority within a session and caps the list that a session shows. ``offered`` is
+all of a session's candidates.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import statements as st
-from loomline.functions.prompts import atomic, cleaned_prompt, cleaned_statement, cleaned_title, skill_leak, substantive, without_leaks
-from loomline.functions.text import capped_bytes, let, matches, matches_any, shortened, squeezed
+from loomline.functions.prompts import atomic, cleaned_prompt, cleaned_statement, cleaned_title, no_signal, skill_leak, substantive, without_leaks
+from loomline.functions.text import capped_bytes, let, matches, matches_any, rule, shortened, squeezed
 from loomline.operators.commands import COMMAND_LINE, TICKED, all_of
+from loomline.sources.scratch import stored
 
 # Fixed values.
 USEFUL_CHECK = [
@@ -24,7 +26,7 @@ USEFUL_CHECK = [
 ]
 PLANNED_CHECK = [r"\b(?:can|will|could|should)\s+verify\b", r"\blet me verify\b"]
 CONCRETE_FAILURE = r"\b(?:failed|error|exception|enoent|eacces|no such|cannot|could not|missing|unknown import|traceback)\b"
-PRIORITY = {"verified-fix": 40, "completion": 40, "workflow": 30, "decision": 25, "dead-end": 22, "file-scoped": 20, "failure": 10, "error-resolution": 10, "verification": 5}
+PRIORITY = {"verified-fix": 40, "completion": 40, "workflow": 30, "verification-only-fix": 30, "turn-fallback": 30, "decision": 25, "dead-end": 22, "file-scoped": 20, "failure": 10, "error-resolution": 10, "verification": 5}
 VERIFIED = ["verified-fix", "completion", "verification", "error-resolution"]
 TRIGGERS = {
     "verification_rule": "When verifying changes in ",
@@ -36,6 +38,14 @@ TRIGGERS = {
 }
 WORKFLOW_WORDS = r"\b(?:worktree|setup|prune|test|tests|performance|example|fixture|script|plan|strategy)\b"
 DIAGNOSIS = r"\b(?:bun -e|node -e|python3? -c|python3? -m pytest|npm test|bun test)\b"
+CONCRETE_TASK = (
+    r"\b(?:fix|fixed|bug|debug|implement|implemented|resolve|resolved|refactor|refactored|migrate|migrated|upgrade|upgraded|update|updated|change|changed|add|added|remove|removed"
+    r"|review|audit|test|tests|optimize|performance|configure|config|install|build|deploy)\b"
+)
+INSTRUCTION = [r"\b(?:re-read|review|update|edit|change)\b.*\b(?-i:ONLY)\b", r"^\s*When working on\b"]
+LOCAL_COMMAND = [r"^\./", r"\b(?:tools|scripts|src|lib|app|server|desktop|mobile|api|core|shared)/[^\s]+"]
+FIX_IS_TO = r"\b(?:the\s+)?fix\s+is\s+to\s+(.+?)(?::\s*-\s*|$)"
+NO_TASK = "this project"
 SPEC_WORDS = r"\b(?:speckit|spec|architecture|roadmap|design doc|create a .+ wrapper|create a .+ spec)\b"
 CAP, LONGEST, KEY_LEAST = 12, 240, 32
 COLUMNS = ["session_id", "project_key", "turn_id", "line", "learning_id", "kind", "basis", "statement", "title", "trigger", "evidence", "confidence"]
@@ -75,10 +85,10 @@ def of_events(events: DataFrame) -> DataFrame:
     fixed = F.bool_or((name == "fix") & solid).over(turn) & F.bool_or((name == "verification") & useful_check(summary)).over(turn)
     rows = events.withColumn("_fixed", fixed).where(~F.col("_fixed") & ~skill_leak(summary) & solid)
     calm = ~st.process_text(summary)
-    rows = rows.withColumn("_decided", st.without_elision(without_leaks(summary)))
+    rows = rows.withColumn("_decided", st.without_elision(without_leaks(summary))).withColumn("_passing", st.passing_summary(summary))
     decided = F.col("_decided")
-    decision = F.when((name == "decision") & calm & (F.length(decided) > 0), _candidate("decision", "decision", decided, F.concat(F.lit("Decision: "), shortened(decided, 72)), F.array(decided), F.col("confidence")))
-    failing = (name == "failure") & calm & matches(summary, CONCRETE_FAILURE) & ~st.completion_not_failure(summary)
+    decision = F.when((name == "decision") & calm & ~F.col("_passing") & ~st.explanation(summary) & (F.length(decided) > 0), _candidate("decision", "decision", decided, F.concat(F.lit("Decision: "), shortened(decided, 72)), F.array(decided), F.col("confidence")))
+    failing = (name == "failure") & calm & ~F.col("_passing") & matches(summary, CONCRETE_FAILURE) & ~st.completion_not_failure(summary)
     said = st.without_elision(summary)
     failure = F.when(failing, _candidate("failure_mode", "failure", said, F.concat(F.lit("Failure mode: "), shortened(said, 68)), F.array(summary), F.col("confidence"), _signature_trigger(summary)))
     command = F.coalesce("verification_command", F.when(useful_check(summary), command_in(summary)))
@@ -95,7 +105,9 @@ def of_events(events: DataFrame) -> DataFrame:
 
 
 def of_turns(turns: DataFrame, events: DataFrame) -> DataFrame:
-    """Candidates of turns: a fix with its verification, a failure with its resolution, a fix with its file.
+    """Candidates of turns: a fix with its verification, a fix that a verification tells, a failure with its resolution, a fix with its file.
+
+    A fix whose summary is mostly Markdown gives way to the file and action in it (``st.compressed``).
 
     ``turns`` has turn_id, session_id, project_key, turn_index, commands_seen, files_touched.
     """
@@ -105,20 +117,26 @@ def of_turns(turns: DataFrame, events: DataFrame) -> DataFrame:
     sums = events.groupBy("turn_id").agg(
         F.min(F.when((name == "fix") & solid, one)).alias("fix"),
         F.min(F.when((name == "verification") & useful_check(summary), one)).alias("check"),
+        F.min(F.when((name == "verification") & useful_check(summary) & matches(summary, r"\b(?:the\s+)?fix\s+is\s+to\b"), one)).alias("told"),
         F.array_sort(F.collect_list(F.when((name == "failure") & matches(summary, CONCRETE_FAILURE) & solid, one))).alias("failures"),
     )
-    rows = turns.join(sums, "turn_id").withColumns({"_fix": st.fix_statement(F.col("fix.summary")), "_answer": st.resolution(F.coalesce("fix.summary", "check.summary"))})
+    rows = turns.join(sums, "turn_id").withColumns({"_fix": st.fix_statement(F.col("fix.summary")), "_short": st.compressed(F.col("fix.summary")), "_answer": st.resolution(F.coalesce("fix.summary", "check.summary"))})
     fix, check = F.col("fix.summary"), F.col("check.summary")
     command = F.coalesce(F.get("commands_seen", F.lit(0)), F.col("check.verification_command"), command_in(check))
     with_command = F.coalesce(F.concat(F.lit(" with "), st.in_ticks(command)), F.lit(""))
     sure = F.when(command.isNotNull(), "high").otherwise("medium")
     tidy = F.col("_fix")
-    done = F.concat(F.when(st.past_tense(tidy), "").otherwise("Fixed "), st.lower_first(tidy), F.lit("; verified"), with_command, F.lit("."))
+    short = F.col("_short")
+    there = F.concat(F.lit("In "), short.file, F.lit(", "), short.action)
+    done = F.concat(F.coalesce(there, F.concat(F.when(st.past_tense(tidy), "").otherwise("Fixed "), st.lower_first(tidy))), F.lit("; verified"), with_command, F.lit("."))
     both = F.col("fix").isNotNull() & F.col("check").isNotNull()
     verified = F.when(both, _candidate("workflow", "verified-fix", done, F.concat(F.lit("Verified fix: "), shortened(done, 60)), F.array_distinct(F.array(fix, check)), sure))
     file = st.repo_path(F.get("files_touched", F.lit(0)))
-    scoped = F.concat(F.lit("In "), file, F.lit(", "), st.lower_first(tidy), F.lit("."))
-    pattern = F.when(~both & F.col("fix").isNotNull() & file.isNotNull(), _candidate("pattern", "file-scoped", scoped, F.concat(F.lit("File update: "), shortened(scoped, 60)), F.array(fix, file), F.lit("medium")))
+    scoped = F.concat(F.coalesce(there, F.when(~st.narration(st.lower_first(tidy)), F.concat(F.lit("In "), file, F.lit(", "), st.lower_first(tidy)))), F.lit("."))
+    pattern = F.when(~both & F.col("fix").isNotNull() & file.isNotNull() & ~st.completion_block(fix) & scoped.isNotNull(), _candidate("pattern", "file-scoped", scoped, F.concat(F.lit("File update: "), shortened(scoped, 60)), F.array(fix, file), F.lit("medium")))
+    action = F.nullif(st.without_stop(F.regexp_extract(F.col("told.summary"), rule(FIX_IS_TO), 1)), F.lit(""))
+    only = F.concat(F.lit("In "), file, F.lit(", "), st.lower_first(action), F.lit("; verified."))
+    told = F.when(fix.isNull() & only.isNotNull(), _candidate("workflow", "verification-only-fix", only, F.concat(F.lit("Verified fix: "), shortened(only, 60)), F.array(F.col("told.summary"), file), F.lit("medium")))
     answer = F.coalesce(fix, check)
 
     def resolved(f: Column) -> Column:
@@ -126,7 +144,7 @@ def of_turns(turns: DataFrame, events: DataFrame) -> DataFrame:
         return _candidate("failure_mode", "error-resolution", text, F.concat(F.lit("Error resolution: "), shortened(text, 60)), F.array_distinct(F.array(f.summary, answer)), sure, _signature_trigger(f.summary))
 
     fixes = F.when(~both & answer.isNotNull(), F.transform("failures", resolved))
-    parts = F.concat(F.array_compact(F.array(verified, pattern)), F.coalesce(fixes, F.array().cast(f"array<{_TYPE}>")))
+    parts = F.concat(F.array_compact(F.array(verified, told, pattern)), F.coalesce(fixes, F.array().cast(f"array<{_TYPE}>")))
     found = rows.select("*", F.posexplode(parts).alias("pos", "c"))
     name_of = F.concat("session_id", F.lit(":project:"), F.col("c.basis"), F.lit(":"), F.col("turn_index").cast("string"), F.lit(":"), F.col("pos").cast("string"))
     line = F.coalesce(F.col("fix.line"), F.col("check.line"))
@@ -216,6 +234,48 @@ def of_prompts(turns: DataFrame) -> DataFrame:
     return found.select("session_id", "project_key", "turn_id", F.col("first_line").alias("line"), name_of.alias("learning_id"), "c.*").select(*COLUMNS)
 
 
+def of_fallback(turns: DataFrame, others: DataFrame) -> DataFrame:
+    """Candidates of sessions of which ``others`` has no workflow: commands and files that a concrete prompt's turn used."""
+    none = turns.join(others.where("kind = 'workflow'").select("session_id").distinct(), "session_id", "left_anti")
+    asked, project, commands = F.col("_asked"), F.col("project_key"), F.col("commands_seen")
+    rows = none.withColumn("_asked", F.coalesce(F.nullif(cleaned_prompt(F.col("user_prompt")), F.lit("")), F.col("user_prompt")))
+    line = F.coalesce(F.nullif(F.trim(F.substring_index(substantive(F.col("user_prompt")), "\n", 1)), F.lit("")), F.lit(NO_TASK))
+    own = _first(commands, lambda x: matches_any(x, LOCAL_COMMAND))
+    concrete = matches(asked, CONCRETE_TASK)
+    rows = rows.withColumns(
+        {
+            "_line": line,
+            "_file": st.repo_path(F.get("files_touched", F.lit(0))),
+            "_command": F.coalesce(own, workflow_command(commands, asked)),
+            "_concrete": concrete,
+            "_fit": ~skill_leak(asked) & ~no_signal(asked) & ~st.narration(asked) & ~matches_any(asked, INSTRUCTION),
+        }
+    )
+    rows = rows.withColumn("_task", F.when(F.col("_concrete"), F.col("_line")).otherwise(workflow_target(asked)))
+    file, command, task = F.col("_file"), F.col("_command"), F.col("_task")
+    use = F.concat(F.lit("Use "), st.in_ticks(command), F.coalesce(F.concat(F.lit(" when working on "), file), F.concat(F.lit(" for "), task)), F.lit(" in "), project, F.lit("."))
+    inspect = F.when(F.col("_concrete"), F.concat(F.lit("When working on "), task, F.lit(", inspect "), file, F.lit(" in "), project, F.lit(".")))
+    rows = rows.withColumn("_statement", F.coalesce(use, inspect))
+    statement = F.col("_statement")
+    made = _candidate("workflow", "turn-fallback", statement, F.concat(F.lit("Workflow: "), shortened(statement, 60)), F.array_distinct(F.array_compact(F.array(F.col("_line"), F.coalesce(command, file)))), F.lit("medium"))
+    good = F.col("_fit") & (task != NO_TASK) & statement.isNotNull()
+    found = rows.select("*", F.explode(F.array_compact(F.array(F.when(good, made)))).alias("c"))
+    name_of = F.concat("session_id", F.lit(":project:turn-fallback:"), F.col("turn_index").cast("string"))
+    return found.select("session_id", "project_key", "turn_id", F.col("first_line").alias("line"), name_of.alias("learning_id"), "c.*").select(*COLUMNS)
+
+
+def offered(turns: DataFrame, events: DataFrame) -> DataFrame:
+    """All candidates of sessions: of events, of turns, of what prompts ask for, and the fallback where none of them is a workflow.
+
+    A prompt's workflow gives way to the turn's verified fix.
+    """
+    told = of_turns(turns, events)
+    fixed = told.where("basis = 'verified-fix'").select("turn_id", F.lit("workflow").alias("basis")).distinct()
+    asked = of_prompts(turns).join(fixed, ["turn_id", "basis"], "left_anti").select(*COLUMNS)
+    first = stored(of_events(events).unionByName(told).unionByName(asked), "offered")  # read twice; its rules make a large plan
+    return first.unionByName(of_fallback(turns, first))
+
+
 _TYPE = "struct<kind:string,basis:string,statement:string,title:string,trigger:string,evidence:array<string>,confidence:string>"
 
 
@@ -233,7 +293,9 @@ def finalized(candidates: DataFrame) -> DataFrame:
     said = let(F.array_distinct(clean), lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(capped_bytes(F.col("statement")))))
     rows = rows.withColumns({"title": title, "evidence": said})
     kind = F.when(F.col("basis").isin(VERIFIED), "verified").otherwise("inferred")
-    return rows.where("length(title) > 0").withColumn("evidence_type", kind)
+    # As one value: a filter is pushed to where the statement is made, and would write that out at every use.
+    lasting = let(F.struct("kind", "statement"), lambda x: st.durable(x.kind, x.statement))
+    return rows.where((F.length("title") > 0) & lasting).withColumn("evidence_type", kind)
 
 
 def semantic_key(c: Column) -> Column:
@@ -251,29 +313,45 @@ def semantic_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
 
 
-def kept(candidates: DataFrame, cap: int | None = CAP) -> DataFrame:
-    """Per session the candidates that are not repeats and not contained in a stronger one of another kind.
+def contained(rows: DataFrame) -> DataFrame:
+    """session_id, place and before: pairs of rows of which the one's key contains the other's, the earlier as ``before``.
 
-    A greedy choice by priority: a fold over a session's own candidates, of which events and turns
-    give a bounded number. ``cap`` is how many lessons a session shows (None: all).
+    ``rows``: session_id, place, kind, key. Only keys of ``KEY_LEAST`` characters or more, of
+    different kinds, count. A key that another contains begins with some window of that one's
+    characters, so rows meet by session and window, and only those that do are compared.
     """
-    order = F.coalesce(*(F.when(F.col("basis") == b, F.lit(-p)) for b, p in PRIORITY.items()), F.lit(0))
-    row = F.struct(order.alias("o"), F.coalesce("line", F.lit(2**31 - 1)).alias("l"), "learning_id", "kind", F.lower("statement").alias("s"), semantic_key(F.col("statement")).alias("k"))
-    lists = candidates.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    long = rows.where(F.length("key") >= KEY_LEAST)
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - KEY_LEAST + 1), lambda i: F.substring("key", i, F.lit(KEY_LEAST))))
+    outer = long.select("session_id", F.col("place").alias("_p"), F.col("kind").alias("_kind"), F.col("key").alias("_key"), F.explode(windows).alias("window"))
+    met = long.withColumn("window", F.substring("key", 1, KEY_LEAST)).join(outer, ["session_id", "window"])
+    met = met.where((F.col("kind") != F.col("_kind")) & F.contains("_key", F.col("key")))
+    return met.select("session_id", F.greatest("place", "_p").alias("place"), F.least("place", "_p").alias("before")).distinct()
 
-    def redundant(held: Column, x: Column) -> Column:
-        def same(y: Column) -> Column:
-            inside = F.contains(x.k, y.k) | F.contains(y.k, x.k)
-            return ((y.kind == x.kind) & (y.s == x.s)) | ((y.kind != x.kind) & (F.length(x.k) >= KEY_LEAST) & (F.length(y.k) >= KEY_LEAST) & inside)
 
-        return F.exists(held, same)
+def kept(candidates: DataFrame, cap: int | None = CAP) -> DataFrame:
+    """Per session the candidates that are not repeats and not contained in a stronger one of another kind, or contain one.
 
-    chosen = F.aggregate("all", F.slice("all", 1, 0), lambda held, x: F.when(redundant(held, x), held).otherwise(F.concat(held, F.array(x))))
-    shown = F.array_sort(F.transform(chosen, lambda x: F.struct(x.l.alias("l"), x.o.alias("o"), x.learning_id.alias("learning_id"))))
+    A greedy choice by priority. Repeats of a kind go by a window; what contains or is contained is
+    found by a join (``contained``), and of these few a fold in order of priority drops each that
+    meets an earlier one which was not dropped itself. ``cap`` is how many lessons a session shows
+    (None: all); ``place`` is a lesson's place by its line.
+    """
+    candidates = stored(candidates, "candidates")
+    order = F.coalesce(*(F.when(F.col("basis") == b, F.lit(-p)) for b, p in PRIORITY.items()), F.lit(0))
+    line = F.coalesce("line", F.lit(2**31 - 1))
+    first = Window.partitionBy("session_id", "kind", F.lower("statement")).orderBy("o", "l", "learning_id")
+    rows = candidates.select("session_id", "learning_id", "kind", "statement", order.alias("o"), line.alias("l")).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    session = Window.partitionBy("session_id")
+    keyed = rows.select("session_id", "learning_id", "kind", "o", "l", semantic_key(F.col("statement")).alias("key")).withColumn("place", F.row_number().over(session.orderBy("o", "l", "learning_id", "kind")))
+    conflicts = contained(keyed).groupBy("session_id", "place").agg(F.collect_set("before").alias("before"))
+    lists = conflicts.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("place", "before"))).alias("all"))
+    none = F.array().cast("array<int>")
+    gone = F.aggregate("all", none, lambda out, x: F.when(F.size(F.array_except(x.before, out)) > 0, F.concat(out, F.array(x.place))).otherwise(out))
+    dropped = lists.select("session_id", F.explode(gone).alias("place"))
+    chosen = keyed.join(dropped, ["session_id", "place"], "left_anti").drop("place").withColumn("place", F.row_number().over(session.orderBy("l", "o", "learning_id")) - 1)
     if cap is not None:
-        shown = F.slice(shown, 1, cap)
-    ids = lists.select("session_id", F.posexplode(shown).alias("place", "x")).select("session_id", F.col("x.learning_id").alias("learning_id"), "place")
-    return candidates.join(ids, ["session_id", "learning_id"])
+        chosen = chosen.where(F.col("place") < cap)
+    return candidates.join(chosen.select("session_id", "learning_id", "place"), ["session_id", "learning_id"])
 
 
 def preferences(turns: DataFrame) -> DataFrame:

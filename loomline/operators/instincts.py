@@ -1,8 +1,8 @@
 """Long-lived records ("instincts"): folding deltas, confidence and maturity, promotion, rollups.
 
 Observations are rows (instinct columns, ``at`` timestamp, ``ord``, ``reinforcing``); state is an
-aggregate over them. Only deltas that merge, deprecate or revive need their order replayed, by
-groups of the ids that merges connect.
+aggregate over them. Deltas fold in a closed form of running sums; only ids that merges connect,
+and records revived after they had sunk, need their order replayed.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loomline.functions import confidence as conf
 from loomline.functions.identity import record_id
 from loomline.operators.components import components
+from loomline.sources.scratch import stored
 
 # Fixed values.
 LEVELS = {"high": 0.7, "medium": 0.55, "low": 0.4}
@@ -156,6 +157,9 @@ def rollup_pages(instincts: DataFrame, page_lines: int = PAGE_LINES, header_line
 FOLDED = "project_id string, instinct_id string, trigger string, finding string, domain string, confidence_floor double, deprecated boolean, observations array<struct<session: string, reinforcing: boolean, at: timestamp>>, updated_at timestamp"
 
 
+DELTA = ["project_id", "session_id", "at", "pos", "op", "instinct_id", "trigger", "finding", "domain", "initial_confidence", "correction", "into"]
+
+
 def connected(deltas: DataFrame) -> DataFrame:
     """``deltas`` with _group: the ids of a project that merges tie together, directly or through others, share one."""
     own, into = (F.to_json(F.struct("project_id", c)) for c in (F.col("instinct_id"), F.col("into").alias("instinct_id")))
@@ -164,18 +168,82 @@ def connected(deltas: DataFrame) -> DataFrame:
     return deltas.withColumn("_node", own).join(tied, "_node", "left").withColumn("_group", F.coalesce("component", "_node")).drop("_node", "component")
 
 
+KEY = ["project_id", "instinct_id"]
+
+
+def split(deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The deltas of ids that no merge names, and those of the others, by connected group."""
+    both = deltas.where("op = 'merge'").select("project_id", F.explode(F.array("instinct_id", "into")).alias("instinct_id")).where("instinct_id is not null").distinct()
+    named = stored(both, "merged")
+    return deltas.join(named, KEY, "left_anti"), connected(deltas.join(named, KEY, "left_semi"))
+
+
+def traced(deltas: DataFrame) -> DataFrame:
+    """Deltas of ids without merges from their creation on, with what became of each.
+
+    An explicit state (deprecate, revive) holds until the next. Observations outside deprecation
+    are accepted until the record sinks: until the floor and all contributions, aged to the last
+    one, reach the lowest confidence. As ageing is a common factor, a running sum of contributions
+    that are grown to the record's creation serves every prefix. ``again`` marks records revived
+    after they had sunk, for which what counts later depends on what counted before.
+    """
+    upto = Window.partitionBy(*KEY).orderBy("at", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*KEY).orderBy("at", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*KEY)
+    first = F.min(F.when(F.col("op") == "create", F.struct("at", "pos"))).over(whole)
+    rows = deltas.withColumn("_first", first).where(F.struct("at", "pos") >= F.col("_first"))
+    closed = F.last(F.when(F.col("op").isin("deprecate", "revive"), F.col("op") == "deprecate"), ignorenulls=True).over(upto)
+    opened = F.greatest(F.lit(conf.LOWEST), F.least(F.lit(conf.HIGHEST), F.first("initial_confidence").over(whole.orderBy("at", "pos"))))
+    rows = rows.withColumns({"_closed": F.coalesce(closed, F.lit(False)), "_floor": opened, "_observes": F.col("op").isin("create", "reinforce", "correct")})
+    days = conf.days_between(F.col("_first.at"), F.col("at"))
+    offered = F.col("_observes") & ~F.col("_closed")
+    amount = F.when(F.col("op") == "correct", F.lit(-conf.LOSS)).otherwise(F.lit(conf.GAIN))
+    grown = F.when(offered, amount * F.pow(F.lit(2.0), days / conf.HALF_LIFE_DAYS)).otherwise(0.0)
+    value = F.col("_floor") + F.sum(grown).over(upto) * F.pow(F.lit(0.5), days / conf.HALF_LIFE_DAYS)
+    rows = rows.withColumn("_sinks", offered & (value < conf.LOWEST + 0.001))
+    sunk = F.coalesce(F.bool_or("_sinks").over(before), F.lit(False))
+    rows = rows.withColumn("_sunk", sunk).withColumn("accepted", offered & ~F.col("_sunk"))
+    return rows.withColumn("again", F.bool_or((F.col("op") == "revive") & F.col("_sunk")).over(whole))
+
+
+def closed_form(trace: DataFrame) -> DataFrame:
+    """Records from ``traced`` deltas that were never revived after they had sunk."""
+    order, correct = F.struct("at", "pos"), F.col("op") == "correct"
+    taken = F.when(F.col("accepted"), F.struct("at", "pos", "session_id", (~correct).alias("reinforcing")))
+    said = F.when(F.col("accepted") & correct, F.struct(order.alias("o"), F.struct(F.col("correction").alias("f")).alias("v")))
+    begun = F.when(order == F.col("_first"), F.struct("trigger", "finding", "domain"))
+    sums = trace.groupBy(*KEY).agg(
+        F.first(begun, ignorenulls=True).alias("b"),
+        F.first("_floor").alias("confidence_floor"),
+        (F.bool_or("_sinks") | F.max_by("_closed", order)).alias("deprecated"),
+        F.array_sort(F.collect_list(taken)).alias("taken"),
+        F.max(said).alias("said"),
+        F.max(F.when(F.col("accepted") | ~F.col("_observes"), F.col("at"))).alias("updated_at"),
+    )
+    finding = F.when(F.col("said").isNull(), F.col("b.finding")).otherwise(F.col("said.v.f"))
+    seen = F.transform("taken", lambda o: F.struct(o.session_id.alias("session"), o.reinforcing.alias("reinforcing"), o.at.alias("at")))
+    return sums.select(*KEY, "b.trigger", finding.alias("finding"), "b.domain", "confidence_floor", "deprecated", seen.alias("observations"), "updated_at")
+
+
 def fold(deltas: DataFrame) -> DataFrame:
     """Records of each project after replaying its deltas in the order of (at, pos).
 
-    ``deltas``: project_id, session_id, at, pos, op, instinct_id, trigger, finding, domain,
-    initial_confidence, correction, into. Six operations: create (again: reinforce), reinforce,
-    correct (new finding), deprecate, merge (observations and the higher floor move to the
-    target, the source goes even without one), revive. A deprecated record ignores observations.
+    ``deltas``: project_id, session_id, at, pos (of any type that has an order), op, instinct_id,
+    trigger, finding, domain, initial_confidence, correction, into. Six operations: create (again:
+    reinforce), reinforce, correct (new finding), deprecate, merge (observations and the higher
+    floor move to the target, the source goes even without one), revive. A deprecated record
+    ignores observations.
 
-    The replay runs per connected group of ids: deltas that never merge replay by id, so a project
-    however large never meets in one task unless merges tie it together.
+    Ids that no merge names fold in SQL (``traced``, ``closed_form``). Only deltas of merged ids,
+    by connected group, and of records revived after they had sunk are replayed in Python.
     """
-    return connected(deltas).groupBy("project_id", "_group").applyInPandas(_replayed, FOLDED)
+    free, tied = split(deltas)
+    trace = traced(free)
+    fields = [c for c in deltas.columns if c in DELTA]
+    late = trace.where("again").select(*fields, F.col("instinct_id").alias("_group"))
+    turn = F.row_number().over(Window.partitionBy("project_id", "_group").orderBy("at", "pos"))
+    replay = tied.select(*fields, "_group").unionByName(late).withColumn("pos", turn)
+    return closed_form(trace.where("not again")).unionByName(replay.groupBy("project_id", "_group").applyInPandas(_replayed, FOLDED))
 
 
 def _aged(row: dict, now: pd.Timestamp) -> float:
@@ -203,7 +271,7 @@ def _replayed(pdf: pd.DataFrame) -> pd.DataFrame:
         if not reinforcing:
             row["finding"] = d.correction
 
-    for d in pdf.sort_values(["at", "pos"], kind="stable").itertuples():
+    for d in pdf.sort_values("pos").itertuples():
         name, row = d.instinct_id, held.get(d.instinct_id)
         if d.op == "create" and row is None:
             floor = min(conf.HIGHEST, max(conf.LOWEST, d.initial_confidence))

@@ -48,10 +48,32 @@ def to_process(ledger: DataFrame) -> DataFrame:
     return ledger.where("change in ('inserted', 'changed') or (change = 'unchanged' and content_revision = 1 and lifecycle = 'discovered')")
 
 
-def invalidated(checkpoints: DataFrame, changed: DataFrame, key: str) -> DataFrame:
-    """Completed checkpoints of changed sessions are stale."""
-    marked = checkpoints.join(changed.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
-    return marked.withColumn("state", F.when(F.col("_hit") & (F.col("state") == "completed"), "stale").otherwise(F.col("state"))).drop("_hit")
+def invalidated(changed: DataFrame, checkpoints: DataFrame, queue: DataFrame, candidates: DataFrame, key: str) -> dict[str, DataFrame]:
+    """What a change of sessions does to all that was derived from them: sessions, checkpoints, queue and candidates after it.
+
+    ``checkpoints`` and ``queue`` have state and lifecycle, ``candidates`` candidate_state, lifecycle
+    and safe_to_delete. A changed session with a completed checkpoint is stale, and so are its
+    completed checkpoints and its queue entries and deletion candidates, whatever their state; of
+    these, completed entries and ready candidates change their state too, and none is safe to
+    delete. A changed session without one is as good as just discovered, and nothing else changes.
+    """
+    hit = changed.select(key).distinct()
+    derived = checkpoints.where("state = 'completed'").select(key).distinct().withColumn("_hit", F.lit(True))
+    stale = hit.join(derived, key, "left")
+    sessions = stale.select(key, F.when(F.col("_hit"), "stale").otherwise("discovered").alias("lifecycle"))
+    touched, on = stale.where("_hit"), F.coalesce("_hit", F.lit(False))
+
+    def marked(table: DataFrame) -> DataFrame:
+        return table.join(touched, key, "left").withColumn("_hit", on)
+
+    done = on & (F.col("state") == "completed")
+    of_checkpoints = marked(checkpoints).withColumns({"lifecycle": F.when(done, "stale").otherwise(F.col("lifecycle")), "state": F.when(done, "stale").otherwise(F.col("state"))})
+    of_queue = marked(queue).withColumns({"lifecycle": F.when(on, "stale").otherwise(F.col("lifecycle")), "state": F.when(done, "stale").otherwise(F.col("state"))})
+    ready = on & (F.col("candidate_state") == "ready")
+    of_candidates = marked(candidates).withColumns(
+        {"lifecycle": F.when(on, "stale").otherwise(F.col("lifecycle")), "candidate_state": F.when(ready, "stale").otherwise(F.col("candidate_state")), "safe_to_delete": F.col("safe_to_delete") & ~on}
+    )
+    return {"sessions": sessions, "checkpoints": of_checkpoints.drop("_hit"), "queue": of_queue.drop("_hit"), "candidates": of_candidates.drop("_hit")}
 
 
 def phase_states(transitions: DataFrame, key: str) -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.functions.answers import terminal_error
 from loomline.functions.identity import json_hash
+from loomline.operators.ledger import upserted_by
+from loomline.sources import artifacts
+from loomline.sources.scratch import stored
 
 REFS_CAP = 20
 
@@ -69,6 +74,86 @@ def reviewed(misses: DataFrame, provider: Callable[[list[dict]], list[dict]], si
     return misses.mapInPandas(run, schema)
 
 
+def reviewed_in_waves(misses: DataFrame, provider: Callable[[list[dict]], list[dict]], key: str = "cache_key", size: int = 10, lots: int = 8) -> DataFrame:
+    """``reviewed`` wave by wave, with wave and asked: after a wave with a terminal error nothing more is asked.
+
+    A wave is about ``lots`` lots of ``size`` learnings, dealt by a hash of the key, which tasks ask
+    in parallel. Its answers are stored before the next begins, so a lost executor asks only the
+    lots of its own wave again. Learnings that were not asked have a null wave and verdict, and
+    wait for the next run.
+    """
+    spark = misses.sparkSession
+    held = stored(misses, "misses")
+    n = held.count()
+    waves = max(1, -(-n // (size * lots)))
+    numbered = held.withColumn("wave", F.pmod(F.xxhash64(key), F.lit(waves)).cast("int"))
+    made: list[DataFrame] = []
+    for wave in range(waves if n else 0):
+        rows = numbered.where(F.col("wave") == wave)
+        answers = stored(reviewed(rows.repartition(lots, key), provider, size), f"wave-{wave}")
+        made.append(answers)
+        error = F.when(F.col("verdict") == "error", F.col("suggested_statement"))
+        if not answers.where(terminal_error(error)).isEmpty():
+            break
+    none = spark.createDataFrame([], made[0].schema) if made else reviewed(numbered.limit(0), provider, size)
+    asked = reduce(DataFrame.unionByName, made, none).withColumn("asked", F.lit(True))
+    rest = numbered.where(F.col("wave") >= len(made)).withColumns({"wave": F.lit(None).cast("int"), "verdict": F.lit(None).cast("string"), "suggested_statement": F.lit(None).cast("string"), "asked": F.lit(False)})
+    return asked.unionByName(rest.select(*asked.columns))
+
+
+def cache_rows(answers: DataFrame) -> DataFrame:
+    """The answers that a later run need not ask for again."""
+    return answers.where(F.col("asked") & F.col("verdict").isNotNull() & (F.col("verdict") != "error")).select("cache_key", "verdict", "suggested_statement")
+
+
+def batch_hash(reviews: DataFrame) -> str:
+    """The identity of a batch of reviews: what is reviewed, with which content and verdict, in any order."""
+    row = F.struct(*(F.col(c).cast("string") for c in ("session_id", "learning_id", "input_hash", "verdict", "suggested_statement")))
+    return reviews.agg(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(F.xxhash64(row)).cast("string"), F.bit_xor(F.xxhash64(F.lit(1), row)).cast("string"))).first()[0]
+
+
+def apply_batch(spark: SparkSession, root: str, reviews: DataFrame, originals: DataFrame, flags: Column, now: Column) -> dict:
+    """Apply a batch of reviews once: its status (applied, or same if it had been applied before) and counts of outcomes.
+
+    ``reviews``: session_id, learning_id, input_hash, verdict, suggested_statement; ``originals``:
+    project_key, session_id, learning_id, content_hash, kind, statement, title, trigger, basis.
+    Applied reviews become learnings of the artifact "reviewed": the suggested statement under the
+    learning's own title and trigger. They replace what stood under the same ids, and the ledger's
+    entry comes into force with them, so a batch is applied wholly or not at all. A batch that
+    fails leaves an entry that says so, and may be applied again.
+    """
+    batch = batch_hash(reviews)
+    entries = artifacts.load(spark, root, "applications").where((F.col("batch_id") == batch) & (F.col("status") == "applied"))
+    known = entries.select("n_applied", "n_rejected", "n_skipped").limit(1).collect()
+    if known:
+        return {"status": "same", "batch_id": batch} | known[0].asDict()
+
+    def entry(generation: artifacts.Generation, status: str, counts: tuple, error: str | None) -> None:
+        row = spark.createDataFrame([(batch, status, *counts, error)], "batch_id string, status string, n_applied long, n_rejected long, n_skipped long, error string")
+        rows = artifacts.load(spark, root, "applications").where(F.col("batch_id") == batch).unionByName(row.withColumn("recorded_at", now))
+        generation.save(rows, "applications", row.select("batch_id"))
+
+    try:
+        generation = artifacts.Generation(spark, root)
+        judged = stored(applied(reviews, originals, flags), "outcomes")
+        outcomes = {r[0]: r[1] for r in judged.groupBy("outcome").count().collect()}
+        good = judged.where("outcome = 'applied'").select("session_id", "learning_id", "verdict", "suggested_statement")
+        basis = F.concat("basis", F.lit(" LLM-reviewed with "), "verdict", F.lit(" verdict."))
+        made = originals.join(good, ["session_id", "learning_id"]).withColumns({"statement": F.col("suggested_statement"), "basis": basis, "reviewed_at": now})
+        touched = stored(made.select("project_key").distinct(), "touched")
+        old = artifacts.load(spark, root, "reviewed").join(touched, "project_key", "left_semi")
+        generation.save(upserted_by(old, made.select(*old.columns), ["session_id", "learning_id"]), "reviewed", touched)
+        counts = (outcomes.get("applied", 0), outcomes.get("rejected", 0) + outcomes.get("invalid", 0), outcomes.get("missing", 0) + outcomes.get("changed", 0))
+        entry(generation, "applied", counts, None)
+        generation.commit()
+    except Exception as e:
+        failed = artifacts.Generation(spark, root)
+        entry(failed, "failed", (None, None, None), str(e)[:200])
+        failed.commit()
+        raise
+    return {"status": "applied", "batch_id": batch} | dict(zip(("n_applied", "n_rejected", "n_skipped"), counts, strict=True))
+
+
 def applied(reviews: DataFrame, originals: DataFrame, flags: Column) -> DataFrame:
     """Reviews with outcome: applied, rejected, invalid (flags), missing or changed (content differs).
 

@@ -1,21 +1,23 @@
 """The whole way from transcript lines to memory pages, each step's table written and read again.
 
 A run takes up new and changed sessions only: their content hashes are held against the ledger. The
-artifacts of a project that has such a session are made again from what stands of it.
+artifacts of a project that has, or had, such a session are made again from what stands of it, as
+one generation: it comes into force as a whole when all of it is written, and what the project no
+longer has (a session's last lesson, a record, a page) is gone with it.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import confidence as conf
 from loomline.operators import candidates, commands, events, instincts, ledger, summaries, turns
-from loomline.sources import artifacts, transcripts
+from loomline.sources import artifacts, listing, transcripts
 from loomline.sources.scratch import dropped, stored
-from loomline.sources.sinks import memory_page
+from loomline.sources.sinks import memory_pages
 
 
 def sources(lines: DataFrame) -> DataFrame:
@@ -27,11 +29,7 @@ def sources(lines: DataFrame) -> DataFrame:
 
 def learned(own: DataFrame, found: DataFrame) -> DataFrame:
     """Lessons of projects and preferences of users from canonical turns and events, with their time and place."""
-    of_turns = candidates.of_turns(own, found)
-    fixed = of_turns.where("basis = 'verified-fix'").select("turn_id", F.lit("workflow").alias("basis")).distinct()
-    asked = candidates.of_prompts(own).join(fixed, ["turn_id", "basis"], "left_anti").select(*candidates.COLUMNS)
-    offered = candidates.of_events(found).unionByName(of_turns).unionByName(asked)
-    lessons = candidates.kept(candidates.finalized(offered)).withColumn("scope", F.lit("project"))
+    lessons = candidates.kept(candidates.finalized(candidates.offered(own, found))).withColumn("scope", F.lit("project"))
     when = own.select("turn_id", F.try_to_timestamp("started_at").alias("at"))
     lessons = lessons.join(when, "turn_id", "left").withColumn("pos", F.col("place").cast("int"))
     said = candidates.preferences(own).join(own.select("turn_id", "project_key", F.try_to_timestamp("started_at").alias("at")), "turn_id")
@@ -44,13 +42,13 @@ def learned(own: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def deltas(learnings: DataFrame) -> DataFrame:
-    """Lessons of projects as deltas for ``instincts.fold``, in order of time and place."""
+    """Lessons of projects as deltas for ``instincts.fold``, in order of time, session and place."""
     made = instincts.to_deltas(learnings.where("scope = 'project'"))
     early = F.lit("1970-01-01 00:00:00").cast("timestamp")
     return made.select(
-        F.col("project_key").alias("project_id"), "session_id", F.coalesce("at", early).alias("at"), F.struct("session_id", "pos", "learning_id").alias("_o"), "op", "instinct_id", "trigger", "finding", "domain",
+        F.col("project_key").alias("project_id"), "session_id", F.coalesce("at", early).alias("at"), F.struct("session_id", "pos", "learning_id").alias("pos"), "op", "instinct_id", "trigger", "finding", "domain",
         "initial_confidence", F.lit(None).cast("string").alias("correction"), F.lit(None).cast("string").alias("into"),
-    ).withColumn("pos", F.xxhash64("_o")).drop("_o")
+    )
 
 
 def known(folded: DataFrame, now: Column) -> DataFrame:
@@ -62,18 +60,21 @@ def known(folded: DataFrame, now: Column) -> DataFrame:
     return folded.join(state, key).withColumns({"maturity": level, "scope": F.lit("project")})
 
 
-def run(lines: DataFrame, root: str, now: Column, project: Column | None = None) -> DataFrame:
-    """Take up ``lines`` (of ``transcripts.lines``, of any tools) and return the memory page of every project touched.
+def run(lines: DataFrame, root: str, now: Column, project: Column | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Take up ``lines`` (of ``transcripts.lines``, of any tools) and return the pages of every project touched that has any.
 
     ``project`` makes a project's key of a record (default: the last folder of its workspace, else the session).
+    A session without a readable record keeps the project it had, or is one of its own. ``files`` is
+    the listing of what has been taken up with this run, which comes into force with it.
     """
-    spark = lines.sparkSession
+    spark, generation = lines.sparkSession, artifacts.Generation(lines.sparkSession, root)
     seen = stored(sources(lines), "sources")
     old = artifacts.load(spark, root, "ledger")
     merged = stored(ledger.upserted(old, seen, ["source_tool", "session_id"], "source_hash"), "ledger")
-    todo = ledger.to_process(merged).select("source_tool", "session_id")
+    todo = stored(ledger.to_process(merged).select("source_tool", "session_id"), "todo")
     fresh = lines.join(todo, ["source_tool", "session_id"], "left_semi")
-    parts = [transcripts.records(fresh.where(F.col("source_tool") == tool), tool) for tool in transcripts.DIALECTS]
+    tools = {r[0] for r in todo.select("source_tool").distinct().collect()}  # a few names
+    parts = [transcripts.records(fresh.where(F.col("source_tool") == tool), tool) for tool in transcripts.DIALECTS if tool in tools or not tools]
     records = stored(reduce(DataFrame.unionByName, parts), "records")
     places = transcripts.workspaces(records).drop("source_tool")
     key = transcripts.project_key(F.col("workspace_path"), F.col("session_id")) if project is None else project
@@ -89,25 +90,40 @@ def run(lines: DataFrame, root: str, now: Column, project: Column | None = None)
     told = summaries.summaries(own, found, lessons.select("session_id", "scope", "statement")).join(homes.drop("source_tool"), "session_id")
 
     held = old.select("session_id", "source_tool", F.col("project_key").alias("_p"))
-    rows = merged.join(homes, ["source_tool", "session_id"], "left").join(held, ["source_tool", "session_id"], "left").withColumn("project_key", F.coalesce("project_key", "_p", "session_id")).drop("_p")
+    named = todo.join(homes, ["source_tool", "session_id"], "left").join(held, ["source_tool", "session_id"], "left")
+    named = stored(named.withColumn("project_key", F.coalesce("project_key", "_p", "session_id")), "named")
+    # Where a session is now, and where it was.
+    touched = stored(named.select("project_key").union(named.where("_p is not null").select("_p")).distinct(), "touched")
+    rows = merged.join(named.select("source_tool", "session_id", "project_key"), ["source_tool", "session_id"], "left").join(held, ["source_tool", "session_id"], "left")
+    rows = rows.withColumn("project_key", F.coalesce("project_key", "_p")).drop("_p").join(touched, "project_key", "left_semi")
     state = F.when(F.col("change").isin("inserted", "changed"), "extracted").otherwise(F.col("lifecycle"))
-    touched = homes.select("project_key").distinct()
-    rows = rows.join(touched, "project_key", "left_semi").withColumns({"lifecycle": state, "updated_at": now})
-    again = homes.select("session_id").distinct()
+    generation.save(rows.withColumns({"lifecycle": state, "updated_at": now}), "ledger", touched)
     for name, made in (("turns", own), ("events", found), ("learnings", lessons), ("summaries", told)):
-        standing = artifacts.load(spark, root, name).join(touched, "project_key", "left_semi").join(again, "session_id", "left_anti")
-        columns = standing.columns
-        whole = stored(standing.unionByName(made.select(*columns)), name)
-        artifacts.save(whole, root, name)
-        dropped(whole)
-    ledger_rows = stored(rows.select(*old.columns), "ledger")
-    artifacts.save(ledger_rows, root, "ledger")
-
-    lessons_now = artifacts.load(spark, root, "learnings").join(touched, "project_key", "left_semi")
-    folded = stored(known(instincts.fold(deltas(lessons_now)), now), "instincts")
-    artifacts.save(folded, root, "instincts")
-    pages = memory_page(instincts.rollup_pages(folded))
-    artifacts.save(pages, root, "pages")
-    for table in (seen, merged, records, homes, found, own, lessons, ledger_rows, folded):
+        standing = artifacts.load(spark, root, name).join(touched, "project_key", "left_semi").join(todo.select("session_id"), "session_id", "left_anti")
+        generation.save(standing.unionByName(made.select(*standing.columns)), name, touched)
+
+    lessons_now = artifacts.load(spark, root, "learnings", generation.name)
+    generation.save(known(instincts.fold(deltas(lessons_now)), now), "instincts", touched)
+    folded = artifacts.load(spark, root, "instincts", generation.name)
+    generation.save(memory_pages(instincts.rollup_pages(folded)), "pages", touched)
+    if files is not None:
+        generation.save(files, "files", files.select("source_tool").distinct())
+    generation.commit()
+    for table in (seen, merged, todo, records, homes, found, own, lessons, named, touched):
         dropped(table)
-    return artifacts.load(spark, root, "pages").join(touched.withColumnRenamed("project_key", "project_id"), "project_id", "left_semi")
+    return artifacts.load(spark, root, "pages", generation.name)
+
+
+def ingest(spark: SparkSession, roots: dict[str, str], root: str, now: Column, project: Column | None = None, limit: int | None = None, tests: bool = False, **filters) -> DataFrame:
+    """``run`` over the new and changed files under each tool's root; the others are listed, but not read.
+
+    ``filters`` are those of ``listing.selected``; ``limit`` bounds the changed files of one run.
+    """
+    found = listing.selected(listing.listed_all(spark, roots, tests), **filters)
+    seen = artifacts.load(spark, root, "files")
+    read = stored(listing.to_read(found, seen, limit), "files")
+    if read.isEmpty():
+        return artifacts.load(spark, root, "pages").limit(0)
+    pages = run(listing.lines(spark, read), root, now, project, listing.merged(seen, read))
+    dropped(read)
+    return pages

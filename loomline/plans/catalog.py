@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.plans import dialects, memory, reports, selections, sessions, snapshots, texts  # noqa: F401  they register their queries
+from loomline.plans import dialects, memory, reports, selections, sessions, snapshots, streams, texts  # noqa: F401  they register their queries
 from loomline.plans.registry import QUERIES, Tables
 
 

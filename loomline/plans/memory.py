@@ -11,6 +11,7 @@ from loomline.plans import overlay
 from loomline.plans.registry import Tables, query
 from loomline.plans.sessions import _quoted
 from loomline.plans.texts import slug_of, words_sql
+from loomline.sources.sinks import memory_pages
 
 NOW = "timestamp '2024-04-01 00:00:00'"
 #: Observations: a user is a record, an event type a project, an error a correction.
@@ -117,6 +118,24 @@ def w16_rollup_split(t: Tables) -> DataFrame:
     return out.select("project_id", "instinct_id", F.col("place").cast("long").alias("place"), "included")
 
 
+_DOMAIN = "case cast(substr(instinct_id, 2) as bigint) % 4 when 0 then 'workflow' when 1 then 'git' when 2 then 'code-style' else 'product' end"
+
+
+@query(
+    f"""{_RECORDS_SQL}, q as (select *, {_DOMAIN} as domain, round(confidence, 2) as c from r where {_IN_ROLLUP}),
+      p as (select *, row_number() over (partition by project_id order by domain, c desc, instinct_id) as place from q),
+      b as (select project_id, place, case when place + 9 <= 16 then 'MEMORY.md' when domain = 'workflow' then 'workflow.md' when domain = 'git' then 'pitfalls.md' else 'preferences.md' end as name,
+        concat('- **when ', instinct_id, '** ', maturity, ' (', printf('%.2f', c), ')') as bullet from p),
+      g as (select project_id, name, string_agg(bullet, chr(10) order by place) as page from b group by all)
+    select project_id, name, case when name = 'MEMORY.md' then page else concat('# ', replace(name, '.md', ''), chr(10), chr(10), 'Spillover from curated MEMORY.md (instincts beyond the line cap).', chr(10), chr(10), page, chr(10)) end as page from g"""
+)
+def k10_memory_pages(t: Tables) -> DataFrame:
+    """Every project's page, and by topic the pages of what the page has no line for."""
+    rows = records(t).withColumns({"domain": F.expr(_DOMAIN), "confidence": F.round("confidence", 2), "trigger": F.concat(F.lit("when "), "instinct_id"), "finding": F.col("maturity")})
+    kept = rows.where(instincts.in_rollup())
+    return memory_pages(instincts.rollup_pages(kept, page_lines=16)).select("project_id", "name", "page")
+
+
 @query(
     f"""with l as (select doc_id, case lang when 'en' then 'failure_mode' when 'de' then 'pattern' when 'fr' then 'preference' else 'workflow' end as kind, concat('when ', source) as t, trim(text) as f,
         case when n_chars > 2000 then 'high' when n_chars > 500 then 'medium' else 'low' end as level from documents where text is not null),
@@ -149,6 +168,29 @@ def l10_fold_observations(t: Tables) -> DataFrame:
     return instincts.fold(rows).select(c("instinct_id").cast("long").alias("user_id"), F.size("observations").cast("long").alias("n_observations"), F.unix_micros("updated_at").alias("updated_us"))
 
 
+@query(
+    """with d as (select *, case when event_type = 'error' then 'correct' when floor(value) % 97 = 3 then 'deprecate' when event_type = 'signup' then 'create' else 'reinforce' end as op from events),
+      f as (select *, min(case when op = 'create' then (ts, event_id) end) over (partition by user_id) as first from d),
+      r as (select *, (epoch_us(ts) - epoch_us(first[1])) / 86400000000.0 / 90 as age from f where (ts, event_id) >= first),
+      c as (select *, op <> 'deprecate' and not bool_or(op = 'deprecate') over (partition by user_id order by ts, event_id rows unbounded preceding) as offered from r),
+      v as (select *, offered and 0.6 + sum(case when offered then case when op = 'correct' then -0.16 else 0.04 end * pow(2, age) else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) * pow(0.5, age) < 0.301 as sinks from c),
+      k as (select *, offered and not coalesce(bool_or(sinks) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), false) as accepted from v)
+    select user_id, count(*) filter (accepted) as n_observations, bool_or(sinks) or bool_or(op = 'deprecate') as deprecated, coalesce(arg_max(concat('not ', event_id), (ts, event_id)) filter (accepted and op = 'correct'), 'f') as finding,
+      epoch_us(max(ts) filter (accepted or op = 'deprecate')) as updated_us from k group by user_id"""
+)
+def l10_fold_closed(t: Tables) -> DataFrame:
+    """Every user's events as deltas that create, reinforce, correct and deprecate one record: all fold in SQL."""
+    c = F.col
+    op = F.when(c("event_type") == "error", "correct").when(F.floor("value") % 97 == 3, "deprecate").when(c("event_type") == "signup", "create").otherwise("reinforce")
+    rows = t.events.select(
+        F.lit("p").alias("project_id"), F.concat(F.lit("s"), c("event_id").cast("string")).alias("session_id"), c("ts").cast("timestamp").alias("at"), c("event_id").alias("pos"),
+        op.alias("op"), c("user_id").cast("string").alias("instinct_id"), F.lit("t").alias("trigger"), F.lit("f").alias("finding"), F.lit("workflow").alias("domain"),
+        F.lit(0.6).alias("initial_confidence"), F.concat(F.lit("not "), c("event_id").cast("string")).alias("correction"), F.lit(None).cast("string").alias("into"),
+    )
+    out = instincts.fold(rows)
+    return out.select(c("instinct_id").cast("long").alias("user_id"), F.size("observations").cast("long").alias("n_observations"), "deprecated", "finding", F.unix_micros("updated_at").alias("updated_us"))
+
+
 @query()
 def l10_fold_deltas(t: Tables) -> DataFrame:
     """All six operations: an error corrects, some events deprecate, revive or merge; a test replays them in plain Python."""

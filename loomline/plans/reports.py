@@ -59,6 +59,33 @@ def l4_lifecycle(t: Tables) -> DataFrame:
     return t.events.select("event_id", ledger.lifecycle(F.lit("reduced"), state).alias("lifecycle"))
 
 
+@query(
+    """with ch as (select o_orderkey as k from orders where o_totalprice > 200000),
+      cp as (select l_orderkey as k, cast(l_linenumber as bigint) as n, case when l_linestatus = 'F' then 'completed' else 'failed' end as state from lineitem),
+      qu as (select l_orderkey as k, cast(l_linenumber as bigint) as n, case when l_returnflag = 'R' then 'completed' else 'queued' end as state from lineitem where l_quantity > 25),
+      dc as (select o_orderkey as k, case when o_orderstatus = 'F' then 'ready' else 'pending_artifacts' end as state, o_orderstatus <> 'O' as safe from orders),
+      st as (select k from ch where k in (select k from cp where state = 'completed'))
+    select 'session' as kind, k, 0::bigint as n, null as state, case when k in (from st) then 'stale' else 'discovered' end as lifecycle, null as safe from ch
+    union all select 'checkpoint', k, n, case when state = 'completed' and k in (from st) then 'stale' else state end, case when state = 'completed' and k in (from st) then 'stale' else 'reduced' end, null from cp
+    union all select 'queue', k, n, case when state = 'completed' and k in (from st) then 'stale' else state end, case when k in (from st) then 'stale' else 'extracted' end, null from qu
+    union all select 'candidate', k, 0, case when state = 'ready' and k in (from st) then 'stale' else state end, case when k in (from st) then 'stale' else 'deletion_candidate' end, safe and k not in (from st) from dc"""
+)
+def l2_invalidation(t: Tables) -> DataFrame:
+    """Orders are sessions, their lines checkpoints and queue entries: what a change of the expensive ones makes stale."""
+    line = t.lineitem.select(c("l_orderkey").alias("k"), c("l_linenumber").cast("long").alias("n"), "l_linestatus", "l_returnflag", "l_quantity")
+    checkpoints = line.select("k", "n", F.when(c("l_linestatus") == "F", "completed").otherwise("failed").alias("state"), F.lit("reduced").alias("lifecycle"))
+    queue = line.where("l_quantity > 25").select("k", "n", F.when(c("l_returnflag") == "R", "completed").otherwise("queued").alias("state"), F.lit("extracted").alias("lifecycle"))
+    state = F.when(c("o_orderstatus") == "F", "ready").otherwise("pending_artifacts")
+    candidates = t.orders.select(c("o_orderkey").alias("k"), state.alias("candidate_state"), F.lit("deletion_candidate").alias("lifecycle"), (c("o_orderstatus") != "O").alias("safe_to_delete"))
+    changed = t.orders.where("o_totalprice > 200000").select(c("o_orderkey").alias("k"))
+    made = ledger.invalidated(changed, checkpoints, queue, candidates, "k")
+    zero, no_state, no_flag = F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("boolean").alias("safe")
+    rows = made["sessions"].select(F.lit("session").alias("kind"), "k", zero, no_state, "lifecycle", no_flag)
+    for kind, table in (("checkpoint", "checkpoints"), ("queue", "queue")):
+        rows = rows.unionByName(made[table].select(F.lit(kind).alias("kind"), "k", "n", "state", "lifecycle", no_flag))
+    return rows.unionByName(made["candidates"].select(F.lit("candidate").alias("kind"), "k", zero, c("candidate_state").alias("state"), "lifecycle", c("safe_to_delete").alias("safe")))
+
+
 @query("select distinct user_id from events where event_type = 'view' and user_id not in (select user_id from events where event_type = 'error' and value > 120)")
 def l7_resumable(t: Tables) -> DataFrame:
     wanted = t.events.where("event_type = 'view'").select("user_id").distinct()

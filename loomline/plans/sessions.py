@@ -180,15 +180,14 @@ def session_turns(t: Tables) -> tuple[DataFrame, DataFrame]:
 def f27_lesson_candidates(t: Tables) -> DataFrame:
     """Candidates of the overlay's sessions after tidying, without repeats and redundant ones."""
     own, found = session_turns(t)
-    offered = candidates.of_events(found).unionByName(candidates.of_turns(own, found))
-    out = candidates.kept(candidates.finalized(offered))
+    out = candidates.kept(candidates.finalized(candidates.offered(own, found)))
     return out.select("session_id", "learning_id", "kind", "basis", "statement", "title", "trigger", "evidence_type", "confidence", F.col("place").cast("long").alias("place"))
 
 
 @query()
 def f33_session_summaries(t: Tables) -> DataFrame:
     own, found = session_turns(t)
-    offered = candidates.kept(candidates.finalized(candidates.of_events(found).unionByName(candidates.of_turns(own, found))))
+    offered = candidates.kept(candidates.finalized(candidates.offered(own, found)))
     lessons = offered.select("session_id", F.lit("project").alias("scope"), "statement")
     prefs = candidates.preferences(own).select("session_id", F.lit("user").alias("scope"), "statement")
     return summaries.summaries(own, found, lessons.unionByName(prefs))

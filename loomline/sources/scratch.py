@@ -1,4 +1,8 @@
-"""Scratch tables in the folder that the driver and all executors share."""
+"""Scratch tables in the folder that the driver and all executors share.
+
+Results are lazy, so the tables that they read must outlive the call that made them; ``clear``
+deletes all that a session still has, once its results are written.
+"""
 
 from __future__ import annotations
 
@@ -29,8 +33,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Paths given out and not deleted yet, by application.
+_given: dict[str, set[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all scratch tables of this application; how many there were. Results not written by then can no longer be read."""
+    paths = _given.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +72,7 @@ def dropped(df: DataFrame) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    _given.get(spark.sparkContext.applicationId, set()).discard(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

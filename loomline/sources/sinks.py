@@ -65,8 +65,33 @@ def retention_report(receipts: DataFrame) -> DataFrame:
     return receipts.agg(F.count("*").alias("sessions"), F.count_if("safe_to_delete").alias("ready"), F.count_if(~F.col("safe_to_delete")).alias("blocked"))
 
 
-def memory_page(rolled: DataFrame) -> DataFrame:
-    """project_id and page: the included records of ``instincts.rollup_pages`` as bullets, in their order."""
-    bullet = F.concat(F.lit("- **"), F.col("trigger"), F.lit("** "), F.col("finding"), F.lit(" ("), F.format_string("%.2f", F.col("confidence")), F.lit(")"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", bullet.alias("b")))), lambda x: x.b)
-    return rolled.where("included").groupBy("project_id").agg(F.array_join(lines, "\n").alias("page"))
+# Where the records of a domain go that the memory page has no line for.
+MEMORY = "MEMORY.md"
+TOPIC_FILES = {
+    "workflow": "workflow.md",
+    "tooling": "tooling.md",
+    "code-style": "preferences.md",
+    "product": "preferences.md",
+    "testing": "pitfalls.md",
+    "git": "pitfalls.md",
+    "security": "pitfalls.md",
+    "performance": "pitfalls.md",
+    "debugging": "debugging.md",
+}
+OTHER_TOPICS = "pitfalls.md"
+SPILLOVER = "Spillover from curated MEMORY.md (instincts beyond the line cap)."
+
+
+def bullet() -> Column:
+    """A record as a line of a page."""
+    return F.concat(F.lit("- **"), F.col("trigger"), F.lit("** "), F.col("finding"), F.lit(" ("), F.format_string("%.2f", F.col("confidence")), F.lit(")"))
+
+
+def memory_pages(rolled: DataFrame) -> DataFrame:
+    """project_id, name and page: the included records of ``instincts.rollup_pages`` as one page, the others by topic, in their order."""
+    topic = F.coalesce(*(F.when(F.col("domain") == d, F.lit(f)) for d, f in TOPIC_FILES.items()), F.lit(OTHER_TOPICS))
+    name = F.when(F.col("included"), MEMORY).otherwise(topic)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", bullet().alias("b")))), lambda x: x.b)
+    made = rolled.withColumn("name", name).groupBy("project_id", "name").agg(F.array_join(lines, "\n").alias("page"))
+    heading = F.concat(F.lit("# "), F.regexp_replace("name", r"\.md$", ""), F.lit(f"\n\n{SPILLOVER}\n\n"), F.col("page"), F.lit("\n"))
+    return made.withColumn("page", F.when(F.col("name") == MEMORY, F.col("page")).otherwise(heading))

@@ -2,26 +2,26 @@
 
 Files are read as lines with Spark's text source, so a long session is split over tasks like any
 other file; line numbers come from the order of lines in their file. A line is parsed to VARIANT
-once, and each dialect is a set of column expressions over it. Only the text, which can nest to any
-depth, is gathered by an Arrow UDF. Lines that are not JSON objects go
-to ``bad_lines``; their sessions are left out by ``parsed``, as a broken file must not half-load.
+once, and each dialect is a set of column expressions over it; so is its text, which can nest to any
+depth. Lines that are not JSON objects go to ``bad_lines``; their sessions are left out by
+``records``, as a broken file must not half-load.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.nested import flat_text, levels_in
 from loomline.functions.text import SPACE, filled, trimmed
 from loomline.operators.commands import commands_in, paths_in
 from loomline.operators.turns import ASSISTANT, EVENT, TOOL_RESULT, TOOL_USE, USER
 
 REDACTED_LEAF = r'(?i)(?<=[:,\[])\s*"\s*(?:\[redacted\]|<redacted>|redacted)\s*"(?!\s*:)'
+PREAMBLE, TITLE, SESSION = 16, "title", "session"
 TIMES = ["timestamp", "createdAt", "updatedAt", "time", "ts", "date"]
 
 
@@ -42,43 +42,19 @@ def first_string(v: Column, *paths: str) -> Column:
 REDACTED = ("[redacted]", "<redacted>", "redacted")
 
 
-def flat_text(value, between: str = "\n\n") -> str | None:
-    """The text of a JSON value: a string, the texts of an array, or of an object its text, else content, message or body."""
-    if isinstance(value, str):
-        return value.strip() or None
-    if isinstance(value, list):
-        return between.join(t for t in map(flat_text, value) if t) or None
-    if isinstance(value, dict):
-        own = value.get("text")
-        if isinstance(own, str) and own.strip():
-            return own.strip()
-        return next((t for t in (flat_text(value.get(k)) for k in ("content", "message", "body")) if t), None)
-    return None
-
-
-def said(raw: Column, kind: Column, paths: dict[str, list[str]], between: str = "\n\n") -> Column:
+def said(v: Column, levels: Column, kind: Column, paths: dict[str, list[str]], between: str = "\n\n") -> Column:
     """The first text, other than a redaction mark, at the paths of a record's kind ("" for kinds without their own)."""
-    steps = {k: [p.split(".") for p in v] for k, v in paths.items()}
-
-    @F.pandas_udf("string")
-    def gathered(lines: pd.Series, kinds: pd.Series) -> pd.Series:
-        def one(line: str, name: str) -> str | None:
-            try:
-                whole = json.loads(line)
-            except ValueError:
-                return None
-            for path in steps.get(name, steps[""]):
-                value = whole
-                for step in path:
-                    value = value.get(step) if isinstance(value, dict) else None
-                text = flat_text(value, between)
-                if text and text.lower() not in REDACTED:
-                    return text
-            return None
 
-        return pd.Series([one(x, k) for x, k in zip(lines, kinds, strict=True)], dtype=object)
+    def roots(of_kind: list[str]) -> Column:
+        return F.array(*(F.try_variant_get(v, f"$.{p}", "variant") for p in of_kind))
 
-    return gathered(raw, kind)
+    chosen = F.lit(None).cast("array<variant>")
+    for name, of_kind in paths.items():
+        if name:
+            chosen = F.when(kind == name, roots(of_kind)).otherwise(chosen)
+    every = F.coalesce(chosen, roots(paths[""]))
+    texts = F.transform(F.filter(every, lambda r: r.isNotNull()), lambda r: flat_text(r, between, levels))
+    return F.get(F.filter(texts, lambda t: t.isNotNull() & ~F.lower(t).isin(*REDACTED)), F.lit(0))
 
 
 def tool_input(v: Column, prefix: str = "") -> Column:
@@ -297,20 +273,13 @@ def discovered_all(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [discovered(spark, tool, root) for tool, root in roots.items()])
 
 
-def selected(found: DataFrame, since: Column | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """Discovered files not older than ``since`` whose path has none of the excluded parts."""
-    out = found if since is None else found.where(F.col("modified_at") >= since)
-    for part in exclude or []:
-        out = out.where(~F.contains("source_path", F.lit(part)))
-    return out
-
-
-def lines(spark: SparkSession, tool: str, root: str) -> DataFrame:
-    """source_path, session_id, line (from 1, blank lines counted) and raw text of all lines."""
+def lines(spark: SparkSession, tool: str, root: str | list[str]) -> DataFrame:
+    """source_path, session_id, line (from 1, blank lines counted) and raw text of all lines under a root, or of the files named."""
     d = DIALECTS[tool]
     # Ids grow with the place in a file: splits of a file are read in order of their start.
     start = F.col("_metadata.file_block_start")
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", d.glob).text(root).select("value", F.col("_metadata.file_path").alias("source_path"), start.alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    read = spark.read.option("pathGlobFilter", d.glob)
+    raw = (read.option("recursiveFileLookup", True) if isinstance(root, str) else read).text(root).select("value", F.col("_metadata.file_path").alias("source_path"), start.alias("_start"), F.monotonically_increasing_id().alias("_at"))
     placed = raw.where(F.col("source_path").rlike(d.path))
     number = F.row_number().over(Window.partitionBy("source_path").orderBy("_start", "_at"))
     return placed.select(F.lit(tool).alias("source_tool"), "source_path", d.session_id(F.col("source_path")).alias("session_id"), number.alias("line"), F.regexp_replace("value", r"\r\z", "").alias("raw"))
@@ -346,7 +315,7 @@ def records(rows: DataFrame, tool: str) -> DataFrame:
     fields = d.fields(v)
     hidden = F.coalesce(at(v, "isRedacted", "boolean"), F.lit(False)) | F.col("raw").rlike(REDACTED_LEAF)
     out = whole.withColumn("redacted", hidden).withColumns({**fields, "cwd": fields.get("cwd", string_at(v, "cwd"))})
-    out = out.withColumn("text", said(F.col("raw"), F.col("kind"), d.texts, d.between))
+    out = out.withColumn("text", said(v, levels_in(F.col("raw")), F.col("kind"), d.texts, d.between))
     if tool == "cursor":
         out = out.withColumn("text", cursor_text(F.col("text"), F.col("kind")))
     if tool == "pi":
@@ -367,8 +336,17 @@ def of_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def workspaces(rows: DataFrame) -> DataFrame:
-    """session_id and workspace_path: the first working directory that a session's records name."""
-    return rows.groupBy("source_tool", "session_id").agg(F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line"))).alias("workspace_path"))
+    """session_id and workspace_path: the first working directory that a session's records name.
+
+    One tool names it in its preamble alone: in the first of ``PREAMBLE`` records that is no title, if that is a session's.
+    """
+    place = F.row_number().over(Window.partitionBy("source_tool", "session_id").orderBy("line"))
+    placed, pi = rows.withColumn("_n", place), F.col("source_tool") == "pi"
+    leads = (F.col("_n") <= PREAMBLE) & (F.coalesce("raw_type", F.lit("")) != TITLE)
+    told = F.when(F.when(pi, leads).otherwise(F.col("cwd").isNotNull()), F.col("line"))
+    first = F.min_by(F.struct("raw_type", "cwd"), told)
+    found = placed.groupBy("source_tool", "session_id").agg(first.alias("_f"))
+    return found.select("source_tool", "session_id", F.when(~pi | (F.col("_f.raw_type") == SESSION), F.col("_f.cwd")).alias("workspace_path"))
 
 
 def kimi_workspaces(found: DataFrame, known_paths: DataFrame) -> DataFrame:

@@ -143,8 +143,10 @@ def test_answers(spark):
 def test_artifacts(spark, tmp_path):
     root = str(tmp_path / "a")
     assert artifacts.load(spark, root, "pages").count() == 0
-    artifacts.save(spark.createDataFrame([("p", "1"), ("q", "1")], "project_id string, page string"), root, "pages")
-    artifacts.save(spark.createDataFrame([("q", "2")], "project_id string, page string"), root, "pages")
+    for rows, touched in (([("p", "m", "1"), ("q", "m", "1"), ("", "m", "1")], ["p", "q", ""]), ([("q", "m", "2")], ["q", ""])):
+        generation = artifacts.Generation(spark, root)
+        generation.save(spark.createDataFrame(rows, "project_id string, name string, page string"), "pages", spark.createDataFrame([(t,) for t in touched], "p string"))
+        generation.commit()
     assert sorted((r.project_id, r.page) for r in artifacts.load(spark, root, "pages").collect()) == [("p", "1"), ("q", "2")]
     artifacts.export_lines(artifacts.load(spark, root, "pages"), str(tmp_path / "lines"), ["project_id"])
     assert [r.page for r in spark.read.json(str(tmp_path / "lines")).orderBy("project_id").collect()] == ["1", "2"]
@@ -198,7 +200,8 @@ def test_a_second_run_takes_up_what_is_new(spark, tmp_path):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     run.run(spark.createDataFrame(first, schema), root, now)
     more = first + lines("s2", [("user", "fix the parser"), ("assistant", "Fixed the parser in the core module")])
-    run.run(spark.createDataFrame(more, schema), root, now)
+    pages = run.run(spark.createDataFrame(more, schema), root, now)
+    assert [r.project_id for r in pages.collect()] == ["p"] and "parquet" in pages.first().page
     assert {(r.session_id, r.project_key, r.content_revision, r.lifecycle) for r in artifacts.load(spark, root, "ledger").collect()} == {("s1", "p", 1, "extracted"), ("s2", "p", 1, "extracted")}
     assert sorted(r.session_id for r in artifacts.load(spark, root, "turns").collect()) == ["s1", "s2"]
     known = artifacts.load(spark, root, "learnings").collect()

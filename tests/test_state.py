@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,18 +107,6 @@ def test_changed_content_is_a_newer_version(spark, tmp_path):
     assert sorted(tuple(r) for r in ingest.latest(table, ["k"]).collect()) == [("a", "1"), ("b", "1"), ("c", "1")]
 
 
-def test_streamed_turns_equal_the_batch(spark, tmp_path):
-    rows = [("s", 1, "assistant_message"), ("s", 2, "user_message"), ("s", 3, "assistant_message"), ("t", 1, "user_message"), ("s", 4, "user_message"), ("t", 2, "user_message")]
-    frame = spark.createDataFrame(rows, "session_id string, line long, kind string")
-    frame.where("line < 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    frame.where("line >= 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = ingest.turns_as_they_come(stream).writeStream.format("memory").queryName("turns_test").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    made = sorted((r.session_id, r.line, r.turn_index) for r in spark.table("turns_test").collect())
-    assert made == [("s", 1, 0), ("s", 2, 0), ("s", 3, 0), ("s", 4, 1), ("t", 1, 0), ("t", 2, 1)]
-
-
 def test_manifests_are_immutable(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1")], "k string, v string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], "k string, v string")
@@ -153,3 +143,29 @@ def test_windows():
     for bad in ("50", "5/0h", "x/2h", "5/2d", "-1/2h"):
         with pytest.raises(ValueError):
             costs.parse_window(bad)
+
+
+def test_closed_form_equals_the_replay(spark):
+    """Random deltas: records that sink, are deprecated, revived before and after sinking, merged, and never created."""
+    rng = random.Random(11)
+    start, rows = datetime.datetime(2024, 1, 1), []
+    for record in range(150):
+        kinds = rng.choice([["reinforce", "correct"], ["correct"], ["reinforce", "correct", "correct", "revive", "deprecate"], ["create", "reinforce", "merge", "correct", "revive"]])
+        count = rng.randrange(1, 14)
+        for k in range(count):
+            op = "create" if k == 0 and rng.random() < 0.9 else rng.choice(kinds)
+            at = start + datetime.timedelta(hours=rng.choice([0, 1, 5, 24, 24 * 60, 24 * 200]) * k)
+            rows.append({"at": at, "pos": record * 100 + k, "op": op, "id": f"i{record}", "into": f"i{rng.randrange(100, 150)}" if op == "merge" else None})
+    made = [("p", "s", r["at"], r["pos"], r["op"], r["id"], "t", "f", "workflow", 0.7, f"not {r['pos']}", r["into"]) for r in rows]
+    schema = "project_id string, session_id string, at timestamp, pos long, op string, instinct_id string, trigger string, finding string, domain string, initial_confidence double, correction string, into string"
+    frame = spark.createDataFrame(made, schema)
+    want = sorted((i, r["finding"], r["gone"], [o[0] for o in r["obs"]], r["at"]) for i, r in replayed(rows).items())
+    for placed in (frame, frame.withColumn("pos", F.struct("session_id", "pos"))):
+        got = sorted((r.instinct_id, r.finding, r.deprecated, [o.reinforcing for o in r.observations], r.updated_at) for r in instincts.fold(placed).collect())
+        assert got == want
+    free, tied = instincts.split(frame)
+    merged = {i for r in rows if r["op"] == "merge" for i in (r["id"], r["into"])}
+    assert {r.instinct_id for r in tied.collect()} == merged & {r["id"] for r in rows}
+    again = {r.instinct_id for r in instincts.traced(free).where("again").collect()}
+    revived = {r["id"] for r in rows if r["op"] == "revive"} - merged
+    assert again and again < revived  # the rest of the revived ones fold in SQL

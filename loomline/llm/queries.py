@@ -50,12 +50,23 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rules on host and path, and names of sites listed under every ending, whose pages are blocked where no rule fits.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 LISTED = [f"{name}.example.{ending}" for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track") for ending in ("com", "net", "org")]
+#: Of the addresses in ``pages`` those whose sha256 begins with this digit are listed: a sixteenth, by no order or size.
+LISTED_DIGIT = "3"
+
+
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """The list of blocked addresses: host and path of a sixteenth of all addresses that occur, by their digests."""
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    entry = F.concat(host, F.when(path == "", "/").otherwise(path))
+    rows = pages.where(F.instr("url", "://") > 0).select(entry.alias("entry")).distinct()
+    return rows.where(F.substring(F.sha2(F.col("entry").cast("binary"), 256), 1, 1) == LISTED_DIGIT).select("entry", F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict for every page."""
+    """A verdict for every page, by rules, listed hosts and listed addresses."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.entries(spark, RULES, LISTED)).select("page_id", "host", "path", "rule", "verdict")
+    listing = url_filter.entries(spark, RULES, LISTED).unionByName(listed_pages(pages))
+    return url_filter.judge(pages, listing).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,11 +169,13 @@ with entry(entry, verdict, is_rule) as (values {_ENTRIES}),
   listing as (select *, regexp_extract(entry, '^[^/]*') as h, regexp_extract(entry, '^[^/]*(.*)$', 1) as p from entry),
   address as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
   page as (select page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from address),
-  canonical as (select *, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') as bare from page),
+  canonical as (select *, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') as bare,
+    concat('/', regexp_replace(regexp_replace(case when contains(path, '%') then url_decode(path) else path end, '^/+', ''), '/+', '/', 'g')) as plain from page),
+  listed as (select distinct bare, plain from canonical where (host <> '' or path <> '') and substr(sha256(concat(host, case when path = '' then '/' else path end)), 1, 1) = '{LISTED_DIGIT}'),
   fit as (select page_id, entry, verdict, is_rule, row_number() over (partition by page_id order by is_rule desc, length(entry) desc, length(h) desc) as n
     from canonical join listing on case when is_rule then (host = h or ends_with(host, '.' || h)) and starts_with(path, p) else bare = h or ends_with(bare, '.' || h) end)
-select page.page_id, host, path, case when is_rule then entry end as rule, coalesce(verdict, 'allow') as verdict
-from page left join fit on fit.page_id = page.page_id and n = 1
+select c.page_id, host, path, case when is_rule then entry end as rule, coalesce(verdict, case when listed.plain is not null then 'block' end, 'allow') as verdict
+from canonical c left join fit on fit.page_id = c.page_id and n = 1 left join listed on listed.bare = c.bare and listed.plain = c.plain
 """
 
 OP6_SQL = f"""

@@ -1,17 +1,21 @@
 """Quality rules on whole texts, and robust outlier rejection by minimum-covariance-determinant estimates.
 
 Every document gets a few counts and from them a vector of transformed shares. For each language
-and source (small groups share their language's estimate, small languages share one for all; sizes
-count the rows that the estimates see), the centre and covariance of the three quarters of documents
-with the smallest determinant of the covariance are sought: from several starts (medians and quartile
-ranges, mean and covariance, medians alone), concentration steps re-estimate from the rows with the
-smallest Mahalanobis distances until no determinant changes, and the start that ends with the
-smallest one gives the estimate. Documents far from their group's centre are rejected.
+and source, the centre and covariance of the three quarters of documents with the smallest
+determinant of the covariance are sought: from several starts (medians and quartile ranges, mean
+and covariance, medians alone) two concentration steps re-estimate from the rows with the smallest
+Mahalanobis distances; the start with the smallest determinant then goes on, each group until its
+determinant stays. Documents far from their group's centre are rejected.
+
+Every estimate counts ``PRIOR`` rows with the medians and quartile ranges of the group's language
+besides its own, and the language's as many with those of all rows. So a group's own rows weigh
+n / (n + PRIOR), whatever their number, and no size switches between estimates.
 
 A step is one aggregation: moments are summed by group and bin of distance, and the bins up to the
-quantile added. So no group, however large, meets in one task, and a repeated run gives the same
-verdicts. A floor under every variance keeps shares that are almost always zero from making small
-deviations count. Everything is DataFrame functions.
+quantile added, the last one in part, so that the subsets of all starts are of equal size. So no
+group, however large, meets in one task, and a repeated run gives the same verdicts. A floor under
+every variance keeps shares that are almost always zero from making small deviations count.
+Everything is DataFrame functions.
 
 Defined cases: a null, empty or blank text has no words and fails the base rules; fewer than 8
 words have no windows; a null language or source is a group of its own; repeated rows count and
@@ -32,8 +36,8 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = "[#*$%&|<>]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SMALLEST_GROUP = 60
-CLOSEST, MOST_STEPS, SETTLED = 0.75, 30, 1e-6
+PRIOR = 60
+CLOSEST, FIRST_STEPS, MOST_STEPS, SETTLED = 0.75, 2, 20, 1e-6
 #: Mean of the shares' prior, its weight in words or characters, and the floor of the deviation, for each transformed share.
 SHARES = ["word_length", "symbols", "capitals", "repeats", "dup_lines"]
 FLOOR = {"word_length": 0.05, "symbols": 0.045, "capitals": 0.07, "repeats": 0.12, "dup_lines": 0.12}
@@ -107,28 +111,35 @@ def shares() -> list[Column]:
 
 
 def grouped(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """``rows`` with the columns g1, g2 of the group whose estimate holds for them."""
-    rows = rows.withColumns({"g1": F.coalesce(F.concat(F.lit("="), F.col(f"`{lang}`").cast("string")), F.lit("-")), "g2": F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("-"))})
-    sizes = rows.groupBy("g1", "g2").agg(F.count_if(~F.col("base_failed")).alias("n"))
-    small = F.col("n") < SMALLEST_GROUP
-    of_lang = sizes.where(small).groupBy("g1").agg(F.sum("n").alias("pooled"))
-    homes = sizes.join(of_lang, "g1", "left").select(
-        "g1",
-        "g2",
-        F.when(small & (F.col("pooled") < SMALLEST_GROUP), "*").otherwise(F.col("g1")).alias("h1"),
-        F.when(small, "*").otherwise(F.col("g2")).alias("h2"),
-    )
-    return rows.join(stored(homes, "homes"), ["g1", "g2"]).drop("g1", "g2").withColumnsRenamed({"h1": "g1", "h2": "g2"})
+    """``rows`` with the columns g1, g2 of their group, a language and source."""
+    return rows.withColumns({g: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for g, c in (("g1", lang), ("g2", source))})
 
 
-def quantiles(rows: DataFrame, values: dict[str, str], at: list[float]) -> DataFrame:
-    """For each group and value its quantiles, as upper edges of bins of 1 / BINS; columns name_i."""
+def histogram(rows: DataFrame, values: dict[str, str]) -> DataFrame:
+    """g1, g2, name, bin (of 1 / BINS) and n of each of the values."""
     bins = [f"named_struct('name', '{name}', 'bin', cast(floor(({v}) * {BINS}) as bigint))" for name, v in values.items()]
-    counts = rows.selectExpr("g1", "g2", f"explode(array({', '.join(bins)})) as b").groupBy("g1", "g2", "b.name", "b.bin").agg(F.count("*").alias("n"))
-    group = Window.partitionBy("g1", "g2", "name")
-    run = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
-    out = [F.expr(f"min(case when name = '{name}' and upto >= {q} * all then (bin + 1) / {BINS}D end) as {name}_{i}") for name in values for i, q in enumerate(at)]
-    return run.groupBy("g1", "g2").agg(*out)
+    return rows.selectExpr("g1", "g2", f"explode(array({', '.join(bins)})) as b").groupBy("g1", "g2", "b.name", "b.bin").agg(F.count("*").alias("n"))
+
+
+def quantiles(counts: DataFrame, names: list[str], at: list[float], key: list[str]) -> DataFrame:
+    """From a histogram, for each ``key`` and value its quantiles, as upper edges of bins; columns name_i, and rows (how many)."""
+    summed = counts.groupBy(*key, "name", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*key, "name")
+    run = summed.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
+    out = [F.expr(f"min(case when name = '{name}' and upto >= {q} * all then (bin + 1) / {BINS}D end) as {name}_{i}") for name in names for i, q in enumerate(at)]
+    return run.groupBy(*key).agg(F.max("all").alias("rows"), *out)
+
+
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def priors(counts: DataFrame) -> DataFrame:
+    """g1, pc_i, pv_i: what the PRIOR rows of a language's groups have as centre and variance."""
+    spread = [f"pow(({s}_2 - {s}_0) / 1.349D, 2)" for s in SHARES]
+    every = quantiles(counts, SHARES, QUARTILES, []).selectExpr(*(f"{s}_1 as ac_{i}" for i, s in enumerate(SHARES)), *(f"{v} as av_{i}" for i, v in enumerate(spread))).first()  # ten numbers
+    own = quantiles(counts, SHARES, QUARTILES, ["g1"])
+    mixed = [f"(rows * {x} + {PRIOR} * {every[f'{a}_{i}'] or 0.0!r}D) / (rows + {PRIOR}) as {p}_{i}" for i, s in enumerate(SHARES) for x, a, p in ((f"{s}_1", "ac", "pc"), (spread[i], "av", "pv"))]
+    return own.selectExpr("g1", *mixed)
 
 
 P = range(len(SHARES))
@@ -162,9 +173,20 @@ def _moments() -> list[Column]:
     return [F.expr(x) for x in ["count(*) as n", *sums]]
 
 
-def starts(rows: DataFrame) -> DataFrame:
+SUMS = ["n", *(f"s_{i}" for i in P), *(f"s_{i}_{j}" for i, j in LOWER)]
+
+
+def blended(sums: DataFrame, prior: DataFrame) -> DataFrame:
+    """Sums of groups with those of their PRIOR rows added."""
+    kept = [c for c in sums.columns if c not in SUMS]
+    own = [f"n + {PRIOR} as n", *(f"s_{i} + {PRIOR} * pc_{i} as s_{i}" for i in P)]
+    both = [f"s_{i}_{j} + {PRIOR} * (pc_{i} * pc_{j} + {f'pv_{i}' if i == j else '0D'}) as s_{i}_{j}" for i, j in LOWER]
+    return sums.join(prior, "g1").selectExpr(*kept, *own, *both)
+
+
+def starts(rows: DataFrame, counts: DataFrame, prior: DataFrame) -> DataFrame:
     """g1, g2, start (a number), c_i, m_i_j, log_det of each group's starts."""
-    found = stored(quantiles(rows, {s: s for s in SHARES}, [0.25, 0.5, 0.75]), "quartiles")
+    found = quantiles(counts, SHARES, QUARTILES, ["g1", "g2"])
     centre = [f"{s}_1 as c_{i}" for i, s in enumerate(SHARES)]
 
     def diagonal(number: int, spread: list[str]) -> DataFrame:
@@ -172,48 +194,62 @@ def starts(rows: DataFrame) -> DataFrame:
         return found.selectExpr("g1", "g2", f"{number} as start", *centre, *inverse, "0D as log_det")
 
     quartiles = diagonal(0, [f"({s}_2 - {s}_0) / 1.349D" for s in SHARES])
-    mean = _solved(rows.groupBy("g1", "g2").agg(*_moments()).withColumn("start", F.lit(1)), "g1", "g2", "start")
+    mean = _solved(blended(rows.groupBy("g1", "g2").agg(*_moments()).withColumn("start", F.lit(1)), prior), "g1", "g2", "start")
     return quartiles.unionByName(mean).unionByName(diagonal(2, ["0D"] * len(SHARES)))
 
 
-def concentrated(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """One concentration step: the estimates from the rows closest to ``found``, by g1, g2 and start."""
+def concentrated(rows: DataFrame, found: DataFrame, prior: DataFrame) -> DataFrame:
+    """One concentration step: the estimates from the rows closest to ``found``, by g1, g2 and start; other groups are left out."""
     key = ["g1", "g2", "start"]
     bins = F.floor(F.log(F.col("d2") + 1e-6) * BINS).cast("long")
-    sums = distances(rows, found).groupBy(*key, bins.alias("bin")).agg(*_moments())
+    sums = distances(rows, found, "inner").groupBy(*key, bins.alias("bin")).agg(*_moments())
     group = Window.partitionBy(*key)
     nearer = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = sums.withColumns({"nearer": nearer, "all": F.sum("n").over(group)}).where(f"nearer < {CLOSEST} * all")
-    return _solved(kept.groupBy(*key).agg(*(F.expr(f"sum({c}) as {c}") for c in ["n", *(f"s_{i}" for i in P), *(f"s_{i}_{j}" for i, j in LOWER)])), *key)
+    part = kept.withColumn("part", F.expr(f"least(1D, ({CLOSEST} * all - nearer) / n)"))
+    return _solved(blended(part.groupBy(*key).agg(*(F.expr(f"sum({c} * part) as {c}") for c in SUMS)), prior), *key)
 
 
-def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def distances(rows: DataFrame, estimates: DataFrame, how: str = "left") -> DataFrame:
     """``rows`` with d2, the squared Mahalanobis distance to their group's centre (for each start, if estimates have several)."""
     scaled = [" + ".join(f"m_{i}_{j} * ({SHARES[j]} - c_{j})" for j in range(i + 1)) for i in P]
     kept = [f"`{c}`" for c in rows.columns] + [c for c in estimates.columns if c == "start"]
-    joined = rows.join(estimates.drop("log_det"), ["g1", "g2"], "left")
+    values = ["g1", "g2", *(c for c in ("start",) if c in estimates.columns), *(f"c_{i}" for i in P), *(f"m_{i}_{j}" for i, j in LOWER)]
+    joined = rows.join(estimates.select(*values), ["g1", "g2"], how)
     return joined.selectExpr(*kept, " + ".join(f"pow({y}, 2)" for y in scaled) + " as d2")
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Estimates of each group, and the factor by which its distances are wider than normal ones."""
-    found, total = stored(starts(rows), "starts"), None
-    for _ in range(MOST_STEPS):
-        after = stored(concentrated(rows, found), "estimates")
-        dropped(found)
-        found = after
-        # No step raises a determinant, so where their product stays all of them do.
-        now = found.agg(F.sum("log_det")).first()[0]
-        if now is None or (total is not None and abs(now - total) < SETTLED):
-            break
-        total = now
+    counts = stored(histogram(rows, {s: s for s in SHARES}), "histogram")
+    prior = stored(priors(counts), "priors")
+    found = stored(starts(rows, counts, prior), "starts")
+
+    def stepped(before: DataFrame) -> DataFrame:
+        after = stored(concentrated(rows, before, prior), "estimates")
+        dropped(before)
+        return after
+
+    for _ in range(FIRST_STEPS):
+        found = stepped(found)
     values = [c for c in found.columns if c not in ("g1", "g2", "log_det", "start")]
     least = found.groupBy("g1", "g2").agg(F.min(F.struct("log_det", "start", *values)).alias("e"))
-    best = stored(least.select("g1", "g2", *(f"e.{c}" for c in ["log_det", *values])), "best")
+    active = stored(least.select("g1", "g2", "e.start", *(f"e.{c}" for c in values), "e.log_det"), "best")
     dropped(found)
-    middle = quantiles(distances(rows, best), {"d": "ln(d2 + 1e-6D)"}, [0.5])
+    settled: list[DataFrame] = []
+    for _ in range(MOST_STEPS):
+        after = concentrated(rows, active, prior).join(active.select("g1", "g2", F.col("log_det").alias("was")), ["g1", "g2"])
+        after = stored(after.withColumn("stays", F.abs(F.col("log_det") - F.col("was")) < SETTLED).drop("was"), "estimates")
+        dropped(active)
+        settled.append(after.where("stays").drop("stays"))
+        active = after.where("not stays").drop("stays")
+        active.scratch_path = None  # the settled ones are in the same files
+        if active.isEmpty():
+            break
+    best = stored(reduce(DataFrame.unionByName, [*settled, active]), "best")
+    middle = quantiles(histogram(distances(rows, best.drop("start")), {"d": "ln(d2 + 1e-6D)"}), ["d"], [0.5], ["g1", "g2"])
     wider = F.greatest(F.lit(1.0), F.exp("d_0") / CHI_MEDIAN)
-    return best, stored(middle.select("g1", "g2", wider.alias("wider")), "wider")
+    return best.drop("start"), stored(middle.select("g1", "g2", wider.alias("wider")), "wider")
 
 
 def judged(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -221,9 +257,7 @@ def judged(documents: DataFrame, text: str = "text", lang: str = "lang", source:
     passed = [c for c in documents.columns if c.lower() not in {*COUNTS, "base_failed", "distance", "kept", text.lower()}]
     inner = documents.select(F.struct(*(f"`{c}`" for c in passed)).alias("_row") if passed else F.lit(None).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{source}`").alias("_source"))
     rows = counted(inner, "_text").drop("_text").withColumn("base_failed", base_failed())
-    whole = stored(rows.select("*", *shares()), "counted")  # texts are counted once; sizes of groups and all steps read this
-    rows = stored(grouped(whole, "_lang", "_source"), "counts")
-    dropped(whole)
+    rows = stored(grouped(rows.select("*", *shares()), "_lang", "_source"), "counts")  # texts are counted once; all steps read this
     found, wider = fit(rows.where("not base_failed").select("g1", "g2", *SHARES))
     out = distances(rows, found).join(wider, ["g1", "g2"], "left")
     distance = F.when(~F.col("base_failed"), F.col("d2") / F.col("wider"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -67,6 +68,7 @@ def floored(x):
 def test_smallest_determinant_of_small_groups(spark, seed, monkeypatch):
     """Of all subsets of three quarters of a group, the estimate's has (but for the bins' width) the smallest determinant."""
     monkeypatch.setattr(quality_rules, "BINS", 4_000)
+    monkeypatch.setattr(quality_rules, "PRIOR", 0)
     rng = np.random.default_rng(seed)
     groups = {}
     for g in "abc":
@@ -84,9 +86,75 @@ def test_smallest_determinant_of_small_groups(spark, seed, monkeypatch):
         assert np.abs(centre - x[3:].mean(axis=0)).max() < 1e-6
 
 
-def test_groups_are_sized_by_the_rows_that_are_fitted(spark):
+def quartiles(values, weights_of=(0.25, 0.5, 0.75)):
+    """Upper edges of the bins that hold the quantiles."""
+    bins = np.sort(np.floor(values * quality_rules.BINS).astype(np.int64))
+    at = [bins[max(0, math.ceil(q * len(bins)) - 1)] for q in weights_of]
+    return [(b + 1) / quality_rules.BINS for b in at]
+
+
+def robust(x, centre, var):
+    """The rule for one group in numpy: best of three starts after two steps, then steps until the determinant stays."""
+    floor, k = np.diag([quality_rules.FLOOR[s] ** 2 for s in quality_rules.SHARES]), quality_rules.PRIOR
+
+    def estimate(weights):
+        n, s, ss = weights.sum(), weights @ x, (x * weights[:, None]).T @ x
+        n, s, ss = n + k, s + k * centre, ss + k * (np.outer(centre, centre) + np.diag(var))
+        c = s / n
+        m = ss / n - np.outer(c, c) + floor
+        return c, m, np.linalg.slogdet(m)[1]
+
+    def far(c, m):
+        d = x - c
+        return np.einsum("ij,ij->i", d, np.linalg.solve(m, d.T).T)
+
+    def step(c, m, _):
+        bins = np.floor(np.log(far(c, m) + 1e-6) * quality_rules.BINS).astype(np.int64)
+        names, place, n = np.unique(bins, return_inverse=True, return_counts=True)
+        nearer = np.cumsum(n) - n
+        return estimate(np.clip((quality_rules.CLOSEST * len(x) - nearer) / n, 0, 1)[place])
+
+    q = np.array([quartiles(x[:, i]) for i in range(5)])
+    begins = [(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2) + floor, 0), estimate(np.ones(len(x))), (q[:, 1], floor, 0)]
+    for _ in range(quality_rules.FIRST_STEPS):
+        begins = [step(*b) for b in begins]
+    now = min(begins, key=lambda b: b[2])
+    for _ in range(quality_rules.MOST_STEPS):
+        was, now = now, step(*now)
+        if abs(now[2] - was[2]) < quality_rules.SETTLED:
+            break
+    d2 = far(*now[:2])
+    middle = quartiles(np.log(d2 + 1e-6), (0.5,))[0]
+    return d2 / max(1.0, math.exp(middle) / quality_rules.CHI_MEDIAN)
+
+
+def test_query_equals_numpy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = quality_rules.judged(docs.select("doc_id", "text", "lang", "source")).collect()
+    assert {(r.doc_id, r.kept, r.distance) for r in op8_quality_rules(spark, SF).select("doc_id", "kept", "distance").collect()} == {(r.doc_id, r.kept, r.distance) for r in made}
+    good = [r for r in made if not r.base_failed]
+    x = np.array([[r[s] for s in quality_rules.SHARES] for r in good])
+    lang, source = np.array([r.lang for r in good]), np.array([r.source for r in good])
+
+    def spread(rows):
+        q = np.array([quartiles(rows[:, i]) for i in range(5)])
+        return q[:, 1], ((q[:, 2] - q[:, 0]) / 1.349) ** 2
+
+    every, want = spread(x), np.zeros(len(good))
+    for name in set(lang):
+        rows = x[lang == name]
+        prior = [(len(rows) * own + quality_rules.PRIOR * a) / (len(rows) + quality_rules.PRIOR) for own, a in zip(spread(rows), every, strict=True)]
+        for s in set(source[lang == name]):
+            here = (lang == name) & (source == s)
+            want[here] = robust(x[here], *prior)
+    got = np.array([r.distance for r in good])
+    assert np.allclose(got, want, rtol=1e-6)
+    assert [r.kept for r in good] == list(want <= quality_rules.CHI_CUT)
+
+
+def test_a_group_weighs_by_its_rows(spark):
+    """A few rows hardly move the estimate of their language; no number of rows switches it."""
     rng = random.Random(2)
-    rows = [(i, clean(rng, 6) if i < 5 else "too short", "en", "a") for i in range(80)] + [(100 + i, clean(rng, 6), "en", "b") for i in range(80)]
-    frame = quality_rules.counted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).withColumn("base_failed", quality_rules.base_failed())
-    homes = {(r.source, r.g1, r.g2) for r in quality_rules.grouped(frame, "lang", "source").collect()}
-    assert homes == {("a", "*", "*"), ("b", "=en", "=b")}
+    rows = [(i, clean(rng, 6), "en", "b") for i in range(120)] + [(1000 + i, clean(rng, 6) + " ##", "en", f"s{i % 3}") for i in range(9)] + [(2000, "|| <> ## ** " * 40 + clean(rng, 2), "en", "s0")]
+    made = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not made[2000] and all(made[1000 + i] for i in range(9))

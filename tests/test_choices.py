@@ -199,9 +199,9 @@ def test_a_second_run_takes_up_what_is_new(spark, tmp_path):
     first = lines("s1", [("user", "always run the linter"), ("assistant", "We decided to use parquet for the table")])
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     run.run(spark.createDataFrame(first, schema), root, now)
-    more = first + lines("s2", [("user", "fix the parser"), ("assistant", "Fixed the parser in the core module")])
+    more = first + lines("s2", [("user", "fix the parser"), ("assistant", "Fixed the parser so that empty input is read as none."), ("assistant", "All tests pass now with `npm test`, verified and done.")])
     pages = run.run(spark.createDataFrame(more, schema), root, now)
-    assert [r.project_id for r in pages.collect()] == ["p"] and "parquet" in pages.first().page
+    assert [r.project_id for r in pages.collect()] == ["p"] and "parser" in pages.first().page
     assert {(r.session_id, r.project_key, r.content_revision, r.lifecycle) for r in artifacts.load(spark, root, "ledger").collect()} == {("s1", "p", 1, "extracted"), ("s2", "p", 1, "extracted")}
     assert sorted(r.session_id for r in artifacts.load(spark, root, "turns").collect()) == ["s1", "s2"]
     known = artifacts.load(spark, root, "learnings").collect()

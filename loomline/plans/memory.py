@@ -113,7 +113,7 @@ def w6_latest_by_id(t: Tables) -> DataFrame:
     select project_id, instinct_id, place, place + 9 <= 60 as included from q"""
 )
 def w16_rollup_split(t: Tables) -> DataFrame:
-    rows = records(t).withColumns({"domain": F.lit("workflow"), "_c": F.round("confidence", 6)})
+    rows = records(t).where(instincts.in_rollup()).withColumns({"domain": F.lit("workflow"), "_c": F.round("confidence", 6)})
     out = instincts.rollup_pages(rows.withColumn("confidence", F.col("_c")), page_lines=60)
     return out.select("project_id", "instinct_id", F.col("place").cast("long").alias("place"), "included")
 
@@ -131,9 +131,9 @@ _DOMAIN = "case cast(substr(instinct_id, 2) as bigint) % 4 when 0 then 'workflow
 )
 def k10_memory_pages(t: Tables) -> DataFrame:
     """Every project's page, and by topic the pages of what the page has no line for."""
-    rows = records(t).withColumns({"domain": F.expr(_DOMAIN), "confidence": F.round("confidence", 2), "trigger": F.concat(F.lit("when "), "instinct_id"), "finding": F.col("maturity")})
-    kept = rows.where(instincts.in_rollup())
-    return memory_pages(instincts.rollup_pages(kept, page_lines=16)).select("project_id", "name", "page")
+    kept = records(t).where(instincts.in_rollup())  # by the full confidence: pages show it rounded
+    rows = kept.withColumns({"domain": F.expr(_DOMAIN), "confidence": F.round("confidence", 2), "trigger": F.concat(F.lit("when "), "instinct_id"), "finding": F.col("maturity")})
+    return memory_pages(instincts.rollup_pages(rows, page_lines=16)).select("project_id", "name", "page")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import listed
+from loomline.sources.scratch import dealt, stored
 
 # Fixed values.
 PHASES = ["parsed", "reduced", "summarized", "extracted", "archived", "deletion_candidate", "deleted"]
@@ -58,13 +59,13 @@ def invalidated(changed: DataFrame, checkpoints: DataFrame, queue: DataFrame, ca
     delete. A changed session without one is as good as just discovered, and nothing else changes.
     """
     hit = changed.select(key).distinct()
-    derived = checkpoints.where("state = 'completed'").select(key).distinct().withColumn("_hit", F.lit(True))
-    stale = hit.join(derived, key, "left")
+    derived = dealt(checkpoints.where("state = 'completed'").select(key), key).distinct().withColumn("_hit", F.lit(True))
+    stale = stored(hit.join(derived, key, "left"), "stale")  # keys and flags, read by every table below
     sessions = stale.select(key, F.when(F.col("_hit"), "stale").otherwise("discovered").alias("lifecycle"))
     touched, on = stale.where("_hit"), F.coalesce("_hit", F.lit(False))
 
     def marked(table: DataFrame) -> DataFrame:
-        return table.join(touched, key, "left").withColumn("_hit", on)
+        return dealt(table, key).join(touched, key, "left").withColumn("_hit", on)
 
     done = on & (F.col("state") == "completed")
     of_checkpoints = marked(checkpoints).withColumns({"lifecycle": F.when(done, "stale").otherwise(F.col("lifecycle")), "state": F.when(done, "stale").otherwise(F.col("state"))})

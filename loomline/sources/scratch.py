@@ -33,6 +33,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows that a task of a shuffle gets where their number is known to be large.
+ROWS_A_TASK = 1_000_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A large table by ``keys`` in as many parts as its rows need, so that a join's tasks stay as small as with a small table."""
+    parts = -(-df.count() // ROWS_A_TASK)
+    return df.repartition(parts, *keys) if parts > 1 else df
+
+
 #: Paths given out and not deleted yet, by application.
 _given: dict[str, set[str]] = {}
 

@@ -68,3 +68,15 @@ def test_items_are_not_searched_one_by_one(spark):
     assert {(r.skill_id, r.session_id, r.hits) for r in skills.adherence(told, many).collect()} == {("s7", 0, 1)}
     rates = {(r.item, r.hits, r.rate) for r in skills.item_rates(sessions, items).collect()}
     assert len(rates) == 3 and all(h in (1, 2) for _, h, _ in rates)
+
+
+def test_tasks_of_an_invalidation_do_not_grow(spark, monkeypatch):
+    """A table of many rows is dealt to as many tasks as its rows need, whatever the number of shuffle partitions."""
+    from loomline.operators import ledger
+    from loomline.sources import scratch
+
+    monkeypatch.setattr(scratch, "ROWS_A_TASK", 100)
+    rows = spark.range(1000).selectExpr("id as k", "'completed' as state", "'x' as lifecycle", "'ready' as candidate_state", "true as safe_to_delete")
+    made = ledger.invalidated(rows.where("k % 2 = 0"), rows, rows, rows, "k")
+    assert made["queue"].where("state = 'stale'").count() == 500
+    assert "RepartitionByExpression [k" in made["queue"]._jdf.queryExecution().optimizedPlan().toString()

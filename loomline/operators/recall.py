@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomline.functions.confidence import MATURITY
 
 SAME_FOLDER, SAME_NAME = 0.75, 0.6
+#: Parts that the records of one folder or name are dealt to.
+SALTS = 64
 
 
 def usable(instincts: DataFrame, domain: str | None = None, scopes: list[str] | None = None, min_maturity: str | None = None) -> DataFrame:
@@ -48,36 +50,46 @@ def search(instincts: DataFrame, query: str, limit: int = 10, fields: tuple[str,
     return hits.orderBy(F.desc("score"), F.desc("confidence"), F.desc("updated_at"), "instinct_id").limit(limit)
 
 
-def proximity(target: Column, ref: Column) -> Column:
-    """1 for equal paths, 0.75 in one folder, 0.6 with one name, else 0."""
+def _folder(c: Column) -> Column:
+    return F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+
+
+def _name(c: Column) -> Column:
+    return F.substring_index(c, "/", -1)
 
-    def folder(c: Column) -> Column:
-        return F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
 
-    def name(c: Column) -> Column:
-        return F.substring_index(c, "/", -1)
+def proximity(target: Column, ref: Column) -> Column:
+    """1 for equal paths, 0.75 in one folder, 0.6 with one name, else 0."""
 
-    beside = (F.length(folder(target)) > 0) & (folder(target) == folder(ref))
-    return F.when(target == ref, 1.0).when(beside, SAME_FOLDER).when((F.length(name(target)) > 0) & (name(target) == name(ref)), SAME_NAME).otherwise(0.0)
+    beside = (F.length(_folder(target)) > 0) & (_folder(target) == _folder(ref))
+    return F.when(target == ref, 1.0).when(beside, SAME_FOLDER).when((F.length(_name(target)) > 0) & (_name(target) == _name(ref)), SAME_NAME).otherwise(0.0)
 
 
 def for_files(refs: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
     """The best match of every record (columns ``by``) for each target path; equality joins only.
 
-    ``refs`` has ``by`` and path; ``targets`` has target. Folder and name of both sides are join
-    keys, so no pair is compared that shares neither.
+    ``refs`` has ``by`` and path; ``targets`` has target. Equal paths, one folder with other paths,
+    and one name in other folders are three joins of which each finds what no other does, so pairs
+    of a record with one path need no aggregation: as many as a large folder makes, they stream
+    through. Targets are the smaller side; each goes to ``SALTS`` parts of its folder's or name's records.
     """
-
-    def keyed(df: DataFrame, path: str) -> DataFrame:
-        p = F.col(path)
-        keys = F.array(F.concat(F.lit("d"), F.regexp_extract(p, r"^(.*)/[^/]*$", 1)), F.concat(F.lit("n"), F.substring_index(p, "/", -1)))
-        return df.withColumn("key", F.explode(F.array_distinct(keys)))
-
-    # Paths meet once, however many records name them; Spark splits a folder that is too large for a task.
-    pairs = keyed(refs.select("path").distinct(), "path").join(keyed(targets.select("target").distinct(), "target"), "key")
-    scored = pairs.select("target", "path", proximity(F.col("target"), F.col("path")).alias("score")).where("score > 0").distinct()
-    best = scored.join(refs.select(*by, "path").distinct(), "path").groupBy("target", *by).agg(F.max("score").alias("score"))
-    return best.withColumn("kind", F.when(F.col("score") == 1.0, "exact").otherwise("proximal"))
+    own = refs.groupBy(*by).agg(F.collect_set("path").alias("_paths"))
+    paths = own.select(*by, (F.size("_paths") > 1).alias("_many"), F.explode("_paths").alias("path"))
+    at = F.pmod(F.xxhash64(*by, "path"), F.lit(SALTS)).cast("int")
+    refs_at = paths.withColumns({"_folder": _folder(F.col("path")), "_name": _name(F.col("path")), "_salt": at})
+    wanted = targets.select("target").where("target is not null").distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = wanted.select("target", _folder(F.col("target")).alias("_f"), _name(F.col("target")).alias("_n"), salts.alias("_s"))
+    other = F.col("path") != F.col("target")
+    same, one_salt = F.col("_folder") == F.col("_f"), F.col("_salt") == F.col("_s")
+    columns = ["target", *by, "_many"]
+    equal = paths.join(wanted, F.col("path") == F.col("target")).select(*columns, F.lit(1.0).alias("score"))
+    beside = refs_at.where("_folder <> ''").join(salted, same & one_salt & other).select(*columns, F.lit(SAME_FOLDER).alias("score"))
+    named = refs_at.where("_name <> ''").join(salted, (F.col("_name") == F.col("_n")) & one_salt & other & ((F.col("_folder") == "") | ~same)).select(*columns, F.lit(SAME_NAME).alias("score"))
+    met = equal.unionByName(beside).unionByName(named)
+    best = met.where("_many").groupBy("target", *by).agg(F.max("score").alias("score"))
+    out = met.where("not _many").drop("_many").unionByName(best)
+    return out.withColumn("kind", F.when(F.col("score") == 1.0, "exact").otherwise("proximal"))
 
 
 def recent(instincts: DataFrame, days: int = 7, limit: int = 20) -> DataFrame:

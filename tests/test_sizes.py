@@ -80,3 +80,18 @@ def test_tasks_of_an_invalidation_do_not_grow(spark, monkeypatch):
     made = ledger.invalidated(rows.where("k % 2 = 0"), rows, rows, rows, "k")
     assert made["queue"].where("state = 'stale'").count() == 500
     assert "RepartitionByExpression [k" in made["queue"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_of_one_folder_need_no_aggregation(spark):
+    """Only records with several paths are aggregated; each pair of the others is found once."""
+    from loomline.operators import recall
+
+    paths = ["/a/x", "/a/y", "/b/x", "x", "/", "", "/a/", None]
+    refs = spark.createDataFrame(list(enumerate(paths)) + [(9, "/a/z"), (9, "/b/x"), (1, "/a/y")], "id int, path string")
+    targets = spark.createDataFrame([(p,) for p in ["/a/x", "/a/x", "x", "/", "", "/c/q", None]], "target string")
+    made = recall.for_files(refs, targets, ["id"]).select("target", "id", "score", "kind")
+    pairs = targets.distinct().crossJoin(refs).where("path is not null and target is not null").select("target", "id", recall.proximity(targets["target"], refs["path"]).alias("s"))
+    best = pairs.where("s > 0").groupBy("target", "id").max("s").collect()
+    assert sorted(tuple(r)[:3] for r in made.collect()) == sorted(map(tuple, best))
+    plan = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [p for p in plan if "Aggregate [target" in p and "path" in p]

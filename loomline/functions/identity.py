@@ -33,10 +33,14 @@ def stem(w: Column) -> Column:
     )
 
 
+def stems(c: Column) -> Column:
+    """The distinct stems of a text's words; each word is stemmed once, however often it stands there."""
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(words(c)), stem), lambda w: (w != "") & ~w.isin(STOP_WORDS)))
+
+
 def canonical_key(trigger: Column, finding: Column) -> Column:
     """The same for texts that differ only in word order, endings, stop words and punctuation."""
-    stems = F.filter(F.transform(words(F.concat(trigger, F.lit(" "), finding)), stem), lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    return F.array_join(F.array_sort(F.array_distinct(stems)), "-")
+    return F.array_join(F.array_sort(stems(F.concat(trigger, F.lit(" "), finding))), "-")
 
 
 def slug(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions.identity import canonical_key
 from loomline.functions.prompts import cleaned_statement, statement_flags
 from loomline.functions.text import let, matches, matches_any, rule, squeezed, trimmed
+from loomline.sources.scratch import stored
 
 # Fixed values: (rule, cluster, kind of evidence, pattern).
 VERIFY = "(verify|verification|test|cibuild|ci|proof|passes|green)"
@@ -199,15 +200,17 @@ def already_encoded(rows: DataFrame, known: DataFrame, row_id: str, tokens: str)
     Both sides have arrays of distinct tokens; ``known`` has known_id and ord. A record with 60 % of
     a row's tokens lacks at most the other 40 %, so it has one of the row's rarest tokens, one more
     than that: rows meet records on these alone, and common tokens gather no bucket. Full arrays
-    then decide.
+    then decide. Of the records only the tokens that some row has are kept, and found once.
     """
-    held = known.select("known_id", F.explode(tokens).alias("token"))
+    used = rows.select(F.explode(tokens).alias("token")).distinct()
+    held = stored(known.select("known_id", "ord", F.explode(tokens).alias("token")).join(used, "token", "left_semi"), "held")
     often = held.groupBy("token").agg(F.count("*").alias("n"))
     asked = rows.where(F.size(tokens) > 0).select(row_id, F.explode(tokens).alias("token")).join(often, "token", "left")
     ranked = asked.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("all"))
     size = F.size("all")
     rarest = ranked.select(row_id, F.explode(F.slice("all", F.lit(1), size - F.ceil(size * OVERLAP).cast("int") + 1)).alias("t")).select(row_id, "t.token").where("t.n > 0")
     pairs = rarest.join(held, "token").select(row_id, "known_id").distinct()
-    both = pairs.join(rows.select(row_id, F.col(tokens).alias("_a")), row_id).join(known.select("known_id", "ord", F.col(tokens).alias("_b")), "known_id")
+    theirs = held.groupBy("known_id", "ord").agg(F.collect_list("token").alias("_b"))
+    both = pairs.join(rows.select(row_id, F.col(tokens).alias("_a")), row_id).join(theirs, "known_id")
     enough = both.where(F.size(F.array_intersect("_a", "_b")) >= OVERLAP * F.size("_a"))
     return enough.groupBy(row_id).agg(F.min_by("known_id", "ord").alias("encoded_in"))

@@ -202,7 +202,7 @@ def f41_item_rates(t: Tables) -> DataFrame:
 )
 def j10_encoded_overlap(t: Tables) -> DataFrame:
     def tokens(c):
-        return F.filter(F.array_distinct(F.split(identity.canonical_key(F.lit(""), c), "-")), lambda x: x != "")
+        return F.filter(F.array_distinct(F.split(F.array_join(identity.stems(c), "-"), "-")), lambda x: x != "")
 
     asked = t.benchmark.select("item_id", tokens(F.col("text")).alias("tokens"))
     known = t.documents.select(F.col("doc_id").alias("known_id"), F.col("doc_id").alias("ord"), tokens(F.col("text")).alias("tokens"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomline.functions.text import filled, let, listed, matches, matches_any, rule, shortened, squeezed, text_lines, trimmed
+from loomline.functions.text import contains_one, filled, guarded, let, listed, matches, matches_any, rule, shortened, squeezed, text_lines, trimmed
 
 # Tags whose blocks are wrappers, and the patterns of lines and prompts without a signal.
 WRAPPER_TAGS = [
@@ -66,6 +68,16 @@ EMBEDDED_AGENT = [
     r"\byou (?:must|should) (?:respond|reply|output|return) (?:only )?(?:with|in|using) (?:valid )?json\b",
     r"^(?:respond|reply|output|return|answer)\b[^.]{0,40}?\b(?:only )?(?:with|in|using|as) (?:valid |raw )?json\b",
 ]
+#: Parts in lower case of which every match of a pattern has one, for patterns that start at no fixed place.
+NEEDED = {
+    r"\bBase directory for this skill\b": ["base directory"],
+    r"/SKILL\.md\b": ["/skill.md"],
+    r"\byour (?:task|role|job) is to\b": ["your task", "your role", "your job"],
+    r"\bgiven the user'?s most recent message\b": ["recent message"],
+    r"\byou (?:must|should) (?:respond|reply|output|return) (?:only )?(?:with|in|using) (?:valid )?json\b": ["json"],
+}
+#: Words of which every program's prompt has one, whatever wrappers are around and within it.
+AGENT_WORDS = ["you", "json", "recent"]
 WORK_WORDS = r"\b(?:fix|implement|refactor|debug|error|failing|tests?|build|commit|prs?|pull requests?|merge|review)\b"
 PROCESS_START = (
     r"^(?:let me|i(?:'|')ll|i will|i need to|i(?:'|')m|checking|exploring|now let me|now i(?:'|')ll|now i(?:'|')m|first, let me|first, i(?:'|')ll|first, i(?:'|')m"
@@ -85,24 +97,35 @@ def _erased(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, rule(pattern), " ")
 
 
+def _any(c: Column, patterns: list[str]) -> Column:
+    """``matches_any`` with the patterns of ``NEEDED`` looked for only where their parts are."""
+    return reduce(lambda a, b: a | b, [guarded(c, F.lower(c), p, NEEDED.get(p, ())) for p in patterns])
+
+
 def without_tags(c: Column) -> Column:
     return _erased(c, ANY_TAG)
 
 
 def cleaned_prompt(c: Column) -> Column:
     """A prompt without wrapper blocks and tags; a user_query section stands for the whole."""
-    t = F.translate(c, "\r", "\n")
-    for tag in ("attached_files", "code_selection", "plugin_info"):
-        t = _erased(t, rf"<{tag}\b[^>]*>[\s\S]*?</{tag}>")
-    t = _erased(_erased(t, SKILL_BLOCK), SKILL_FILE)
-    t = _erased(t, rf"<({'|'.join(WRAPPER_TAGS)})\b[^>]*>[\s\S]*?</\1>")
-    t = let(t, lambda x: F.coalesce(filled(F.regexp_extract(x, r"(?i)<user_query>([\s\S]*?)</user_query>", 1)), x))
-    t = without_tags(t)
+    def files_erased(x: Column) -> Column:
+        return F.when(F.contains(F.lower(x), F.lit("/skill.md")), _erased(x, SKILL_FILE)).otherwise(x)
+
+    def unwrapped(x: Column) -> Column:
+        for tag in ("attached_files", "code_selection", "plugin_info"):
+            x = _erased(x, rf"<{tag}\b[^>]*>[\s\S]*?</{tag}>")
+        x = let(_erased(x, SKILL_BLOCK), files_erased)
+        x = _erased(x, rf"<({'|'.join(WRAPPER_TAGS)})\b[^>]*>[\s\S]*?</\1>")
+        x = let(x, lambda y: F.coalesce(filled(F.regexp_extract(y, r"(?i)<user_query>([\s\S]*?)</user_query>", 1)), y))
+        return without_tags(x)
+
+    # Every wrapper and tag has a "<".
+    t = let(F.translate(c, "\r", "\n"), lambda x: F.when(F.contains(x, F.lit("<")), unwrapped(x)).otherwise(files_erased(x)))
     return trimmed(F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
 
 
 def skill_line(line: Column) -> Column:
-    return matches_any(line, SKILL_LINES)
+    return _any(line, SKILL_LINES)
 
 
 def boot_line(line: Column) -> Column:
@@ -110,7 +133,7 @@ def boot_line(line: Column) -> Column:
 
 
 def skill_leak(line: Column) -> Column:
-    return matches_any(line, SKILL_LEAKS) | skill_line(line)
+    return _any(line, SKILL_LEAKS) | skill_line(line)
 
 
 def substantive(c: Column) -> Column:
@@ -125,7 +148,8 @@ def without_leaks(c: Column) -> Column:
 
 def embedded_agent(c: Column) -> Column:
     """Whether a prompt is another program's system prompt."""
-    return F.coalesce(let(squeezed(substantive(c)), lambda t: matches_any(t, EMBEDDED_AGENT)), F.lit(False))
+    found = let(squeezed(substantive(c)), lambda t: _any(t, EMBEDDED_AGENT))
+    return F.coalesce(contains_one(F.lower(c), AGENT_WORDS) & found, F.lit(False))
 
 
 def no_signal_line(line: Column) -> Column:
@@ -137,7 +161,7 @@ def no_signal_line(line: Column) -> Column:
         & line.rlike(r"(?i)^[\w\s'?,!.+-]+\z")
         & (matches_any(line, NO_SIGNAL) | (F.length(line) <= 24))
     )
-    return small | matches_any(line, EMBEDDED_AGENT) | matches_any(line, NO_SIGNAL)
+    return small | _any(line, EMBEDDED_AGENT) | matches_any(line, NO_SIGNAL)
 
 
 def no_signal(c: Column) -> Column:

@@ -6,6 +6,7 @@ import shutil
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
 from loomline.plans import catalog
 
@@ -95,3 +96,19 @@ def test_files_of_one_folder_need_no_aggregation(spark):
     assert sorted(tuple(r)[:3] for r in made.collect()) == sorted(map(tuple, best))
     plan = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not [p for p in plan if "Aggregate [target" in p and "path" in p]
+
+
+def test_prompt_rules_look_for_parts_first(spark):
+    """Patterns with look-arounds run only where a fixed part is, and give what they gave in every text."""
+    from loomline.functions import prompts
+
+    texts = ["<b>", "x YOUR <b>role</b> is to do", "YOUR TASK IS TO x", "a /skill.MD b", "you must reply with json", "given the users most recent message", "Use BASE DIRECTORY for this skill", "ok", "turn_aborted", "turn_aborted x", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = F.col("t")
+    made = rows.select("t", prompts.embedded_agent(c).alias("agent"), prompts.skill_leak(c).alias("leak"), prompts.boot_line(c).alias("boot"))
+    got = {r.t: (r.agent, r.leak, r.boot) for r in made.collect()}
+    assert [t for t in texts if t and got[t][0]] == ["x YOUR <b>role</b> is to do", "YOUR TASK IS TO x", "you must reply with json", "given the users most recent message"]
+    assert [t for t in texts if t and got[t][1]] == ["a /skill.MD b", "Use BASE DIRECTORY for this skill"]
+    assert [t for t in texts if t and got[t][2]] == ["<b>", "a /skill.MD b", "turn_aborted"]
+    plan = rows.select(prompts.embedded_agent(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(lower(t" in plan or "Contains(lower" in plan

@@ -7,8 +7,10 @@ document's strength is w x; the threshold is the quantile of the training streng
 labelled share of 0 lies below, and a logistic curve through it turns strengths into scores, so
 that the threshold has the score ``CUT``.
 
-Training uses a bounded sample of labelled rows (``SAMPLE`` rows by a hash of the id, all if there
-are fewer); scoring covers all documents and needs only the fitted weights.
+Training uses every labelled row outside the held-out fold. Rows are dealt by a hash of the id into
+buckets of about ``BUCKET`` rows (larger where one label is rare) and paired within them,
+``PAIRS_A_ROW`` times each; each Newton step adds up the buckets' gradients in tasks. Centre, scale
+and threshold are those of all rows; no task or driver holds more than a bucket, or sums.
 
 Defined cases: a null or empty text has the vector of zero counts and is scored like others; rows
 with a null id are scored and never train; repeated rows get equal scores; labels that are null
@@ -29,9 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import slices, stored
+from loomline.llm.common import dropped, slices, stored
 
-SAMPLE, PAIRS, RIDGE, STEPS = 40_000, 200_000, 1e-3, 12
+BUCKET, PAIRS_A_ROW, RIDGE, STEPS, SETTLED = 4_000, 10, 1e-3, 12, 1e-7
+LEAST_RARE, BINS, FEW_VALUES = 20, 1_000, 10_000
 CUT, FOLDS, SEED = 0.3, 5, 20240607
 ROWS = 500
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -91,25 +94,86 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(at, -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Ranking | None:
-    """A ranking of vectors ``x`` with labels ``y``; None unless both labels occur."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
+def _summed(rows: DataFrame, of, width: int) -> np.ndarray:
+    """The sum over all rows of ``of(y, x, bucket)``, a vector of ``width`` numbers for each bucket; one vector a task comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for row in batch.to_pylist():
+                total += of(np.array(row["y"]), np.array(row["x"]), row["bucket"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    parts = rows.select("bucket", "y", "x").mapInArrow(run, "v array<double>").toPandas()["v"]
+    return np.sum(np.array(parts.tolist()).reshape(-1, width), axis=0)
+
+
+def _ranked(values: DataFrame, place: int) -> float:
+    """The value (column s) at ``place`` of all in ascending order, by counts in ever narrower bins."""
+    before = 0
+    while True:
+        n, low, high = values.agg(F.count("*"), F.min("s"), F.max("s")).first()
+        if low == high:
+            return low
+        if n <= FEW_VALUES:
+            return sorted(r.s for r in values.collect())[place - before]
+        bin_of = F.least(F.floor((F.col("s") - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+        for r in sorted(values.groupBy(bin_of.alias("b")).count().collect()):
+            if place < before + r["count"]:
+                values = values.where(bin_of == r["b"])
+                break
+            before += r["count"]
+
+
+def fit(buckets: DataFrame) -> Ranking | None:
+    """A ranking of all rows of ``buckets`` (bucket, y and x, arrays of labels and vectors); None unless both labels occur."""
+    width = 3 * len(FEATURES)
+
+    def moments(y: np.ndarray, x: np.ndarray, bucket: int) -> np.ndarray:
+        z = expanded(x)
+        return np.concatenate([[len(y), y.sum()], z.sum(axis=0), (z * z).sum(axis=0)])
+
+    sums = _summed(buckets, moments, 2 + 2 * width)
+    n, good = int(sums[0]), int(sums[1])
+    if not good or good == n:
         return None
-    z = expanded(x)
-    centre, scale = z.mean(axis=0), z.std(axis=0) + 1e-3
-    z = (z - centre) / scale
-    rng = np.random.default_rng(SEED)
-    pairs = min(PAIRS, 20 * len(good) + 20 * len(bad))
-    difference = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(z.shape[1])
+    centre = sums[2 : 2 + width] / n
+    scale = np.sqrt(np.maximum(sums[2 + width :] / n - centre**2, 0)) + 1e-3
+    w = np.zeros(width)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(difference @ w, -500, 500)))  # of the pair's other order
-        gradient = -difference.T @ p / pairs + RIDGE * w
-        hessian = (difference * (p * (1 - p))[:, None]).T @ difference / pairs + RIDGE * np.eye(len(w))
-        w = w - np.linalg.solve(hessian, gradient)
-    strengths = z @ w
-    return Ranking(centre, scale, w, float(np.quantile(strengths, len(bad) / len(y))))
+
+        def slopes(y: np.ndarray, x: np.ndarray, bucket: int, w: np.ndarray = w) -> np.ndarray:
+            ones, zeros = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+            if not len(ones) or not len(zeros):
+                return np.zeros(1 + width + width * width)
+            z = (expanded(x) - centre) / scale
+            rng = np.random.default_rng([SEED, bucket])
+            # Every row is in as many pairs, with any rows of the other label.
+            first = np.concatenate([np.repeat(ones, PAIRS_A_ROW), rng.choice(ones, PAIRS_A_ROW * len(zeros))])
+            second = np.concatenate([rng.choice(zeros, PAIRS_A_ROW * len(ones)), np.repeat(zeros, PAIRS_A_ROW)])
+            difference = z[first] - z[second]
+            p = 1 / (1 + np.exp(np.clip(difference @ w, -500, 500)))  # of the pair's other order
+            hessian = (difference * (p * (1 - p))[:, None]).T @ difference
+            return np.concatenate([[len(first)], -difference.T @ p, hessian.ravel()])
+
+        sums = _summed(buckets, slopes, 1 + width + width * width)
+        pairs = max(1.0, sums[0])
+        gradient = sums[1 : 1 + width] / pairs + RIDGE * w
+        step = np.linalg.solve(sums[1 + width :].reshape(width, width) / pairs + RIDGE * np.eye(width), gradient)
+        w = w - step
+        if np.abs(step).max() < SETTLED:
+            break
+    ranking = Ranking(centre, scale, w, 0.0)
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(ranking.strengths(np.array(x)), pa.float64())], names=["s"])
+
+    values = stored(buckets.select("x").mapInArrow(strengths, "s double"), "strengths")
+    ranking.threshold = _ranked(values, n - good)
+    dropped(values)
+    return ranking
 
 
 def held_out(doc_id: Column) -> Column:
@@ -118,23 +182,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Ranking | None:
-    """Fit on a bounded sample of the labelled rows outside the held-out fold."""
+    """Fit on all labelled rows outside the held-out fold. Texts become vectors where they are read; only vectors are shuffled."""
     number = F.col(f"`{doc_id}`").cast("long").alias("i")
-    marked = labels.select(number, F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1) and i is not null")
-    marked = marked.where(~held_out(F.col("i"))).orderBy(F.xxhash64("i"), "i", "y").limit(SAMPLE)
-    marked = F.broadcast(stored(marked, "labels"))  # at most SAMPLE rows of 12 bytes
-    rows = documents.select(number, F.col(f"`{text}`").alias("t")).join(marked, "i")
+    marked = labels.select(number, F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1) and i is not null").where(~held_out(F.col("i")))
+    rows = documents.select(number, F.col(f"`{text}`").alias("t")).where(F.col("i").isNotNull() & ~held_out(F.col("i")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
-            x = pa.array([vector(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x], names=["i", "y", "x"])
-
-    made = rows.select("i", "y", "t").mapInArrow(run, "i long, y int, x array<double>")
-    found = made.orderBy("i", "y", "x").limit(2 * SAMPLE).toPandas()  # vectors of the sample, a few MB
-    if found.empty:
-        return None
-    return fit(np.array(found["x"].tolist()), found["y"].to_numpy())
+            x = pa.array([vector(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["i", "x"])
+
+    found = stored(rows.mapInArrow(run, "i long, x array<double>").join(marked, "i"), "training")
+    n, good = found.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    count = max(1, min(n // BUCKET, min(good, n - good) // LEAST_RARE))
+    grouped = found.withColumn("bucket", F.pmod(F.xxhash64("i"), F.lit(count))).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("i", "y", "x"))).alias("r"))
+    buckets = stored(grouped.select("bucket", F.col("r.y").alias("y"), F.col("r.x").alias("x")), "buckets")
+    ranking = fit(buckets)
+    for table in (found, buckets):
+        dropped(table)
+    return ranking
 
 
 def score(documents: DataFrame, ranking: Ranking | None, text: str = "text") -> DataFrame:

@@ -112,3 +112,22 @@ def test_prompt_rules_look_for_parts_first(spark):
     assert [t for t in texts if t and got[t][2]] == ["<b>", "a /skill.MD b", "turn_aborted"]
     plan = rows.select(prompts.embedded_agent(c))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(lower(t" in plan or "Contains(lower" in plan
+
+
+def test_classifier_learns_from_every_labelled_row(spark, monkeypatch):
+    """Centre and threshold are those of all rows, in many buckets and bins."""
+    import numpy as np
+
+    from loomline.llm import quality_classifier as qc
+
+    monkeypatch.setattr(qc, "BUCKET", 50)
+    monkeypatch.setattr(qc, "FEW_VALUES", 10)
+    texts = [(i, ("good words here. " if i % 3 else "BAD!! | ") * (1 + i % 17)) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in texts], "doc_id long, quality int")
+    ranking = qc.train(docs, labels)
+    used = [i for i, held in docs.select("doc_id", qc.held_out(F.col("doc_id"))).collect() if not held]
+    x = np.array([qc.vector(texts[i][1]) for i in used])
+    assert np.allclose(ranking.centre, qc.expanded(x).mean(axis=0))
+    strengths = np.sort(ranking.strengths(x))
+    assert np.isclose(ranking.threshold, strengths[sum(i % 3 == 0 for i in used)])

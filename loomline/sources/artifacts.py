@@ -1,7 +1,8 @@
 """Artifacts of the pipeline: named tables of fixed schemas under one root, and their exports.
 
-A table's files lie in generations, one for each run that wrote it, and in partitions of projects. A
-manifest names the generation that each partition of each table is read from. A run replaces whole
+A table's files lie in generations, one for each run that wrote it, and are sorted by project within. A
+project is a partition by name only: folders and files of its own for each would be many times more
+files than there is data to fill. A manifest names the generation that each partition of each table is read from. A run replaces whole
 partitions: those it touched and wrote rows for point to its generation, those it touched and
 wrote nothing for go. The manifest is renamed into place last, so a run that dies half-way changes
 nothing, and of two runs that began from the same manifest only one can commit. A table that has
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.sources.scratch import delete
-from loomline.sources.sinks import write_partitions
 
 SCHEMAS = {
     "ledger": "project_key string, session_id string, source_tool string, source_hash string, content_revision int, lifecycle string, updated_at timestamp",
@@ -68,7 +68,7 @@ def manifest(spark: SparkSession, root: str, number: int) -> DataFrame:
 
 
 def _part(c: Column) -> Column:
-    """A partition's value as the manifest has it; an empty string is read back from a folder's name as null."""
+    """A partition's value as the manifest has it; null is the empty string there."""
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
@@ -98,8 +98,8 @@ class Generation:
         """Write ``df`` as all there is of the partitions in ``touched`` (one column); columns are cast to the artifact's schema."""
         fields = self.spark.createDataFrame([], SCHEMAS[name]).schema.fields
         rows = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
-        spread = rows.repartition(PARTITION[name], F.pmod(F.xxhash64(rows.columns[1]), F.lit(16)))
-        write_partitions(spread, f"{self.root}/{name}/generation={self.name}", [PARTITION[name]])
+        spread = rows.repartition(PARTITION[name], F.pmod(F.xxhash64(rows.columns[1]), F.lit(16))).sortWithinPartitions(PARTITION[name])
+        spread.write.parquet(f"{self.root}/{name}/generation={self.name}")
         self.touched[name] = touched.select(_part(F.col(touched.columns[0])).alias("part"))
 
     def commit(self) -> None:

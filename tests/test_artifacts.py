@@ -133,3 +133,19 @@ def test_sessions_of_tests_are_left_out(spark, tmp_path):
         (tmp_path / folder / f"{name}.jsonl").write_text("{}\n")
     assert [r.source_path.rsplit("/", 1)[1] for r in listing.listed(spark, "pi", str(tmp_path)).collect()] == ["1_a.jsonl"]
     assert listing.listed(spark, "pi", str(tmp_path), tests=True).count() == 4
+
+
+def test_files_do_not_grow_with_projects(spark, tmp_path):
+    root, touched = str(tmp_path / "run"), spark.range(300).select(F.concat(F.lit("p"), "id").alias("p"))
+    rows = touched.select(F.col("p").alias("project_id"), F.explode(F.array(F.lit("MEMORY.md"), F.lit("workflow.md"))).alias("name"), F.lit("x").alias("page"))
+    for part in (rows, rows.where("project_id <> 'p7'")):
+        generation = artifacts.Generation(spark, root)
+        generation.save(part, "pages", touched)
+        generation.commit()
+    assert len([f for _, _, files in os.walk(f"{root}/pages") for f in files if f.endswith(".parquet")]) <= 16
+    assert held(spark, root, "pages", "project_id", "name") == sorted((r.project_id, r.name) for r in rows.where("project_id <> 'p7'").collect())
+    unnamed, lone = spark.createDataFrame([("", "a", "x"), (None, "b", "y")], "project_id string, name string, page string"), spark.createDataFrame([("",)], "p string")
+    generation = artifacts.Generation(spark, root)
+    generation.save(unnamed, "pages", lone)
+    generation.commit()
+    assert len(held(spark, root, "pages", "name")) == 600

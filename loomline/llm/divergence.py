@@ -20,7 +20,7 @@ and the two sums in the middle need only the number of terms for each count. All
 whole numbers; counts of 9e9 and more, which a product with SCALE would not hold, take decimals.
 
 Nothing is gathered by language or source: counts are summed by term and source before the
-shuffle, vectors meet by term (at most a row a source), sums have a row a pair, and of a group's
+shuffle (by a short pass over the bytes of each text), vectors meet by term (at most a row a source), sums have a row a pair, and of a group's
 terms each task passes on its best ``top`` only.
 
 Defined cases: null text, lang and source count as ''; each row is a document of its own, so
@@ -31,12 +31,22 @@ item's UTF-8 bytes; an empty table gives an empty table; other columns are left
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import ascii_lower, stored
+from loomline.llm.common import slices, stored
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of UTF-8 as terms have them: A-Z in lower case, other ASCII characters that are no letters as blanks, the rest as it is.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+BREAK = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+#: Rows taken from Arrow, bytes of a text split, and terms of all groups held at once in a task.
+ROWS_AT_ONCE, PIECE, MOST_HELD = 1_000, 1 << 20, 300_000
 SCALE = 1_000_000_000
 LEAST_DOCS, TOP = 3, 200
 #: Groups (a language and source), in rows of some 50 bytes, up to which their table is broadcast.
@@ -66,16 +76,50 @@ def groups(documents: DataFrame, lang: str = "lang", source: str = "source") ->
     return names.withColumns(numbers)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial n and docs by l, at and term of rows l, at and text (UTF-8), passed on whenever ``MOST_HELD`` terms are held."""
+    found, held = {}, 0
+    for batch in slices(batches, ROWS_AT_ONCE):
+        for l, at, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            n, docs = found.setdefault((l, at), (Counter(), Counter()))
+            before, own, start = len(n), set(), 0
+            while start < len(text):
+                # Long texts in pieces that end where a term cannot go on.
+                stop = BREAK.search(text, start + PIECE)
+                end = stop.end() if stop else len(text)
+                words = text[start:end].translate(LETTERS).split()
+                n.update(words)
+                own.update(words)
+                start = end
+            docs.update(own)
+            held += len(n) - before
+            if held >= MOST_HELD:
+                yield from _partial(found)
+                found, held = {}, 0
+    yield from _partial(found)
+
+
+def _partial(found: dict) -> Iterator[pa.RecordBatch]:
+    """What has been counted, a batch a group."""
+    for (l, at), (n, docs) in found.items():
+        if n:
+            size = len(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([l] * size, pa.int32()), pa.array([at] * size, pa.int32()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())],
+                names=["l", "at", "term", "n", "docs"],
+            )
+
+
 def term_counts(documents: DataFrame, numbered: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """l, at, term, n (occurrences) and docs (rows that hold the term)."""
     named = documents.select(_plain(lang).alias("lang"), _plain(source).alias("source"), _plain(text).alias("text"))
     # Texts are joined with a table of names, which is broadcast unless it is very long.
     known = F.broadcast(numbered) if numbered.count() <= MAX_BROADCAST else numbered
-    found = named.join(known, ["lang", "source"]).select("l", "at", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
-    # All terms of a row, and its distinct ones: one pass counts occurrences and rows.
-    lists = found.select("l", "at", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("distinct", "terms"))
-    each = lists.select("l", "at", "distinct", F.explode("terms").alias("term"))
-    return each.groupBy("l", "at", "term").agg(F.sum(F.expr("1L - distinct")).alias("n"), F.sum(F.col("distinct").cast("long")).alias("docs"))
+    texts = named.join(known, ["lang", "source"]).select("l", "at", F.col("text").cast("binary").alias("text"))
+    # One pass over the bytes counts occurrences and rows; of each task's terms only sums are shuffled.
+    each = texts.mapInArrow(_counted, "l int, at int, term binary, n long, docs long")
+    summed = each.groupBy("l", "at", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return summed.withColumn("term", F.col("term").cast("string"))
 
 
 def vectors(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:

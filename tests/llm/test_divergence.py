@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomline.llm import divergence
@@ -89,3 +90,26 @@ def test_levels_of_very_large_counts(spark):
     frame = spark.createDataFrame([(c, t, 7) for c, t in counts], "c long, t long, v long")
     got = [r.p for r in frame.select(F.expr(divergence.level("c", "t", "v")).alias("p")).collect()]
     assert got == [1 + 10**9 * (c + 1) // (t + 7) for c, t in counts]
+
+
+def test_counts_in_pieces_and_parts(spark, monkeypatch):
+    """Texts longer than a piece, more terms than a task holds, bytes at the edges of letters; a task's counts are few rows."""
+    text = "Ab ab@Z[z`{\u007f\u0080É é x " * 40 + "e" * 300
+    rows = [(1, 0, text.encode()), (1, 1, b"ab cd"), (2, 0, b""), (1, 0, b"ab AB new")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["l", "at", "text"])
+    want_n, want_docs = Counter(), Counter()
+    for l, at, t in rows:
+        terms = [w.encode() for w in TERM.findall(t.decode().translate(LOWER))]
+        want_n.update((l, at, w) for w in terms)
+        want_docs.update({(l, at, w) for w in terms})
+    for piece, most in ((1 << 20, 300_000), (7, 2), (1, 1)):
+        monkeypatch.setattr(divergence, "PIECE", piece)
+        monkeypatch.setattr(divergence, "MOST_HELD", most)
+        n, docs, size = Counter(), Counter(), 0
+        for part in divergence._counted(iter([batch])):
+            for row in part.to_pylist():
+                n[row["l"], row["at"], row["term"]] += row["n"]
+                docs[row["l"], row["at"], row["term"]] += row["docs"]
+                size += 1
+        assert n == want_n and docs == want_docs
+        assert most < 300_000 or size == len(want_n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions.identity import canonical_key
 from loomline.functions.prompts import cleaned_statement, statement_flags
 from loomline.functions.text import let, matches, matches_any, rule, squeezed, trimmed
-from loomline.sources.scratch import stored
+from loomline.sources.scratch import spread, stored
 
 # Fixed values: (rule, cluster, kind of evidence, pattern).
 VERIFY = "(verify|verification|test|cibuild|ci|proof|passes|green)"
@@ -105,16 +105,26 @@ def sentence(text: Column, pattern: str) -> Column:
     return let(text, around)
 
 
-def excerpt(parts: Column, pattern: str) -> Column:
-    """The first useful sentence with a match in an array of texts, or else in all of them joined; empty if there is none."""
+def excerpt(parts: Column, pattern: str, clean: Column | None = None) -> Column:
+    """The first useful sentence with a match in an array of texts, or else in all of them joined; empty if there is none.
+
+    ``clean``: ``parts`` redacted, where they are at hand. Only texts with a match are tidied, in order until one is useful.
+    """
 
     def useful(t: Column) -> Column:
         return (F.length(t) >= SHORTEST_EXCERPT) & ~matches_any(t, GENERIC)
 
-    found = F.transform(F.concat(parts, F.array(F.array_join(parts, " "))), lambda t: cleaned_statement(redacted(sentence(redacted(t), pattern))))
-    first = F.get(F.filter(found, lambda t: F.coalesce(useful(t), F.lit(False))), F.lit(0))
-    cut = F.when(F.length(first) <= LONGEST_EXCERPT, first).otherwise(F.concat(F.rtrim(F.substring(first, 1, LONGEST_EXCERPT - 1)), F.lit("…")))
-    return F.coalesce(cut, F.lit(""))
+    def said(t: Column) -> Column:
+        return let(cleaned_statement(redacted(sentence(t, pattern))), lambda x: F.when(useful(x), x))
+
+    hits = F.filter(F.transform(parts, redacted) if clean is None else clean, lambda t: matches(t, pattern))
+    in_one = F.aggregate(hits, F.lit(None).cast("string"), lambda found, t: F.when(found.isNotNull(), found).otherwise(said(t)))
+    first = F.coalesce(in_one, let(redacted(F.array_join(parts, " ")), said))
+
+    def cut(t: Column) -> Column:
+        return F.when(F.length(t) <= LONGEST_EXCERPT, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, LONGEST_EXCERPT - 1)), F.lit("…")))
+
+    return F.coalesce(let(first, cut), F.lit(""))
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -158,9 +168,13 @@ def evidence(found: DataFrame, sessions: DataFrame, cap: int = 10) -> DataFrame:
     """The first ``cap`` sessions of evidence of each rule: those with a useful excerpt, then the newest."""
     cases = F.when(F.lit(False), F.lit(""))
     for rule_id in GUIDANCE:
-        own = [F.nullif(excerpt(F.split("text", "\n"), p), F.lit("")) for r, _, _, p in MARKERS if r == rule_id]
+        own = [F.nullif(excerpt(F.col("_parts"), p, F.col("_clean")), F.lit("")) for r, _, _, p in MARKERS if r == rule_id]
         cases = cases.when(F.col("rule_id") == rule_id, F.coalesce(*own, F.lit("")))
-    rows = found.select("rule_id", "session_id").distinct().join(sessions.select("session_id", "updated_at", "text"), "session_id").withColumn("excerpt", F.coalesce(cases, F.lit(""))).drop("text")
+    # Lines are redacted once for all rules of a session, and rules meet them in it without a shuffle of texts for each.
+    parts = sessions.select("session_id", "updated_at", F.split("text", "\n").alias("_parts")).withColumn("_clean", F.transform("_parts", redacted))
+    rules = found.groupBy("session_id").agg(F.collect_set("rule_id").alias("_rules"))
+    met = spread(stored(parts.join(rules, "session_id"), "parts")).select("session_id", "updated_at", "_parts", "_clean", F.explode("_rules").alias("rule_id"))
+    rows = met.select("rule_id", "session_id", "updated_at", F.coalesce(cases, F.lit("")).alias("excerpt"))
     first = Window.partitionBy("rule_id").orderBy(F.when(F.col("excerpt") != "", 0).otherwise(1), F.desc("updated_at"), "session_id")
     return rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= cap)
 

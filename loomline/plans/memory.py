@@ -9,6 +9,7 @@ from loomline.functions import confidence as conf
 from loomline.operators import instincts, recall, review, workflow
 from loomline.plans import overlay
 from loomline.plans.registry import Tables, query
+from loomline.sources.scratch import spread, stored
 from loomline.plans.sessions import _quoted
 from loomline.plans.texts import slug_of, words_sql
 from loomline.sources.sinks import memory_pages
@@ -288,7 +289,7 @@ _EXCERPTS = "select rule_id, session_id, case when length(said) <= 200 then said
     select rule_id, session_id, excerpt, place from r where place <= 10"""
 )
 def o5_evidence(t: Tables) -> DataFrame:
-    rows = _sessions(t)
+    rows = spread(stored(_sessions(t), "sessions"))
     return workflow.evidence(workflow.seeds(rows), rows).select("rule_id", "session_id", "excerpt", F.col("place").cast("long").alias("place"))
 
 

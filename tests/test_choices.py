@@ -207,3 +207,11 @@ def test_a_second_run_takes_up_what_is_new(spark, tmp_path):
     known = artifacts.load(spark, root, "learnings").collect()
     assert {(r.session_id, r.kind) for r in known} >= {("s1", "preference"), ("s1", "decision")}
     assert artifacts.load(spark, root, "instincts").count() == len({r.learning_id for r in known if r.scope == "project"})
+
+
+def test_excerpts_tidy_only_lines_with_a_match(spark):
+    parts = ["Nothing here to see at all, stays out.", "Stop.", "Please stop that at /home/me/x now! Next.", "Then stop again and for good, please."]
+    cases = [(parts, "Please stop that at /[local-path] now!"), (["Please do all of it and", "stop"], "Please do all of it and stop"), (["stop when request fulfilled, as told"], ""), (["stop"], ""), (["none"], ""), ([], "")]
+    frame = spark.createDataFrame(cases, "p array<string>, want string")
+    for clean in (None, F.transform("p", workflow.redacted)):
+        assert [r.got for r in frame.select(workflow.excerpt(F.col("p"), r"\bstop\b", clean).alias("got")).collect()] == [w for _, w in cases]

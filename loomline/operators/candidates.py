@@ -273,7 +273,9 @@ def offered(turns: DataFrame, events: DataFrame) -> DataFrame:
     fixed = told.where("basis = 'verified-fix'").select("turn_id", F.lit("workflow").alias("basis")).distinct()
     asked = of_prompts(turns).join(fixed, ["turn_id", "basis"], "left_anti").select(*COLUMNS)
     first = stored(of_events(events).unionByName(told).unionByName(asked), "offered")  # read twice; its rules make a large plan
-    return first.unionByName(of_fallback(turns, first))
+    # Most candidates lie in the files of few tasks; what is done with each takes long, so they are dealt out evenly.
+    even = first.repartition(max(first.rdd.getNumPartitions(), first.sparkSession.sparkContext.defaultParallelism))
+    return even.unionByName(of_fallback(turns, first))
 
 
 _TYPE = "struct<kind:string,basis:string,statement:string,title:string,trigger:string,evidence:array<string>,confidence:string>"

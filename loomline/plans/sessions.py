@@ -9,6 +9,7 @@ from loomline.functions.statements import ERRNO, error_signature
 from loomline.operators import candidates, commands, events, summaries, turns
 from loomline.plans import overlay
 from loomline.plans.registry import Tables, query
+from loomline.sources.scratch import spread, stored
 from loomline.sources.transcripts import of_conversations
 
 KIND_SQL = "case role when 'user' then 'user_message' when 'assistant' then 'assistant_message' when 'tool' then 'tool_result_stub' else 'event' end"
@@ -166,14 +167,15 @@ def f23_error_signature(t: Tables) -> DataFrame:
 
 
 def session_turns(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Canonical turns and events of the overlay, with a project for each user."""
-    rows = overlaid(t)
-    found = events.tagged(rows)
+    """Canonical turns and events of the overlay, with a project for each user; stored, as every rule reads them again."""
+    rows = spread(stored(overlaid(t), "grouped"))
+    found = spread(stored(events.tagged(rows), "events"))
     rolled = turns.rolled_up(rows).join(commands.by_turn(rows), "turn_id", "left")
     out = events.canonical_turns(rolled.drop("commands"), found, events.focused(rows, found))
     project = F.concat(F.lit("project-"), F.regexp_extract("session_id", r"^u(\d+)", 1))
     empty = F.array().cast("array<string>")
-    return out.withColumns({"project_key": project, "commands_seen": F.coalesce("commands_seen", empty)}), found.withColumn("project_key", project)
+    own = spread(stored(out.withColumns({"project_key": project, "commands_seen": F.coalesce("commands_seen", empty)}), "turns"))
+    return own, found.withColumn("project_key", project)
 
 
 @query()

@@ -8,7 +8,8 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import functions as F
 
-from loomline.plans import catalog
+from loomline.plans import catalog, sessions
+from loomline.plans.registry import Tables
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -131,3 +132,10 @@ def test_classifier_learns_from_every_labelled_row(spark, monkeypatch):
     assert np.allclose(ranking.centre, qc.expanded(x).mean(axis=0))
     strengths = np.sort(ranking.strengths(x))
     assert np.isclose(ranking.threshold, strengths[sum(i % 3 == 0 for i in used)])
+
+
+def test_turns_and_events_of_sessions_are_made_once(spark):
+    """Every rule reads stored rows, not the whole way from the events again."""
+    own, found = sessions.session_turns(Tables(spark, "/root/testdata/sf0.001"))
+    assert own.count() > 0 and found.count() > 0
+    assert not [f for frame in (own, found) for f in frame.inputFiles() if f.endswith("events.parquet")]

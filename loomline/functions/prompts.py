@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomline.functions.text import contains_one, filled, guarded, let, listed, matches, matches_any, rule, shortened, squeezed, text_lines, trimmed
+from loomline.functions.text import contains_one, filled, let, listed, matches, matches_any, rule, shortened, squeezed, text_lines, trimmed
 
 # Tags whose blocks are wrappers, and the patterns of lines and prompts without a signal.
 WRAPPER_TAGS = [
@@ -68,14 +68,6 @@ EMBEDDED_AGENT = [
     r"\byou (?:must|should) (?:respond|reply|output|return) (?:only )?(?:with|in|using) (?:valid )?json\b",
     r"^(?:respond|reply|output|return|answer)\b[^.]{0,40}?\b(?:only )?(?:with|in|using|as) (?:valid |raw )?json\b",
 ]
-#: Parts in lower case of which every match of a pattern has one, for patterns that start at no fixed place.
-NEEDED = {
-    r"\bBase directory for this skill\b": ["base directory"],
-    r"/SKILL\.md\b": ["/skill.md"],
-    r"\byour (?:task|role|job) is to\b": ["your task", "your role", "your job"],
-    r"\bgiven the user'?s most recent message\b": ["recent message"],
-    r"\byou (?:must|should) (?:respond|reply|output|return) (?:only )?(?:with|in|using) (?:valid )?json\b": ["json"],
-}
 #: Words of which every program's prompt has one, whatever wrappers are around and within it.
 AGENT_WORDS = ["you", "json", "recent"]
 WORK_WORDS = r"\b(?:fix|implement|refactor|debug|error|failing|tests?|build|commit|prs?|pull requests?|merge|review)\b"
@@ -90,6 +82,9 @@ WRAPPED = r"<(?:attached_files|code_selection|plugin_info|skill)\b"
 MISSING_STATEMENTS = ["", "Rejected learning", "__missing_statement__"]
 RAW_PREFIX = r"^(?:completed|fixed done|yes[—-]|you(?:'|’)re right|now fix|here is|here(?:'|’)s|summary)"
 TRANSIENT = r"\b(?:continue investigating|investigating remaining|line \d+|l\d+ fixed|tests? pass|coverage|verified with `?\./scripts/qa`?)\b"
+FRAMED = r"\A\s*(?:Verified:|Done\s*[-—]|Good\s*[-—]|Summary of changes:|Summary of what changed:|\*\*Verdict:\*\*|Verdict:)"
+#: What a statement has of which anything is taken off.
+MARKED = rf"(?mi)```|[|#*_\[]|^\s*[-+]\s|{FRAMED}"
 MARKDOWN_LEFT = r"(?m)\*\*|^#+\s|\|\s*-{2,}\s*\|"
 
 
@@ -97,11 +92,6 @@ def _erased(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, rule(pattern), " ")
 
 
-def _any(c: Column, patterns: list[str]) -> Column:
-    """``matches_any`` with the patterns of ``NEEDED`` looked for only where their parts are."""
-    return reduce(lambda a, b: a | b, [guarded(c, F.lower(c), p, NEEDED.get(p, ())) for p in patterns])
-
-
 def without_tags(c: Column) -> Column:
     return _erased(c, ANY_TAG)
 
@@ -120,20 +110,22 @@ def cleaned_prompt(c: Column) -> Column:
         return without_tags(x)
 
     # Every wrapper and tag has a "<".
-    t = let(F.translate(c, "\r", "\n"), lambda x: F.when(F.contains(x, F.lit("<")), unwrapped(x)).otherwise(files_erased(x)))
-    return trimmed(F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
+    plain = let(c, lambda x: F.when(F.contains(x, F.lit("\r")), F.translate(x, "\r", "\n")).otherwise(x))
+    t = let(plain, lambda x: F.when(F.contains(x, F.lit("<")), unwrapped(x)).otherwise(files_erased(x)))
+    spaced = let(t, lambda x: F.when(F.contains(x, F.lit("\n")), F.regexp_replace(F.regexp_replace(x, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")).otherwise(x))
+    return trimmed(spaced)
 
 
 def skill_line(line: Column) -> Column:
-    return _any(line, SKILL_LINES)
+    return matches_any(line, SKILL_LINES)
 
 
 def boot_line(line: Column) -> Column:
-    return (F.length(line) == 0) | matches_any(line, BOOT_LINES) | skill_line(line)
+    return (F.length(line) == 0) | matches_any(line, BOOT_LINES + SKILL_LINES)
 
 
 def skill_leak(line: Column) -> Column:
-    return _any(line, SKILL_LEAKS) | skill_line(line)
+    return matches_any(line, SKILL_LEAKS + SKILL_LINES)
 
 
 def substantive(c: Column) -> Column:
@@ -148,7 +140,7 @@ def without_leaks(c: Column) -> Column:
 
 def embedded_agent(c: Column) -> Column:
     """Whether a prompt is another program's system prompt."""
-    found = let(squeezed(substantive(c)), lambda t: _any(t, EMBEDDED_AGENT))
+    found = let(squeezed(substantive(c)), lambda t: matches_any(t, EMBEDDED_AGENT))
     return F.coalesce(contains_one(F.lower(c), AGENT_WORDS) & found, F.lit(False))
 
 
@@ -161,7 +153,7 @@ def no_signal_line(line: Column) -> Column:
         & line.rlike(r"(?i)^[\w\s'?,!.+-]+\z")
         & (matches_any(line, NO_SIGNAL) | (F.length(line) <= 24))
     )
-    return small | _any(line, EMBEDDED_AGENT) | matches_any(line, NO_SIGNAL)
+    return small | matches_any(line, EMBEDDED_AGENT) | matches_any(line, NO_SIGNAL)
 
 
 def no_signal(c: Column) -> Column:
@@ -178,7 +170,7 @@ def chatter_line(line: Column) -> Column:
 
 
 def has_chatter(c: Column) -> Column:
-    return F.exists(F.split(c, r"\r?\n"), chatter_line)
+    return F.exists(F.split(c, "\n"), chatter_line)
 
 
 def completed(c: Column) -> Column:
@@ -212,6 +204,11 @@ def cleaned_statement(c: Column, keep_lines: bool = False) -> Column:
 
     A table cuts the text at its first separator row, or at the row or heading just before it.
     """
+    t = let(c, lambda x: F.when(x.rlike(MARKED), _unmarked(x)).otherwise(x))
+    return trimmed(F.regexp_replace(t, r"[ \t]+", " ")) if keep_lines else squeezed(t)
+
+
+def _unmarked(c: Column) -> Column:
     t = F.regexp_replace(c, r"(?m)^```[\s\S]*?^```", " ")
     t = F.regexp_replace(t, r"(?m)^```[\s\S]*\z", " ")
     heading = r"(?:^#{1,6}\s+[^\n]*\n(?:\s*\n){0,3})?"
@@ -225,8 +222,7 @@ def cleaned_statement(c: Column, keep_lines: bool = False) -> Column:
     t = F.regexp_replace(t, r"(?<!\w)_([^\n\s][^\n]*?)_(?!\w)", " $1 ")
     t = F.regexp_replace(t, r"\[([^\]]+)\]\([^)]+\)", "$1")
     t = F.regexp_replace(t, r"(?m)^\s*[-*+]\s+", " ")
-    t = F.regexp_replace(t, r"(?i)\A\s*(?:Verified:|Done\s*[-—]|Good\s*[-—]|Summary of changes:|Summary of what changed:|\*\*Verdict:\*\*|Verdict:)\s*", " ")
-    return trimmed(F.regexp_replace(t, r"[ \t]+", " ")) if keep_lines else squeezed(t)
+    return F.regexp_replace(t, rf"(?i){FRAMED}\s*", " ")
 
 
 def cleaned_title(title: Column, statement: Column, size: int) -> Column:

@@ -88,7 +88,7 @@ def contains_any(c: Column, words: list[str]) -> Column:
 
 def narration(c: Column) -> Column:
     """Whether a text tells what is being done rather than what came of it."""
-    return has_chatter(c) | reduce(lambda a, b: a | b, [matches(trimmed(c), p) for p in NARRATION])
+    return has_chatter(c) | matches_any(trimmed(c), NARRATION)
 
 
 def process_text(c: Column) -> Column:

@@ -7,8 +7,9 @@ very end of the text. Java's regular expressions differ in all three, so pattern
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _WORD = "A-Za-z0-9_"
 EDGE = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+#: The characters of ``SPACE``.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def rule(pattern: str, ignore_case: bool = True) -> str:
@@ -27,12 +30,64 @@ def rule(pattern: str, ignore_case: bool = True) -> str:
     return f"(?i){java}" if ignore_case else java
 
 
+def _needed(parsed) -> list[str] | None:
+    """Of a parsed pattern, texts of which every match has one; None if it has no such texts."""
+    choices, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if str(op) == "LITERAL":
+            run += chr(arg)
+            continue
+        if run:
+            choices.append([run])
+        run, inner = "", None
+        if str(op) == "SUBPATTERN":
+            inner = _needed(arg[-1])
+        elif str(op) == "BRANCH":
+            parts = [_needed(part) for part in arg[1]]
+            inner = None if None in parts else [t for part in parts for t in part]
+        elif str(op) == "MAX_REPEAT" and arg[0] > 0:
+            inner = _needed(arg[2])
+        if inner:
+            choices.append(inner)
+    return max(choices, key=lambda texts: (min(map(len, texts)), -len(texts)), default=None)
+
+
+@cache
+def fixed_parts(pattern: str) -> tuple[str, ...]:
+    """Texts in lower case of which every match of a rule has one; none where a rule has none, or has to begin at the text's start."""
+    try:
+        parsed = re._parser.parse(pattern)
+    except (re.error, AttributeError):  # Java's own syntax
+        return ()
+    found = None if list(parsed[:1]) == [(re._constants.AT, re._constants.AT_BEGINNING)] else _needed(parsed)
+    return tuple(sorted({t.lower() for t in found})) if found and len(found) <= 24 and min(map(len, found)) > 1 else ()
+
+
+@cache
+def anchored(pattern: str) -> bool:
+    """Whether a rule as a whole has to match at the text's start."""
+    return pattern.startswith("^") and bool(re.fullmatch(r"(?:[^|()\\\[]|\\.|\[[^\]]*\]|\((?:[^()\\\[]|\\.|\[[^\]]*\]|\((?:[^()\\\[]|\\.|\[[^\]]*\])*\))*\))*", pattern))
+
+
 def matches(c: Column, pattern: str, ignore_case: bool = True) -> Column:
-    return c.rlike(rule(pattern, ignore_case))
+    """Whether a rule is found; looked for only where one of its fixed parts is."""
+    parts = fixed_parts(pattern)
+    found = rule(pattern, ignore_case)
+    return let(c, lambda t: let(F.lower(t), lambda low: contains_one(low, parts)) & t.rlike(found)) if parts else c.rlike(found)
 
 
 def matches_any(c: Column, patterns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [matches(c, p) for p in patterns])
+    """Whether one of the rules is found: those at the text's start as one pattern, the others where their fixed parts are."""
+    first = [rule(p)[len("(?i)^"):] for p in patterns if anchored(p)]
+    inside = [p for p in patterns if not anchored(p)]
+
+    def found(t: Column) -> Column:
+        parts = [let(F.lower(t), lambda low: reduce(lambda a, b: a | b, [guarded(t, low, p, fixed_parts(p)) for p in inside]))] if inside else []
+        if first:
+            parts.insert(0, t.rlike(f"(?i)^(?:{'|'.join(f'(?:{p})' for p in first)})"))
+        return reduce(lambda a, b: a | b, parts)
+
+    return let(c, found)
 
 
 def contains_one(c: Column, parts: Sequence[str]) -> Column:
@@ -44,14 +99,15 @@ def guarded(c: Column, lower: Column, pattern: str, needed: Sequence[str]) -> Co
 
     A search for fixed parts is many times cheaper than a pattern with look-arounds.
     """
-    return contains_one(lower, needed) & matches(c, pattern) if needed else matches(c, pattern)
+    found = c.rlike(rule(pattern))
+    return contains_one(lower, needed) & found if needed else found
 
 
 def first_rule(c: Column, patterns: Sequence[str], lower: Column | None = None, needed: dict[str, Sequence[str]] | None = None) -> Column:
     """Number (from 0) of the first pattern found in ``c``; null if none is. ``needed`` gives parts for ``guarded``."""
     found = F.when(F.lit(False), F.lit(0))
     for i, p in enumerate(patterns):
-        found = found.when(matches(c, p) if lower is None else guarded(c, lower, p, (needed or {}).get(p, ())), F.lit(i))
+        found = found.when(c.rlike(rule(p)) if lower is None else guarded(c, lower, p, (needed or {}).get(p, ())), F.lit(i))
     return found
 
 
@@ -65,7 +121,7 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def filled(c: Column) -> Column:
@@ -74,8 +130,12 @@ def filled(c: Column) -> Column:
 
 
 def squeezed(c: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    """Runs of white space as one space, none at the ends; printable ASCII without two spaces in a row has nothing to replace."""
+
+    def squeeze(t: Column) -> Column:
+        return F.trim(F.when(F.contains(t, F.lit("  ")) | t.rlike("[^ -~]"), F.regexp_replace(t, f"{SPACE}+", " ")).otherwise(t))
+
+    return let(c, squeeze)
 
 
 def shortened(c: Column, size: int, trim_cut: bool = True) -> Column:
@@ -90,7 +150,12 @@ def shortened(c: Column, size: int, trim_cut: bool = True) -> Column:
 
 def compacted(c: Column) -> Column:
     """Blanks and tabs squeezed, at most one empty line in a row, ends trimmed."""
-    return trimmed(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+    def compact(t: Column) -> Column:
+        blanks = F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")) | F.contains(t, F.lit("\n\n\n"))
+        return F.when(blanks, F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")).otherwise(t)
+
+    return trimmed(let(c, compact))
 
 
 def head_excerpt(c: Column, size: int) -> Column:
@@ -143,7 +208,7 @@ def head_and_tail(c: Column, size: int) -> Column:
 
 def text_lines(c: Column) -> Column:
     """Trimmed lines that are not empty."""
-    return F.filter(F.transform(F.split(c, r"\n+"), trimmed), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(c, "\n"), trimmed), lambda x: F.length(x) > 0)
 
 
 def capped_bytes(c: Column, size: int = 512) -> Column:

@@ -15,7 +15,7 @@ from loomline.functions import statements as st
 from loomline.functions.prompts import atomic, cleaned_prompt, cleaned_statement, cleaned_title, no_signal, skill_leak, substantive, without_leaks
 from loomline.functions.text import capped_bytes, let, matches, matches_any, rule, shortened, squeezed
 from loomline.operators.commands import COMMAND_LINE, TICKED, all_of
-from loomline.sources.scratch import stored
+from loomline.sources.scratch import once_each, stored
 
 # Fixed values.
 USEFUL_CHECK = [
@@ -73,32 +73,61 @@ def _candidate(kind: str, basis: str, statement: Column, title: Column, evidence
     )
 
 
-def _signature_trigger(summary: Column) -> Column:
-    return F.concat(F.lit("When "), st.error_signature(summary), F.lit(" recurs in "), F.col("project_key"), F.lit("."))
+def _signature_trigger(signature: Column) -> Column:
+    return F.concat(F.lit("When "), signature, F.lit(" recurs in "), F.col("project_key"), F.lit("."))
+
+
+def said_in(name: Column, summary: Column) -> dict[str, Column]:
+    """What the rules read in an event's summary, by its type, as columns that start with an underscore."""
+    tidy = F.when(name == "fix", st.fix_statement(summary))
+    useful = F.when(name == "verification", useful_check(summary))
+    tried = st.tried_approach(summary)
+    avoided = F.when(tried.isNotNull(), F.struct(F.lit(True).alias("tried"), st.lower_first(tried).alias("what"))).otherwise(F.struct(F.lit(False).alias("tried"), shortened(st.without_stop(summary), 100).alias("what")))
+    return {
+        "_solid": ~st.narration(summary),
+        "_leak": skill_leak(summary),
+        "_calm": ~st.process_text(summary),
+        "_passing": F.when(name.isin("decision", "failure"), st.passing_summary(summary)),
+        "_decided": F.when((name == "decision") & ~st.explanation(summary), st.without_elision(without_leaks(summary))),
+        "_concrete": F.when(name == "failure", matches(summary, CONCRETE_FAILURE)),
+        "_failed": F.when((name == "failure") & ~st.completion_not_failure(summary), st.without_elision(summary)),
+        "_signature": F.when(name == "failure", st.error_signature(summary)),
+        "_useful": useful,
+        "_ticked": F.when(useful, command_in(summary)),
+        "_avoided": F.when(matches(summary, st.DEAD_END), avoided),
+        "_told": F.when(useful & matches(summary, r"\b(?:the\s+)?fix\s+is\s+to\b"), F.struct(st.lower_first(F.nullif(st.without_stop(F.regexp_extract(summary, rule(FIX_IS_TO), 1)), F.lit(""))).alias("action"))),
+        "_fix": let(tidy, lambda t: F.when(t.isNotNull(), F.struct(F.when(st.past_tense(t), "").otherwise("Fixed ").alias("verb"), st.lower_first(t).alias("text"), st.narration(st.lower_first(t)).alias("told")))),
+        "_short": F.when(name == "fix", st.compressed(summary)),
+        "_block": F.when(name == "fix", st.completion_block(summary)),
+        "_resolution": F.when(name.isin("fix", "verification", "failure"), st.resolution(summary)),
+    }
+
+
+def with_said(events: DataFrame) -> DataFrame:
+    """``events`` with the columns of ``said_in``; those that have them stay as they are."""
+    return events if "_solid" in events.columns else events.withColumns(said_in(F.col("type"), F.col("summary")))
 
 
 def of_events(events: DataFrame) -> DataFrame:
     """Candidates of single events (columns of ``events.tagged`` and project_key), outside turns with a verified fix."""
+    events = with_said(events)
     summary, name = F.col("summary"), F.col("type")
     turn = Window.partitionBy("turn_id")
-    solid = ~st.narration(summary)
-    fixed = F.bool_or((name == "fix") & solid).over(turn) & F.bool_or((name == "verification") & useful_check(summary)).over(turn)
-    rows = events.withColumn("_fixed", fixed).where(~F.col("_fixed") & ~skill_leak(summary) & solid)
-    calm = ~st.process_text(summary)
-    rows = rows.withColumn("_decided", st.without_elision(without_leaks(summary))).withColumn("_passing", st.passing_summary(summary))
+    fixed = F.bool_or((name == "fix") & F.col("_solid")).over(turn) & F.bool_or((name == "verification") & F.col("_useful")).over(turn)
+    rows = events.withColumn("_fixed", fixed).where(~F.col("_fixed") & ~F.col("_leak") & F.col("_solid"))
+    calm, passing, project = F.col("_calm"), F.col("_passing"), F.col("project_key")
     decided = F.col("_decided")
-    decision = F.when((name == "decision") & calm & ~F.col("_passing") & ~st.explanation(summary) & (F.length(decided) > 0), _candidate("decision", "decision", decided, F.concat(F.lit("Decision: "), shortened(decided, 72)), F.array(decided), F.col("confidence")))
-    failing = (name == "failure") & calm & ~F.col("_passing") & matches(summary, CONCRETE_FAILURE) & ~st.completion_not_failure(summary)
-    said = st.without_elision(summary)
-    failure = F.when(failing, _candidate("failure_mode", "failure", said, F.concat(F.lit("Failure mode: "), shortened(said, 68)), F.array(summary), F.col("confidence"), _signature_trigger(summary)))
-    command = F.coalesce("verification_command", F.when(useful_check(summary), command_in(summary)))
-    rule = F.concat(F.lit("Run "), command, F.lit(" when verifying changes in "), F.col("project_key"), F.lit("."))
+    decision = F.when((name == "decision") & calm & ~passing & (F.length(decided) > 0), _candidate("decision", "decision", decided, F.concat(F.lit("Decision: "), shortened(decided, 72)), F.array(decided), F.col("confidence")))
+    said = F.col("_failed")
+    failing = (name == "failure") & calm & ~passing & F.col("_concrete") & said.isNotNull()
+    failure = F.when(failing, _candidate("failure_mode", "failure", said, F.concat(F.lit("Failure mode: "), shortened(said, 68)), F.array(summary), F.col("confidence"), _signature_trigger(F.col("_signature"))))
+    command = F.coalesce("verification_command", "_ticked")
+    rule = F.concat(F.lit("Run "), command, F.lit(" when verifying changes in "), project, F.lit("."))
     check = F.when((name == "verification") & calm & command.isNotNull(), _candidate("verification_rule", "verification", rule, F.concat(F.lit("Verification: "), command), F.array(summary), F.col("confidence")))
-    tried = st.tried_approach(summary)
-    avoid = F.when(tried.isNotNull(), F.concat(F.lit("Avoid "), st.lower_first(tried), F.lit(" in "), F.col("project_key"), F.lit(" (tried and abandoned)."))).otherwise(
-        F.concat(F.lit("In "), F.col("project_key"), F.lit(", avoid the approach that was abandoned: "), shortened(st.without_stop(summary), 100), F.lit("."))
+    avoid = F.when(F.col("_avoided.tried"), F.concat(F.lit("Avoid "), F.col("_avoided.what"), F.lit(" in "), project, F.lit(" (tried and abandoned)."))).otherwise(
+        F.concat(F.lit("In "), project, F.lit(", avoid the approach that was abandoned: "), F.col("_avoided.what"), F.lit("."))
     )
-    dead = F.when(matches(summary, st.DEAD_END), _candidate("dead_end", "dead-end", avoid, F.concat(F.lit("Dead end: "), shortened(avoid, 60)), F.array(summary), F.lit("medium")))
+    dead = F.when(F.col("_avoided").isNotNull(), _candidate("dead_end", "dead-end", avoid, F.concat(F.lit("Dead end: "), shortened(avoid, 60)), F.array(summary), F.lit("medium")))
     found = rows.withColumn("c", F.explode(F.array_compact(F.array(decision, failure, check, dead))))
     name_of = F.concat("session_id", F.lit(":project:"), F.col("c.basis"), F.lit(":"), F.col("event_id"))
     return found.select("session_id", "project_key", "turn_id", "line", name_of.alias("learning_id"), "c.*").select(*COLUMNS)
@@ -111,37 +140,38 @@ def of_turns(turns: DataFrame, events: DataFrame) -> DataFrame:
 
     ``turns`` has turn_id, session_id, project_key, turn_index, commands_seen, files_touched.
     """
-    summary, name = F.col("summary"), F.col("type")
-    one = F.struct("line", "summary", "verification_command")
-    solid = ~st.narration(summary)
-    sums = events.groupBy("turn_id").agg(
-        F.min(F.when((name == "fix") & solid, one)).alias("fix"),
-        F.min(F.when((name == "verification") & useful_check(summary), one)).alias("check"),
-        F.min(F.when((name == "verification") & useful_check(summary) & matches(summary, r"\b(?:the\s+)?fix\s+is\s+to\b"), one)).alias("told"),
-        F.array_sort(F.collect_list(F.when((name == "failure") & matches(summary, CONCRETE_FAILURE) & solid, one))).alias("failures"),
+    name, useful, solid = F.col("type"), F.col("_useful"), F.col("_solid")
+
+    def one(*more: str) -> Column:
+        return F.struct("line", "summary", "verification_command", *more)
+
+    sums = with_said(events).groupBy("turn_id").agg(
+        F.min(F.when((name == "fix") & solid, one("_fix", "_short", "_block", "_resolution"))).alias("fix"),
+        F.min(F.when((name == "verification") & useful, one("_ticked", "_resolution"))).alias("check"),
+        F.min(F.when((name == "verification") & F.col("_told").isNotNull(), one("_told"))).alias("told"),
+        F.array_sort(F.collect_list(F.when((name == "failure") & F.col("_concrete") & solid, one("_resolution", "_signature")))).alias("failures"),
     )
-    rows = turns.join(sums, "turn_id").withColumns({"_fix": st.fix_statement(F.col("fix.summary")), "_short": st.compressed(F.col("fix.summary")), "_answer": st.resolution(F.coalesce("fix.summary", "check.summary"))})
-    fix, check = F.col("fix.summary"), F.col("check.summary")
-    command = F.coalesce(F.get("commands_seen", F.lit(0)), F.col("check.verification_command"), command_in(check))
+    rows = turns.join(sums, "turn_id")
+    fix, check, tidy, short = F.col("fix.summary"), F.col("check.summary"), F.col("fix._fix"), F.col("fix._short")
+    # The first command in ticks stands in a useful verification only, as ``check`` is.
+    command = F.coalesce(F.get("commands_seen", F.lit(0)), F.col("check.verification_command"), F.col("check._ticked"))
     with_command = F.coalesce(F.concat(F.lit(" with "), st.in_ticks(command)), F.lit(""))
     sure = F.when(command.isNotNull(), "high").otherwise("medium")
-    tidy = F.col("_fix")
-    short = F.col("_short")
     there = F.concat(F.lit("In "), short.file, F.lit(", "), short.action)
-    done = F.concat(F.coalesce(there, F.concat(F.when(st.past_tense(tidy), "").otherwise("Fixed "), st.lower_first(tidy))), F.lit("; verified"), with_command, F.lit("."))
+    done = F.concat(F.coalesce(there, F.concat(tidy.verb, tidy.text)), F.lit("; verified"), with_command, F.lit("."))
     both = F.col("fix").isNotNull() & F.col("check").isNotNull()
     verified = F.when(both, _candidate("workflow", "verified-fix", done, F.concat(F.lit("Verified fix: "), shortened(done, 60)), F.array_distinct(F.array(fix, check)), sure))
     file = st.repo_path(F.get("files_touched", F.lit(0)))
-    scoped = F.concat(F.coalesce(there, F.when(~st.narration(st.lower_first(tidy)), F.concat(F.lit("In "), file, F.lit(", "), st.lower_first(tidy)))), F.lit("."))
-    pattern = F.when(~both & F.col("fix").isNotNull() & file.isNotNull() & ~st.completion_block(fix) & scoped.isNotNull(), _candidate("pattern", "file-scoped", scoped, F.concat(F.lit("File update: "), shortened(scoped, 60)), F.array(fix, file), F.lit("medium")))
-    action = F.nullif(st.without_stop(F.regexp_extract(F.col("told.summary"), rule(FIX_IS_TO), 1)), F.lit(""))
-    only = F.concat(F.lit("In "), file, F.lit(", "), st.lower_first(action), F.lit("; verified."))
+    scoped = F.concat(F.coalesce(there, F.when(~tidy.told, F.concat(F.lit("In "), file, F.lit(", "), tidy.text))), F.lit("."))
+    pattern = F.when(~both & F.col("fix").isNotNull() & file.isNotNull() & ~F.col("fix._block") & scoped.isNotNull(), _candidate("pattern", "file-scoped", scoped, F.concat(F.lit("File update: "), shortened(scoped, 60)), F.array(fix, file), F.lit("medium")))
+    only = F.concat(F.lit("In "), file, F.lit(", "), F.col("told._told.action"), F.lit("; verified."))
     told = F.when(fix.isNull() & only.isNotNull(), _candidate("workflow", "verification-only-fix", only, F.concat(F.lit("Verified fix: "), shortened(only, 60)), F.array(F.col("told.summary"), file), F.lit("medium")))
     answer = F.coalesce(fix, check)
+    resolution = F.when(fix.isNotNull(), F.col("fix._resolution")).otherwise(F.col("check._resolution"))
 
     def resolved(f: Column) -> Column:
-        text = F.concat(F.lit("Resolved "), st.resolution(f.summary), F.lit(" by "), st.lower_first(F.col("_answer")), F.lit("."))
-        return _candidate("failure_mode", "error-resolution", text, F.concat(F.lit("Error resolution: "), shortened(text, 60)), F.array_distinct(F.array(f.summary, answer)), sure, _signature_trigger(f.summary))
+        text = F.concat(F.lit("Resolved "), f["_resolution"], F.lit(" by "), st.lower_first(resolution), F.lit("."))
+        return _candidate("failure_mode", "error-resolution", text, F.concat(F.lit("Error resolution: "), shortened(text, 60)), F.array_distinct(F.array(f.summary, answer)), sure, _signature_trigger(f["_signature"]))
 
     fixes = F.when(~both & answer.isNotNull(), F.transform("failures", resolved))
     parts = F.concat(F.array_compact(F.array(verified, told, pattern)), F.coalesce(fixes, F.array().cast(f"array<{_TYPE}>")))
@@ -190,15 +220,25 @@ def fork_command(commands: Column, prompt: Column) -> Column:
     return F.when(asked, F.coalesce(added, _first(commands, lambda x: x.rlike("(?i)git fetch upstream"))))
 
 
+def asked_in(prompt: Column) -> dict[str, Column]:
+    """What the rules read in a user's prompt, as columns that start with an underscore."""
+    asked = F.coalesce(F.nullif(cleaned_prompt(prompt), F.lit("")), prompt)
+    fit = let(asked, lambda t: ~skill_leak(t) & ~no_signal(t) & ~st.narration(t) & ~matches_any(t, INSTRUCTION))
+    return {"_asked": asked, "_line": F.coalesce(F.nullif(F.trim(F.substring_index(substantive(prompt), "\n", 1)), F.lit("")), F.lit(NO_TASK)), "_concrete": matches(asked, CONCRETE_TASK), "_fit": fit, "_target": workflow_target(asked)}
+
+
+def with_asked(turns: DataFrame) -> DataFrame:
+    """``turns`` with the columns of ``asked_in``; those that have them stay as they are."""
+    return turns if "_asked" in turns.columns else turns.withColumns(asked_in(F.col("user_prompt")))
+
+
 def of_prompts(turns: DataFrame) -> DataFrame:
     """Candidates of what prompts ask for: workflow, pull-request, fork, crash and specification lessons.
 
     ``turns``: turn_id, session_id, project_key, turn_index, first_line, user_prompt, commands_seen, files_touched.
     """
     commands, project = F.col("commands_seen"), F.col("project_key")
-    cleaned = cleaned_prompt(F.col("user_prompt"))
-    rows = turns.withColumn("_asked", F.coalesce(F.nullif(cleaned, F.lit("")), F.col("user_prompt")))
-    rows = rows.withColumn("_line", F.coalesce(F.nullif(F.trim(F.substring_index(substantive(F.col("user_prompt")), "\n", 1)), F.lit("")), F.lit("this project")))
+    rows = with_asked(turns)
     asked, line = F.col("_asked"), F.col("_line")
 
     def said(kind: str, basis: str, title: str, command: Column, statement: Column, evidence: Column) -> Column:
@@ -222,7 +262,7 @@ def of_prompts(turns: DataFrame) -> DataFrame:
     spec = F.when((F.length(topic) > 0) & ~skill_leak(topic) & ~skill_leak(spec), spec)
     parts = F.array_compact(
         F.array(
-            said("workflow", "workflow", "Workflow", flow, use(flow, F.concat(F.lit(" for "), workflow_target(asked))), F.array(line, flow)),
+            said("workflow", "workflow", "Workflow", flow, use(flow, F.concat(F.lit(" for "), F.col("_target"))), F.array(line, flow)),
             said("workflow", "pr-review", "PR review", review, use(review, F.lit(" for PR review")), F.array(line, review)),
             said("workflow", "fork-sync", "Fork sync", fork, use(fork, F.lit(" to maintain private fork with upstream")), F.array(line, fork)),
             said("failure_mode", "crash", "Crash", crash, crash, F.array(tried, log, line)),
@@ -238,20 +278,10 @@ def of_fallback(turns: DataFrame, others: DataFrame) -> DataFrame:
     """Candidates of sessions of which ``others`` has no workflow: commands and files that a concrete prompt's turn used."""
     none = turns.join(others.where("kind = 'workflow'").select("session_id").distinct(), "session_id", "left_anti")
     asked, project, commands = F.col("_asked"), F.col("project_key"), F.col("commands_seen")
-    rows = none.withColumn("_asked", F.coalesce(F.nullif(cleaned_prompt(F.col("user_prompt")), F.lit("")), F.col("user_prompt")))
-    line = F.coalesce(F.nullif(F.trim(F.substring_index(substantive(F.col("user_prompt")), "\n", 1)), F.lit("")), F.lit(NO_TASK))
+    rows = with_asked(none)
     own = _first(commands, lambda x: matches_any(x, LOCAL_COMMAND))
-    concrete = matches(asked, CONCRETE_TASK)
-    rows = rows.withColumns(
-        {
-            "_line": line,
-            "_file": st.repo_path(F.get("files_touched", F.lit(0))),
-            "_command": F.coalesce(own, workflow_command(commands, asked)),
-            "_concrete": concrete,
-            "_fit": ~skill_leak(asked) & ~no_signal(asked) & ~st.narration(asked) & ~matches_any(asked, INSTRUCTION),
-        }
-    )
-    rows = rows.withColumn("_task", F.when(F.col("_concrete"), F.col("_line")).otherwise(workflow_target(asked)))
+    rows = rows.withColumns({"_file": st.repo_path(F.get("files_touched", F.lit(0))), "_command": F.coalesce(own, workflow_command(commands, asked))})
+    rows = rows.withColumn("_task", F.when(F.col("_concrete"), F.col("_line")).otherwise(F.col("_target")))
     file, command, task = F.col("_file"), F.col("_command"), F.col("_task")
     use = F.concat(F.lit("Use "), st.in_ticks(command), F.coalesce(F.concat(F.lit(" when working on "), file), F.concat(F.lit(" for "), task)), F.lit(" in "), project, F.lit("."))
     inspect = F.when(F.col("_concrete"), F.concat(F.lit("When working on "), task, F.lit(", inspect "), file, F.lit(" in "), project, F.lit(".")))
@@ -267,15 +297,15 @@ def of_fallback(turns: DataFrame, others: DataFrame) -> DataFrame:
 def offered(turns: DataFrame, events: DataFrame) -> DataFrame:
     """All candidates of sessions: of events, of turns, of what prompts ask for, and the fallback where none of them is a workflow.
 
-    A prompt's workflow gives way to the turn's verified fix.
+    A prompt's workflow gives way to the turn's verified fix. Both tables are read several times and should be ``stored``.
     """
+    events = once_each(events, ["type", "summary"], with_said, "said")
+    turns = once_each(turns, ["user_prompt"], with_asked, "asked")
     told = of_turns(turns, events)
     fixed = told.where("basis = 'verified-fix'").select("turn_id", F.lit("workflow").alias("basis")).distinct()
     asked = of_prompts(turns).join(fixed, ["turn_id", "basis"], "left_anti").select(*COLUMNS)
     first = stored(of_events(events).unionByName(told).unionByName(asked), "offered")  # read twice; its rules make a large plan
-    # Most candidates lie in the files of few tasks; what is done with each takes long, so they are dealt out evenly.
-    even = first.repartition(max(first.rdd.getNumPartitions(), first.sparkSession.sparkContext.defaultParallelism))
-    return even.unionByName(of_fallback(turns, first))
+    return first.unionByName(of_fallback(turns, first))
 
 
 _TYPE = "struct<kind:string,basis:string,statement:string,title:string,trigger:string,evidence:array<string>,confidence:string>"
@@ -283,21 +313,27 @@ _TYPE = "struct<kind:string,basis:string,statement:string,title:string,trigger:s
 
 def finalized(candidates: DataFrame) -> DataFrame:
     """Candidates with tidy statements, titles and evidence; leaks, dumps and stories of several sentences go."""
+    kind, basis = F.col("kind"), F.col("basis")
+
     def tidy(t: Column) -> Column:
         flat = squeezed(t)
         sound = (F.length(t) > 0) & ~skill_leak(t) & ~st.raw_dump(t)
-        return F.when(sound, let(flat, lambda f: F.when(~f.rlike(r"(?i)^In\s*,") & ((F.col("basis") == "verified-fix") | atomic(f)) & ~st.narration(f), f)))
+        return F.when(sound, let(flat, lambda f: F.when(~f.rlike(r"(?i)^In\s*,") & ((basis == "verified-fix") | atomic(f)) & ~st.narration(f), f)))
+
+    def titled(said: Column) -> Column:
+        title = F.when(kind == "decision", cleaned_title(F.col("title"), said, 72)).otherwise(cleaned_title(F.col("title"), said, 60))
+        return let(title, lambda t: F.when((F.length(t) > 0) & st.durable(kind, said), F.struct(said.alias("statement"), t.alias("title"))))
 
     lines = let(cleaned_statement(without_leaks(F.col("statement")), keep_lines=True), tidy)
-    rows = candidates.withColumn("statement", shortened(lines, LONGEST)).where("statement is not null")
-    title = F.when(F.col("kind") == "decision", cleaned_title(F.col("title"), F.col("statement"), 72)).otherwise(cleaned_title(F.col("title"), F.col("statement"), 60))
+    made = let(shortened(lines, LONGEST), lambda said: F.when(said.isNotNull(), titled(said)))
     clean = F.filter(F.transform("evidence", lambda e: capped_bytes(without_leaks(e))), lambda e: (F.length(e) > 0) & ~skill_leak(e))
-    said = let(F.array_distinct(clean), lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(capped_bytes(F.col("statement")))))
-    rows = rows.withColumns({"title": title, "evidence": said})
-    kind = F.when(F.col("basis").isin(VERIFIED), "verified").otherwise("inferred")
-    # As one value: a filter is pushed to where the statement is made, and would write that out at every use.
-    lasting = let(F.struct("kind", "statement"), lambda x: st.durable(x.kind, x.statement))
-    return rows.where((F.length("title") > 0) & lasting).withColumn("evidence_type", kind)
+    rows = stored(candidates, "offered")
+    rows = once_each(rows, ["kind", "basis", "statement", "title"], lambda v: v.withColumn("_made", made), "finalized").where("_made is not null")
+    rows = once_each(rows, ["evidence"], lambda v: v.withColumn("_clean", F.array_distinct(clean)), "evidence")
+    rows = rows.withColumns({"statement": F.col("_made.statement"), "title": F.col("_made.title")})
+    evidence = F.when(F.size("_clean") > 0, F.col("_clean")).otherwise(F.array(capped_bytes(F.col("statement"))))
+    verified = F.when(basis.isin(VERIFIED), "verified").otherwise("inferred")
+    return rows.withColumns({"evidence": evidence, "evidence_type": verified}).drop("_made", "_clean")
 
 
 def semantic_key(c: Column) -> Column:
@@ -359,11 +395,12 @@ def kept(candidates: DataFrame, cap: int | None = CAP) -> DataFrame:
 def preferences(turns: DataFrame) -> DataFrame:
     """Lasting preferences that a user states: lines that start with always, never or prefer and ask for no task."""
     line = F.trim(F.regexp_replace("line", r"\A[\s\-*]+", ""))
-    rows = turns.select("session_id", "turn_id", F.posexplode(F.split("user_prompt", r"\r?\n+")).alias("pos", "line")).withColumn("line", line)
+    rows = turns.select("user_prompt").distinct().select("user_prompt", F.posexplode(F.split("user_prompt", r"\r?\n+")).alias("pos", "line")).withColumn("line", line)
     task = matches(F.col("line"), r"\b(?:this task|this change|this session|this request)\b") | matches(
         F.col("line"), r"\b(?:add|change|create|edit|fix|implement|inspect|review|update)\b.*\b(?:branch|change|command|file|feature|PR|task|test)\b"
     )
     stated = matches(F.col("line"), r"^(?:please\s+)?(?:always|never|prefer(?:ably)?\b)")
     tidy = F.regexp_replace(F.regexp_replace(cleaned_statement(F.col("line")), r"\A\d+\s*[\].):-]\s*", ""), r"[.!?]+\z", "")
     out = rows.where((F.length("line") > 0) & (F.length("line") <= 180) & stated & ~task).withColumn("statement", F.concat(squeezed(tidy), F.lit(".")))
-    return out.where(F.length("statement") > 1)
+    said = turns.select("session_id", "turn_id", "user_prompt").join(out.where(F.length("statement") > 1), "user_prompt")
+    return said.select("session_id", "turn_id", "pos", "line", "statement")

@@ -63,10 +63,15 @@ def candidates(commands: Column, input_text: Column, text: Column) -> Column:
     return F.concat(own, F.array_compact(F.array(input_text)), F.transform(all_of(text, TICKED, 1), trimmed))
 
 
+def with_normal(records: DataFrame) -> DataFrame:
+    """``records`` (commands, input_text, text) with the normal commands of each as an array; those that have it stay as they are."""
+    offered = candidates(F.col("commands"), F.col("input_text"), F.col("text"))
+    return records if "_normal" in records.columns else records.withColumn("_normal", F.filter(F.transform(offered, normal), lambda x: x.isNotNull()))
+
+
 def by_turn(turns: DataFrame) -> DataFrame:
     """turn_id and commands_seen of grouped records: distinct normal commands in order of appearance."""
-    offered = candidates(F.col("commands"), F.col("input_text"), F.col("text"))
-    rows = turns.select("turn_id", "line", F.filter(F.transform(offered, normal), lambda x: x.isNotNull()).alias("c"))
+    rows = with_normal(turns).select("turn_id", "line", F.col("_normal").alias("c"))
     pairs = rows.where(F.size("c") > 0).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("line", "c"))).alias("p"))
     return pairs.select("turn_id", F.array_distinct(F.flatten(F.transform("p", lambda x: x.c))).alias("commands_seen"))
 

@@ -22,6 +22,7 @@ from loomline.functions.prompts import (
 from loomline.functions.statements import repo_path
 from loomline.functions.text import let, matches, matches_any, shortened, squeezed, text_lines
 from loomline.operators.commands import COMMAND
+from loomline.sources.scratch import once_each
 
 # Fixed values.
 HARNESS_TOPICS = [
@@ -84,15 +85,23 @@ def topics(turns: DataFrame) -> DataFrame:
     """
     prompt = substantive(F.col("user_prompt"))
     usable = prompt.isNotNull() & ~wrapper_only(F.col("user_prompt")) & ~no_signal(F.col("user_prompt"))
+    line = let(F.when(usable, topic_line(prompt)), lambda t: F.struct(F.when(~low_signal_topic(t), t).alias("good"), F.when(~matches_any(t, HARNESS_TOPICS), t).alias("any")))
+    rows = once_each(turns.select("session_id", "project_key", "turn_index", "user_prompt"), ["user_prompt"], lambda v: v.withColumn("_line", line), "topics")
+
+    def first(c: Column) -> Column:
+        return F.min_by(c, F.when(c.isNotNull(), F.col("turn_index")))
+
+    by = ["session_id", "project_key"]
+    asked = rows.groupBy(*by).agg(first(F.col("_line.good")).alias("a"), first(F.col("_line.any")).alias("b"))
+    # What the assistant said is looked at only in sessions whose prompts give no topic.
     sentence = summary_line(F.regexp_extract(squeezed(summary_line(F.col("assistant_summary"))), r"^(.*?[.!?])(?:\s|\z)|^(.*)$", 0))
-    line = F.when(usable, topic_line(prompt))
-    good_line = let(line, lambda t: F.when(~low_signal_topic(t), t))
-    last_resort = let(line, lambda t: F.when(~matches_any(t, HARNESS_TOPICS), t))
     good_said = let(sentence, lambda t: F.when(~low_signal_topic(t) & showable(t), shortened(t, TOPIC)))
-    rows = turns.select("session_id", "project_key", "turn_index", good_line.alias("_a"), last_resort.alias("_b"), good_said.alias("_c"))
-    sums = rows.groupBy("session_id", "project_key").agg(*(F.min_by(f"_{k}", F.when(F.col(f"_{k}").isNotNull(), F.col("turn_index"))).alias(k) for k in "abc"))
+    silent = asked.where("a is null and b is null").select(F.col("session_id").alias("_s")).distinct()
+    said = turns.select(*by, "turn_index", "assistant_summary").join(silent, F.col("session_id") == F.col("_s"), "left_semi").withColumn("_said", good_said)
+    told = said.groupBy(F.col("session_id").alias("_s"), F.col("project_key").alias("_p")).agg(first(F.col("_said")).alias("c"))
+    out = asked.join(told, (F.col("session_id") == F.col("_s")) & F.col("project_key").eqNullSafe(F.col("_p")), "left")
     default = F.concat(F.lit("Session summary for "), F.col("project_key"))
-    return sums.select("session_id", F.coalesce("a", "b", "c", default).alias("topic"), F.lit("deterministic").alias("topic_source"))
+    return out.select("session_id", F.coalesce("a", "b", "c", default).alias("topic"), F.lit("deterministic").alias("topic_source"))
 
 
 def _lines(events: DataFrame) -> DataFrame:
@@ -101,9 +110,9 @@ def _lines(events: DataFrame) -> DataFrame:
     positive = (F.col("type") == "verification") & matches(F.col("summary"), POSITIVE)
     field = F.when(F.col("type") == "failure", "what_failed").when(F.col("type") == "decision", "what_was_decided").when((F.col("type") == "fix") | positive, "what_worked")
     text = F.when(positive, F.concat(F.lit("Verified: "), said)).otherwise(said)
-    rows = events.withColumns({"field": field, "line": summary_line(text), "ord": F.struct("turn_index", F.col("line").alias("l"), "event_id")})
-    shown = let(F.col("line"), lambda t: F.when(showable(t), t))
-    return rows.where("field is not null").select("session_id", "field", "ord", shown.alias("line")).where("line is not null")
+    shown = F.when(field.isNotNull(), let(summary_line(text), lambda t: F.when(showable(t), t)))
+    rows = once_each(events, ["type", "summary"], lambda v: v.withColumns({"field": field, "_shown": shown}), "lines")
+    return rows.where("_shown is not null").select("session_id", "field", F.struct("turn_index", F.col("line").alias("l"), "event_id").alias("ord"), F.col("_shown").alias("line"))
 
 
 def outcomes(events: DataFrame) -> DataFrame:
@@ -134,7 +143,7 @@ def mentions(turns: DataFrame) -> DataFrame:
     sums = turns.groupBy("session_id").agg(in_turns.alias("t"))
     commands = F.array_distinct(F.flatten(F.transform("t", lambda x: x.commands_seen)))
     files = F.filter(F.array_distinct(F.flatten(F.transform("t", lambda x: x.f))), lambda x: x.isNotNull())
-    return sums.select("session_id", F.slice(F.transform(commands, summary_line), 1, MOST_LISTED).alias("useful_commands"), F.slice(files, 1, MOST_LISTED).alias("files_of_interest"))
+    return sums.select("session_id", F.transform(F.slice(commands, 1, MOST_LISTED), summary_line).alias("useful_commands"), F.slice(files, 1, MOST_LISTED).alias("files_of_interest"))
 
 
 def summaries(turns: DataFrame, events: DataFrame, learnings: DataFrame) -> DataFrame:

@@ -169,8 +169,9 @@ def f23_error_signature(t: Tables) -> DataFrame:
 def session_turns(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Canonical turns and events of the overlay, with a project for each user; stored, as every rule reads them again."""
     rows = spread(stored(overlaid(t), "grouped"))
-    found = spread(stored(events.tagged(rows), "events"))
-    rolled = turns.rolled_up(rows).join(commands.by_turn(rows), "turn_id", "left")
+    said = events.read_once(rows)
+    found = spread(stored(events.tagged(said), "events"))
+    rolled = turns.rolled_up(rows).join(commands.by_turn(said), "turn_id", "left")
     out = events.canonical_turns(rolled.drop("commands"), found, events.focused(rows, found))
     project = F.concat(F.lit("project-"), F.regexp_extract("session_id", r"^u(\d+)", 1))
     empty = F.array().cast("array<string>")

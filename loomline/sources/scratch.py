@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +77,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Up to this many bytes of distinct values, what was made of them is sent to every task.
+FEW_BYTES = 16 << 20
+
+
+def once_each(rows: DataFrame, keys: list[str], made_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``made_of(rows)`` where that adds columns that depend on ``keys`` alone: worked out once for each distinct value of these.
+
+    Sessions say the same things over and over, and rules on texts take far longer than finding
+    out which texts there are. ``rows`` is read twice and should be ``stored``.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    values = rows.select(*keys).distinct().repartition(tasks)
+    named = {k: f"_of_{k}" for k in keys}
+    made = stored(made_of(values).withColumnsRenamed(named), name)
+    size = made.agg(F.sum(reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in named.values()]))).first()[0] or 0
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(made[c]) for k, c in named.items()])
+    return rows.join(F.broadcast(made) if size <= FEW_BYTES else made, same, "left").drop(*named.values())
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a ``stored`` table that nothing reads any more."""
     path = getattr(df, "scratch_path", None)

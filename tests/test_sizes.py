@@ -139,3 +139,46 @@ def test_turns_and_events_of_sessions_are_made_once(spark):
     own, found = sessions.session_turns(Tables(spark, "/root/testdata/sf0.001"))
     assert own.count() > 0 and found.count() > 0
     assert not [f for frame in (own, found) for f in frame.inputFiles() if f.endswith("events.parquet")]
+
+
+def test_rules_of_candidates_run_once_for_each_text(spark):
+    """No rule stands in the plan over all rows: each distinct text was read once, before."""
+    from loomline.operators import candidates
+
+    rows = [("s", "p", "t", i, f"s:{i}", "decision", "decision", "We decided to use parquet" if i % 3 else None, "Decision: We decided", "", ["We decided to use parquet", "/SKILL.md"] if i % 2 else None, "high") for i in range(12)]
+    schema = "session_id string, project_key string, turn_id string, line int, learning_id string, kind string, basis string, statement string, title string, trigger string, evidence array<string>, confidence string"
+    made = candidates.finalized(spark.createDataFrame(rows, schema))
+    assert "Base directory" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.line, r.statement, tuple(r.evidence)) for r in made.collect()} == {(i, "We decided to use parquet", ("We decided to use parquet",)) for i in range(12) if i % 3}
+
+
+def test_columns_of_distinct_values_equal_those_of_rows(spark, monkeypatch):
+    """Nulls, arrays and repeats come back to every row, by a broadcast or not."""
+    from loomline.sources import scratch
+
+    rows = spark.createDataFrame([(i, [None, "a", "b", ""][i % 4], [["x"], None, []][i % 3]) for i in range(60)], "i int, t string, a array<string>")
+    expected = sorted((r.i, r.t, r.a, r.n) for r in rows.withColumn("n", F.concat_ws("-", "t", "a")).collect())
+    for few in (scratch.FEW_BYTES, -1):
+        monkeypatch.setattr(scratch, "FEW_BYTES", few)
+        seen = []
+        made = scratch.once_each(rows, ["t", "a"], lambda v: seen.append(v.count()) or v.withColumn("n", F.concat_ws("-", "t", "a")), "test")
+        assert seen == [12] and made.columns == ["i", "t", "a", "n"]
+        assert sorted(((r.i, r.t, r.a, r.n) for r in made.collect()), key=lambda r: r[0]) == expected
+
+
+def test_rules_look_for_fixed_parts_first(spark):
+    """A rule is looked for only where one of its fixed parts is, and is found in the same texts as before."""
+    from loomline.functions import prompts, statements, text
+    from loomline.operators import candidates
+
+    patterns = [*statements.NARRATION, *statements.DURABLE_DECISION, *candidates.INSTRUCTION, *prompts.BOOT_LINES, *prompts.NO_SIGNAL, statements.DEAD_END, statements.PAST, candidates.SPEC_WORDS, candidates.CONCRETE_TASK]
+    assert text.fixed_parts(r"\bfix(?:ed)?\b") == ("fix",) and text.fixed_parts(r"\b(?:one|two) x") == ("one", "two") and not text.fixed_parts(r"^once\b") and not text.fixed_parts(r"a?\z")
+    texts = ["LET ME", "xlet me", "I’ll checK this", "I'll checK this", "update ONLY", "update only this", "won’t work", "#  AGENTS.md", "hello!", "a\nhello!", "ok", "CREATE A big spec", "abandonedé", "use it, because", "İs canonical", "fixed", " fixed", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = F.col("t")
+    for p in patterns:
+        assert not rows.where(~text.matches(c, p).eqNullSafe(c.rlike(text.rule(p)))).collect(), p
+    some = rows.select(text.matches_any(c, patterns).alias("a"), F.greatest(*(c.rlike(text.rule(p)) for p in patterns)).alias("b"))
+    assert not some.where(~F.col("a").eqNullSafe(F.col("b"))).collect()
+    plan = rows.select(statements.narration(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan

@@ -28,14 +28,19 @@ def all_of(c: Column, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
 
 
+def _all_with(c: Column, part: str, pattern: str, group: int = 0) -> Column:
+    """``all_of`` where ``part``, which every match has in some case, is; else nothing."""
+    return F.when(F.contains(F.lower(c), F.lit(part)), all_of(c, pattern, group)).otherwise(F.array().cast("array<string>"))
+
+
 def paths_in(sources: Column) -> Column:
     """Distinct POSIX and Windows paths of an array of texts, in order."""
-    each = F.transform(sources, lambda s: F.concat(all_of(s, POSIX_PATH), all_of(s, WINDOWS_PATH)))
+    each = F.transform(sources, lambda s: F.concat(_all_with(s, "/", POSIX_PATH), _all_with(s, ":\\", WINDOWS_PATH)))
     return F.array_distinct(F.flatten(each))
 
 
 def _lines_of(s: Column) -> Column:
-    lines = F.filter(F.transform(F.split(s, r"\r?\n+"), trimmed), lambda x: matches(x, COMMAND_LINE))
+    lines = F.filter(F.transform(F.split(s, "\n"), trimmed), lambda x: matches(x, COMMAND_LINE))
     return F.flatten(F.transform(lines, lambda x: all_of(x, rule(COMMAND_IN_LINE, ignore_case=False), 0)))
 
 
@@ -43,7 +48,7 @@ def commands_in(sources: Column, tool_input: Column) -> Column:
     """Distinct commands: a tool input that is one, then those in ticks, on lines of their own, and after "run"."""
     given = F.when(matches(trimmed(tool_input), COMMAND_LINE), F.array(tool_input)).otherwise(F.array().cast("array<string>"))
     given = F.coalesce(given, F.array().cast("array<string>"))
-    each = F.transform(sources, lambda s: F.concat(all_of(s, TICKED, 1), _lines_of(s), all_of(s, rule(RUN), 1)))
+    each = F.transform(sources, lambda s: F.concat(_all_with(s, "`", TICKED, 1), _lines_of(s), _all_with(s, "run", rule(RUN), 1)))
     found = F.filter(F.transform(F.flatten(each), trimmed), lambda x: F.length(x) > 0)
     return F.array_distinct(F.concat(given, found))
 

@@ -81,9 +81,10 @@ def run(lines: DataFrame, root: str, now: Column, project: Column | None = None,
     homes = records.select("session_id", "source_tool").distinct().join(places, "session_id", "left").select("session_id", "source_tool", key.alias("project_key"))
     homes = stored(homes, "homes")
 
-    grouped = turns.grouped(records.drop("source_path", "raw"))
-    found = stored(events.tagged(grouped).join(homes.drop("source_tool"), "session_id"), "events")
-    rolled = turns.rolled_up(grouped).join(commands.by_turn(grouped), "turn_id", "left").drop("commands")
+    grouped = stored(turns.grouped(records.drop("source_path", "raw")), "grouped")
+    said = events.read_once(grouped)
+    found = stored(events.tagged(said).join(homes.drop("source_tool"), "session_id"), "events")
+    rolled = turns.rolled_up(grouped).join(commands.by_turn(said), "turn_id", "left").drop("commands")
     own = events.canonical_turns(rolled, found, events.focused(grouped, found)).join(homes.drop("source_tool"), "session_id")
     own = stored(own.withColumn("commands_seen", F.coalesce("commands_seen", F.array().cast("array<string>"))), "turns")
     lessons = stored(learned(own, found), "learnings")
@@ -102,14 +103,14 @@ def run(lines: DataFrame, root: str, now: Column, project: Column | None = None,
         standing = artifacts.load(spark, root, name).join(touched, "project_key", "left_semi").join(todo.select("session_id"), "session_id", "left_anti")
         generation.save(standing.unionByName(made.select(*standing.columns)), name, touched)
 
-    lessons_now = artifacts.load(spark, root, "learnings", generation.name)
-    generation.save(known(instincts.fold(deltas(lessons_now)), now), "instincts", touched)
+    changes = stored(deltas(artifacts.load(spark, root, "learnings", generation.name)), "deltas")
+    generation.save(known(instincts.fold(changes), now), "instincts", touched)
     folded = artifacts.load(spark, root, "instincts", generation.name)
     generation.save(memory_pages(instincts.rollup_pages(folded)), "pages", touched)
     if files is not None:
         generation.save(files, "files", files.select("source_tool").distinct())
     generation.commit()
-    for table in (seen, merged, todo, records, homes, found, own, lessons, named, touched):
+    for table in (seen, merged, todo, records, homes, grouped, found, own, lessons, named, touched, changes):
         dropped(table)
     return artifacts.load(spark, root, "pages", generation.name)
 

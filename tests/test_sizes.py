@@ -182,3 +182,17 @@ def test_rules_look_for_fixed_parts_first(spark):
     assert not some.where(~F.col("a").eqNullSafe(F.col("b"))).collect()
     plan = rows.select(statements.narration(c))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(" in plan
+
+
+def test_a_run_reads_stored_records_and_changes(spark, tmp_path, monkeypatch):
+    """Grouped records and the changes of lessons are read several times, and are not made again each time."""
+    from loomline.operators import run
+    from loomline.plans import dialects
+
+    files, tagged, fold = {}, run.events.tagged, run.instincts.fold
+    monkeypatch.setattr(run.events, "tagged", lambda rows: files.update(records=rows.inputFiles()) or tagged(rows))
+    monkeypatch.setattr(run.instincts, "fold", lambda rows: files.update(changes=rows.inputFiles()) or fold(rows))
+    lines = dialects.overlay_lines(Tables(spark, "/root/testdata/sf0.001"))
+    assert run.run(lines, str(tmp_path / "run"), F.lit("2024-04-01 00:00:00").cast("timestamp")).count() >= 0
+    assert files["records"] and all("loomline-grouped" in f or "loomline-read" in f for f in files["records"])
+    assert files["changes"] and all("loomline-deltas" in f for f in files["changes"])
